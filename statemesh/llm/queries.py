@@ -60,7 +60,14 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(_table(spark, sf_dir, "documents"))
 
 
+def op10_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .near_dup import near_duplicates
+
+    return near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op10_near_dup": op10_near_dup,
     "op1_katz": op1_katz,
     "op2_token_counts": op2_token_counts,
     "op3_quality_rules": op3_quality_rules,
