@@ -115,8 +115,9 @@ SKETCH = T.StructType(
 
 
 def sketches(docs: DataFrame, words: int = 5) -> DataFrame:
-    """(doc_id, n_shingles, h1, h2, bands) for every row."""
-    schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), *SKETCH.fields])
+    """(doc_id, text_key, n_shingles, h1, h2, bands) for every row; text_key tells rows with one doc_id apart."""
+    named = [T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("text_key", T.LongType())]
+    schema = T.StructType([*named, *SKETCH.fields])
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = _Hashes()
@@ -128,6 +129,7 @@ def sketches(docs: DataFrame, words: int = 5) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column("doc_id"),
+                        part.column("text_key"),
                         pa.array([len(s) for s in sets], pa.int64()),
                         pa.array([k[0] for k in keys], pa.int64()),
                         pa.array([k[1] for k in keys], pa.int64()),
@@ -136,7 +138,8 @@ def sketches(docs: DataFrame, words: int = 5) -> DataFrame:
                     names=schema.names,
                 )
 
-    return docs.select("doc_id", F.col("text").cast("binary").alias("body")).mapInArrow(sketch, schema)
+    body = F.col("text").cast("binary").alias("body")
+    return docs.select("doc_id", F.xxhash64("text").alias("text_key"), body).mapInArrow(sketch, schema)
 
 
 def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -272,7 +275,7 @@ def _task(parts: int, *keys: str):
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85, words: int = 5, block_sets: int = 4096, block_shingles: int = 4_000_000) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for every row of docs(doc_id, text)."""
+    """(doc_id, text_key, n_shingles, component_id, kept) for every row of docs(doc_id, text)."""
     spark = docs.sparkSession
     ship(spark)
     sketched = stored(sketches(docs, words), "sketches")
@@ -321,9 +324,9 @@ def near_duplicates(docs: DataFrame, percent: int = 85, words: int = 5, block_se
     named = classes.select(*key, "node", "rep").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     smallest = named.groupBy("label").agg(F.min("rep").alias("component_id"))
     by_class = named.join(smallest, "label").select(*key, "component_id")
-    out = sketched.select("doc_id", *key).join(by_class, key, "left")
+    out = sketched.select("doc_id", "text_key", *key).join(by_class, key, "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    return out.select("doc_id", "text_key", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def _across(sets: DataFrame, links: DataFrame, percent: int, tasks: int, block_sets: int) -> DataFrame:

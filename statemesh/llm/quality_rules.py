@@ -176,7 +176,7 @@ def _stat_batches(batches: Iterator[pa.RecordBatch], step: int = 512):
     for batch in batches:
         for at in range(0, batch.num_rows, step):
             part = batch.slice(at, step)
-            yield part, statistics([t or b"" for t in part.column("_body").to_pylist()])
+            yield part, statistics([t or b"" for t in part.column("text").cast(pa.binary()).to_pylist()])
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 20_000, keep_good: float = 0.9995) -> tuple:
@@ -187,7 +187,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 20_000, keep_goo
         .orderBy(F.xxhash64("doc_id", F.lit(11)), "doc_id", "quality")
         .limit(max_labelled)
     )
-    texts = docs.select("doc_id", F.col("text").cast("binary").alias("_body")).join(F.broadcast(sample), "doc_id")
+    texts = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
     schema = T.StructType([T.StructField("quality", labels.schema["quality"].dataType), *STAT_SCHEMA.fields])
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -211,11 +211,16 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 20_000, keep_goo
     return forest, calibrated(forest.score(x), good, keep_good)
 
 
-def quality_rules(docs: DataFrame, labels: DataFrame, max_labelled: int = 20_000, keep_good: float = 0.9995) -> DataFrame:
-    """docs with STATISTICS, base_failed, anomaly (score) and kept. Own columns of docs that clash are replaced."""
+def quality_rules(
+    docs: DataFrame, labels: DataFrame, max_labelled: int = 20_000, keep_good: float = 0.9995, columns: list[str] | None = None
+) -> DataFrame:
+    """The columns of docs (or those named) with STATISTICS, base_failed, anomaly (score) and kept.
+
+    Own columns with the names of new ones are replaced.
+    """
     ship(docs.sparkSession)
     added = [*STATISTICS, "base_failed", "anomaly", "kept"]
-    own = [c for c in docs.columns if c not in added]
+    own = [c for c in (docs.columns if columns is None else columns) if c not in added]
     forest, threshold = fit(docs, labels, max_labelled, keep_good)
     shared = docs.sparkSession.sparkContext.broadcast((forest, threshold))
     schema = T.StructType(
@@ -236,4 +241,4 @@ def quality_rules(docs: DataFrame, labels: DataFrame, max_labelled: int = 20_000
             new = [*(pa.array(c) for c in rows.T), pa.array(failed), pa.array(score), pa.array(~failed & (score <= most))]
             yield pa.RecordBatch.from_arrays([*(part.column(c) for c in own), *new], names=schema.names)
 
-    return docs.select(*own, F.col("text").cast("binary").alias("_body")).mapInArrow(judge, schema)
+    return docs.select(*dict.fromkeys([*own, "text"])).mapInArrow(judge, schema)

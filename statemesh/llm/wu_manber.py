@@ -115,30 +115,35 @@ def blocks_of(benchmark: DataFrame, max_words: int) -> Iterator[list[tuple]]:
         yield held
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_words: int = 2_000_000) -> DataFrame:
-    """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated, spans) for every row of docs(doc_id, text).
-
-    spans: the maximal runs of hit words as (first, end) word numbers.
+RESULT = T.StructType(
+    [
+        T.StructField("n_words", T.LongType()),
+        T.StructField("n_hit", T.LongType()),
+        T.StructField("n_items", T.LongType()),
+        T.StructField("items_sha256", T.StringType()),
+        T.StructField("contaminated", T.BooleanType()),
+        T.StructField("spans", T.ArrayType(T.ArrayType(T.LongType()))),
+    ]
+)
+
+
+def decontaminate(
+    docs: DataFrame, benchmark: DataFrame, window: int = 10, max_words: int = 2_000_000, columns: list[str] | None = None
+) -> DataFrame:
+    """The columns of docs (or those named) with RESULT; spans are the maximal runs of hit words as (first, end).
+
+    Own columns with the names of new ones are replaced.
     """
     spark = docs.sparkSession
     ship(spark)
     shared = [spark.sparkContext.broadcast(searchers(b, window)) for b in blocks_of(benchmark, max_words)]
-    schema = T.StructType(
-        [
-            T.StructField("doc_id", docs.schema["doc_id"].dataType),
-            T.StructField("n_words", T.LongType()),
-            T.StructField("n_hit", T.LongType()),
-            T.StructField("n_items", T.LongType()),
-            T.StructField("items_sha256", T.StringType()),
-            T.StructField("contaminated", T.BooleanType()),
-            T.StructField("spans", T.ArrayType(T.ArrayType(T.LongType()))),
-        ]
-    )
+    own_columns = [c for c in (docs.columns if columns is None else columns) if c not in RESULT.names]
+    schema = T.StructType([*(docs.schema[c] for c in own_columns), *RESULT.fields])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             cols: list[list] = [[] for _ in range(6)]
-            split = [words_of(t or b"") for t in batch.column("body").to_pylist()]
+            split = [words_of(t or b"") for t in batch.column("text").cast(pa.binary()).to_pylist()]
             runs: list[list] = [[] for _ in split]
             items: list[set] = [set() for _ in split]
             for block in shared:  # one block of patterns in memory at a time
@@ -162,6 +167,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_w
                 for c, v in zip(cols, (len(words), hit, len(own), digest, hit > 0, spans)):
                     c.append(v)
             types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.list_(pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, t) for c, t in zip(cols, types))], names=schema.names)
+            new = [pa.array(c, t) for c, t in zip(cols, types)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in own_columns), *new], names=schema.names)
 
-    return docs.select("doc_id", F.col("text").cast("binary").alias("body")).mapInArrow(scan, schema)
+    return docs.select(*dict.fromkeys([*own_columns, "text"])).mapInArrow(scan, schema)
