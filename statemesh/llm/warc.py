@@ -18,6 +18,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -93,6 +94,16 @@ def records_of(page_id, url: str, payload: bytes, refers_to: str | None, row: in
         yield record(own, part)
 
 
+def inflated(archive: bytes) -> bytes:
+    """The bytes of an archive, of any number of gzip members, or as they are."""
+    out = []
+    while archive.startswith(b"\x1f\x8b"):
+        member = zlib.decompressobj(31)
+        out.append(member.decompress(archive))
+        archive = member.unused_data
+    return b"".join(out) + archive
+
+
 def parse(archive: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
     """(headers by lower-case name, block) of each record, by the stated lengths."""
     at = 0
@@ -131,9 +142,14 @@ def with_references(pages: DataFrame, min_bytes: int) -> DataFrame:
 
 
 def write_archives(
-    pages: DataFrame, path: str, min_bytes: int = 0, segment_bytes: int = 32_768, records_per_file: int = 2_000
+    pages: DataFrame,
+    path: str,
+    min_bytes: int = 0,
+    segment_bytes: int = 32_768,
+    records_per_file: int = 2_000,
+    compression: str = "gzip",
 ) -> None:
-    """Write WARC files under path from pages(page_id, url, html)."""
+    """Write WARC files (.gz unless compression is "none") under path from pages(page_id, url, html)."""
     payload = F.coalesce(F.col("html").cast("binary"), F.lit(b"")).alias("payload")
     rows = pages.select("page_id", "url", payload, F.monotonically_increasing_id().alias("row"))
 
@@ -147,7 +163,9 @@ def write_archives(
                 yield pa.RecordBatch.from_arrays([pa.array([x[:-1] for x in out], pa.binary())], names=["value"])
 
     records = with_references(rows, min_bytes).mapInArrow(lines, "value binary")
-    records.select(F.col("value").cast("string").alias("value")).write.option("maxRecordsPerFile", records_per_file).text(path)
+    records.select(F.col("value").cast("string").alias("value")).write.options(
+        maxRecordsPerFile=records_per_file, compression=compression
+    ).text(path)
 
 
 READ = T.StructType(
@@ -182,7 +200,7 @@ def read_archives(spark: SparkSession, path: str, keep_payload: bool = True) ->
         for batch in batches:
             for content in batch.column("content"):
                 held: list[tuple] = []
-                for head, block in parse(content.as_py()):
+                for head, block in parse(inflated(content.as_py())):
                     number = int(head.get("warc-segment-number", 1))
                     origin = head["warc-record-id"] if number == 1 else head["warc-segment-origin-id"]
                     total = head.get("warc-segment-total-length")
