@@ -13,6 +13,7 @@ repeated rows are packed again; an empty table gives no pieces; other columns ar
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 from itertools import chain
@@ -28,49 +29,94 @@ from ..session import ship
 from .exchange import n_partitions, pack, stored_by_chunk, unpack
 
 
+#: Punctuation that ends words: a pre-token of its own after letters.
+_TAIL = ".,;:!?"
+#: Punctuation before a comma or stop: such a run is one pre-token and stays whole.
+_RUN = re.compile(r"[^\w\s][.,]|_[.,]").search
+#: By tokenizer file, so that the tasks of one worker process share what they have learnt.
+_WORD_IDS: dict[str, WordIds] = {}
+
+
 class WordIds:
-    """Ids of stretches of text without blank or newline, cached as bytes; misses of a batch are encoded together.
+    """Ids of stretches of text without blank or newline, kept as bytes in two generations of bounded size.
 
-    Cutting at blanks and newlines, always white space for this kind of tokenizer, keeps every pre-token whole. Misses
-    are joined by a special token, whose id then parts their ids.
+    Cutting at blanks and newlines, always white space for this kind of tokenizer, keeps every pre-token whole. Words of
+    letters only are one pre-token each: the new ones of a batch are encoded together and parted where a token ends a
+    word. Everything else is encoded alone.
     """
 
-    def __init__(self, path: str, most: int = 800_000, max_key: int = 256):
+    def __init__(self, path: str, most: int = 600_000, max_key: int = 256):
         from tokenizers import Tokenizer
 
         self.tok, self.most, self.max_key = Tokenizer.from_file(path), most, max_key
-        self.marks = {t.content: i for i, t in self.tok.get_added_tokens_decoder().items()}
-        self.mark = next(iter(self.marks), None)
+        vocabulary = self.tok.get_vocab(with_added_tokens=True)
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.known: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
-    def _one(self, word: str) -> bytes:
+    def _alone(self, word: str) -> bytes:
         return np.array(self.tok.encode(word, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    def _learn(self, words: list[str]) -> dict[str, bytes]:
-        plain = [w for w in words if len(w) <= self.max_key and not any(m in w for m in self.marks)]
+    def _together(self, words: list[str]) -> dict[str, bytes]:
         found: dict[str, bytes] = {}
-        for at in range(0, len(plain), 10_000) if self.mark else ():
-            some = plain[at : at + 10_000]
-            ids = self.tok.encode(f" {self.mark} ".join(some), add_special_tokens=False).ids
-            a = np.array(ids, dtype="<u4")
-            ends = np.flatnonzero(a == self.marks[self.mark]).tolist()
-            raw, starts = a.tobytes(), [0, *(e + 1 for e in ends)]
-            found |= {w: raw[4 * s : 4 * e] for w, s, e in zip(some, starts, [*ends, len(a)])}
-        return found | {w: self._one(w) for w in words if w not in found}
+        for at in range(0, len(words), 10_000):
+            some = words[at : at + 10_000]
+            ids = np.array(self.tok.encode(" ".join(some), add_special_tokens=False).ids, dtype="<u4")
+            ends = (np.flatnonzero(self.ends[ids]) + 1) * 4
+            if len(ends) != len(some):  # a letter that the tokenizer takes for something else
+                found |= {w: self._alone(w) for w in some}
+                continue
+            raw, start = ids.tobytes(), 0
+            for w, end in zip(some, ends.tolist()):
+                found[w] = raw[start:end]
+                start = end
+        return found
+
+    def _learn(self, words: set[str]) -> None:
+        known, old = self.known, self.old
+        split, cores, rest = [], set(), []
+        for w in words:
+            ids = old.get(w)
+            if ids is not None:
+                known[w] = ids
+                continue
+            core = w.rstrip(_TAIL)
+            if len(w) <= self.max_key and core.isalpha():
+                split.append((w, core, w[len(core) :]))
+                cores.add(core)
+            else:
+                rest.append(w)
+        found = {c: ids for c in cores if (ids := known.get(c) or old.get(c)) is not None}
+        found |= self._together([c for c in cores if c not in found])
+        for w, core, tail in split:
+            if tail and tail not in known:
+                known[tail] = self._alone(tail)
+            known[w] = found[core] + known[tail] if tail else found[core]
+        for w in rest:
+            known[w] = self._alone(w)
+
+    @staticmethod
+    def _words(text: str) -> list[str]:
+        """Stretches to look up. Lower case, and a comma or stop after a letter or digit apart: fewer to learn, equal ids."""
+        if "\u03a3" not in text:  # a final sigma is lowered by its context, which the tokenizer does not do
+            text = text.lower()
+        if not _RUN(text):
+            text = text.replace(", ", " , ").replace(". ", " . ").replace(".\n", " . ")
+        return text.replace("\n", " ").split(" ")
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        missing = list(set(chain.from_iterable(split)).difference(self.known))
-        if missing:
-            found = self._learn(missing)
-            if len(self.known) + len(found) > self.most:
-                self.known = {w: self.known[w] for w in set(chain.from_iterable(split)).intersection(self.known)}
-            self.known.update(found)
+        split = [self._words(t) for t in texts]
+        if missing := set(chain.from_iterable(split)).difference(self.known):
+            if len(self.known) + len(missing) > self.most:
+                self.known, self.old = {}, self.known
+                missing = set(chain.from_iterable(split))
+            self._learn(missing)
         get = self.known.__getitem__
         out = [b"".join(map(get, words)) for words in split]
         for w in missing:
             if len(w) > self.max_key:
-                del self.known[w]
+                self.known.pop(w, None)
         return out
 
 
@@ -90,7 +136,8 @@ def tokenised(
     )
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, end = WordIds(tokenizer_path), np.array([end_id], dtype="<u4").tobytes()
+        words, end = _WORD_IDS.setdefault(tokenizer_path, None) or WordIds(tokenizer_path), np.array([end_id], dtype="<u4").tobytes()
+        _WORD_IDS[tokenizer_path] = words
         part, block = TaskContext.get().partitionId(), 0
         held_ids, held, size = [], [], 0
 
