@@ -49,7 +49,7 @@ class _Hashes(dict):
     """64-bit hash of a word, remembered; emptied when full."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 800_000:
+        if len(self) >= 500_000:
             self.clear()
         h = self[word] = xxhash.xxh3_64_intdigest(word)
         return h
@@ -354,7 +354,7 @@ class KatzModel:
     numbers: dict
 
 
-def fit(docs: DataFrame, order: int = 2, k: int = 5, fold: int = 10, max_tokens: int = 3_000_000) -> KatzModel:
+def fit(docs: DataFrame, order: int = 2, k: int = 5, fold: int = 10, max_tokens: int = 2_000_000) -> KatzModel:
     """Train on documents whose crc32(doc_id as text) mod fold is not 0; all documents' look-ups are prepared."""
     spark = docs.sparkSession
     ship(spark)
@@ -418,6 +418,6 @@ def score(model: KatzModel, id_type: T.DataType) -> DataFrame:
     return model.chunks.groupBy("chunk").cogroup(model.replies.groupBy("chunk")).applyInArrow(evaluate, schema)
 
 
-def katz_scores(docs: DataFrame, order: int = 2, k: int = 5, fold: int = 10, max_tokens: int = 3_000_000) -> DataFrame:
+def katz_scores(docs: DataFrame, order: int = 2, k: int = 5, fold: int = 10, max_tokens: int = 2_000_000) -> DataFrame:
     """Train on the documents that are not held out and score every one."""
     return score(fit(docs, order, k, fold, max_tokens), docs.schema["doc_id"].dataType)
