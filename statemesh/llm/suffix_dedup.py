@@ -45,24 +45,25 @@ def _power(n: int) -> np.uint64:
 
 
 def string_hashes(data: np.ndarray, length: int) -> np.ndarray:
-    """Hash of the ``length`` bytes from each position, by doubling."""
-    have: dict[int, np.ndarray] = {1: _LETTERS[data]}
+    """Hash of the ``length`` bytes from each position, by doubling; only the powers of two in the length are kept."""
     with np.errstate(over="ignore"):
-        n = 1
-        while 2 * n <= length:
-            x = have[n]
-            have[2 * n] = x[: len(x) - n] * _power(n) + x[n:]
+        x, n, kept = _LETTERS[data], 1, {}
+        while True:
+            if length & n:
+                kept[n] = x
+            if 2 * n > length:
+                break
+            x = x[: len(x) - n] * _power(n) + x[n:]
             n *= 2
         out, done = None, 0
-        for size in sorted(have, reverse=True):
-            if length & size:
-                x = have[size]
-                out = x if out is None else out[: len(data) - done - size + 1] * _power(size) + x[done:]
-                done += size
+        for size in sorted(kept, reverse=True):
+            x = kept.pop(size)
+            out = x if out is None else out[: len(data) - done - size + 1] * _power(size) + x[done:]
+            done += size
     return out
 
 
-def first_digits(data: np.ndarray, depth: int, block: int = 1 << 20) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def first_digits(data: np.ndarray, depth: int, block: int = 1 << 18) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Runs of windows with one first digit: (first window, place of the least string, its hash). Windows start at 0..n-depth."""
     span, n = depth - GRAM + 1, len(data) - depth + 1
     starts, places, digits = [], [], []
@@ -333,15 +334,19 @@ def stretch_replies(requests: DataFrame, depth: int) -> DataFrame:
         lo = 0
         while lo < len(by_digit):
             done = total[lo - 1] if lo else 0
-            hi = int(np.searchsorted(total, done + 1_000_000, "right"))
+            hi = int(np.searchsorted(total, done + 250_000, "right"))
             after = edge[np.searchsorted(edge, max(hi, lo + 1), "left") :]
             hi = int(after[0]) if len(after) else len(by_digit)
             own = by_digit[lo:hi]
             n = windows[own]
             stretch = np.repeat(own, n)
             step = np.arange(len(stretch)) - np.repeat(np.cumsum(n) - n, n)
-            at = begin[stretch] + step
-            w, g = equal_windows(data, at, mix(digit[stretch], (place[stretch] - step).astype(np.uint64)), depth)
+            # the slice's own text, so that hashes are made once and only for it
+            long = size[own]
+            first = np.cumsum(long) - long
+            part = data[np.repeat(begin[own] - first, long) + np.arange(int(long.sum()))]
+            at = np.repeat(first, n) + step
+            w, g = equal_windows(part, at, mix(digit[stretch], (place[stretch] - step).astype(np.uint64)), depth)
             # within a group all but the least go; a stretch's rank orders windows of different stretches, as in one
             # stretch windows at other steps have another place of the first digit, so they are never equal
             order = np.lexsort([rank[stretch[w]], g])
@@ -349,10 +354,10 @@ def stretch_replies(requests: DataFrame, depth: int) -> DataFrame:
             gone = w[np.concatenate([[False], g[1:] == g[:-1]])] if len(w) else w
             np.bitwise_or.at(later, stretch[gone], np.uint64(1) << step[gone].astype(np.uint64))
             lo = hi
-        out, first = [], 0
+        out, given = [], 0
         for r, d in zip(rows, digits):
-            out.append((1, r["bucket"], r["chunk"], pack(later[first : first + len(d)])))
-            first += len(d)
+            out.append((1, r["bucket"], r["chunk"], pack(later[given : given + len(d)])))
+            given += len(d)
         return pa.Table.from_batches([_rows(out, REPLY)])
 
     return requests.groupBy("bucket").applyInArrow(judge, REPLY)
@@ -377,7 +382,7 @@ def removed_spans(chunk: Chunk, replies: list[dict], buckets: int) -> np.ndarray
     return np.cumsum(edge[:-1]) > 0
 
 
-def remove_repeats(docs: DataFrame, depth: int = 100, chunk_bytes: int = 6_000_000, with_text: bool = True) -> DataFrame:
+def remove_repeats(docs: DataFrame, depth: int = 100, chunk_bytes: int = 4_000_000, with_text: bool = True) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, if asked, kept bytes) for every row of docs(doc_id, text)."""
     if not GRAM + 1 <= depth <= GRAM + 63:
         raise ValueError(f"depth must be {GRAM + 1} to {GRAM + 63}")
