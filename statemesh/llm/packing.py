@@ -120,6 +120,13 @@ class WordIds:
         return out
 
 
+def word_ids(path: str) -> WordIds:
+    """This process's WordIds. A function of the module: what a task's own closure names would be copied for each task."""
+    if path not in _WORD_IDS:
+        _WORD_IDS[path] = WordIds(path)
+    return _WORD_IDS[path]
+
+
 def tokenised(
     docs: DataFrame, tokenizer_path: str, end_id: int = 1, chunk_docs: int = 512, chunk_tokens: int = 1 << 20
 ) -> DataFrame:
@@ -136,8 +143,7 @@ def tokenised(
     )
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, end = _WORD_IDS.setdefault(tokenizer_path, None) or WordIds(tokenizer_path), np.array([end_id], dtype="<u4").tobytes()
-        _WORD_IDS[tokenizer_path] = words
+        words, end = word_ids(tokenizer_path), np.array([end_id], dtype="<u4").tobytes()
         part, block = TaskContext.get().partitionId(), 0
         held_ids, held, size = [], [], 0
 
