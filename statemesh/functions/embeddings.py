@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType
 
 DIMENSIONS = 384
 
@@ -31,7 +32,7 @@ def hashed_trigrams(text: str | None) -> np.ndarray:
     return vector / (np.sqrt((vector * vector).sum()) or 1.0)
 
 
-@F.pandas_udf("array<float>")
+@F.pandas_udf(ArrayType(FloatType()))
 def embed(texts: pd.Series) -> pd.Series:
     """The hashing embedder over a column; any other embedder of this shape can take its place."""
     return texts.map(lambda t: hashed_trigrams(t).astype(np.float32))

@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from .common import strip
 
@@ -14,7 +15,7 @@ from .common import strip
 INVISIBLE = "\u00a0\u2007\u202f\u2009\u200a\u200b\u200c\u200d\u2060\u00ad\ufeff"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _nfkc(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
 

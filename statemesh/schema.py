@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql.types import StructType
-
 from .functions.numbers import VALUE
 from .functions.periods import PERIOD
 
@@ -20,7 +18,20 @@ CLAIM_FIELDS = (
     "id string, seq bigint, subject_id string, predicate_id string, subject_raw string, predicate_raw string, "
     f"value {VALUE}, scope {SCOPE}, evidence array<{EVIDENCE}>, confidence double, scale_inferred boolean, provenance {PROVENANCE}"
 )
-CLAIMS = StructType.fromDDL(CLAIM_FIELDS)
+CLAIM_NAMES = [
+    "id",
+    "seq",
+    "subject_id",
+    "predicate_id",
+    "subject_raw",
+    "predicate_raw",
+    "value",
+    "scope",
+    "evidence",
+    "confidence",
+    "scale_inferred",
+    "provenance",
+]
 
 #: Fixed values.
 RELATIONS = ["corroboration", "contradiction", "reconciled", "ambiguous", "unrelated"]

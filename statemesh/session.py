@@ -37,3 +37,9 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, **conf: str) ->
     for key, value in conf.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+def scratch(spark: SparkSession) -> str:
+    """A folder that all executors share: under ``spark.checkpoint.dir``; one of our own only where it is unset (tests)."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/statemesh-checkpoints"
+    return f"{root.rstrip('/')}/statemesh"
