@@ -16,7 +16,6 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +31,7 @@ from .exchange import n_partitions, pack, stored_by_chunk, unpack
 #: Punctuation that ends words: a pre-token of its own after letters.
 _TAIL = ".,;:!?"
 #: Punctuation before a comma or stop: such a run is one pre-token and stays whole.
-_RUN = re.compile(r"[^\w\s][.,]|_[.,]").search
+_RUN = re.compile(r"[.,](?<=[^\w\s][.,])|[.,](?<=_[.,])").search
 #: By tokenizer file, so that the tasks of one worker process share what they have learnt.
 _WORD_IDS: dict[str, WordIds] = {}
 
@@ -45,7 +44,7 @@ class WordIds:
     word. Everything else is encoded alone.
     """
 
-    def __init__(self, path: str, most: int = 600_000, max_key: int = 256):
+    def __init__(self, path: str, most: int = 1_000_000, max_key: int = 256):
         from tokenizers import Tokenizer
 
         self.tok, self.most, self.max_key = Tokenizer.from_file(path), most, max_key
@@ -107,10 +106,10 @@ class WordIds:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         split = [self._words(t) for t in texts]
-        if missing := set(chain.from_iterable(split)).difference(self.known):
+        if missing := set().union(*split).difference(self.known):
             if len(self.known) + len(missing) > self.most:
                 self.known, self.old = {}, self.known
-                missing = set(chain.from_iterable(split))
+                missing = set().union(*split)
             self._learn(missing)
         get = self.known.__getitem__
         out = [b"".join(map(get, words)) for words in split]
