@@ -325,11 +325,22 @@ def stretch_replies(requests: DataFrame, depth: int) -> DataFrame:
         chunk = np.repeat(np.array([r["chunk"] for r in rows], np.int64), [len(d) for d in digits])
         rank = np.empty(len(digit), np.int64)
         rank[np.lexsort([start, row_of, chunk, doc])] = np.arange(len(digit))
+        windows = size - depth + 1
         later = np.zeros(len(digit), np.uint64)
-        by_digit = np.argsort(digit, kind="stable")
+        # stretches that equal an earlier one as a whole need no sorting: all their windows go
+        joined, seen, first_ones = data.tobytes(), set(), []
+        for r in np.argsort(rank).tolist():
+            key = (int(place[r]), xxhash.xxh3_128_digest(joined[begin[r] : begin[r] + size[r]]))
+            if key in seen:
+                later[r] = np.uint64((1 << int(windows[r])) - 1)
+            else:
+                seen.add(key)
+                first_ones.append(r)
+        del seen
+        kept = np.array(first_ones, np.int64)
+        by_digit = kept[np.argsort(digit[kept], kind="stable")]
         # bounded slices of whole groups
         edge = np.flatnonzero(np.concatenate([[True], digit[by_digit][1:] != digit[by_digit][:-1]]))
-        windows = size - depth + 1
         total = np.cumsum(windows[by_digit])
         lo = 0
         while lo < len(by_digit):
