@@ -99,6 +99,27 @@ def significant_digits(raw: Column) -> Column:
     return F.greatest(F.length(F.regexp_replace(F.regexp_replace(raw, r"(?U)\D", ""), "^0+", "")), F.lit(1))
 
 
+def value_bucket(kind: Column, magnitude: Column, digits: int = 3) -> Column:
+    """Kind and magnitude to three significant digits (half to even), or null for none and zero.
+
+    On the digits as text: a rounding to a varying place is then exact for any decimal.
+    """
+
+    def rounded(x: Column) -> Column:
+        head = F.rpad(F.substr(x["d"], F.lit(1), F.lit(digits)), digits, "0").cast("int")
+        tail = F.regexp_replace(F.substr(x["d"], F.lit(digits + 1)), "0+$", "")
+        up = (tail > "5") | ((tail == "5") & (head % 2 == 1))
+        value = head + up.cast("int")
+        over = value == 10**digits
+        exponent = x["e"] - digits + 1 + over.cast("int")
+        shown = F.when(over, F.lit(10 ** (digits - 1))).otherwise(value)
+        return F.concat_ws(":", kind, (shown * F.signum(magnitude).cast("int")).cast("string"), exponent.cast("string"))
+
+    text = F.abs(magnitude).cast("decimal(38,10)").cast("string")
+    plain = F.regexp_replace(F.replace(text, F.lit("."), F.lit("")), "^0+", "")
+    return F.when(magnitude.isNotNull() & (magnitude != 0), let(F.struct(plain.alias("d"), adjusted(magnitude).alias("e")), rounded))
+
+
 def adjusted(magnitude: Column) -> Column:
     """Exponent of the leading digit of a decimal that is not zero."""
     text = F.abs(magnitude).cast("decimal(38,10)").cast("string")

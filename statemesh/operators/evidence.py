@@ -10,31 +10,36 @@ from pyspark.sql.types import IntegerType, StructField, StructType
 
 #: Fixed value: a span grows by whole lines up to this many characters.
 MOST = 340
-_SENTENCE = re.compile(r"(?<=[.!?])\s+(?=[A-Z(\"“])")
+_SENTENCE_END = re.compile(r"[.;!?](?=\s|$)")
 
 
 def evidence_span(text: str, start: int, end: int, is_table: bool) -> tuple[int, int]:
-    """Bounds of the line, sentence or block around text[start:end]."""
-    if len(text) <= MOST and not _SENTENCE.search(text):
-        return 0, len(text)
-    if is_table or not _SENTENCE.search(text):
-        a = text.rfind("\n", 0, start) + 1
-        b = text.find("\n", end)
-        b = len(text) if b < 0 else b
-    else:
-        cuts = [0, *(m.end() for m in _SENTENCE.finditer(text)), len(text)]
-        a = max(c for c in cuts if c <= start)
-        b = min((c for c in cuts if c >= end), default=len(text))
-    while True:  # by lines, before and after in turn, while it still fits
-        up = text.rfind("\n", 0, max(a - 1, 0)) + 1 if a > 0 else a
-        down = text.find("\n", b + 1) if b < len(text) else b
-        down = len(text) if down < 0 else down
-        if up < a and b - up <= MOST:
-            a = up
-        elif down > b and down - a <= MOST:
-            b = down
-        else:
-            return a, b
+    """Bounds within a block's text of what to show around text[start:end].
+
+    In tables and headings the line, or the whole block if it is short and its line ends no sentence. In prose the
+    sentence, widened to whole lines; where that is too long, as many whole lines of it as fit, earlier ones first.
+    """
+    line = text.rfind("\n", 0, start) + 1, (text + "\n").find("\n", end)
+    shown = text[line[0] : line[1]]
+    if is_table or "|" in shown:
+        whole = "\n" in text and len(text) <= MOST and not _SENTENCE_END.search(shown)
+        return (0, len(text)) if whole else line
+    ends = [m.end() for m in _SENTENCE_END.finditer(text)]
+    low = min(line[0], max((e for e in ends if e <= start), default=0))
+    high = max(line[1], min((e for e in ends if e > end), default=len(text)))
+    if high - low <= MOST:
+        return low, high
+    first, last = line
+    breaks = [i for i, c in enumerate(text) if c == "\n"]
+    for at in reversed([i + 1 for i in breaks if low < i + 1 < first]):
+        if last - at > MOST:
+            break
+        first = at
+    for at in [i for i in breaks if last < i <= high]:
+        if at - first > MOST:
+            break
+        last = at
+    return first, last
 
 
 @F.pandas_udf(StructType([StructField("start", IntegerType()), StructField("end", IntegerType())]))

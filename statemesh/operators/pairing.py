@@ -7,11 +7,10 @@ which Spark pushes below the sort's shuffle as a group limit: a hot key sends at
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.common import let
-from ..functions.numbers import adjusted, rounding_tolerance
+from ..functions.numbers import rounding_tolerance, value_bucket
 
 CAP = 60
 #: What a pair needs of a claim; the rest is joined again by id where it is wanted.
@@ -125,16 +124,6 @@ def exact_pairs(narrow: DataFrame, cap: int = CAP, cross_document: bool = False)
     return a.join(b, same & (F.col("a_rn") < F.col("b_rn")) & apart).withColumn("reason", F.lit("same subject and predicate"))
 
 
-def value_bucket(kind: Column, magnitude: Column, digits: int = 3) -> Column:
-    """Kind and magnitude to three significant digits (half to even), or null for none and zero."""
-
-    def rounded(exponent: Column) -> Column:
-        unit = F.pow(F.lit(10.0), exponent - digits + 1)
-        return F.concat_ws(":", kind, F.bround(F.abs(magnitude).cast("double") / unit, 0).cast("bigint").cast("string"), (exponent - digits + 1).cast("string"), F.signum(magnitude).cast("int").cast("string"))
-
-    return F.when(magnitude.isNotNull() & (magnitude != 0), let(adjusted(magnitude), rounded))
-
-
 def value_pairs(narrow: DataFrame, cap: int = CAP) -> DataFrame:
     """Pairs of one subject with equal rounded values under different predicates. Buckets beyond the cap give none."""
     keyed = narrow.withColumn("bucket", value_bucket(F.col("kind"), F.col("magnitude"))).where("bucket is not null")
