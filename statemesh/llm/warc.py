@@ -9,8 +9,11 @@ Reading: records are parsed by their Content-Length. Whole records are decoded w
 grouped by origin identifier, ordered by segment number, checked against the total length that the last segment states,
 joined and decoded. A group is one page's record, so no group grows with the corpus.
 
-Defined cases: null html is an empty payload; a null page_id counts as the largest identifier; of repeated rows one is
-written first and the others revisit it; an empty table makes no archive records; other columns are ignored. Missing segments or a wrong length raise an error.
+Identifiers are functions of page_id and payload, so writing again gives the same archives. Rows that repeat both give
+equal records; reading counts them.
+
+Defined cases: null html is an empty payload; a null page_id counts as the largest identifier; repeated rows with the
+smallest page_id are all responses; an empty table makes no archive records; other columns are ignored. Missing segments or a wrong length raise an error.
 """
 
 from __future__ import annotations
@@ -36,10 +39,10 @@ def digest_of(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def record_uri(page_id, row: int, segment: int = 1) -> str:
-    """A record's identifier, unique even where rows repeat; it can be turned back into the page's."""
+def record_uri(page_id, payload: bytes, segment: int = 1) -> str:
+    """A record's identifier; it can be turned back into the page's."""
     tail = f"#{segment}" if segment > 1 else ""
-    return f"<urn:statemesh:page:{_NONE if page_id is None else page_id}/{row}{tail}>"
+    return f"<urn:statemesh:page:{_NONE if page_id is None else page_id}/{hashlib.sha1(payload).hexdigest()[:16]}{tail}>"
 
 
 def chunked(payload: bytes, size: int = 8192) -> bytes:
@@ -67,7 +70,7 @@ def record(headers: list[tuple[str, object]], block: bytes) -> bytes:
     return b"WARC/1.1\r\n" + head.encode() + b"\r\n" + block + b"\r\n\r\n"
 
 
-def records_of(page_id, url: str, payload: bytes, refers_to: str | None, row: int, segment_bytes: int) -> Iterator[bytes]:
+def records_of(page_id, url: str, payload: bytes, refers_to: str | None, segment_bytes: int) -> Iterator[bytes]:
     """The records of one page: a revisit, or a response with its continuations."""
     target = "".join(c for c in (url or "about:blank") if c > " ")
     digest = f"sha1:{digest_of(payload)}"
@@ -75,14 +78,14 @@ def records_of(page_id, url: str, payload: bytes, refers_to: str | None, row: in
     if refers_to is not None:
         block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\nContent-Length: %d\r\n\r\n" % len(payload)
         profile = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-        own = [("WARC-Type", "revisit"), ("WARC-Record-ID", record_uri(page_id, row)), ("WARC-Refers-To", refers_to), ("WARC-Profile", profile)]
+        own = [("WARC-Type", "revisit"), ("WARC-Record-ID", record_uri(page_id, payload)), ("WARC-Refers-To", refers_to), ("WARC-Profile", profile)]
         yield record([*own, *common, ("Content-Type", "application/http; msgtype=response")], block)
         return
     block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\nTransfer-Encoding: chunked\r\n\r\n" + chunked(payload)
     parts = [block[i : i + segment_bytes] for i in range(0, len(block), segment_bytes)]
-    origin = record_uri(page_id, row)
+    origin = record_uri(page_id, payload)
     for k, part in enumerate(parts, 1):
-        own = [("WARC-Type", "response" if k == 1 else "continuation"), ("WARC-Record-ID", record_uri(page_id, row, k)), *common]
+        own = [("WARC-Type", "response" if k == 1 else "continuation"), ("WARC-Record-ID", record_uri(page_id, payload, k)), *common]
         if len(parts) > 1:
             own.append(("WARC-Segment-Number", k))
         if k > 1:
@@ -122,23 +125,20 @@ def parse(archive: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
 
 
 def with_references(pages: DataFrame, min_bytes: int) -> DataFrame:
-    """pages(page_id, row, url, payload) with refers_to: the equal record's URI for revisits, else null."""
+    """pages(page_id, url, payload) with refers_to: the equal record's URI for revisits, else null."""
     sized = pages.withColumn("_size", F.octet_length("payload")).withColumn("_sha", F.sha1("payload"))
-    order = F.struct(F.col("page_id").isNull().alias("none"), "page_id", "row")
     groups = (
         sized.where(F.col("_size") >= min_bytes)
         .groupBy("_sha", "_size")
-        .agg(F.min(order).alias("_first"), F.count("*").alias("_n"))
+        .agg(F.min("page_id").alias("_page"), F.count("*").alias("_n"))  # min() leaves nulls to the last
         .where("_n > 1")
-        .select("_sha", "_size", "_first.page_id", "_first.row")
-        .withColumnsRenamed({"page_id": "_page", "row": "_row"})
     )
     # A frequent payload's rows are split by the skew-join rule; the groups' side has one row for each.
     joined = sized.join(groups, ["_sha", "_size"], "left")
-    name = F.concat(F.coalesce(F.col("_page").cast("string"), F.lit(_NONE)), F.lit("/"), F.col("_row").cast("string"))
+    name = F.concat(F.coalesce(F.col("_page").cast("string"), F.lit(_NONE)), F.lit("/"), F.substr("_sha", F.lit(1), F.lit(16)))
     uri = F.concat(F.lit("<urn:statemesh:page:"), name, F.lit(">"))
-    revisit = F.col("_row").isNotNull() & (F.col("row") != F.col("_row"))
-    return joined.select("page_id", "row", "url", "payload", F.when(revisit, uri).alias("refers_to"))
+    revisit = F.col("_n").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("_page"))
+    return joined.select("page_id", "url", "payload", F.when(revisit, uri).alias("refers_to"))
 
 
 def write_archives(
@@ -151,14 +151,14 @@ def write_archives(
 ) -> None:
     """Write WARC files (.gz unless compression is "none") under path from pages(page_id, url, html)."""
     payload = F.coalesce(F.col("html").cast("binary"), F.lit(b"")).alias("payload")
-    rows = pages.select("page_id", "url", payload, F.monotonically_increasing_id().alias("row"))
+    rows = pages.select("page_id", "url", payload)
 
     def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
                 out: list[bytes] = []
                 for r in batch.slice(at, 64).to_pylist():
-                    out += records_of(r["page_id"], r["url"], r["payload"] or b"", r["refers_to"], r["row"], segment_bytes)
+                    out += records_of(r["page_id"], r["url"], r["payload"] or b"", r["refers_to"], segment_bytes)
                 # the text sink ends each row with the line feed that a record ends with
                 yield pa.RecordBatch.from_arrays([pa.array([x[:-1] for x in out], pa.binary())], names=["value"])
 
@@ -234,12 +234,14 @@ def read_archives(spark: SparkSession, path: str, keep_payload: bool = True) ->
         for batch in batches:
             for r in batch.to_pylist():
                 parts = r["parts"]
-                block = b"".join(p["block"] for p in parts)
+                copies = max(1, sum(p["segment"] == 1 for p in parts))  # repeated rows wrote equal records
+                block = b"".join(p["block"] for p in parts[::copies])
                 numbers, totals = [p["segment"] for p in parts], [p["total"] for p in parts if p["total"] is not None]
-                if numbers != list(range(1, len(parts) + 1)) or totals != [len(block)]:
+                whole = [k for k in range(1, len(parts) // copies + 1) for _ in range(copies)]
+                if numbers != whole or totals != [len(block)] * copies:
                     raise ValueError(f"segments {numbers} of {r['record_id']} make {len(block)} bytes of {totals}")
                 n, payload = _decode(block, "response", r["digest"])
-                yield _batch([(r["record_id"], "response", None, r["digest"], n, payload if keep_payload else None)], DECODED)
+                yield _batch([(r["record_id"], "response", None, r["digest"], n, payload if keep_payload else None)] * copies, DECODED)
 
     # An archive is read whole by one task; write_archives() bounds its records.
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("content")
