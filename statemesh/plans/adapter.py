@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.labels import normalise_label
 from ..functions.numbers import parse_value
 from ..functions.periods import parse_period
+from ..session import spread
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,7 +39,7 @@ def order_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two raw statements for each order: texts only, and the scope as it is stated."""
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority")
     customers = table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment")
-    base = orders.join(customers, orders["o_custkey"] == customers["c_custkey"])
+    base = spread(orders).join(customers, orders["o_custkey"] == customers["c_custkey"])
     key, k = F.col("o_orderkey"), F.col("k")
     w = F.floor("o_totalprice").cast("bigint")
     both = base.withColumn("w", w).withColumn("k", F.explode(F.array(F.lit(0), F.lit(1))))

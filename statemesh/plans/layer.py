@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..operators.compare import compare_pairs
 from ..operators.pairing import CAP, exact_pairs, narrowed, unreliable_periods
 from ..schema import RELATIONS
+from ..session import stored
 
 
 @dataclass
@@ -22,7 +23,7 @@ class Layer:
 
 def build(claims: DataFrame, cap: int = CAP, cross_document: bool = False, with_trace: bool = False) -> Layer:
     """Edges of all exact pairs. Value pairs never become edges (their predicates differ), so they are not formed here."""
-    narrow = unreliable_periods(narrowed(claims))
+    narrow = unreliable_periods(stored(narrowed(claims), "narrow"))
     edges = compare_pairs(exact_pairs(narrow, cap, cross_document), with_trace)
     return Layer(claims, narrow, edges)
 

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED = "_statemesh_shipped"
 
@@ -43,3 +44,17 @@ def scratch(spark: SparkSession) -> str:
     """A folder that all executors share: under ``spark.checkpoint.dir``; one of our own only where it is unset (tests)."""
     root = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/statemesh-checkpoints"
     return f"{root.rstrip('/')}/statemesh"
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write df once to the shared folder and return the table read back: what is costly to make is made once, and a lost
+    executor does not bring it back to life as work."""
+    path = f"{scratch(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores, if its scan has fewer partitions: for costly work per row after a small scan."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
