@@ -336,12 +336,22 @@ def _across(sets: DataFrame, links: DataFrame, percent: int, tasks: int, block_s
         joined = sets.join(components(found), "node", "left")
         return joined.withColumn("label", F.coalesce("label", "node")).withColumn("against", F.lit(True))
 
-    # one representative of each block's main group
+    # one representative of each block's main group; representatives meet in blocks again, level by level
     now = labelled(links)
     groups = now.groupBy("part", "block", "label").agg(F.count("*").alias("n"), F.min("node").alias("one"))
     main = groups.groupBy("part", "block").agg(F.max_by("one", F.struct("n", "label")).alias("node")).select("node")
-    heads = now.join(main, "node").select(_task(tasks, "part"), "part", "node", "label", "against", "shingles")
-    more = stored(_confirm(heads, ["part"], percent), "links-heads")
+    heads = stored(now.join(main, "node").select("part", "node", "label", "against", "shingles"), "heads")
+    more, level = None, 0
+    while True:
+        sizes = heads.groupBy("part").agg(F.ceil(F.count("*") / block_sets).cast("int").alias("cuts"))
+        cut = heads.join(sizes, "part").withColumn("cut", F.pmod(F.xxhash64("node", F.lit(100 + level)), F.col("cuts")).cast("int"))
+        tried = cut.select(_task(tasks, "part", "cut"), "part", "cut", "node", "label", "against", "shingles")
+        met = stored(_confirm(tried, ["part", "cut"], percent), "links-heads")
+        more = met if more is None else more.unionByName(met)
+        if (sizes.agg(F.max("cuts")).first()[0] or 0) <= 1:
+            break
+        heads = stored(cut.groupBy("part", "cut").agg(F.min_by(F.struct("node", "label", "against", "shingles"), "node").alias("h")).select("part", "h.*"), "heads")
+        level += 1
     found = links.unionByName(more)
     # whoever is outside the part's main group now is held against all its blocks
     now = labelled(found)

@@ -58,7 +58,7 @@ def near_rows(seed=3, hot=120):
     return rows + [(1, "a b"), (2, "A b"), (3, ""), (4, None), (10_000, rows[0][1]), (10_001, " ".join(base))]
 
 
-@pytest.mark.parametrize("block_sets", [4096, 40])
+@pytest.mark.parametrize("block_sets", [4096, 40, 5])
 def test_near_duplicates_equal_all_pairs(spark, block_sets):
     rows = near_rows()
     docs = spark.createDataFrame(rows, DOCS).repartition(4)
