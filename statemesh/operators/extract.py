@@ -102,6 +102,17 @@ def by_rules(candidates: DataFrame) -> DataFrame:
     )
 
 
+def marked(text: Column, start: Column, end: Column, in_table: Column, most: int = 400) -> Column:
+    """text with the value between « and », at most so many characters around it; in tables only the value's own row."""
+    row_start = F.when(in_table, F.length(F.regexp_extract(F.substr(text, F.lit(1), start), r"(?s)^(.*\n)", 1))).otherwise(F.lit(0))
+    tail = F.substr(text, end + 1)
+    after = F.when(in_table, F.regexp_extract(tail, r"^([^\n]*)", 1)).otherwise(tail)
+    room = F.greatest((F.lit(most) - (end - start)) / 2, F.lit(0)).cast("int")
+    first = F.greatest(row_start, start - room)
+    before = F.substr(text, first + 1, start - first)
+    return F.concat(before, F.lit("«"), F.substr(text, start + 1, end - start), F.lit("»"), F.substr(after, F.lit(1), room))
+
+
 def batches(candidates: DataFrame, size: int = BATCH) -> DataFrame:
     """candidates with their place in a page's batches, as they are put to a model."""
     order = Window.partitionBy("document_id", "page").orderBy("at", "until")

@@ -12,14 +12,16 @@ from ..functions.labels import normalise_label
 from ..functions.numbers import parse_value
 from ..functions.text import is_prose, tolerant_json
 from ..operators import canon, columns, curate, evals, extract, ground, repair, routing, spot
-from ..operators.pairing import narrowed
+from ..operators.compare import differing_axes, pair_sides, with_verdict
+from ..operators.pairing import exact_pairs, narrowed, unreliable_periods
 from ..schema import CLAIM_NAMES
 from ..session import scratch
 from ..sources import checkpoints, documents
 from ..streaming import extend as incremental
 from .adapter import order_claims, order_statements, table
 from .core_queries import CLAIMS_SQL
-from .layer import build
+from . import read_api
+from .layer import assign_subjects, build
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -392,6 +394,66 @@ def route_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return routing.route(e, F.lit(200_000), F.lit(1000)).select("document_id", "candidates", "tier")
 
 
+@query(
+    "ledger_headroom",
+    """WITH u AS (SELECT event_type AS provider, sum(floor(value)::BIGINT + user_id) FILTER (WHERE event_id % 7 <> 0) AS used, max_by(event_id % 1000, event_id) FILTER (WHERE event_id % 7 = 0) AS last, count_if(event_id % 7 <> 0) AS req FROM events WHERE CAST(ts AS DATE) = DATE '2024-01-10' GROUP BY 1)
+    SELECT provider, greatest(0, 200000 - coalesce(used, 0))::BIGINT AS tokens_left, greatest(0, coalesce(last, 1000 - req))::BIGINT AS requests_left FROM u""",
+)
+def ledger_headroom(spark: SparkSession, sf_dir: str) -> DataFrame:
+    usage = routing.usage_today(_ledger(spark, sf_dir), "2024-01-10")
+    return routing.headroom(usage, 200_000, 1000).select("provider", "tokens_left", "requests_left")
+
+
+@query("token_estimate", "SELECT CAST(l_suppkey % 10 AS VARCHAR) AS document_id, count(*) AS candidates FROM lineitem GROUP BY 1")
+def token_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Work of the lines taken as candidates; the SQL says the count, tests the tokens."""
+    li = table(spark, sf_dir, "lineitem")
+    c = li.select((F.col("l_suppkey") % 10).cast("string").alias("document_id"), (F.col("l_partkey") % 50).alias("page"), F.col("l_orderkey").alias("at"), F.col("l_linenumber").alias("until"), F.format_string("%.2f", "l_extendedprice").alias("tight"))
+    return routing.estimate_tokens(extract.batches(c)).select("document_id", "candidates")
+
+
+@query(
+    "documents_of_entity",
+    f"WITH {CLAIMS_SQL}, s AS (SELECT document_id, subject_id FROM (SELECT document_id, subject_id, count(*) AS n, min(seq) AS f FROM claims GROUP BY 1, 2) QUALIFY row_number() OVER (PARTITION BY document_id ORDER BY n DESC, f) = 1) SELECT c.document_id, count(*) AS n FROM claims c WHERE c.document_id IN (SELECT document_id FROM s WHERE subject_id = 'machinery') GROUP BY 1",
+)
+def documents_of_entity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Claims of the documents that are about one entity."""
+    claims = order_claims(spark, sf_dir)
+    rows = claims.select(F.get("evidence", 0)["document_id"].alias("document_id"), "seq")
+    own = read_api.documents_of_entity(assign_subjects(claims), rows, "machinery")
+    return own.groupBy("document_id").agg(F.count("*").alias("n"))
+
+
+@query(
+    "adjudicated_edges",
+    f"""WITH {CLAIMS_SQL}, top AS (SELECT *, NOT undated AS dated FROM edges WHERE relation = 'ambiguous' ORDER BY confidence DESC, a_seq, b_seq LIMIT 50),
+    s AS (SELECT *, CASE a_seq % 3 WHEN 0 THEN 'corroboration' WHEN 1 THEN 'contradiction' ELSE 'reconciled' END AS said FROM top),
+    j AS (SELECT *, CASE said WHEN 'corroboration' THEN true WHEN 'contradiction' THEN dated ELSE d_period END AS passed FROM s)
+    SELECT a_seq, b_seq, CASE WHEN passed THEN said ELSE relation END AS relation, CASE WHEN passed THEN 0.7 ELSE confidence END::DOUBLE AS confidence, NOT passed AS refused FROM j""",
+)
+def adjudicated_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fifty most confident ambiguous pairs, with answers held against what the scopes allow."""
+    a, b = pair_sides()
+    pairs = exact_pairs(unreliable_periods(narrowed(order_claims(spark, sf_dir))))
+    judged = with_verdict(pairs).where("relation = 'ambiguous'").withColumns({"diffs": differing_axes(a, b), "dated": a("p_start").isNotNull() & b("p_start").isNotNull(), "confidence": F.round("confidence", 6)})
+    edges = judged.select("a_id", "b_id", "a_seq", "b_seq", "relation", "axis", "confidence", "diffs", "dated")
+    said = F.element_at(F.array(*map(F.lit, ("corroboration", "contradiction", "reconciled"))), (F.col("a_seq") % 3 + 1).cast("int"))
+    answers = edges.select("a_id", "b_id", said.alias("relation"), F.lit("period").alias("axis"), F.lit(0.9).alias("confidence"))
+    return extract.adjudicated(edges, answers).select("a_seq", "b_seq", "relation", "confidence", "refused")
+
+
+@query("ontology_top")
+def ontology_top(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nodes with the most aliases."""
+    return read_api.ontology(canon.nodes(canon.resolve(canon.distinct_labels(canon.label_keys(_labelled(spark, sf_dir))))))
+
+
+@query("prose_ranking")
+def prose_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's pages with the most prose."""
+    return extract.prose_ranking(_blocks(spark, sf_dir))
+
+
 @query(
     "incremental_extend",
     f"""WITH {CLAIMS_SQL}, g AS (SELECT *, seq % 10 >= 8 AS fresh FROM flagged WHERE predicate_id <> 'order value'),

@@ -68,7 +68,7 @@ def _ordered(rows: DataFrame) -> DataFrame:
     sort is needed: files are ranked among their few names, lines within their file."""
     names = rows.select("stem").distinct().withColumn("_f", F.row_number().over(Window.orderBy("stem")) - 1)
     seq = F.shiftleft(F.col("_f").cast("bigint"), 40) + F.shiftleft(F.col("line").cast("bigint"), 16) + F.col("_i")
-    return rows.join(F.broadcast(names), "stem").withColumn("seq", seq)  # one row per file
+    return rows.join(names, "stem").withColumn("seq", seq)
 
 
 def load_claims(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
