@@ -11,9 +11,8 @@ stages read that table again: they never depend on a repeated run of the tokenis
 
 from __future__ import annotations
 
+import ctypes
 import uuid
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 import zstandard
@@ -102,23 +101,10 @@ def mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return x
 
 
-def binary_column(batch: pa.RecordBatch | pa.Table, name: str) -> list[bytes]:
-    """A binary column as bytes; null counts as empty."""
-    return [x or b"" for x in batch.column(name).to_pylist()]
-
-
-def batches_of(rows: Iterator[tuple], schema: pa.Schema, size: int = 64) -> Iterator[pa.RecordBatch]:
-    """Rows as record batches of bounded length."""
-    held: list[tuple] = []
-    for r in rows:
-        held.append(r)
-        if len(held) == size:
-            yield record_batch(held, schema)
-            held = []
-    if held:
-        yield record_batch(held, schema)
-
-
-def record_batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
-    columns = list(zip(*rows)) if rows else [()] * len(schema)
-    return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, schema)], schema=schema)
+def release_memory() -> None:
+    """Give freed memory back to the system. Workers live on between tasks, and the allocators would keep it for them."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # not glibc
+        pass

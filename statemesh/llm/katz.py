@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import ship
-from .exchange import cuts, mix, n_partitions, pack, pack_sorted, stored, stored_by_chunk, unpack, unpack_sorted
+from .exchange import cuts, mix, n_partitions, pack, pack_sorted, release_memory, stored, stored_by_chunk, unpack, unpack_sorted
 
 #: Hashes of symbols that no word can equal: words hold no blank.
 END = np.uint64(xxhash.xxh3_64_intdigest(b" end"))
@@ -148,6 +148,8 @@ def tokenised(docs: DataFrame, fold: int, max_tokens: int) -> DataFrame:
                 size += len(flat)
         if pieces:
             yield chunk()
+        hashes.clear()
+        release_memory()
 
     return docs.select("doc_id", F.col("text").cast("binary").alias("body")).mapInArrow(rows, CHUNKS)
 
@@ -213,6 +215,8 @@ def count_requests(chunks: DataFrame, order: int, buckets: int) -> DataFrame:
                     keys, at = np.unique(grams, return_inverse=True)
                     counts = np.bincount(at[chunk.trained], minlength=len(keys)).astype(np.uint32)
                     yield _as_batch(list(_requests(row["chunk"], m, keys, [counts], buckets)), REQUEST)
+                del chunk, grams, keys, at
+                release_memory()
 
     return chunks.mapInArrow(ask, REQUEST)
 
@@ -237,6 +241,7 @@ def count_answers(requests: DataFrame, k: int) -> DataFrame:
             first += len(p)
         seen = totals > 0
         out.append(("table", order, bucket, 0, pack_sorted(keys[seen]), pack(totals[seen])))
+        release_memory()
         stats = np.concatenate([[seen.sum(), totals.sum()], np.bincount(np.minimum(totals, k + 2).astype(np.int64), minlength=k + 3)])
         out.append(("stats", order, bucket, 0, stats.astype(np.int64).tobytes(), None))
         return pa.Table.from_batches([_as_batch(out, ANSWER)])
@@ -314,6 +319,8 @@ def context_requests(chunks: DataFrame, replies: DataFrame, model: dict, m: int,
             lower = e.probability(m - 1)[first[own]]
             sums = [np.bincount(context, weights=w, minlength=len(keys)) for w in (c, model["discounts"][m].of(c) * c, lower)]
             out += _requests(row["chunk"], m, keys, [sums[0], sums[1], sums[2]], buckets)
+            del e, at, first, own, c, context, lower, sums
+            release_memory()
         return pa.Table.from_batches([_as_batch(out, REQUEST)])
 
     return chunks.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(ask, REQUEST)
@@ -354,7 +361,7 @@ class KatzModel:
     numbers: dict
 
 
-def fit(docs: DataFrame, order: int = 2, k: int = 5, fold: int = 10, max_tokens: int = 2_000_000) -> KatzModel:
+def fit(docs: DataFrame, order: int = 2, k: int = 5, fold: int = 10, max_tokens: int = 1_500_000) -> KatzModel:
     """Train on documents whose crc32(doc_id as text) mod fold is not 0; all documents' look-ups are prepared."""
     spark = docs.sparkSession
     ship(spark)
@@ -413,11 +420,13 @@ def score(model: KatzModel, id_type: T.DataType) -> DataFrame:
                 pa.array(add(np.log10(e.probability(numbers["order"])))),
             ]
             tables.append(pa.Table.from_arrays(columns, names=shown.names))
+            del e, c, base, columns, add
+            release_memory()
         return pa.concat_tables(tables)
 
     return model.chunks.groupBy("chunk").cogroup(model.replies.groupBy("chunk")).applyInArrow(evaluate, schema)
 
 
-def katz_scores(docs: DataFrame, order: int = 2, k: int = 5, fold: int = 10, max_tokens: int = 2_000_000) -> DataFrame:
+def katz_scores(docs: DataFrame, order: int = 2, k: int = 5, fold: int = 10, max_tokens: int = 1_500_000) -> DataFrame:
     """Train on the documents that are not held out and score every one."""
     return score(fit(docs, order, k, fold, max_tokens), docs.schema["doc_id"].dataType)
