@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import ship
-from .exchange import cuts, mix, n_partitions, pack, pack_sorted, stored, stored_by_chunk, unpack, unpack_sorted
+from .exchange import cuts, mix, n_partitions, pack, pack_sorted, release_memory, stored, stored_by_chunk, unpack, unpack_sorted
 
 #: Length of the strings whose hashes compete for the first digit, and odd multiplier of the rolling hash.
 GRAM = 48
@@ -82,7 +82,7 @@ def first_digits(data: np.ndarray, depth: int, block: int = 1 << 18) -> tuple[np
         new = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
         starts.append(new + at)
         places.append(place[new] + at)
-        digits.append(x[place[new]])
+        digits.append(mix(x[place[new]], np.uint64(31)))  # least hashes are small: spread them over all buckets again
     if not starts:
         return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64)
     return np.concatenate(starts), np.concatenate(places), np.concatenate(digits)
@@ -270,6 +270,8 @@ def stretch_requests(chunks: DataFrame, replies: DataFrame, depth: int, buckets:
                     shape = pack(place[s].astype(np.uint32) << np.uint32(16) | size[s])
                     text = zstandard.ZstdCompressor(level=1).compress(text)
                     out.append((i, row["chunk"], pack_sorted(chunk.digit[runs[s]]), shape, *(pack(o[s]) for o in order), text))
+            del chunk, runs, ids, a, z, doc, order
+            release_memory()
         return pa.Table.from_batches([_rows(out, REQUEST)])
 
     return chunks.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(ask, REQUEST)
@@ -425,6 +427,8 @@ def remove_repeats(docs: DataFrame, depth: int = 100, chunk_bytes: int = 4_000_0
             columns = [chunk.ids, pa.array(chunk.lengths), pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.int64()), pa.array(rows[2])]
             columns += [pa.array(rows[3], pa.binary())] if with_text else []
             tables.append(pa.Table.from_arrays(columns, names=names))
+            del chunk, gone, data, rows, columns
+            release_memory()
         return pa.concat_tables(tables)
 
     both = replies.unionByName(later)
