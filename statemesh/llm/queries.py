@@ -91,4 +91,47 @@ QUERIES = {
     "op8_sharding": op8_sharding,
 }
 
-ORACLE: dict[str, str] = {}
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+#: Where SQL can say the whole result. The others are held against plain versions in the tests.
+ORACLE: dict[str, str] = {
+    "op6_decontamination": f"""
+WITH i AS (SELECT item_id, regexp_extract_all({_LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS ws FROM benchmark),
+iw AS (SELECT DISTINCT item_id, least(len(ws), 10) AS l, array_to_string(ws[k : k + least(len(ws), 10) - 1], ' ') AS g
+  FROM i, unnest(range(1, greatest(1, len(ws) - 9) + 1)) t(k) WHERE len(ws) > 0),
+d AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS ws FROM documents),
+dw AS (SELECT doc_id, k, z.l, array_to_string(ws[k : k + z.l - 1], ' ') AS g FROM d CROSS JOIN (SELECT DISTINCT l FROM iw) z, unnest(range(1, len(ws) - z.l + 2)) t(k)),
+h AS (SELECT doc_id, k, dw.l, item_id FROM dw JOIN iw ON dw.g = iw.g AND dw.l = iw.l),
+n AS (SELECT doc_id, count(DISTINCT j) AS n_hit FROM h, unnest(range(k, k + l)) t(j) GROUP BY 1),
+o AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS items FROM h GROUP BY 1)
+SELECT doc_id, len(ws) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN o USING (doc_id)""",
+    "op7_warc": """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages), q AS (SELECT *, sha1(h) AS s, min(page_id) OVER (PARTITION BY h) AS f FROM p),
+c AS (SELECT *, list_transform(range(0, 8), lambda i: CAST('0x' || substr(s, CAST(i * 5 + 1 AS INT), 5) AS INT)) AS v FROM q)
+SELECT page_id, strlen(h) AS payload_bytes, array_to_string(list_transform(v, lambda x: array_to_string(list_transform([15, 10, 5, 0],
+  lambda b: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((x >> b) & 31) + 1, 1)), '')), '') AS payload_digest,
+  CASE WHEN page_id = f THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> f THEN f END AS refers_to FROM c""",
+    "op9_suffix_dedup": """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, strlen(coalesce(text, '')) AS n FROM documents),
+w AS (SELECT doc_id, k, substr(h, 2 * k - 1, 200) AS g FROM d, unnest(range(1, n - 98)) t(k) WHERE n >= 100),
+f AS (SELECT doc_id, k FROM w QUALIFY row_number() OVER (PARTITION BY g ORDER BY doc_id, k) > 1),
+b AS (SELECT doc_id, k, lag(k) OVER (PARTITION BY doc_id ORDER BY k) AS before FROM f),
+i AS (SELECT doc_id, k, sum(CASE WHEN before IS NULL OR k > before + 100 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY k) AS run FROM b),
+r AS (SELECT doc_id, run, min(k) AS s, max(k) + 100 AS e FROM i GROUP BY 1, 2),
+p AS (SELECT doc_id, s, e, coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY s), 1) AS prior FROM r),
+a AS (SELECT doc_id, string_agg(substr(h, 2 * prior - 1, 2 * (s - prior)), '' ORDER BY s) AS head, max(e) AS last, sum(e - s)::BIGINT AS n_removed, count(*) AS n_spans
+  FROM p JOIN d USING (doc_id) GROUP BY 1)
+SELECT doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(head, '') || substr(h, 2 * coalesce(last, 1) - 1))) AS kept_sha256
+FROM d LEFT JOIN a USING (doc_id)""",
+    "op10_near_dup": f"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(ws[k : k + 4], ' ') AS g FROM w, unnest(range(1, greatest(1, len(ws) - 4) + 1)) t(k) WHERE len(ws) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r(doc_id, m) AS (SELECT doc_id, doc_id FROM w UNION SELECT r.doc_id, e.b FROM r JOIN e ON r.m = e.a),
+c AS (SELECT doc_id, min(m) AS component_id FROM r GROUP BY 1)
+SELECT doc_id, coalesce(n.n, 0) AS n_shingles, component_id, doc_id = component_id AS kept FROM c LEFT JOIN n USING (doc_id)""",
+}
