@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import ship
-from .exchange import checkpointed, mix, n_partitions, pack_sorted, stored, unpack_sorted
+from .exchange import checkpointed, mix, n_partitions, pack_sorted, release_memory, stored, unpack_sorted
 
 BANDS, ROWS = 44, 8
 #: Positions of the two permutations.
@@ -50,7 +50,7 @@ def circulant(bands: int = BANDS, rows: int = ROWS) -> np.ndarray:
 
 class _Hashes(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 800_000:
+        if len(self) >= 400_000:
             self.clear()
         h = self[word] = xxhash.xxh3_64_intdigest(word)
         return h
@@ -137,6 +137,8 @@ def sketches(docs: DataFrame, words: int = 5) -> DataFrame:
                     ],
                     names=schema.names,
                 )
+        hashes.clear()
+        release_memory()
 
     body = F.col("text").cast("binary").alias("body")
     return docs.select("doc_id", F.xxhash64("text").alias("text_key"), body).mapInArrow(sketch, schema)
@@ -265,6 +267,7 @@ def _confirm(rows: DataFrame, keys: list[str], percent: int) -> DataFrame:
             for x, y in confirmed(sets, at.astype(np.int64), np.array([against[i] for i in one]), percent):
                 a.append(int(node[one[x]]))
                 b.append(int(node[one[y]]))
+        release_memory()
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return rows.groupBy("task").applyInArrow(solve, LINKS)
@@ -312,6 +315,8 @@ def near_duplicates(docs: DataFrame, percent: int = 85, words: int = 5, block_se
                     [*columns, pa.array([pack_sorted(s) for s in sets], pa.binary()), *(pa.array(c, pa.int64()) for c in zip(*keep))],
                     names=["node", "part", "block", "blocks", "shingles", *key],
                 )
+        hashes.clear()
+        release_memory()
 
     own = texts.mapInArrow(fetch, f"{fetched}, n_shingles bigint, h1 bigint, h2 bigint")
     # a repeated doc_id can have brought other texts with it

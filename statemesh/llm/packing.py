@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import ship
-from .exchange import n_partitions, pack, stored_by_chunk, unpack
+from .exchange import n_partitions, pack, release_memory, stored_by_chunk, unpack
 
 
 #: Punctuation that ends words: a pre-token of its own after letters.
@@ -166,6 +166,7 @@ def tokenised(
                     size += len(ids) // 4 + 1
         if held:
             yield chunk()
+        release_memory()
 
     return docs.select("doc_id", F.col("text").cast("binary").alias("body")).mapInArrow(encode, schema)
 

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import ship
-from .exchange import WHITE, mix
+from .exchange import WHITE, mix, release_memory
 
 SYMBOLS = b"#*$%&|<>"
 #: Deleted from UTF-8, one byte for each code point of a word remains.
@@ -177,6 +177,7 @@ def _stat_batches(batches: Iterator[pa.RecordBatch], step: int = 512):
         for at in range(0, batch.num_rows, step):
             part = batch.slice(at, step)
             yield part, statistics([t or b"" for t in part.column("text").cast(pa.binary()).to_pylist()])
+    release_memory()
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 20_000, keep_good: float = 0.9995) -> tuple:
