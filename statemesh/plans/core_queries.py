@@ -11,6 +11,7 @@ from ..functions.numbers import classify_ratio, parse_range, parse_value
 from ..functions.periods import enforce_plausibility, overlaps, parse_period, period_is_possible
 from ..operators.compare import edge_order, fallback_explanation
 from ..operators.pairing import all_pairs, incremental_pairs, narrowed, pairing_report, unreliable_periods, value_pairs
+from ..session import spread
 from . import read_api
 from .adapter import order_claims, order_statements, period_text, table
 from .layer import assign_subjects, build, layer_stats, relation_by_axis, relation_counts
@@ -177,7 +178,8 @@ def period_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("Q"), quarter, F.lit(" "), year),
         F.concat(F.lit("for the year ended March 31, "), year),
     ]
-    o = table(spark, sf_dir, "orders").select(key.alias("key"), F.posexplode(F.array(*forms)).alias("form", "text"))
+    orders = spread(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate"))
+    o = orders.select(key.alias("key"), F.posexplode(F.array(*forms)).alias("form", "text"))
     p = o.withColumn("p", parse_period(F.col("text")))
     return p.select("key", F.col("form").cast("bigint").alias("form"), "p.kind", F.col("p.start").alias("p_start"), F.col("p.end").alias("p_end"), "p.convention")
 
