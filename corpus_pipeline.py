@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from statemesh.llm import near_dup, packing, pii, quality_rules, wu_manber
 from statemesh.llm.exchange import stored
 
+#: Near copies share at least this much of their five-word shingles; 85 is op10's own threshold.
+SIMILAR_PERCENT = 80
 
 
 def _tokenizer() -> str:
@@ -40,7 +42,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     Documents without id stay, one for each text, where no document with an id is in their group.
     """
-    found = near_dup.near_duplicates(docs).where("kept")
+    found = near_dup.near_duplicates(docs, percent=SIMILAR_PERCENT).where("kept")
     named = found.where("doc_id is not null").groupBy("doc_id").agg(F.min("text_key").alias("text_key"))
     picked = named.unionByName(found.where("doc_id is null").select("doc_id", "text_key").distinct())
     picked = picked.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"))

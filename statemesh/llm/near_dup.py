@@ -2,8 +2,8 @@
 
 1. Each document becomes the set of its word shingles (64-bit hashes). Circulant MinHash draws all signature coordinates
    from two permutations: sigma spreads the shingles over D positions, and coordinate k is the least pi[(sigma(x) + k) mod D],
-   the same pi shifted circularly. Bands of coordinates are hashed to band keys. With 44 bands of 8 rows a pair at the
-   threshold 0.85 shares no band with probability 8e-7.
+   the same pi shifted circularly. Bands of coordinates are hashed to band keys. The threshold decides how many: with 44
+   bands of 8 rows a pair at 0.85 shares no band with probability 8e-7, and so does one at 0.80 with 46 bands of 6.
 2. Documents with equal sets form one class; only classes go on, so copies cost nothing further.
 3. In each band bucket the classes are joined to the least of them (a star, not all pairs). The connected parts of all stars
    hold every pair that shares a bucket; their sets are fetched once.
@@ -21,6 +21,7 @@ only if it has no other member; ``kept`` is true for each row whose doc_id is th
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,6 +40,14 @@ D = 1 << 22
 _PI: list[np.ndarray] = []
 
 
+def banding(percent: int, missed: float = 1e-6, most: int = 48) -> tuple[int, int]:
+    """(bands, rows): as many rows, up to ROWS, as let most bands miss a pair at the threshold with this probability at most."""
+    for rows in range(ROWS, 0, -1):
+        bands = 1 if percent >= 100 else math.ceil(math.log(missed) / math.log1p(-((percent / 100) ** rows)))
+        if bands <= most or rows == 1:
+            return bands, rows
+
+
 def circulant(bands: int = BANDS, rows: int = ROWS) -> np.ndarray:
     """pi, continued by its first coordinates so that each shift is one contiguous run."""
     k = bands * rows
@@ -114,7 +123,7 @@ SKETCH = T.StructType(
 )
 
 
-def sketches(docs: DataFrame, words: int = 5) -> DataFrame:
+def sketches(docs: DataFrame, words: int = 5, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """(doc_id, text_key, n_shingles, h1, h2, bands) for every row; text_key tells rows with one doc_id apart."""
     named = [T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("text_key", T.LongType())]
     schema = T.StructType([*named, *SKETCH.fields])
@@ -133,7 +142,7 @@ def sketches(docs: DataFrame, words: int = 5) -> DataFrame:
                         pa.array([len(s) for s in sets], pa.int64()),
                         pa.array([k[0] for k in keys], pa.int64()),
                         pa.array([k[1] for k in keys], pa.int64()),
-                        pa.array([band_keys(s) if len(s) else None for s in sets], pa.list_(pa.int64())),
+                        pa.array([band_keys(s, bands, rows) if len(s) else None for s in sets], pa.list_(pa.int64())),
                     ],
                     names=schema.names,
                 )
@@ -281,7 +290,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, words: int = 5, block_se
     """(doc_id, text_key, n_shingles, component_id, kept) for every row of docs(doc_id, text)."""
     spark = docs.sparkSession
     ship(spark)
-    sketched = stored(sketches(docs, words), "sketches")
+    sketched = stored(sketches(docs, words, *banding(percent)), "sketches")
     key = ["n_shingles", "h1", "h2"]
     filled = sketched.where("n_shingles > 0")
     classes = filled.groupBy(*key).agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"))

@@ -84,6 +84,13 @@ def test_signatures_estimate_jaccard():
     assert abs((near_dup.signature(s) == near_dup.signature(t)).mean() - jaccard) < 0.08
 
 
+def test_bands_fit_the_threshold():
+    assert near_dup.banding(85) == (near_dup.BANDS, near_dup.ROWS)
+    for percent in (100, 95, 85, 80, 70, 50):
+        bands, rows = near_dup.banding(percent)
+        assert (1 - (percent / 100) ** rows) ** bands <= 1e-6
+
+
 def test_components_of_long_chains(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(500, 501), (7, 7)], "a bigint, b bigint")
     got = {r["node"]: r["label"] for r in near_dup.components(links).collect()}

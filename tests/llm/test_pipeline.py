@@ -1,6 +1,8 @@
 """The pipeline's stages, each on a small table with nulls, repeats and clashing columns."""
 
 import corpus_pipeline
+from test_dedup import brute_components
+
 from statemesh.llm.exchange import stored
 
 ITEM = "the quick brown fox jumps over a lazy dog near the old river bank today"
@@ -49,3 +51,13 @@ def test_an_empty_table(spark, tmp_path):
     for _, stage in corpus_pipeline.STAGES:
         docs = stored(stage(spark, docs, folder), "stage")
     assert docs.count() == 0
+
+
+def test_near_copies_down_to_four_fifths_go(spark):
+    """With the last k of 60 words changed the similarity is (56 - k) / (56 + k): 0.806 at 6, 0.778 at 7."""
+    rows = [(i, text(i)) for i in range(40)]
+    rows += [(100 + 10 * i + k, " ".join([*text(i).split()[:-k], *text(500 + i).split()[:k]])) for i in range(40) for k in (4 + i % 4,)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    kept = sorted(r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs, "").collect())
+    assert kept == sorted(d for d, _, c in brute_components(rows, 80) if d == c)
+    assert kept == [*range(40), *(100 + 10 * i + 7 for i in range(3, 40, 4))]
