@@ -11,7 +11,7 @@ numbers (country code kept; a North American area or exchange code goes on start
 to 2099 (year or day first: as one number of days), e-mail addresses (the local part, classes of characters kept), and access keys and
 passwords that are named as such. What does not validate is left as it is. Blanks and punctuation within a value stay.
 
-Only rows with a digit meet the long pattern. Nothing leaves the row: the plan is a scan and a projection.
+Only rows with what a value can start from (a digit, an @, a key's AKIA, a secret's name followed by = or :) meet the long pattern. Nothing leaves the row: the plan is a scan and a projection.
 
 Defined cases: null text stays null and empty text empty; rows repeat as they do; other columns are kept; a column
 ``n_private`` of the input is replaced; an empty table gives no rows. Every text is processed whole.
@@ -34,8 +34,11 @@ SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
 IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
 CARD = r"(?<![0-9.+-])[0-9](?:[ -]?[0-9]){12,18}(?![0-9-])"
 PHONE = r"(?:\+[0-9]{1,3}[ .-]?(?:\([0-9]{2,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-][0-9]{2,4}){1,3}|(?<![0-9])\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}|(?<![0-9.-])[0-9]{3}-[0-9]{3}-[0-9]{4})(?![0-9])"
-SECRET = r"(?<![A-Z0-9])AKIA[A-Z0-9]{16}(?![A-Z0-9])|(?<=(?i:password|passwd|token|secret|api_key|apikey) {0,2}[=:] {0,2}\"?)[A-Za-z0-9_-]{8,64}"
+_NAMES = "(?i:password|passwd|token|secret|api_key|apikey) {0,2}"
+SECRET = rf"(?<![A-Z0-9])AKIA[A-Z0-9]{{16}}(?![A-Z0-9])|(?<={_NAMES}[=:] {{0,2}}\"?)[A-Za-z0-9_-]{{8,64}}"
 ANY = "|".join([EMAIL, IPV4, DATE, SSN, IBAN, CARD, PHONE, SECRET])
+#: No text without this has a match of ANY.
+HINT = rf"[0-9@]|AKIA|[=:](?<={_NAMES}[=:])"
 
 #: Dates count from here; 319 * 229 days reach to the end of 2099.
 EPOCH, DATE_RADICES = "1900-01-01", (319, 229)
@@ -295,7 +298,7 @@ def pseudonymise(docs: DataFrame, key: str = "statemesh", column: str = "text",
         new = F.transform(matches, lambda m: pseudonym(m, key, backwards))
         return let(F.struct(matches.alias("old"), new.alias("new")), replaced)
 
-    found = F.when(text.rlike("[0-9]"), let(F.regexp_extract_all(text, F.lit(ANY), F.lit(0)), looked_up))
+    found = F.when(text.rlike(HINT), let(F.regexp_extract_all(text, F.lit(ANY), F.lit(0)), looked_up))
     rest = [c for c in docs.columns if c not in (column, "n_private")]
     work = docs.select(*rest, text, found.alias("_found"))
     outcome = {
