@@ -5,7 +5,7 @@ network: the value is a list of symbols, each with its own alphabet; in each rou
 by a keyed hash of the other half. This is a permutation of the format for any key, so different values get different
 pseudonyms, equal values get equal ones in every document, and whoever has the key can turn them back.
 
-Kinds: card numbers (13 to 19 digits, valid check digit before and after; first digit kept), IBANs (valid check digits
+Kinds: card numbers (13 to 19 digits, valid check digit before and after; first digit kept; a usual grouping is told from digits beside it), IBANs (valid check digits
 before and after; country kept), social security numbers (area, group and serial numbers stay in the valid ranges), phone
 numbers (country code kept; a North American area or exchange code goes on starting with 2 to 9), IPv4 addresses, dates of 1900
 to 2099 (year or day first: as one number of days), e-mail addresses (the local part, classes of characters kept), and access keys and
@@ -32,8 +32,21 @@ IPV4 = rf"(?<![0-9.]){_OCTET}(?:\.{_OCTET}){{3}}(?!\.?[0-9])"
 DATE = r"(?<![0-9])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}[./][0-9]{2}[./][0-9]{4})(?![0-9])"
 SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
 IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
-CARD = r"(?<![0-9.+-])[0-9](?:[ -]?[0-9]){12,18}(?![0-9-])"
-PHONE = r"(?:\+[0-9]{1,3}[ .-]?(?:\([0-9]{2,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-][0-9]{2,4}){1,3}|(?<![0-9])\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}|(?<![0-9.-])[0-9]{3}-[0-9]{3}-[0-9]{4})(?![0-9])"
+#: Card numbers as they are usually grouped. The first may have up to three more digits, so that it is looked for first.
+_FOURS = "[0-9]{4}(?:[ -][0-9]{4}){3}"
+_SIXES = "[0-9]{4}[ -][0-9]{6}[ -][0-9]{4,5}"
+GROUPINGS = (_FOURS + "[ -][0-9]{3}", _FOURS, _SIXES, "[0-9]{13,19}")
+_USUAL = f"(?:{_FOURS}|{_SIXES}|[0-9]{{14,16}})(?![0-9])"
+# A usual grouping with a few more digits on either side (after it so many that three other fours may come before a card), or digits in any grouping that do not run into a usual one.
+_AROUND = rf"(?:[0-9](?:[ -]?[0-9]){{0,4}}[ -])??{_USUAL}(?:[ -](?!{_USUAL})[0-9](?:(?:[ -](?!{_USUAL}))?[0-9]){{0,11}}(?![0-9-])(?![./][0-9]))?"
+_OPEN = f"[0-9](?:(?:[ -](?!{_USUAL}))?[0-9]){{12,18}}"
+CARD = f"(?<![0-9.+-])(?:{_AROUND}|{_OPEN})(?![0-9-])"
+_AMERICAN = r"(?<![0-9])\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}|(?<![0-9.-])(?:[0-9]{3}-[0-9]{3}-[0-9]{4}|[0-9]{3}\.[0-9]{3}\.[0-9]{4}(?!\.[0-9]))"
+_LONG = r"(?<![A-Za-z0-9])(?=\+(?:[ .()-]{0,3}[0-9]){7})\+[1-9](?:[0-9]{7,14}|[0-9]{0,2}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?(?:[0-9]{6,12}|[0-9]{1,5}(?:[ .-][0-9]{2,8}){1,4}))(?![0-9])"
+_SHORT = r"\+[0-9]{1,3}[ .-]?(?:\([0-9]{2,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-][0-9]{2,4}){1,3}"
+PHONE = f"(?:{_LONG}|{_SHORT}|{_AMERICAN})(?![0-9])"
+#: Country codes of numbers whose first digits are not set apart.
+COUNTRY = r"^\+([0-9]{1,3}(?![0-9])|1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3})"
 _NAMES = "(?i:password|passwd|token|secret|api_key|apikey) {0,2}"
 SECRET = rf"(?<![A-Z0-9])AKIA[A-Z0-9]{{16}}(?![A-Z0-9])|(?<={_NAMES}[=:] {{0,2}}\"?)[A-Za-z0-9_-]{{8,64}}"
 ANY = "|".join([EMAIL, IPV4, DATE, SSN, IBAN, CARD, PHONE, SECRET])
@@ -152,14 +165,39 @@ def _mod97(text: Column) -> Column:
 
 
 def _card(m: Column, key: str, backwards: bool) -> tuple[Column, Column]:
+    """The first part of the match that is a valid number: in a usual grouping, else all of it."""
+
+    def chosen(text: Column) -> Column:
+        """(at, old): the valid part and its place from 1; null if there is none."""
+        even = F.translate(F.concat(F.lit(" "), text), "-", " ")
+        usual = [F.regexp_extract_all(text, F.lit(f"(?<![0-9])(?=({form})(?![0-9]))"), F.lit(1)) for form in GROUPINGS]
+        whole = F.when(F.length(_bare(text)) <= 19, F.array(text)).otherwise(F.array().cast("array<string>"))
+        sound = F.filter(F.concat(*usual, whole), lambda c: let(_bare(c), lambda d: _luhn(d) % 10 == 0))
+        return let(F.get(sound, 0), lambda c: F.when(c.isNotNull(), F.struct(F.instr(even, F.translate(F.concat(F.lit(" "), c), "-", " ")).alias("at"), c.alias("old"))))
+
     def shift(d: Column) -> Column:
         body = F.substr(d, F.lit(1), F.length(d) - 1)
         new = _permuted_text(body, lambda c, i: F.when(i == 0, c).otherwise(F.lit(DIGITS)), key + "/card", backwards)
         check = lambda x: F.pmod(10 - _luhn(F.concat(x, F.lit("0"))) % 10, F.lit(10)).cast("string")
         return let(new, lambda x: F.concat(x, check(x)))
 
-    valid = let(_bare(m), lambda d: _luhn(d) % 10 == 0)
-    return _is(m, CARD) & valid, let(let(_bare(m), shift), lambda x: _refilled(m, x))
+    def walk(part: Column) -> Column:
+        """Permuted until the same part is the one that would be chosen, so that it can be found again to turn it back."""
+        n = F.length(part["old"])
+
+        def step(s: Column, _i: Column) -> Column:
+            def moved(new: Column) -> Column:
+                text = F.concat(F.substr(s["text"], F.lit(1), part["at"] - 1), new, F.substr(s["text"], part["at"] + n))
+                same = lambda p: (p["at"] == part["at"]) & (F.length(p["old"]) == n)
+                return let(text, lambda t: F.struct(t.alias("text"), let(chosen(t), same).alias("done")))
+
+            old = F.substr(s["text"], part["at"], n)
+            return F.when(s["done"], s).otherwise(let(let(let(_bare(old), shift), lambda x: _refilled(old, x)), moved))
+
+        start = F.struct(m.alias("text"), F.lit(False).alias("done"))
+        return F.aggregate(F.sequence(F.lit(1), F.lit(40)), start, step, lambda s: s["text"])
+
+    return _is(m, CARD) & chosen(m).isNotNull(), let(chosen(m), walk)
 
 
 def _iban(m: Column, key: str, backwards: bool) -> tuple[Column, Column]:
@@ -200,7 +238,7 @@ def _phone(m: Column, key: str, backwards: bool) -> tuple[Column, Column]:
 
         return _permuted_text(d, alphabet, key + "/phone", backwards)
 
-    parts = F.struct(_bare(m).alias("d"), F.length(F.regexp_extract(m, r"^\+([0-9]{1,3})", 1)).alias("code"))
+    parts = F.struct(_bare(m).alias("d"), F.length(F.regexp_extract(m, COUNTRY, 1)).alias("code"))
     return _is(m, PHONE), let(let(parts, shift), lambda x: _refilled(m, x))
 
 

@@ -180,6 +180,35 @@ def test_texts_without_digits_are_not_skipped(spark):
     assert {r["doc_id"]: r["text"] for r in pii.pseudonymise(out, backwards=True).collect()} == dict(enumerate(rows))
 
 
+def test_cards_beside_other_digits(spark):
+    card, amex, long = "4111 1111 1111 1111", "3782 822463 10005", "6222 0212 3456 7890 128"
+    assert luhn(card.replace(" ", "")) and luhn(amex.replace(" ", ""))
+    long = next(x for x in (long[:-1] + c for c in "0123456789") if luhn(x.replace(" ", "")))
+    rows = [f"card {card}", f"card {card} 12/27 x", f"card {card.replace(' ', '')} 123 x", f"no 2 {card} x", f"no 12 34 56 {card} 99", f"amex {amex}", f"amex {amex} 1234 x", f"two {card} 1 {card} {card}", f"from 1234 5678 2020 {card} x", f"long {long} x", f"card {card} 01/02/2024"]
+    rows += [f"n {card[:-1]}{c} {k} x" for c in "0123456789" for k in range(10, 40)]
+    out = pii.pseudonymise(spark.createDataFrame(list(enumerate(rows)), DOCS).repartition(4))
+    got = {r["doc_id"]: r for r in out.collect()}
+    text = [got[i]["text"] for i in range(len(rows))]
+    new, new_amex = text[0][5:], text[5][5:]
+    assert luhn(new.replace(" ", "")) and new != card and luhn(new_amex.replace(" ", "")) and new_amex != amex
+    assert text[1] == f"card {new} 12/27 x" and text[2] == f"card {new.replace(' ', '')} 123 x" and text[3] == f"no 2 {new} x"
+    assert text[4] == f"no 12 34 56 {new} 99" and text[6] == f"amex {new_amex} 1234 x" and text[7] == f"two {new} 1 {new} {new}" and text[8] == f"from 1234 5678 2020 {new} x"
+    assert luhn(text[9][5:-2].replace(" ", "")) and text[9][-6:-2] != long[-4:] and text[10].startswith(f"card {new} ") and got[10]["n_private"] == 2
+    assert {r["doc_id"]: r["text"] for r in pii.pseudonymise(out, backwards=True).collect()} == dict(enumerate(rows))
+
+
+def test_phone_numbers_without_separators_and_with_dots(spark):
+    rows = ["call +14155552671 now", "call +1 415-555-2671 now", "call +49 30 1234567 now", "call +49301234567 now", "call 555.123.4567.", "call 555-123-4567", "call +33 1 23 45 67 89", "call +44 (0)20 79460958", "not 1.555.123.4567 or 555.123.4567.8", "a+12345678 +0.5 10 20"]
+    out = pii.pseudonymise(spark.createDataFrame(list(enumerate(rows)), DOCS))
+    got = {r["doc_id"]: r for r in out.collect()}
+    digits = ["".join(c for c in got[i]["text"] if c.isdigit()) for i in range(len(rows))]
+    assert [got[i]["n_private"] for i in range(len(rows))] == [1] * 8 + [0, 0]
+    assert digits[0] == digits[1] and digits[2] == digits[3] and digits[4] == digits[5]
+    assert digits[0] != "14155552671" and digits[2].startswith("49") and digits[4] != "5551234567"
+    assert all("".join("#" if c.isdigit() else c for c in got[i]["text"]) == "".join("#" if c.isdigit() else c for c in t) for i, t in enumerate(rows))
+    assert {r["doc_id"]: r["text"] for r in pii.pseudonymise(out, backwards=True).collect()} == dict(enumerate(rows))
+
+
 def test_pseudonyms_are_a_permutation(spark):
     values = spark.range(1000).select(F.concat(F.lit("on "), F.date_format(F.date_add(F.lit("1990-01-01").cast("date"), F.col("id").cast("int")), "yyyy-MM-dd")).alias("text"), F.col("id").alias("doc_id"))
     assert pii.pseudonymise(values).select("text").distinct().count() == 1000
