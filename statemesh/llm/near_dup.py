@@ -286,8 +286,12 @@ def _task(parts: int, *keys: str):
     return F.pmod(F.xxhash64(*keys), F.lit(parts)).alias("task")
 
 
-def near_duplicates(docs: DataFrame, percent: int = 85, words: int = 5, block_sets: int = 4096, block_shingles: int = 4_000_000) -> DataFrame:
-    """(doc_id, text_key, n_shingles, component_id, kept) for every row of docs(doc_id, text)."""
+def near_duplicates(docs: DataFrame, percent: int = 85, words: int = 5, block_sets: int = 4096, block_shingles: int = 4_000_000, with_group: bool = False) -> DataFrame:
+    """(doc_id, text_key, n_shingles, component_id, kept) for every row of docs(doc_id, text).
+
+    with_group: also group, a number for each component (null for wordless texts); components of rows that share a doc_id
+    can have the same component_id.
+    """
     spark = docs.sparkSession
     ship(spark)
     sketched = stored(sketches(docs, words, *banding(percent)), "sketches")
@@ -337,10 +341,11 @@ def near_duplicates(docs: DataFrame, percent: int = 85, words: int = 5, block_se
     labels = components(links)
     named = classes.select(*key, "node", "rep").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     smallest = named.groupBy("label").agg(F.min("rep").alias("component_id"))
-    by_class = named.join(smallest, "label").select(*key, "component_id")
+    by_class = named.join(smallest, "label").select(*key, "component_id", F.col("label").alias("group"))
     out = sketched.select("doc_id", "text_key", *key).join(by_class, key, "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "text_key", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    group = ["group"] if with_group else []
+    return out.select("doc_id", "text_key", "n_shingles", *group, component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def _across(sets: DataFrame, links: DataFrame, percent: int, tasks: int, block_sets: int) -> DataFrame:

@@ -61,3 +61,12 @@ def test_near_copies_down_to_four_fifths_go(spark):
     kept = sorted(r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs, "").collect())
     assert kept == sorted(d for d, _, c in brute_components(rows, 80) if d == c)
     assert kept == [*range(40), *(100 + 10 * i + 7 for i in range(3, 40, 4))]
+
+
+def test_other_texts_under_one_id_stay(spark):
+    near = text(1) + " more"
+    rows = [(1, text(1)), (1, text(2)), (1, near), (2, text(2)), (3, text(3)), (3, text(3)), (4, near)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    kept = [(r["doc_id"], r["text"]) for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()]
+    assert sorted(d for d, _ in kept) == [1, 1, 3]
+    assert (1, text(2)) in kept and (3, text(3)) in kept and len({(1, text(1)), (1, near)} & set(kept)) == 1
