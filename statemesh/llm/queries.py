@@ -19,7 +19,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def op1_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .katz import katz_scores
 
-    return katz_scores(_table(spark, sf_dir, "documents"))
+    return katz_scores(_table(spark, sf_dir, "documents"), order=3)
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -179,3 +179,14 @@ def test_the_token_table_is_bounded_and_caches_are_emptied():
     for i in range(10):
         assert cache[f" qz{i}x"] > 1
     assert len(cache) <= 4 and cache[" the"] == 1 and cache["y" * 50] and "y" * 50 not in cache
+
+
+def test_the_registered_katz_query_is_of_order_3(spark, tmp_path):
+    from statemesh.llm import katz, queries
+
+    rows = [(i, "a b c d a b c e a b f"[: 9 + i % 12]) for i in range(60)]
+    spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    scores = lambda df: {r["doc_id"]: round(r["score"], 6) for r in df.collect()}
+    got = scores(queries.op1_katz(spark, str(tmp_path)))
+    assert got == scores(katz.katz_scores(docs, order=3)) != scores(katz.katz_scores(docs, order=2))
