@@ -13,10 +13,14 @@ from __future__ import annotations
 
 import ctypes
 import uuid
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes that separate words: space and 09-0D. ``bytes.split()`` splits on exactly these.
 WHITE = b" \t\n\x0b\x0c\r"
@@ -54,6 +58,49 @@ def stored_by_chunk(df: DataFrame, name: str, buckets: int) -> DataFrame:
     return df.sparkSession.table(table)
 
 
+#: A row's place: 24 bits for the task that wrote its chunk, 20 for the chunk in the task, 18 for the row in the chunk.
+IN_TASK, IN_CHUNK = 20, 18
+LOCATED = "chunk bigint, rows binary"
+
+
+def located(df: DataFrame, most_bytes: int = 4_000_000, most_rows: int = 1 << 16) -> DataFrame:
+    """LOCATED chunks of df's rows, to be stored: from then on every row has a place of its own, whatever its ids are."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first, number, held, size, n = TaskContext.get().partitionId() << IN_TASK, 0, [], 0, 0
+
+        def chunk() -> pa.RecordBatch:
+            if number >= 1 << IN_TASK:
+                raise ValueError("too many chunks in one task: read the input in smaller splits")
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, held[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+                for b in held:
+                    w.write_batch(b)
+            return pa.RecordBatch.from_arrays([pa.array([first + number], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["chunk", "rows"])
+
+        for batch in batches:
+            for at in range(0, batch.num_rows, 64):
+                part = batch.slice(at, 64)
+                if held and (size + part.nbytes > most_bytes or n + part.num_rows > most_rows):
+                    yield chunk()
+                    held, size, n, number = [], 0, 0, number + 1
+                held.append(part)
+                size, n = size + part.nbytes, n + part.num_rows
+        if held:
+            yield chunk()
+
+    return df.mapInArrow(cut, LOCATED)
+
+
+def rows_of(chunk: bytes) -> pa.Table:
+    return pa.ipc.open_stream(chunk).read_all()
+
+
+def chunk_of(place):
+    """The chunk of a row's place."""
+    return F.shiftright(place, IN_CHUNK)
+
+
 def n_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -4,15 +4,19 @@
    from two permutations: sigma spreads the shingles over D positions, and coordinate k is the least pi[(sigma(x) + k) mod D],
    the same pi shifted circularly. Bands of coordinates are hashed to band keys. The threshold decides how many: with 44
    bands of 8 rows a pair at 0.85 shares no band with probability 8e-7, and so does one at 0.80 with 46 bands of 6.
-2. Documents with equal sets form one class; only classes go on, so copies cost nothing further.
-3. In each band bucket the classes are joined to the least of them (a star, not all pairs). The connected parts of all stars
-   hold every pair that shares a bucket; their sets are fetched once.
+2. Documents are stored in chunks, so that each row has a place (chunk and row) of its own. Documents with equal sets form
+   one class, named by its least place; only classes go on, so copies cost nothing further.
+3. In each band bucket the classes are joined to the least of them, the hub (a star, not all pairs). A class is replaced by
+   its least hub at once, so what goes on are distinct pairs of hubs. The connected parts of the stars hold every pair that
+   shares a bucket; their sets are fetched once, by place, without moving the other documents.
 4. Inside a part, links are confirmed on full sets. A prefix of rare shingles that any partner must share gives the
    candidates, and pairs that are already connected are skipped, so a group of near copies costs about one comparison each.
-5. A part that is too large for one task is dealt to blocks. Blocks are solved alone, their main groups are joined by
-   one representative each, and only the documents outside the part's main group are then held against all blocks.
-   Pairs within one component need no check, so no link between components is lost, at any size.
-6. Components of the confirmed links are labelled by the smallest doc_id.
+5. A part that is too large for one task is dealt to blocks. Blocks are solved alone, and their main groups are joined by
+   one representative each. Then only band buckets that still hold several components are solved again: the classes outside
+   a bucket's main component are held against all of its members. Pairs within one component need no check, so no link
+   between components is lost, at any size.
+6. Components of the confirmed links are labelled by the smallest doc_id. They are found by contraction: each round every
+   node is replaced by the least of its neighbours in a new random order, so that the edges shrink from round to round.
 
 Defined cases: null or wordless documents are linked with nothing; with fewer words than a shingle the whole sequence is
 the one shingle; rows with equal texts share a class whatever their ids; a null doc_id takes part, but names a component
@@ -23,16 +27,17 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import ship
-from .exchange import checkpointed, mix, n_partitions, pack_sorted, release_memory, stored, unpack_sorted
+from .exchange import IN_CHUNK, chunk_of, located, mix, n_partitions, pack_sorted, release_memory, rows_of, stored, stored_by_chunk, unpack_sorted
 
 BANDS, ROWS = 44, 8
 #: Positions of the two permutations.
@@ -113,65 +118,89 @@ def band_keys(s: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.ndarray
     return key.view(np.int64)
 
 
-SKETCH = T.StructType(
-    [
-        T.StructField("n_shingles", T.LongType()),
-        T.StructField("h1", T.LongType()),
-        T.StructField("h2", T.LongType()),
-        T.StructField("bands", T.ArrayType(T.LongType())),
-    ]
-)
-
-
-def sketches(docs: DataFrame, words: int = 5, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """(doc_id, text_key, n_shingles, h1, h2, bands) for every row; text_key tells rows with one doc_id apart."""
-    named = [T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("text_key", T.LongType())]
-    schema = T.StructType([*named, *SKETCH.fields])
+def sketches(chunks: DataFrame, id_type: T.DataType, words: int = 5, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """(place, doc_id, n_shingles, h1, h2, bands) for every row of the chunks."""
+    schema = T.StructType(
+        [
+            T.StructField("place", T.LongType()),
+            T.StructField("doc_id", id_type),
+            *(T.StructField(c, T.LongType()) for c in ("n_shingles", "h1", "h2")),
+            T.StructField("bands", T.ArrayType(T.LongType())),
+        ]
+    )
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = _Hashes()
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                sets = shingle_sets([t or b"" for t in part.column("body").to_pylist()], hashes, words)
-                keys = [set_key(s) if len(s) else (0, 0) for s in sets]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        part.column("doc_id"),
-                        part.column("text_key"),
-                        pa.array([len(s) for s in sets], pa.int64()),
-                        pa.array([k[0] for k in keys], pa.int64()),
-                        pa.array([k[1] for k in keys], pa.int64()),
-                        pa.array([band_keys(s, bands, rows) if len(s) else None for s in sets], pa.list_(pa.int64())),
-                    ],
-                    names=schema.names,
-                )
+            for chunk, body in zip(batch.column("chunk").to_pylist(), batch.column("rows")):
+                table = rows_of(body.as_py()).select(["doc_id", "text"])
+                for at in range(0, table.num_rows, 256):
+                    part = table.slice(at, 256).combine_chunks()
+                    sets = shingle_sets([t or b"" for t in part.column("text").cast(pa.binary()).to_pylist()], hashes, words)
+                    keys = [set_key(s) if len(s) else (0, 0) for s in sets]
+                    ids = part.column("doc_id")
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array((chunk << IN_CHUNK) + at + np.arange(len(sets))),
+                            ids.chunk(0) if ids.num_chunks else pa.array([], ids.type),
+                            pa.array([len(s) for s in sets], pa.int64()),
+                            pa.array([k[0] for k in keys], pa.int64()),
+                            pa.array([k[1] for k in keys], pa.int64()),
+                            pa.array([band_keys(s, bands, rows) if len(s) else None for s in sets], pa.list_(pa.int64())),
+                        ],
+                        names=schema.names,
+                    )
         hashes.clear()
         release_memory()
 
-    body = F.col("text").cast("binary").alias("body")
-    return docs.select("doc_id", F.xxhash64("text").alias("text_key"), body).mapInArrow(sketch, schema)
+    return chunks.mapInArrow(sketch, schema)
+
+
+#: Shifts of the orders in which components() looks for the least neighbour, one triple a round.
+_SHIFTS = ((13, 7, 17), (23, 17, 26), (12, 25, 27), (21, 35, 4), (17, 31, 8), (5, 27, 8))
+
+
+def _order(node: Column, number: int, back: bool = False) -> Column:
+    """A one-to-one map of longs by shifts, other for each number; back: its inverse."""
+    a, b, c = _SHIFTS[number % len(_SHIFTS)]
+    left, right = F.shiftleft, F.shiftrightunsigned
+    steps = [(left, a), (right, b), (left, c)]
+    if back:  # of x ^ (x << a): doubled shifts, as long as they are under 64
+        steps = [(way, n << k) for way, n in reversed(steps) for k in range(6) if n << k < 64]
+    return reduce(lambda x, step: x.bitwiseXOR(step[0](x, step[1])), steps, node)
 
 
 def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """(node, label): the least node that each node of links(a, b) is connected with.
+    """(node, label): the least node that each node of links(a, b) is connected with; loops are left out.
 
-    Rounds of least-neighbour labels and pointer jumping; each round is checkpointed to the shared folder.
+    Rounds of contraction: nodes go over to the least neighbour in a random order, and edges are taken between what their
+    ends went over to, without loops and repetitions. Both are written to the shared folder each round; they shrink by a
+    constant factor, so all rounds together cost a few times the first one.
     """
-    both = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a != b").distinct()
-    both = checkpointed(both)
-    labels = checkpointed(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("label")).withColumnRenamed("a", "node"))
-    for _ in range(most_rounds):
-        near = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("label").alias("near"))
-        met = labels.join(near, labels["node"] == near["a"]).select("node", "label", F.least("label", "near").alias("met"))
-        over = labels.select(F.col("node").alias("via"), F.col("label").alias("over"))
-        jumped = met.join(over, met["met"] == over["via"]).select("node", F.least("met", "over").alias("now"), "label")
-        jumped = checkpointed(jumped)
-        changed = jumped.where("now != label").limit(1).count()
-        labels = jumped.select("node", F.col("now").alias("label"))
-        if not changed:
-            return labels
-    raise RuntimeError("components did not settle")
+    pair = lambda a, b: [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
+    edges = stored(links.where("a != b").select(*pair("a", "b")).distinct(), "edges")
+    moves: list[DataFrame] = []
+    while edges.limit(1).count():
+        if len(moves) == most_rounds:
+            raise RuntimeError("components did not settle")
+        k = len(moves)
+        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        nearest = both.groupBy("a").agg(F.min(_order(F.col("b"), k)).alias("least"))
+        to = _order(F.least("least", _order(F.col("a"), k)), k, back=True)
+        moves.append(stored(nearest.select(F.col("a").alias("node"), to.alias("label")), "moves"))
+        of_a = moves[-1].select(F.col("node").alias("a"), F.col("label").alias("to_a"))
+        of_b = moves[-1].select(F.col("node").alias("b"), F.col("label").alias("to_b"))
+        moved = edges.join(of_a, "a").join(of_b, "b").where("to_a != to_b")
+        edges = stored(moved.select(*pair("to_a", "to_b")).distinct(), "edges")
+    if not moves:
+        return edges.select(F.col("a").alias("node"), F.col("b").alias("label"))
+    while len(moves) > 1:
+        later = moves.pop().select(F.col("node").alias("via"), F.col("label").alias("over"))
+        before = moves.pop().join(later, F.col("label") == F.col("via"), "left")
+        moves.append(stored(before.select("node", F.coalesce("over", "label").alias("label")), "moves"))
+    found = moves[0]
+    least = found.groupBy("label").agg(F.least(F.min("node"), F.col("label")).alias("least"))
+    return stored(found.join(least, "label").select("node", F.col("least").alias("label")), "components")
 
 
 class _Forest:
@@ -255,10 +284,12 @@ def confirmed(sets: list[np.ndarray], labels: np.ndarray, against: np.ndarray, p
 
 
 LINKS = "a bigint, b bigint"
+#: What _confirm() reads besides its groups' keys.
+SOLVED = ("node", "label", "against", "shingles")
 
 
 def _confirm(rows: DataFrame, keys: list[str], percent: int) -> DataFrame:
-    """LINKS of groups of rows(task, *keys, node, label, against, shingles); a task solves its groups one by one."""
+    """LINKS of groups of rows(task, *keys, *SOLVED); a task solves its groups one by one."""
 
     def solve(group: pa.Table) -> pa.Table:
         a, b = [], []
@@ -286,102 +317,117 @@ def _task(parts: int, *keys: str):
     return F.pmod(F.xxhash64(*keys), F.lit(parts)).alias("task")
 
 
-def near_duplicates(docs: DataFrame, percent: int = 85, words: int = 5, block_sets: int = 4096, block_shingles: int = 4_000_000, with_group: bool = False) -> DataFrame:
-    """(doc_id, text_key, n_shingles, component_id, kept) for every row of docs(doc_id, text).
-
-    with_group: also group, a number for each component (null for wordless texts); components of rows that share a doc_id
-    can have the same component_id.
-    """
-    spark = docs.sparkSession
-    ship(spark)
-    sketched = stored(sketches(docs, words, *banding(percent)), "sketches")
+def _grouped(chunks: DataFrame, id_type: T.DataType, percent: int, words: int, block_sets: int, block_shingles: int) -> DataFrame:
+    """(place, doc_id, n_shingles, group, component_id) for every row of the chunks; group is null for wordless texts."""
+    spark = chunks.sparkSession
+    sketched = stored(sketches(chunks, id_type, words, *banding(percent)), "sketches")
     key = ["n_shingles", "h1", "h2"]
     filled = sketched.where("n_shingles > 0")
-    classes = filled.groupBy(*key).agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"))
-    classes = classes.withColumn("node", F.xxhash64(*key))
-    banded = classes.select("node", F.explode("bands").alias("band"))
+    banded = filled.groupBy(*key).agg(F.min("place").alias("node"), F.first("bands").alias("bands")).select("node", F.explode("bands").alias("band"))
+    classes = stored(filled.groupBy(*key).agg(F.min("place").alias("node"), F.min("doc_id").alias("rep")), "classes")
     hubs = banded.groupBy("band").agg(F.min("node").alias("hub"), F.count("*").alias("n")).where("n > 1").select("band", "hub")
-    stars = banded.join(hubs, "band").where("node != hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
-    parts = components(stars).withColumnRenamed("label", "part")
-    of_part = classes.select("node", "rep", "n_shingles").join(parts, "node")
+    stars = banded.join(hubs, "band").select("node", "hub")
+    # at most one hub a band: from here on a class stands for its least hub
+    met = stored(stars.groupBy("node").agg(F.min("hub").alias("least"), F.collect_set("hub").alias("hubs")), "stars")
+    parts = components(met.select(F.col("least").alias("a"), F.explode("hubs").alias("b")).where("a != b").distinct())
+    parts = parts.select(F.col("node").alias("least"), F.col("label").alias("part"))
+    of_part = met.select("node", "least").join(parts, "least", "left").select("node", F.coalesce("part", "least").alias("part"))
+    of_part = of_part.join(classes.select("node", "n_shingles"), "node")
     sized = of_part.groupBy("part").agg(F.count("*").alias("_c"), F.sum("n_shingles").alias("_s"))
     sized = sized.select("part", F.greatest(F.ceil(F.col("_c") / block_sets), F.ceil(F.col("_s") / block_shingles)).cast("int").alias("blocks"))
-    wanted = checkpointed(of_part.join(sized, "part").withColumn("block", F.pmod(F.xxhash64("node", F.lit(3)), F.col("blocks")).cast("int")))
+    block = F.pmod(F.xxhash64("node", F.lit(3)), F.col("blocks")).cast("int").alias("block")
+    wanted = stored(of_part.join(sized, "part").select(chunk_of("node").alias("chunk"), "node", "part", block, "blocks", "n_shingles"), "wanted")
     total = wanted.agg(F.sum("n_shingles").alias("s"), F.max("blocks").alias("b")).first()
     tasks = max(n_partitions(spark), -(-(total["s"] or 0) // block_shingles))
-    texts = (
-        docs.select("doc_id", F.col("text").cast("binary").alias("body"))
-        .join(wanted, docs["doc_id"].eqNullSafe(wanted["rep"]))
-        .select("node", "part", "block", "blocks", "body")
-    )
-    fetched = "node bigint, part bigint, block int, blocks int, shingles binary"
 
-    def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = _Hashes()
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                piece = batch.slice(at, 256)
-                sets = shingle_sets([t or b"" for t in piece.column("body").to_pylist()], hashes, words)
-                keep = [(len(s), *(set_key(s) if len(s) else (0, 0))) for s in sets]
-                columns = [*(piece.column(c) for c in ("node", "part", "block", "blocks"))]
-                yield pa.RecordBatch.from_arrays(
-                    [*columns, pa.array([pack_sorted(s) for s in sets], pa.binary()), *(pa.array(c, pa.int64()) for c in zip(*keep))],
-                    names=["node", "part", "block", "blocks", "shingles", *key],
-                )
-        hashes.clear()
-        release_memory()
-
-    own = texts.mapInArrow(fetch, f"{fetched}, n_shingles bigint, h1 bigint, h2 bigint")
-    # a repeated doc_id can have brought other texts with it
-    sets = stored(own.where(F.xxhash64(*key) == F.col("node")).drop(*key), "sets")
+    def fetch(_key, left: pa.Table, right: pa.Table) -> pa.Table:
+        asked = right.select(["node", "part", "block", "blocks"])
+        blobs: list[bytes] = []
+        if asked.num_rows:
+            texts = rows_of(left.column("rows")[0].as_py()).column("text")
+            at = pa.array(asked.column("node").to_numpy() & ((1 << IN_CHUNK) - 1))
+            hashes = _Hashes()
+            blobs = [pack_sorted(s) for s in shingle_sets(texts.cast(pa.binary()).take(at).to_pylist(), hashes, words)]
+            release_memory()
+        return asked.append_column("shingles", pa.array(blobs, pa.binary()))
+
+    own = chunks.groupBy("chunk").cogroup(wanted.groupBy("chunk"))
+    sets = stored(own.applyInArrow(fetch, "node bigint, part bigint, block int, blocks int, shingles binary"), "sets")
     alone = sets.withColumns({"label": F.col("node"), "against": F.lit(True)})
-    links = stored(_confirm(alone.select(_task(tasks, "part", "block"), "part", "block", "node", "label", "against", "shingles"), ["part", "block"], percent), "links")
+    links = stored(_confirm(alone.select(_task(tasks, "part", "block"), "part", "block", *SOLVED), ["part", "block"], percent), "links")
     if (total["b"] or 0) > 1:
-        links = links.unionByName(_across(sets.where("blocks > 1"), links, percent, tasks, block_sets))
-    labels = components(links)
-    named = classes.select(*key, "node", "rep").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    smallest = named.groupBy("label").agg(F.min("rep").alias("component_id"))
-    by_class = named.join(smallest, "label").select(*key, "component_id", F.col("label").alias("group"))
-    out = sketched.select("doc_id", "text_key", *key).join(by_class, key, "left")
+        links = links.unionByName(_across(sets.where("blocks > 1"), sketched, links, percent, tasks, block_sets, block_shingles))
+    named = classes.join(components(links), "node", "left").withColumn("group", F.coalesce("label", "node"))
+    smallest = named.groupBy("group").agg(F.min("rep").alias("component_id"))
+    by_class = named.join(smallest, "group").select(*key, "component_id", "group")
+    out = sketched.select("place", "doc_id", *key).join(by_class, key, "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    group = ["group"] if with_group else []
-    return out.select("doc_id", "text_key", "n_shingles", *group, component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    return out.select("place", "doc_id", "n_shingles", "group", component.alias("component_id"))
+
+
+def near_duplicates(docs: DataFrame, percent: int = 85, words: int = 5, block_sets: int = 4096, block_shingles: int = 4_000_000) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) for every row of docs(doc_id, text)."""
+    ship(docs.sparkSession)
+    chunks = stored_by_chunk(located(docs.select("doc_id", "text")), "documents", n_partitions(docs.sparkSession))
+    found = _grouped(chunks, docs.schema["doc_id"].dataType, percent, words, block_sets, block_shingles)
+    return found.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def one_of_each(docs: DataFrame, percent: int = 85, words: int = 5, block_sets: int = 4096, block_shingles: int = 4_000_000) -> DataFrame:
+    """The rows of docs (all columns, with doc_id and text) that stay: one of each component.
+
+    It is the row with the smallest doc_id, of several the first place; rows without id come last. Wordless rows stay.
+    """
+    ship(docs.sparkSession)
+    chunks = stored_by_chunk(located(docs), "documents", n_partitions(docs.sparkSession))
+    found = _grouped(chunks, docs.schema["doc_id"].dataType, percent, words, block_sets, block_shingles)
+    rank = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("place"))
+    chosen = found.where(F.col("group").isNotNull()).groupBy("group").agg(F.min_by("place", rank).alias("place")).select("place")
+    chosen = chosen.unionByName(found.where(F.col("group").isNull()).select("place"))
+    kept = chosen.select(chunk_of("place").alias("chunk"), "place")
+
+    def pick(_key, left: pa.Table, right: pa.Table) -> pa.Table:
+        rows = rows_of(left.column("rows")[0].as_py())
+        return rows.take(pa.array(np.sort(right.column("place").to_numpy() & ((1 << IN_CHUNK) - 1))))
+
+    return chunks.groupBy("chunk").cogroup(kept.groupBy("chunk")).applyInArrow(pick, docs.schema)
 
 
-def _across(sets: DataFrame, links: DataFrame, percent: int, tasks: int, block_sets: int) -> DataFrame:
+def _across(sets: DataFrame, sketched: DataFrame, links: DataFrame, percent: int, tasks: int, block_sets: int, block_shingles: int) -> DataFrame:
     """Links between the blocks of parts that have several."""
 
-    def labelled(found: DataFrame) -> DataFrame:
-        joined = sets.join(components(found), "node", "left")
-        return joined.withColumn("label", F.coalesce("label", "node")).withColumn("against", F.lit(True))
+    def labelled(nodes: DataFrame, found: DataFrame) -> DataFrame:
+        joined = nodes.join(components(found), "node", "left")
+        return joined.withColumn("label", F.coalesce("label", "node"))
 
     # one representative of each block's main group; representatives meet in blocks again, level by level
-    now = labelled(links)
+    now = labelled(sets, links).withColumn("against", F.lit(True))
     groups = now.groupBy("part", "block", "label").agg(F.count("*").alias("n"), F.min("node").alias("one"))
     main = groups.groupBy("part", "block").agg(F.max_by("one", F.struct("n", "label")).alias("node")).select("node")
-    heads = stored(now.join(main, "node").select("part", "node", "label", "against", "shingles"), "heads")
+    heads = stored(now.join(main, "node").select("part", *SOLVED), "heads")
     more, level = None, 0
     while True:
         sizes = heads.groupBy("part").agg(F.ceil(F.count("*") / block_sets).cast("int").alias("cuts"))
         cut = heads.join(sizes, "part").withColumn("cut", F.pmod(F.xxhash64("node", F.lit(100 + level)), F.col("cuts")).cast("int"))
-        tried = cut.select(_task(tasks, "part", "cut"), "part", "cut", "node", "label", "against", "shingles")
+        tried = cut.select(_task(tasks, "part", "cut"), "part", "cut", *SOLVED)
         met = stored(_confirm(tried, ["part", "cut"], percent), "links-heads")
         more = met if more is None else more.unionByName(met)
         if (sizes.agg(F.max("cuts")).first()[0] or 0) <= 1:
             break
-        heads = stored(cut.groupBy("part", "cut").agg(F.min_by(F.struct("node", "label", "against", "shingles"), "node").alias("h")).select("part", "h.*"), "heads")
+        heads = stored(cut.groupBy("part", "cut").agg(F.min_by(F.struct(*SOLVED), "node").alias("h")).select("part", "h.*"), "heads")
         level += 1
-    found = links.unionByName(more)
-    # whoever is outside the part's main group now is held against all its blocks
-    now = labelled(found)
-    counts = now.groupBy("part", "label").agg(F.count("*").alias("n"))
-    largest = counts.groupBy("part").agg(F.max_by("label", F.struct("n", "label")).alias("main"))
-    rest = now.join(largest, "part").where("label != main").drop("main")
-    rests = rest.groupBy("part").agg(F.ceil(F.count("*") / block_sets).cast("int").alias("subs"))
-    rest = rest.join(rests, "part").withColumn("sub", F.pmod(F.xxhash64("node", F.lit(4)), F.col("subs")).cast("int"))
-    shape = ["part", "sub", "block", "node", "label", "against", "shingles"]
-    asking = rest.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(*shape)
-    asked = now.join(rests, "part").withColumn("sub", F.explode(F.sequence(F.lit(0), F.col("subs") - 1)))
-    asked = asked.withColumn("against", F.lit(False)).select(*shape)
-    pairs = asking.unionByName(asked).select(_task(tasks, "part", "sub", "block"), *shape)
-    return more.unionByName(stored(_confirm(pairs, ["part", "sub", "block"], percent), "links-across"))
+    # band buckets with several components: who is outside the bucket's main one is held against all its members
+    own = labelled(sets.select("node"), links.unionByName(more))
+    banded = sketched.select(F.col("place").alias("node"), "bands", "n_shingles").join(own, "node")
+    banded = stored(banded.select("node", "label", "n_shingles", F.explode("bands").alias("band")), "buckets")
+    counts = banded.groupBy("band", "label").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("s"))
+    mixed = counts.groupBy("band").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.sum("n").alias("n"), F.sum("s").alias("s"), F.count("*").alias("k"))
+    subs = F.greatest(F.ceil(F.col("n") / block_sets), F.ceil(F.col("s") / block_shingles)).cast("int").alias("subs")
+    members = banded.join(mixed.where("k > 1").select("band", "main", subs), "band").withColumn("against", F.col("label") != F.col("main"))
+    all_subs = F.sequence(F.lit(0), F.col("subs") - 1)
+    one_sub = F.array(F.pmod(F.xxhash64("node", F.lit(4)), F.col("subs")).cast("int"))
+    members = stored(members.withColumn("sub", F.explode(F.when(F.col("against"), all_subs).otherwise(one_sub))), "members")
+    weight = members.agg(F.sum("n_shingles")).first()[0] or 0
+    tasks = max(tasks, -(-weight // block_shingles))
+    asked = members.join(sets.select("node", "shingles"), "node").select(_task(tasks, "band", "sub"), "band", "sub", *SOLVED)
+    return more.unionByName(stored(_confirm(asked, ["band", "sub"], percent), "links-across"))
