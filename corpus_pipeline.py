@@ -38,18 +38,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group: the one whose id names it (of several with that id in the group, the first by the text's key).
-
-    Documents without id stay, one for each text, where no document with an id is in their group.
-    """
-    found = near_dup.near_duplicates(docs, percent=SIMILAR_PERCENT, with_group=True).where("kept")
-    found = found.withColumn("group", F.coalesce("group", "text_key"))
-    named = found.where("doc_id is not null").groupBy("doc_id", "group").agg(F.min("text_key").alias("text_key")).drop("group").distinct()
-    picked = named.unionByName(found.where("doc_id is null").select("doc_id", "text_key").distinct())
-    picked = picked.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"))
-    keyed = docs.withColumn("_text_key", F.xxhash64("text"))
-    kept = keyed.join(picked, keyed["doc_id"].eqNullSafe(picked["_id"]) & (keyed["_text_key"] == picked["_key"]), "left_semi")
-    return kept.dropDuplicates(["doc_id", "_text_key"]).select(*docs.columns)
+    """One document of each group: the one with the smallest id (of several with that id in the group, the first)."""
+    return near_dup.one_of_each(docs, percent=SIMILAR_PERCENT)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
