@@ -27,7 +27,6 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -156,18 +155,11 @@ def sketches(chunks: DataFrame, id_type: T.DataType, words: int = 5, bands: int
     return chunks.mapInArrow(sketch, schema)
 
 
-#: Shifts of the orders in which components() looks for the least neighbour, one triple a round.
-_SHIFTS = ((13, 7, 17), (23, 17, 26), (12, 25, 27), (21, 35, 4), (17, 31, 8), (5, 27, 8))
-
-
 def _order(node: Column, number: int, back: bool = False) -> Column:
-    """A one-to-one map of longs by shifts, other for each number; back: its inverse."""
-    a, b, c = _SHIFTS[number % len(_SHIFTS)]
-    left, right = F.shiftleft, F.shiftrightunsigned
-    steps = [(left, a), (right, b), (left, c)]
-    if back:  # of x ^ (x << a): doubled shifts, as long as they are under 64
-        steps = [(way, n << k) for way, n in reversed(steps) for k in range(6) if n << k < 64]
-    return reduce(lambda x, step: x.bitwiseXOR(step[0](x, step[1])), steps, node)
+    """A one-to-one map of longs: bits rotated and some flipped, others for each number; back: its inverse."""
+    turn, flip = 1 + 23 * number % 63, (0x9E3779B97F4A7C15 * (number + 1)) % (1 << 63)
+    rotated = lambda x, n: F.shiftleft(x, n).bitwiseOR(F.shiftrightunsigned(x, 64 - n))
+    return rotated(node.bitwiseXOR(F.lit(flip)), 64 - turn) if back else rotated(node, turn).bitwiseXOR(F.lit(flip))
 
 
 def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
