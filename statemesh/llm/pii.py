@@ -5,13 +5,17 @@ network: the value is a list of symbols, each with its own alphabet; in each rou
 by a keyed hash of the other half. This is a permutation of the format for any key, so different values get different
 pseudonyms, equal values get equal ones in every document, and whoever has the key can turn them back.
 
-Kinds: card numbers (13 to 19 digits, valid check digit before and after; first digit kept; a usual grouping is told from digits beside it), IBANs (valid check digits
-before and after; country kept), social security numbers (area, group and serial numbers stay in the valid ranges), phone
-numbers (country code kept; a North American area or exchange code goes on starting with 2 to 9), IPv4 addresses, dates of 1900
-to 2099 (year or day first: as one number of days), e-mail addresses (the local part, classes of characters kept), and access keys and
-passwords that are named as such. What does not validate is left as it is. Blanks and punctuation within a value stay.
-
-Only rows with what a value can start from (a digit, an @, a key's AKIA, a secret's name followed by = or :) meet the long pattern. Nothing leaves the row: the plan is a scan and a projection.
+Kinds: card numbers (13 to 19 digits, valid check digit before and after; first digit kept; a usual grouping is told from
+digits beside it), IBANs (valid check digits before and after; country kept), social security numbers (area, group and serial
+numbers stay in the valid ranges), phone numbers (country code kept; a North American area or exchange code goes on starting
+with 2 to 9, and such a number has one pseudonym with and without its +1), IPv4 addresses, dates of 1900 to 2099 (year, day or
+month first; a day has one pseudonym in all spellings, and a day up to the 12th, to the 28th or after it stays one, so that
+the order of day and month can be read as before), e-mail addresses (the local part, classes of characters kept), and access
+keys and passwords that are named as such. What does not validate is left as it is. Blanks and punctuation within a value stay.
+
+Only rows with what a value can start from (a digit, an @, a key's AKIA, a secret's name followed by = or :) meet the long
+pattern. Nothing leaves the row: the plan is a scan and a projection. The key has no default; it is a literal of the plan, so
+plans and event logs are as secret as the key is.
 
 Defined cases: null text stays null and empty text empty; rows repeat as they do; other columns are kept; a column
 ``n_private`` of the input is replaced; an empty table gives no rows. Every text is processed whole.
@@ -19,7 +23,9 @@ Defined cases: null text stays null and empty text empty; rows repeat as they do
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import secrets
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ROUNDS = 10
@@ -53,8 +59,11 @@ ANY = "|".join([EMAIL, IPV4, DATE, SSN, IBAN, CARD, PHONE, SECRET])
 #: No text without this has a match of ANY.
 HINT = rf"[0-9@]|AKIA|[=:](?<={_NAMES}[=:])"
 
-#: Dates count from here; 319 * 229 days reach to the end of 2099.
-EPOCH, DATE_RADICES = "1900-01-01", (319, 229)
+#: Setting that holds the key of the registered query and the pipeline.
+KEY_SETTING = "spark.statemesh.pseudonymKey"
+FIRST_YEAR, YEARS = 1900, 200
+#: Days after the 28th of all months, as month * 100 + day, but for 29 February.
+LATE_DAYS = [m * 100 + d for m in range(1, 13) for d in (29, 30, 31) if m != 2 and (d < 31 or m not in (4, 6, 9, 11))]
 
 
 def _is(value: Column, pattern: str) -> Column:
@@ -66,7 +75,7 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), 0)
 
 
-def permuted(values: Column, radices: Column, key: str, backwards: bool = False) -> Column:
+def permuted(values: Column, radices: Column, key: str | Column, backwards: bool = False) -> Column:
     """The keyed permutation of a list of numbers, value i below radix i (arrays of int)."""
     order = list(range(ROUNDS))[:: -1 if backwards else 1]
 
@@ -109,7 +118,7 @@ def _letters(value: Column) -> Column:
     return F.transform(F.sequence(F.lit(1), F.greatest(F.length(value), F.lit(1))), lambda i: F.substr(value, i, F.lit(1)))
 
 
-def _permuted_text(value: Column, alphabet, key: str, backwards: bool) -> Column:
+def _permuted_text(value: Column, alphabet, key: str | Column, backwards: bool) -> Column:
     """value with each character replaced within alphabet(character, its place from 0); an alphabet of one keeps it."""
 
     def shift(x: Column) -> Column:
@@ -181,23 +190,12 @@ def _card(m: Column, key: str, backwards: bool) -> tuple[Column, Column]:
         check = lambda x: F.pmod(10 - _luhn(F.concat(x, F.lit("0"))) % 10, F.lit(10)).cast("string")
         return let(new, lambda x: F.concat(x, check(x)))
 
-    def walk(part: Column) -> Column:
-        """Permuted until the same part is the one that would be chosen, so that it can be found again to turn it back."""
-        n = F.length(part["old"])
-
-        def step(s: Column, _i: Column) -> Column:
-            def moved(new: Column) -> Column:
-                text = F.concat(F.substr(s["text"], F.lit(1), part["at"] - 1), new, F.substr(s["text"], part["at"] + n))
-                same = lambda p: (p["at"] == part["at"]) & (F.length(p["old"]) == n)
-                return let(text, lambda t: F.struct(t.alias("text"), let(chosen(t), same).alias("done")))
-
-            old = F.substr(s["text"], part["at"], n)
-            return F.when(s["done"], s).otherwise(let(let(let(_bare(old), shift), lambda x: _refilled(old, x)), moved))
-
-        start = F.struct(m.alias("text"), F.lit(False).alias("done"))
-        return F.aggregate(F.sequence(F.lit(1), F.lit(40)), start, step, lambda s: s["text"])
+    def put(part: Column) -> Column:
+        old, end = part["old"], part["at"] + F.length(part["old"])
+        new = let(let(_bare(old), shift), lambda x: _refilled(old, x))
+        return F.concat(F.substr(m, F.lit(1), part["at"] - 1), new, F.substr(m, end))
 
-    return _is(m, CARD) & chosen(m).isNotNull(), let(chosen(m), walk)
+    return _is(m, CARD) & chosen(m).isNotNull(), let(chosen(m), put)
 
 
 def _iban(m: Column, key: str, backwards: bool) -> tuple[Column, Column]:
@@ -230,13 +228,16 @@ def _ssn(m: Column, key: str, backwards: bool) -> tuple[Column, Column]:
 def _phone(m: Column, key: str, backwards: bool) -> tuple[Column, Column]:
     def shift(x: Column) -> Column:
         d, code = x["d"], x["code"]
+        national = F.substr(d, code + 1)
         american = ((code == 1) & d.startswith("1") & (F.length(d) == 11)) | ((code == 0) & (F.length(d) == 10))
+        country = F.when(american, F.lit("1")).otherwise(F.substr(d, F.lit(1), code))
 
         def alphabet(c: Column, i: Column) -> Column:
-            lead = american & ((i == code) | (i == code + 3))
-            return F.when(i < code, c).when(lead & (c >= "2"), F.lit("23456789")).when(lead, c).otherwise(F.lit(DIGITS))
+            lead = american & ((i == 0) | (i == 3))
+            return F.when(lead & (c >= "2"), F.lit("23456789")).when(lead, c).otherwise(F.lit(DIGITS))
 
-        return _permuted_text(d, alphabet, key + "/phone", backwards)
+        new = _permuted_text(national, alphabet, F.concat(F.lit(key + "/phone/"), country), backwards)
+        return F.concat(F.substr(d, F.lit(1), code), new)
 
     parts = F.struct(_bare(m).alias("d"), F.length(F.regexp_extract(m, COUNTRY, 1)).alias("code"))
     return _is(m, PHONE), let(let(parts, shift), lambda x: _refilled(m, x))
@@ -256,35 +257,52 @@ def _ipv4(m: Column, key: str, backwards: bool) -> tuple[Column, Column]:
 
 
 def _date(m: Column, key: str, backwards: bool) -> tuple[Column, Column]:
-    """Year-month-day, and day first with stops or slashes."""
-    forms = [(m.rlike("^[0-9]{4}-"), "yyyy-MM-dd"), (m.contains("."), "dd.MM.yyyy"), (m.contains("/"), "dd/MM/yyyy")]
-    a, b = DATE_RADICES
-    epoch = F.lit(EPOCH).cast("date")
-    read = [F.when(has, F.try_to_date(m, form)) for has, form in forms]
-    days = F.datediff(F.coalesce(*read), epoch)
+    """A slashed date is read day first, and month first where that is the only way."""
+    numbers = F.transform(F.split(m, "[-./]"), lambda x: x.cast("int"))
 
-    def shift(n: Column) -> Column:
-        new = permuted(F.array(F.floor(n / b).cast("int"), (n % b).cast("int")), F.array(F.lit(a), F.lit(b)), key + "/date", backwards)
-        return let(new, lambda x: F.date_add(epoch, F.get(x, 0) * b + F.get(x, 1)))
+    def parts(n: Column) -> Column:
+        iso, month_first = m.contains("-"), m.contains("/") & (F.get(n, 1) > 12)
+        year, other = F.when(iso, F.get(n, 0)).otherwise(F.get(n, 2)), F.when(iso, F.get(n, 2)).otherwise(F.get(n, 0))
+        month = F.when(month_first, F.get(n, 0)).otherwise(F.get(n, 1))
+        day = F.when(month_first, F.get(n, 1)).otherwise(other)
+        return F.struct(year.alias("y"), month.alias("m"), day.alias("d"), month_first.alias("month_first"))
 
-    def shown(day: Column) -> Column:
-        return F.coalesce(*(F.when(r.isNotNull(), F.date_format(day, form)) for r, (_, form) in zip(read, forms)))
+    def shift(x: Column) -> Column:
+        """(y, m, d) anew; each class of days is a product of ranges."""
+        year, month, day = x["y"] - FIRST_YEAR, x["m"] - 1, x["d"]
+        late = F.array(*map(F.lit, LATE_DAYS))
+        turn = lambda name, values, radices: permuted(F.array(*values), F.array(*map(F.lit, radices)), f"{key}/date/{name}", backwards)
+        ymd = lambda y, mm, d: F.struct(y.cast("int").alias("y"), mm.cast("int").alias("m"), d.cast("int").alias("d"))
+        nth_leap = F.floor(year / 4).cast("int") - 1
+        leap = turn("leap", [F.floor(nth_leap / 7).cast("int"), (nth_leap % 7).cast("int")], [7, 7])
+        place = (F.array_position(late, x["m"] * 100 + day) - 1).cast("int")
+        return (
+            F.when(day <= 12, let(turn("early", [year, month, day - 1], [YEARS, 12, 12]), lambda v: ymd(F.get(v, 0) + FIRST_YEAR, F.get(v, 1) + 1, F.get(v, 2) + 1)))
+            .when(day <= 28, let(turn("middle", [year, month, day - 13], [YEARS, 12, 16]), lambda v: ymd(F.get(v, 0) + FIRST_YEAR, F.get(v, 1) + 1, F.get(v, 2) + 13)))
+            .when(month == 1, let(leap, lambda v: ymd((F.get(v, 0) * 7 + F.get(v, 1) + 1) * 4 + FIRST_YEAR, F.lit(2), F.lit(29))))
+            .otherwise(
+                let(
+                    turn("late", [year, place], [YEARS, len(LATE_DAYS)]),
+                    lambda v: let(F.get(late, F.get(v, 1)), lambda day: ymd(F.get(v, 0) + FIRST_YEAR, F.floor(day / 100), day % 100)),
+                )
+            )
+        )
+
+    def shown(x: Column) -> Column:
+        def written(new: Column) -> Column:
+            y, mm, d = new["y"], new["m"], new["d"]
+            slashed = F.when(x["month_first"], F.format_string("%02d/%02d/%04d", mm, d, y)).otherwise(F.format_string("%02d/%02d/%04d", d, mm, y))
+            return F.when(m.contains("-"), F.format_string("%04d-%02d-%02d", y, mm, d)).when(m.contains("/"), slashed).otherwise(
+                F.format_string("%02d.%02d.%04d", d, mm, y)
+            )
 
-    return _is(m, DATE) & days.between(0, a * b - 1), let(let(days, shift), shown)
+        return let(shift(x), written)
 
+    def real(x: Column) -> Column:
+        text = F.format_string("%04d-%02d-%02d", x["y"], x["m"], x["d"])
+        return x["y"].between(FIRST_YEAR, FIRST_YEAR + YEARS - 1) & F.try_to_date(text, "yyyy-MM-dd").isNotNull()
 
-def _month_first(m: Column, key: str, backwards: bool) -> tuple[Column, Column]:
-    """Slashed dates that can only be read month first. They stay so: days 13 to 28 are permuted with month and year;
-    of the last days of a month only the year; 29 February is left."""
-    month, day, year = (F.split_part(m, F.lit("/"), F.lit(i)).cast("int") for i in (1, 2, 3))
-    whole = F.array(year - 1900, month - 1, day - 13), F.array(F.lit(200), F.lit(12), F.lit(16))
-    only_year = F.array(year - 1900), F.array(F.lit(200))
-    form = "%02d/%02d/%04d"
-    inner = let(permuted(*whole, key + "/date", backwards), lambda x: F.format_string(form, F.get(x, 1) + 1, F.get(x, 2) + 13, F.get(x, 0) + 1900))
-    last = let(permuted(*only_year, key + "/date", backwards), lambda x: F.format_string(form, month, day, F.get(x, 0) + 1900))
-    real = F.try_to_date(m, "MM/dd/yyyy").isNotNull() & (day > 12) & year.between(1900, 2099)
-    valid = m.rlike("^[0-9]{2}/[0-9]{2}/[0-9]{4}$") & real & ~((month == 2) & (day == 29))
-    return valid, F.when(day <= 28, inner).otherwise(last)
+    return _is(m, DATE) & let(let(numbers, parts), real), let(let(numbers, parts), shown)
 
 
 def _email(m: Column, key: str, backwards: bool) -> tuple[Column, Column]:
@@ -307,7 +325,7 @@ def _secret(m: Column, key: str, backwards: bool) -> tuple[Column, Column]:
     return _is(m, r"[A-Za-z0-9_-]{8,64}") & ~other, let(new, lambda x: _refilled(m, x))
 
 
-KINDS = (_email, _ipv4, _date, _month_first, _ssn, _iban, _card, _phone, _secret)
+KINDS = (_email, _ipv4, _date, _ssn, _iban, _card, _phone, _secret)
 
 
 def pseudonym(match: Column, key: str, backwards: bool = False) -> Column:
@@ -319,11 +337,20 @@ def pseudonym(match: Column, key: str, backwards: bool = False) -> Column:
     return out
 
 
-def pseudonymise(docs: DataFrame, key: str = "statemesh", column: str = "text", backwards: bool = False) -> DataFrame:
+def key_of(spark: SparkSession) -> str:
+    """The session's key (KEY_SETTING); without one a new key, so that pseudonyms are linked within one call only."""
+    return spark.conf.get(KEY_SETTING, None) or secrets.token_hex(32)
+
+
+def pseudonymise(docs: DataFrame, key: str, column: str = "text", backwards: bool = False) -> DataFrame:
     """docs with the personal values of the column replaced, and n_private, the number of values replaced.
 
-    backwards: turn pseudonyms of the same key into the values they stand for.
+    key: whoever has it can turn pseudonyms back; the empty key is refused.
+    backwards: turn pseudonyms of the same key into the values they stand for. A card with other digits right beside it comes
+    back only if its pseudonym is still the first valid number among them: a card has one pseudonym, whatever stands beside it.
     """
+    if not key:
+        raise ValueError("a key is needed")
     text = F.col(column)
 
     def replaced(x: Column) -> Column:

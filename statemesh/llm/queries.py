@@ -36,9 +36,9 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .pii import pseudonymise
+    from .pii import key_of, pseudonymise
 
-    return pseudonymise(_table(spark, sf_dir, "documents")).select("doc_id", "text", "n_private")
+    return pseudonymise(_table(spark, sf_dir, "documents"), key_of(spark)).select("doc_id", "text", "n_private")
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

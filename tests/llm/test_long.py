@@ -48,6 +48,6 @@ def test_formats(spark, docs, long_text):
     own = [p for p in pieces if p["doc_id"] == 1]
     assert sum(p["length"] for p in own) == own[0]["doc_tokens"] > 200_000
     assert row(sharding.shard_documents(docs))["size"] == len(long_text) + 8
-    assert "4337166598464399" not in row(pii.pseudonymise(docs))["text"]
+    assert "4337166598464399" not in row(pii.pseudonymise(docs, "k"))["text"]
     pages = spark.createDataFrame([(1, "u", long_text)], "page_id bigint, url string, html string")
     assert row(warc.page_round_trip(pages), "page_id")["payload_digest"] == warc.digest_of(long_text.encode())
