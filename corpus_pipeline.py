@@ -50,7 +50,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with their personal values replaced."""
-    out = pii.pseudonymise(docs)
+    out = pii.pseudonymise(docs, pii.key_of(spark))
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
         changed = F.when(F.col("n_private") > 0, F.char_length("text").cast(kind)).otherwise(F.col("n_chars"))
