@@ -81,7 +81,7 @@ class WordIds:
                 known[w] = ids
                 continue
             core = w.rstrip(_TAIL)
-            if len(w) <= self.max_key and core.isalpha():
+            if len(w) <= self.max_key and core.isalpha() and core.lower().isalpha():  # some letters are lowered to more than letters
                 split.append((w, core, w[len(core) :]))
                 cores.add(core)
             else:
@@ -98,8 +98,9 @@ class WordIds:
     @staticmethod
     def _words(text: str) -> list[str]:
         """Stretches to look up. Lower case, and a comma or stop after a letter or digit apart: fewer to learn, equal ids."""
-        if "\u03a3" not in text:  # a final sigma is lowered by its context, which the tokenizer does not do
-            text = text.lower()
+        if "\u0130" in text:  # lowered to a letter and a mark: left to the tokenizer, which composes marks before it lowers
+            return text.replace("\n", " ").split(" ")
+        text = text.replace("\u03a3", "\u03c3").lower()  # a final sigma is lowered by its context, which the tokenizer does not do
         if not _RUN(text):
             text = text.replace(", ", " , ").replace(". ", " . ").replace(".\n", " . ")
         return text.replace("\n", " ").split(" ")

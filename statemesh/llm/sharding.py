@@ -2,11 +2,12 @@
 
 The shard of a row is a pure function of its stable key and the number of shards: no ring table is kept, and when one
 shard is appended only the fraction 1/(n+1) of the rows moves, all of it into the new shard. Slots number a shard's rows
-gapless from 0: rows are ranked within (shard, bucket of the key's hash) and offset by the prefix sum of bucket counts,
-so no task ever holds a whole shard.
+gapless from 0 in the order in which they were placed: a row's rank among those of its task and shard is stored with it, and
+prefix sums over the tasks' counts give each task its first slot in a shard. No row is grouped by key or shard, so a key that
+a third of all rows share is dealt out like any other.
 
-Defined cases: a null key hashes as its own fixed key; rows with equal keys share a shard and take neighbouring slots;
-null text weighs 8 bytes and has the checksum of the empty string; an empty table gives no rows.
+Defined cases: a null key hashes as its own fixed key; rows with equal keys share a shard, whatever their slots; columns named
+as new ones are replaced; null text weighs 8 bytes and has the checksum of the empty string; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -15,12 +16,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import ship
-from .exchange import n_partitions
+from .exchange import stored
 
 
 def jump_hash(keys: np.ndarray, shards: int) -> np.ndarray:
@@ -37,29 +39,33 @@ def jump_hash(keys: np.ndarray, shards: int) -> np.ndarray:
     return b
 
 
-def assign_shards(rows: DataFrame, key_hash: str, shards: int, buckets: int | None = None) -> DataFrame:
+def assign_shards(rows: DataFrame, key_hash: str, shards: int) -> DataFrame:
     """rows with shard, slot and grown_shard (the shard if there were one more). key_hash: an SQL expression, a long."""
     ship(rows.sparkSession)
-    buckets = buckets or n_partitions(rows.sparkSession)
-    hashed = rows.withColumn("_key", F.expr(key_hash))
-    schema = T.StructType([*hashed.schema.fields, T.StructField("shard", T.IntegerType()), T.StructField("grown_shard", T.IntegerType())])
+    own = [c for c in rows.columns if c not in ("shard", "slot", "grown_shard")]
+    hashed = rows.select(*own, F.expr(key_hash).alias("_key"))
+    new = [T.StructField("shard", T.IntegerType()), T.StructField("grown_shard", T.IntegerType()), T.StructField("_task", T.IntegerType()), T.StructField("_rank", T.LongType())]
+    schema = T.StructType([*(rows.schema[c] for c in own), *new])
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, met = TaskContext.get().partitionId(), np.zeros(shards, np.int64)
         for batch in batches:
             keys = batch.column("_key").to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
-            new = [pa.array(jump_hash(keys, n).astype(np.int32)) for n in (shards, shards + 1)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=schema.names)
+            shard, grown = jump_hash(keys, shards), jump_hash(keys, shards + 1)
+            order = np.argsort(shard, kind="stable")
+            n = np.bincount(shard, minlength=shards)
+            rank = np.empty(len(shard), np.int64)
+            rank[order] = np.arange(len(shard)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(met, n)
+            met += n
+            columns = [pa.array(c.astype(np.int32)) for c in (shard, grown, np.full(len(shard), task))]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in own), *columns, pa.array(rank)], names=schema.names)
 
-    placed = hashed.mapInArrow(place, schema).withColumn("_bucket", F.pmod(F.col("_key"), F.lit(buckets)))
-    counts = placed.groupBy("shard", "_bucket").agg(F.count("*").alias("_n"))
-    # shards x buckets narrow rows
-    before = counts.select(
-        "shard", "_bucket", (F.sum("_n").over(Window.partitionBy("shard").orderBy("_bucket")) - F.col("_n")).alias("_before")
-    )
-    rank = Window.partitionBy("shard", "_bucket").orderBy("_key", *rows.columns)
-    ranked = placed.withColumn("_rank", F.row_number().over(rank) - 1)
-    out = ranked.join(before, ["shard", "_bucket"]).withColumn("slot", F.col("_before") + F.col("_rank"))
-    return out.drop("_key", "_bucket", "_rank", "_before")
+    placed = stored(hashed.mapInArrow(place, schema), "shards")
+    counts = placed.groupBy("shard", "_task").agg(F.count("*").alias("_n"))
+    # shards x tasks narrow rows
+    before = counts.select("shard", "_task", (F.sum("_n").over(Window.partitionBy("shard").orderBy("_task")) - F.col("_n")).alias("_before"))
+    out = placed.join(before, ["shard", "_task"]).withColumn("slot", F.col("_before") + F.col("_rank"))
+    return out.select(*own, "shard", "slot", "grown_shard")
 
 
 def shard_documents(docs: DataFrame, shards: int = 24) -> DataFrame:

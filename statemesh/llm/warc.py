@@ -9,8 +9,9 @@ Reading: records are parsed by their Content-Length. Whole records are decoded w
 grouped by origin identifier, ordered by segment number, checked against the total length that the last segment states,
 joined and decoded. A group is one page's record, so no group grows with the corpus.
 
-Identifiers are functions of page_id and payload, so writing again gives the same archives. Rows that repeat both give
-equal records; reading counts them.
+Identifiers are functions of page_id and payload. Rows that repeat both have the same identifier; a header of their own
+(WARC-Copy) tells their segments apart, so that copies are never gathered in one group. Page ids may be of any type: whole
+numbers are written as they are, others by the hexadecimal digits of their text.
 
 Defined cases: null html is an empty payload; a null page_id counts as the largest identifier; repeated rows with the
 smallest page_id are all responses; an empty table makes no archive records; other columns are ignored. Missing segments or a wrong length raise an error.
@@ -25,7 +26,8 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -33,16 +35,36 @@ from ..session import ship
 from .exchange import scratch
 
 _NONE = "none"
+COPY = "WARC-Copy"
 
 
 def digest_of(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
+def page_name(page_id) -> str:
+    """How an identifier names a page; the same as name_column()."""
+    if page_id is None:
+        return _NONE
+    return str(page_id) if isinstance(page_id, int) else f"x{str(page_id).encode().hex().upper()}"
+
+
+def name_column(page: Column, kind: T.DataType) -> Column:
+    text = page.cast("string")
+    return F.coalesce(text if isinstance(kind, T.IntegralType) else F.concat(F.lit("x"), F.hex(text)), F.lit(_NONE))
+
+
+def page_column(uri: str, kind: T.DataType) -> Column:
+    """The page_id that a column of identifiers names."""
+    name = F.nullif(F.regexp_extract(uri, "page:([^/]*)/", 1), F.lit(""))
+    name = F.nullif(name, F.lit(_NONE))
+    return name.cast(kind) if isinstance(kind, T.IntegralType) else F.decode(F.unhex(F.substr(name, F.lit(2))), "UTF-8").cast(kind)
+
+
 def record_uri(page_id, payload: bytes, segment: int = 1) -> str:
     """A record's identifier; it can be turned back into the page's."""
     tail = f"#{segment}" if segment > 1 else ""
-    return f"<urn:statemesh:page:{_NONE if page_id is None else page_id}/{hashlib.sha1(payload).hexdigest()[:16]}{tail}>"
+    return f"<urn:statemesh:page:{page_name(page_id)}/{hashlib.sha1(payload).hexdigest()[:16]}{tail}>"
 
 
 def chunked(payload: bytes, size: int = 8192) -> bytes:
@@ -70,8 +92,8 @@ def record(headers: list[tuple[str, object]], block: bytes) -> bytes:
     return b"WARC/1.1\r\n" + head.encode() + b"\r\n" + block + b"\r\n\r\n"
 
 
-def records_of(page_id, url: str, payload: bytes, refers_to: str | None, segment_bytes: int) -> Iterator[bytes]:
-    """The records of one page: a revisit, or a response with its continuations."""
+def records_of(page_id, url: str, payload: bytes, refers_to: str | None, segment_bytes: int, copy: str = "0") -> Iterator[bytes]:
+    """The records of one page: a revisit, or a response with its continuations. copy tells rows with equal ids apart."""
     target = "".join(c for c in (url or "about:blank") if c > " ")
     digest = f"sha1:{digest_of(payload)}"
     common = [("WARC-Date", "2024-01-01T00:00:00Z"), ("WARC-Target-URI", target), ("WARC-Payload-Digest", digest)]
@@ -87,7 +109,7 @@ def records_of(page_id, url: str, payload: bytes, refers_to: str | None, segment
     for k, part in enumerate(parts, 1):
         own = [("WARC-Type", "response" if k == 1 else "continuation"), ("WARC-Record-ID", record_uri(page_id, payload, k)), *common]
         if len(parts) > 1:
-            own.append(("WARC-Segment-Number", k))
+            own += [("WARC-Segment-Number", k), (COPY, copy)]
         if k > 1:
             own.append(("WARC-Segment-Origin-ID", origin))
         if len(parts) > 1 and k == len(parts):
@@ -135,7 +157,7 @@ def with_references(pages: DataFrame, min_bytes: int) -> DataFrame:
     )
     # A frequent payload's rows are split by the skew-join rule; the groups' side has one row for each.
     joined = sized.join(groups, ["_sha", "_size"], "left")
-    name = F.concat(F.coalesce(F.col("_page").cast("string"), F.lit(_NONE)), F.lit("/"), F.substr("_sha", F.lit(1), F.lit(16)))
+    name = F.concat(name_column(F.col("_page"), pages.schema["page_id"].dataType), F.lit("/"), F.substr("_sha", F.lit(1), F.lit(16)))
     uri = F.concat(F.lit("<urn:statemesh:page:"), name, F.lit(">"))
     revisit = F.col("_n").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("_page"))
     return joined.select("page_id", "url", "payload", F.when(revisit, uri).alias("refers_to"))
@@ -154,11 +176,13 @@ def write_archives(
     rows = pages.select("page_id", "url", payload)
 
     def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, n = TaskContext.get().partitionId(), 0
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
                 out: list[bytes] = []
                 for r in batch.slice(at, 64).to_pylist():
-                    out += records_of(r["page_id"], r["url"], r["payload"] or b"", r["refers_to"], segment_bytes)
+                    out += records_of(r["page_id"], r["url"], r["payload"] or b"", r["refers_to"], segment_bytes, f"{task}.{n}")
+                    n += 1
                 # the text sink ends each row with the line feed that a record ends with
                 yield pa.RecordBatch.from_arrays([pa.array([x[:-1] for x in out], pa.binary())], names=["value"])
 
@@ -176,6 +200,7 @@ READ = T.StructType(
         T.StructField("digest", T.StringType()),
         T.StructField("segment", T.LongType()),
         T.StructField("total", T.LongType()),
+        T.StructField("copy", T.StringType()),
         T.StructField("block", T.BinaryType()),
     ]
 )
@@ -212,6 +237,7 @@ def read_archives(spark: SparkSession, path: str, keep_payload: bool = True) ->
                             head.get("warc-payload-digest", "").removeprefix("sha1:"),
                             number if "warc-segment-number" in head else 0,
                             int(total) if total else None,
+                            head.get(COPY.lower(), ""),
                             block,
                         )
                     )
@@ -234,7 +260,7 @@ def read_archives(spark: SparkSession, path: str, keep_payload: bool = True) ->
         for batch in batches:
             for r in batch.to_pylist():
                 parts = r["parts"]
-                copies = max(1, sum(p["segment"] == 1 for p in parts))  # repeated rows wrote equal records
+                copies = max(1, sum(p["segment"] == 1 for p in parts))  # equal records of other writers
                 block = b"".join(p["block"] for p in parts[::copies])
                 numbers, totals = [p["segment"] for p in parts], [p["total"] for p in parts if p["total"] is not None]
                 whole = [k for k in range(1, len(parts) // copies + 1) for _ in range(copies)]
@@ -249,7 +275,7 @@ def read_archives(spark: SparkSession, path: str, keep_payload: bool = True) ->
     whole = read.where("segment = 0").mapInArrow(decode, DECODED)
     segments = (
         read.where("segment > 0")
-        .groupBy("record_id")
+        .groupBy("record_id", "copy")
         .agg(F.first("digest").alias("digest"), F.sort_array(F.collect_list(F.struct("segment", "total", "block"))).alias("parts"))
     )
     return whole.unionByName(segments.mapInArrow(join, DECODED))
@@ -268,16 +294,11 @@ def page_round_trip(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     path = f"{scratch(spark)}/warc-{uuid.uuid4().hex}"
     write_archives(pages, path, min_bytes)
     id_type = pages.schema["page_id"].dataType
-
-    def page(column: str):
-        name = F.regexp_extract(column, r"page:(-?\d+)", 1)
-        return F.when(name != "", name).cast(id_type)
-
     read = read_archives(spark, path, keep_payload=False)
     return read.select(
-        page("record_id").alias("page_id"),
+        page_column("record_id", id_type).alias("page_id"),
         "payload_bytes",
         F.col("digest").alias("payload_digest"),
         "record_type",
-        page("refers_to").alias("refers_to"),
+        page_column("refers_to", id_type).alias("refers_to"),
     )

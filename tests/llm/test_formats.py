@@ -53,6 +53,17 @@ def test_packing_nothing_and_small_caches(spark):
         assert [np.frombuffer(b, "<u4").tolist() + [1] for b in words.encode(texts)] == [library_ids(t) for t in texts]
 
 
+def test_words_against_the_library():
+    r = random.Random(11)
+    words, letters = packing.WordIds(WORD_BPE), ["\u0130", "\u03a3", "\u03c3", "\u03c2", "a", "B", "\u00df", "\u01c5", "\u0307", "\u00e9", "\ufb01", ".", ",", "'", "@", "\u2014", "\n", " ", "1", "\uff11", "_", "\u0e33", "\u1e9e"]
+    texts = ["".join(r.choices(letters, k=r.randint(1, 12))) for _ in range(4000)]
+    got = [np.frombuffer(b, "<u4").tolist() + [1] for at in range(0, len(texts), 100) for b in words.encode(texts[at : at + 100])]
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(WORD_BPE)
+    assert [t for t, ids in zip(texts, got) if ids != tok.encode(t, add_special_tokens=False).ids + [1]] == []
+
+
 def jump(key, shards):
     b, j = -1, 0
     while j < shards:
@@ -84,6 +95,11 @@ def test_shards(spark):
     one = next(r for r in got if r["doc_id"] == 8)
     assert (one["size"], one["text_crc32"]) == (14, zlib.crc32("ééé".encode()))
     assert len({r["shard"] for r in got if r["doc_id"] == 3}) == 1
+    hot = sharding.shard_documents(spark.createDataFrame([(None, "x")] * 300 + [(1, "y")] * 300, DOCS).repartition(5)).collect()
+    by = {}
+    for r in hot:
+        by.setdefault(r["shard"], []).append(r["slot"])
+    assert len(by) <= 2 and all(sorted(s) == list(range(len(s))) for s in by.values())
     assert sharding.shard_documents(docs.limit(0)).count() == 0
 
 
@@ -109,6 +125,22 @@ def test_archives_round_trip(spark, tmp_path):
     assert got == sorted(want, key=str)
 
 
+def test_ids_that_are_no_numbers_and_copies_of_long_pages(spark, tmp_path):
+    r = random.Random(3)
+    big = "".join(r.choices("abcdef", k=3000))
+    rows = [("b/1", big), ("a b", big), ("\u00e9", "x"), ("", "x"), (None, big), ("7", None), ("zz", "q" * 2000), ("zz", "q" * 2000), ("zz", "q" * 2000)]
+    pages = spark.createDataFrame([(i, "u", h) for i, h in rows], "page_id string, url string, html string").repartition(2)
+    got = sorted(((x["page_id"], x["record_type"], x["refers_to"], x["payload_bytes"]) for x in warc.page_round_trip(pages).collect()), key=str)
+    first = {}
+    for i, h in sorted(rows, key=lambda x: (x[0] is None, x[0] or "")):
+        first.setdefault(h or "", i)
+    want = [(i, "response" if i == first[h or ""] else "revisit", None if i == first[h or ""] else first[h or ""], len(h or "")) for i, h in rows]
+    assert got == sorted(want, key=str)
+    warc.write_archives(pages, str(tmp_path / "w"), segment_bytes=500)
+    read = warc.read_archives(spark, str(tmp_path / "w")).where("record_type = 'response'").collect()
+    assert sorted(len(x["payload"]) for x in read) == [0, 1, 2000, 2000, 2000, 3000]
+
+
 def test_small_payloads_are_not_revisited_and_broken_archives_fail(spark, tmp_path):
     pages = spark.createDataFrame([(1, "a", "xx"), (2, "a", "xx"), (3, "a", "yyyy"), (4, "a", "yyyy")], "page_id bigint, url string, html string")
     kinds = {r["page_id"]: r["record_type"] for r in warc.page_round_trip(pages, min_bytes=3).collect()}
