@@ -14,6 +14,7 @@ repeated rows are packed again; an empty table gives no pieces; other columns ar
 from __future__ import annotations
 
 import re
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -98,7 +99,7 @@ class WordIds:
     @staticmethod
     def _words(text: str) -> list[str]:
         """Stretches to look up. Lower case, and a comma or stop after a letter or digit apart: fewer to learn, equal ids."""
-        if "\u0130" in text:  # lowered to a letter and a mark: left to the tokenizer, which composes marks before it lowers
+        if "\u0130" in text or not unicodedata.is_normalized("NFC", text):  # the tokenizer composes marks before it lowers
             return text.replace("\n", " ").split(" ")
         text = text.replace("\u03a3", "\u03c3").lower()  # a final sigma is lowered by its context, which the tokenizer does not do
         if not _RUN(text):
