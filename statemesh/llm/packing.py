@@ -99,9 +99,11 @@ class WordIds:
     @staticmethod
     def _words(text: str) -> list[str]:
         """Stretches to look up. Lower case, and a comma or stop after a letter or digit apart: fewer to learn, equal ids."""
-        if "\u0130" in text or not unicodedata.is_normalized("NFC", text):  # the tokenizer composes marks before it lowers
-            return text.replace("\n", " ").split(" ")
-        text = text.replace("\u03a3", "\u03c3").lower()  # a final sigma is lowered by its context, which the tokenizer does not do
+        # a final sigma is lowered by its context, which the tokenizer does not do
+        low = text.replace("\u03a3", "\u03c3").lower()
+        if "\u0130" in text or not (unicodedata.is_normalized("NFC", text) and unicodedata.is_normalized("NFC", low)):
+            return text.replace("\n", " ").split(" ")  # the tokenizer composes marks before it lowers
+        text = low
         if not _RUN(text):
             text = text.replace(", ", " , ").replace(". ", " . ").replace(".\n", " . ")
         return text.replace("\n", " ").split(" ")
