@@ -1,9 +1,13 @@
 """Shared plumbing of the operators that look up corpus-wide facts for many keys.
 
-A *chunk* is a bounded run of documents held as one table row. Each chunk sorts its distinct 64-bit keys and cuts
-them by key range into *buckets*; one row per (chunk, bucket) carries the keys as a packed blob, so a shuffle moves
-few rows and about five bytes a key. A bucket sees every chunk's blob for its key range, whatever the frequency of a
-single key: a key costs one entry per chunk, so a hot key cannot fill a bucket. Replies travel back by chunk.
+A *chunk* is a bounded run of documents held as one table row. Each chunk sorts its distinct 64-bit keys, and a *bucket*
+answers all chunks for one range of keys. A key costs one entry per chunk, so a hot key cannot fill a bucket. Entries travel
+as packed columns, about five bytes a key, in few rows; replies travel back by chunk.
+
+A row per chunk and bucket would make the rows grow with the square of the corpus. So a ``Route`` has a fixed fan-out: with
+more chunks than that, chunks meet in groups of about ``fan`` and ranges of ``fan`` buckets first, and the groups' entries
+are put together and cut finer, level by level, like the passes of a radix sort. Each level makes at most ``fan`` rows a
+chunk and the number of levels is the logarithm of the number of chunks: rows and bytes follow the corpus.
 
 Chunks are written once to the shared folder, bucketed by chunk id, before anything is derived from them. Later
 stages read that table again: they never depend on a repeated run of the tokenising stage having dealt rows alike.
@@ -12,8 +16,10 @@ stages read that table again: they never depend on a repeated run of the tokenis
 from __future__ import annotations
 
 import ctypes
+import pickle
 import uuid
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -128,14 +134,139 @@ def unpack_sorted(b: bytes) -> np.ndarray:
     return np.cumsum(unpack(b, np.uint64), dtype=np.uint64)
 
 
-def edges(buckets: int) -> np.ndarray:
-    """First key of every bucket but the first."""
-    return np.array([(i << 64) // buckets for i in range(1, buckets)], dtype=np.uint64)
+def cuts(keys: np.ndarray, buckets: int, step: int = 1) -> np.ndarray:
+    """Where sorted keys are cut by ranges of ``step`` buckets: range i has keys[cuts[i]:cuts[i + 1]]."""
+    first = np.array([(i << 64) // buckets for i in range(step, buckets, step)], dtype=np.uint64)
+    return np.concatenate([[0], np.searchsorted(keys, first), [len(keys)]]).astype(np.int64)
+
 
+Columns = dict[str, "np.ndarray | pa.Array"]
 
-def cuts(keys: np.ndarray, buckets: int) -> np.ndarray:
-    """Where sorted keys are cut: bucket i has keys[cuts[i]:cuts[i + 1]]."""
-    return np.concatenate([[0], np.searchsorted(keys, edges(buckets)), [len(keys)]]).astype(np.int64)
+
+def seal(columns: Columns) -> bytes:
+    """Columns of entries as bytes: numbers packed (the column ``key`` ascends), Arrow arrays as compressed streams."""
+    out: dict[str, tuple] = {}
+    for name, c in columns.items():
+        if isinstance(c, np.ndarray):
+            out[name] = (c.dtype.str, pack_sorted(c) if name == "key" else pack(c))
+        else:
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, pa.schema([(name, c.type)]), options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+                w.write_batch(pa.RecordBatch.from_arrays([c], names=[name]))
+            out[name] = ("arrow", sink.getvalue().to_pybytes())
+    return pickle.dumps(out, protocol=5)
+
+
+def unseal(body: bytes) -> Columns:
+    found: Columns = {}
+    for name, (kind, raw) in pickle.loads(body).items():
+        if kind == "arrow":
+            c = pa.ipc.open_stream(raw).read_all().column(0).combine_chunks()
+            found[name] = c.chunk(0) if isinstance(c, pa.ChunkedArray) else c
+        else:
+            found[name] = unpack_sorted(raw) if name == "key" else unpack(raw, np.dtype(kind))
+    return found
+
+
+def joined(parts: list[Columns]) -> Columns:
+    """Entries of several rows, one after the other."""
+    return {n: (np.concatenate if isinstance(c, np.ndarray) else pa.concat_arrays)([p[n] for p in parts]) for n, c in parts[0].items()}
+
+
+def taken(columns: Columns, at: np.ndarray) -> Columns:
+    return {n: c[at] if isinstance(c, np.ndarray) else c.take(pa.array(at)) for n, c in columns.items()}
+
+
+ROUTED = "lane int, range bigint, meet bigint, sender bigint, body binary"
+REPLIED = "lane int, range bigint, sender bigint, body binary"
+
+
+def as_batch(rows: list[tuple], ddl: str) -> pa.RecordBatch:
+    kinds = {"int": pa.int32(), "bigint": pa.int64(), "binary": pa.binary(), "string": pa.string()}
+    fields = [f.split() for f in ddl.split(", ")]
+    columns = list(zip(*rows)) or [()] * len(fields)
+    return pa.RecordBatch.from_arrays([pa.array(c, kinds[t]) for c, (_, t) in zip(columns, fields)], names=[n for n, _ in fields])
+
+
+@dataclass(frozen=True)
+class Route:
+    """How entries get from chunks to buckets of keys and back. ``meets``: the number of groups of chunks at each level."""
+
+    buckets: int
+    meets: tuple[int, ...]
+    fan: int
+
+    @classmethod
+    def of(cls, chunks: int, buckets: int, fan: int = 256) -> Route:
+        meets = []
+        while chunks > fan:
+            chunks = -(-chunks // fan)
+            meets.append(chunks)
+        return cls(max(1, buckets), tuple(meets), fan)
+
+    def meeting(self, chunks: np.ndarray, level: int) -> np.ndarray:
+        """The group of each chunk at a level; -1 is the chunk itself, and on the last level all meet."""
+        if level < 0:
+            return chunks
+        if level == len(self.meets):
+            return np.zeros(len(chunks), np.int64)
+        at = (mix(chunks.astype(np.int64).view(np.uint64), np.uint64(3)) >> np.uint64(1)).astype(np.int64)
+        for n in self.meets[: level + 1]:
+            at = at % n
+        return at
+
+    def letters(self, lane: int, columns: Columns, level: int = 0) -> list[tuple]:
+        """ROUTED rows of entries that are sorted by key and come from one sender."""
+        if not len(columns["key"]):
+            return []
+        at = cuts(columns["key"], self.buckets, self.fan ** (len(self.meets) - level))
+        one = columns["chunk"][:1]
+        meet, sender = int(self.meeting(one, level)[0]), int(self.meeting(one, level - 1)[0])
+        some = np.flatnonzero(np.diff(at)).tolist()
+        return [(lane, i, meet, sender, seal({n: c[at[i] : at[i + 1]] for n, c in columns.items()})) for i in some]
+
+    def forward(self, requests: DataFrame) -> DataFrame:
+        """ROUTED rows as they reach the buckets: to be grouped by lane and range, which is the bucket now."""
+
+        def hop(level: int):
+            def put_together(group: pa.Table) -> pa.Table:
+                columns = joined([unseal(b.as_py()) for b in group.column("body")])
+                columns = taken(columns, np.argsort(columns["key"], kind="stable"))
+                rows = self.letters(group.column("lane")[0].as_py(), columns, level)
+                release_memory()
+                return pa.Table.from_batches([as_batch(rows, ROUTED)])
+
+            return put_together
+
+        for level in range(1, len(self.meets) + 1):
+            requests = requests.groupBy("lane", "range", "meet").applyInArrow(hop(level), ROUTED)
+        return requests
+
+    def backward(self, replies: DataFrame) -> DataFrame:
+        """REPLIED rows of buckets, with the chunk of each entry, as they reach the chunks (sender); ranges ascend with the keys."""
+
+        def hop(level: int):
+            def part(group: pa.Table) -> pa.Table:
+                rows = sorted(group.select(["lane", "range", "sender", "body"]).to_pylist(), key=lambda r: r["range"])
+                columns = joined([unseal(r["body"]) for r in rows])
+                to = self.meeting(columns["chunk"], level - 1)
+                order = np.argsort(to, kind="stable")
+                edge = np.concatenate([np.flatnonzero(np.diff(to[order], prepend=to[order][0] - 1)), [len(to)]])
+                lane, at = rows[0]["lane"], rows[0]["range"] // self.fan
+                out = [(lane, at, int(to[order[a]]), seal(taken(columns, order[a:b]))) for a, b in zip(edge[:-1], edge[1:])]
+                return pa.Table.from_batches([as_batch(out, REPLIED)])
+
+            return part
+
+        for level in reversed(range(len(self.meets))):
+            coarse = F.floor(F.col("range") / self.fan).alias("coarse")
+            replies = replies.groupBy("lane", coarse, "sender").applyInArrow(hop(level), REPLIED)
+        return replies
+
+
+def replied(rows: list[dict]) -> Columns:
+    """What came back to one chunk in one lane, in the order of its sorted distinct keys."""
+    return joined([unseal(r["body"]) for r in sorted(rows, key=lambda r: r["range"])])
 
 
 def mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:

@@ -17,7 +17,8 @@ Tables. N-grams are 64-bit hashes; counts and backoff weights are stored in the
 order, as sorted packed runs by key range. A chunk of documents asks for each distinct n-gram once, so what is moved
 follows the distinct n-grams of chunks, not the tokens; a frequent n-gram costs one entry a chunk. A bucket answers every
 chunk in the pass that adds its counts up, and names one chunk as the owner of each n-gram: owners add up the context
-sums, so no second shuffle of the n-gram table is needed. Nothing but counts of counts comes to the driver.
+sums, so no second shuffle of the n-gram table is needed. Requests and answers go by exchange.Route, whose rows follow the
+corpus and not its square. Nothing but counts of counts comes to the driver.
 
 Defined cases: null text is one end token; a null id is hashed as the empty text, which holds it out; without any
 training document every token is unknown; repeated rows train and are scored each; other columns are ignored.
@@ -38,7 +39,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import ship
-from .exchange import cuts, mix, n_partitions, pack, pack_sorted, release_memory, stored, stored_by_chunk, unpack, unpack_sorted
+from .exchange import REPLIED, ROUTED, Route, as_batch, joined, mix, n_partitions, pack, pack_sorted, release_memory, replied, seal, stored, stored_by_chunk, unpack, unpack_sorted, unseal
 
 #: Hashes of symbols that no word can equal: words hold no blank.
 END = np.uint64(xxhash.xxh3_64_intdigest(b" end"))
@@ -184,81 +185,76 @@ class Chunk:
         return self._grams[m]
 
 
-REQUEST = "order int, bucket int, chunk bigint, keys binary, a binary, b binary, c binary"
-ANSWER = "kind string, order int, bucket int, chunk bigint, a binary, b binary"
+ANSWER = f"kind string, {REPLIED}"
 
 
-def _requests(chunk: int, order: int, keys: np.ndarray, values: list[np.ndarray], buckets: int) -> Iterator[tuple]:
-    at = cuts(keys, buckets)
-    for i in range(buckets):
-        s = slice(at[i], at[i + 1])
-        if at[i] < at[i + 1]:
-            yield (order, i, chunk, pack_sorted(keys[s]), *(pack(v[s]) for v in values), *[None] * (3 - len(values)))
+def _given(group: pa.Table) -> tuple[int, int, list[tuple[int, int]], dict]:
+    """(lane, bucket, (sender, entries) of each row, all entries)."""
+    rows = group.select(["lane", "range", "sender", "body"]).to_pylist()
+    parts = [unseal(r["body"]) for r in rows]
+    return rows[0]["lane"], rows[0]["range"], [(r["sender"], len(p["key"])) for r, p in zip(rows, parts)], joined(parts)
 
 
-def _as_batch(rows: list[tuple], ddl: str) -> pa.RecordBatch:
-    kinds = {"int": pa.int32(), "bigint": pa.int64(), "binary": pa.binary(), "string": pa.string()}
-    fields = [f.split() for f in ddl.split(", ")]
-    columns = list(zip(*rows)) or [()] * len(fields)
-    return pa.RecordBatch.from_arrays([pa.array(c, kinds[t]) for c, (_, t) in zip(columns, fields)], names=[n for n, _ in fields])
+def _answers(kind: str, lane: int, bucket: int, given: list[tuple[int, int]], columns: dict) -> list[tuple]:
+    out, first = [], 0
+    for sender, n in given:
+        out.append((kind, lane, bucket, sender, seal({name: c[first : first + n] for name, c in columns.items()})))
+        first += n
+    return out
 
 
-def count_requests(chunks: DataFrame, order: int, buckets: int) -> DataFrame:
-    """REQUEST rows: each chunk's distinct n-grams of orders 1 to order with their counts in training documents."""
+def count_requests(chunks: DataFrame, order: int, route: Route) -> DataFrame:
+    """ROUTED rows: each chunk's distinct n-grams of orders 1 to order with their counts in training documents."""
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
                 chunk = Chunk(row)
                 for m in range(1, order + 1):
-                    grams = chunk.grams(m)
-                    keys, at = np.unique(grams, return_inverse=True)
+                    keys, at = np.unique(chunk.grams(m), return_inverse=True)
                     counts = np.bincount(at[chunk.trained], minlength=len(keys)).astype(np.uint32)
-                    yield _as_batch(list(_requests(row["chunk"], m, keys, [counts], buckets)), REQUEST)
-                del chunk, grams, keys, at
+                    entries = {"key": keys, "chunk": np.full(len(keys), row["chunk"]), "n": counts}
+                    yield as_batch(route.letters(m, entries), ROUTED)
+                del chunk, keys, at, counts, entries
                 release_memory()
 
-    return chunks.mapInArrow(ask, REQUEST)
+    return chunks.mapInArrow(ask, ROUTED)
 
 
 def count_answers(requests: DataFrame, k: int) -> DataFrame:
     """ANSWER rows: 'reply' (totals for a chunk, doubled, plus 1 where it owns the n-gram), 'table', 'stats'."""
 
     def add_up(group: pa.Table) -> pa.Table:
-        rows = sorted(group.to_pylist(), key=lambda r: r["chunk"])
-        parts = [unpack_sorted(r["keys"]) for r in rows]
-        counts = np.concatenate([unpack(r["a"], np.uint32) for r in rows]).astype(np.int64)
-        keys, at = np.unique(np.concatenate(parts), return_inverse=True)
+        order, bucket, given, entries = _given(group)
+        counts = entries["n"].astype(np.int64)
+        keys, at = np.unique(entries["key"], return_inverse=True)
         totals = np.bincount(at, weights=counts, minlength=len(keys)).astype(np.uint64)
         nonzero = np.flatnonzero(counts)
+        nonzero = nonzero[np.argsort(entries["chunk"][nonzero], kind="stable")]
         owners = nonzero[np.unique(at[nonzero], return_index=True)[1]]  # the first chunk with the n-gram in training
         reply = totals[at] * np.uint64(2)
         reply[owners] += np.uint64(1)
-        order, bucket = rows[0]["order"], rows[0]["bucket"]
-        out, first = [], 0
-        for r, p in zip(rows, parts):
-            out.append(("reply", order, bucket, r["chunk"], pack(reply[first : first + len(p)]), None))
-            first += len(p)
+        out = _answers("reply", order, bucket, given, {"chunk": entries["chunk"], "v": reply})
         seen = totals > 0
-        out.append(("table", order, bucket, 0, pack_sorted(keys[seen]), pack(totals[seen])))
+        out.append(("table", order, bucket, 0, seal({"key": keys[seen], "count": totals[seen]})))
         release_memory()
         stats = np.concatenate([[seen.sum(), totals.sum()], np.bincount(np.minimum(totals, k + 2).astype(np.int64), minlength=k + 3)])
-        out.append(("stats", order, bucket, 0, stats.astype(np.int64).tobytes(), None))
-        return pa.Table.from_batches([_as_batch(out, ANSWER)])
+        out.append(("stats", order, bucket, 0, stats.astype(np.int64).tobytes()))
+        return pa.Table.from_batches([as_batch(out, ANSWER)])
 
-    return requests.groupBy("order", "bucket").applyInArrow(add_up, ANSWER)
+    return requests.groupBy("lane", "range").applyInArrow(add_up, ANSWER)
 
 
 def statistics_of(answers: DataFrame, k: int) -> dict[int, np.ndarray]:
     """By order: distinct n-grams, tokens, then counts of counts 0..k+2 (the last: and above). Added up in the cluster."""
-    rows = answers.where("kind = 'stats'").select("order", "a")
+    rows = answers.where("kind = 'stats'").select("lane", "body")
     width = k + 5
     schema = "order int, i int, v bigint"
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = [(o, i, int(v)) for o, a in zip(*map(pa.Array.to_pylist, batch.columns)) for i, v in enumerate(np.frombuffer(a, np.int64))]
-            yield _as_batch(out, schema)
+            yield as_batch(out, schema)
 
     found: dict[int, np.ndarray] = {}
     for r in rows.mapInArrow(spread, schema).groupBy("order", "i").agg(F.sum("v").alias("v")).collect():  # orders x (k+5) rows
@@ -273,23 +269,20 @@ class Evaluation:
         self.chunk, self.model = Chunk(row), model
         by: dict[tuple, list] = {}
         for r in replies:
-            by.setdefault((r["kind"], r["order"]), []).append(r)
+            by.setdefault((r["kind"], r["lane"]), []).append(r)
         self.count, self.owner, self.index = {}, {}, {}
         for m in range(1, model["order"] + 1):
-            own = sorted(by.get(("reply", m), []), key=lambda r: r["bucket"])
             keys, at = np.unique(self.chunk.grams(m), return_inverse=True)
-            v = np.concatenate([unpack(r["a"], np.uint64) for r in own])
+            v = replied(by[("reply", m)])["v"]
             assert len(v) == len(keys), "a reply is missing"
             self.count[m], self.owner[m], self.index[m] = (v >> np.uint64(1)).astype(np.int64), (v & np.uint64(1)).astype(bool), at
         self.weight = {}
         for m in range(2, model["order"] + 1):
-            own = sorted(by.get(("weights", m), []), key=lambda r: r["bucket"])
-            if own:
-                total = np.concatenate([unpack(r["a"], np.float64) for r in own])
-                alpha = np.concatenate([unpack(r["b"], np.float64) for r in own])
+            if ("weights", m) in by:
+                own = replied(by[("weights", m)])
                 keys, at = np.unique(self.chunk.contexts(m), return_inverse=True)
-                assert len(total) == len(keys), "a weight is missing"
-                self.weight[m] = (total[at], alpha[at])
+                assert len(own["total"]) == len(keys), "a weight is missing"
+                self.weight[m] = (own["total"][at], own["alpha"][at])
 
     def probability(self, m: int) -> np.ndarray:
         """P of each token given its m-1 symbols before: recurs to the lower orders."""
@@ -304,8 +297,11 @@ class Evaluation:
         return np.where(seen, discounted / np.where(known, total, 1.0), np.where(known, alpha, 1.0) * lower)
 
 
-def context_requests(chunks: DataFrame, replies: DataFrame, model: dict, m: int, buckets: int) -> DataFrame:
-    """REQUEST rows: each chunk's contexts of order m; over the m-grams it owns the sums of c, of d_c * c and of lower P."""
+def context_requests(chunks: DataFrame, replies: DataFrame, model: dict, m: int, route: Route) -> DataFrame:
+    """ROUTED rows: each chunk's contexts of order m; over the m-grams it owns the sums of c, of d_c * c and of lower P.
+
+    ``asks`` marks contexts of held-out tokens: only there an m-gram can be unseen, so only they need a backoff weight.
+    """
 
     def ask(_key, left: pa.Table, right: pa.Table) -> pa.Table:
         out: list[tuple] = []
@@ -318,37 +314,41 @@ def context_requests(chunks: DataFrame, replies: DataFrame, model: dict, m: int,
             c, context = e.count[m][own], at[first[own]]
             lower = e.probability(m - 1)[first[own]]
             sums = [np.bincount(context, weights=w, minlength=len(keys)) for w in (c, model["discounts"][m].of(c) * c, lower)]
-            out += _requests(row["chunk"], m, keys, [sums[0], sums[1], sums[2]], buckets)
-            del e, at, first, own, c, context, lower, sums
+            asks = np.zeros(len(keys), np.uint8)
+            asks[at[~e.chunk.trained]] = 1
+            entries = {"key": keys, "chunk": np.full(len(keys), row["chunk"]), "asks": asks}
+            out += route.letters(m, entries | {"count": sums[0].astype(np.uint64), "kept": sums[1], "lower": sums[2]})
+            del e, at, first, own, c, context, lower, sums, entries
             release_memory()
-        return pa.Table.from_batches([_as_batch(out, REQUEST)])
+        return pa.Table.from_batches([as_batch(out, ROUTED)])
+
+    return chunks.groupBy("chunk").cogroup(_by_chunk(replies)).applyInArrow(ask, ROUTED)
 
-    return chunks.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(ask, REQUEST)
+
+def _by_chunk(replies: DataFrame):
+    return replies.withColumnRenamed("sender", "chunk").groupBy("chunk")
 
 
 def context_answers(requests: DataFrame) -> DataFrame:
-    """ANSWER rows: 'weights' for each chunk (D + L, 0 for unseen contexts; alpha) and the 'table' of backoff weights."""
+    """ANSWER rows: 'weights' for each chunk (D + L, 0 for unseen contexts; alpha where asked) and the 'backoff' table."""
 
     def add_up(group: pa.Table) -> pa.Table:
-        rows = sorted(group.to_pylist(), key=lambda r: r["chunk"])
-        parts = [unpack_sorted(r["keys"]) for r in rows]
-        keys, at = np.unique(np.concatenate(parts), return_inverse=True)
-        count, kept, lower = (
-            np.bincount(at, weights=np.concatenate([unpack(r[c], np.float64) for r in rows]), minlength=len(keys)) for c in "abc"
-        )
+        order, bucket, given, entries = _given(group)
+        # chunks add in one order, whatever the order of arrival
+        by = np.argsort(entries["chunk"], kind="stable")
+        keys, at = np.unique(entries["key"], return_inverse=True)
+        count, kept, lower = (np.bincount(at[by], weights=entries[c][by].astype(np.float64), minlength=len(keys)) for c in ("count", "kept", "lower"))
         seen = count > 0
         left = np.maximum(count - kept, 0.5)
         total = np.where(seen, kept + left, 0.0)
         alpha = np.where(seen, left / np.where(seen, total, 1.0) / np.maximum(1.0 - lower, 1e-12), 1.0)
-        order, bucket, out, first = rows[0]["order"], rows[0]["bucket"], [], 0
-        for r, p in zip(rows, parts):
-            own = at[first : first + len(p)]
-            out.append(("weights", order, bucket, r["chunk"], pack(total[own]), pack(alpha[own])))
-            first += len(p)
-        out.append(("backoff", order, bucket, 0, pack_sorted(keys[seen]), pack(np.column_stack([total, alpha])[seen].ravel())))
-        return pa.Table.from_batches([_as_batch(out, ANSWER)])
+        wanted = np.where(entries["asks"] > 0, alpha[at], 0.0)
+        out = _answers("weights", order, bucket, given, {"chunk": entries["chunk"], "total": total[at], "alpha": wanted})
+        out.append(("backoff", order, bucket, 0, seal({"key": keys[seen], "total": total[seen], "alpha": alpha[seen]})))
+        release_memory()
+        return pa.Table.from_batches([as_batch(out, ANSWER)])
 
-    return requests.groupBy("order", "bucket").applyInArrow(add_up, ANSWER)
+    return requests.groupBy("lane", "range").applyInArrow(add_up, ANSWER)
 
 
 @dataclass
@@ -361,15 +361,26 @@ class KatzModel:
     numbers: dict
 
 
-def fit(docs: DataFrame, order: int = 2, k: int = 5, fold: int = 10, max_tokens: int = 1_500_000) -> KatzModel:
+def _returned(answers: DataFrame, kind: str, route: Route) -> DataFrame:
+    """(kind, lane, range, sender, body) of one kind, by chunk."""
+    back = route.backward(answers.where(F.col("kind") == kind).drop("kind"))
+    if route.meets:
+        back = stored(back, f"katz-{kind}")
+    return back.select(F.lit(kind).alias("kind"), *REPLIED_NAMES)
+
+
+REPLIED_NAMES = [f.split()[0] for f in REPLIED.split(", ")]
+
+
+def fit(docs: DataFrame, order: int = 3, k: int = 5, fold: int = 10, max_tokens: int = 1_500_000, bucket_keys: int = 2_000_000, fan: int = 256) -> KatzModel:
     """Train on documents whose crc32(doc_id as text) mod fold is not 0; all documents' look-ups are prepared."""
     spark = docs.sparkSession
     ship(spark)
     parts = n_partitions(spark)
     chunks = stored_by_chunk(tokenised(docs, fold, max_tokens), "katz", parts)
-    tokens = chunks.agg(F.sum("n_tokens")).first()[0] or 0
-    buckets = max(4, -(-tokens // 2_000_000))
-    answers = stored(count_answers(count_requests(chunks, order, buckets), k), "katz-counts", ("kind", "order"))
+    sizes = chunks.agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("chunks")).first()
+    route = Route.of(sizes["chunks"], max(4, -(-(sizes["tokens"] or 0) // bucket_keys)), fan)
+    answers = stored(count_answers(route.forward(count_requests(chunks, order, route)), k), "katz-counts", ("kind", "lane"))
     stats = statistics_of(answers, k)
     empty = np.zeros(k + 5, np.int64)
     discounts = {m: good_turing(dict(enumerate(map(int, stats.get(m, empty)[2:]))), k) for m in range(1, order + 1)}
@@ -379,12 +390,12 @@ def fit(docs: DataFrame, order: int = 2, k: int = 5, fold: int = 10, max_tokens:
     kept = total - sum(r * int(n[2 + r]) * (1 - discounts[1].factors[r]) for r in range(1, k + 1))
     unknown = max(total - kept, 0.5)
     numbers = {"order": order, "discounts": discounts, "unknown": unknown, "total": kept + unknown, "tokens": total, "distinct": int(n[0])}
-    replies, tables = answers.where("kind = 'reply'"), [answers.where("kind = 'table'")]
+    replies, tables = _returned(answers, "reply", route), [answers.where("kind = 'table'")]
     for m in range(2, order + 1):
-        asked = context_requests(chunks, replies, numbers, m, buckets)
-        weights = stored(context_answers(asked), f"katz-weights-{m}", ("kind", "order"))
+        asked = route.forward(context_requests(chunks, replies, numbers, m, route))
+        weights = stored(context_answers(asked), f"katz-weights-{m}", ("kind", "lane"))
         tables.append(weights.where("kind = 'backoff'"))
-        replies = replies.unionByName(weights.where("kind = 'weights'"))
+        replies = replies.unionByName(_returned(weights, "weights", route))
     return KatzModel(chunks, replies, tables, numbers)
 
 
@@ -424,9 +435,9 @@ def score(model: KatzModel, id_type: T.DataType) -> DataFrame:
             release_memory()
         return pa.concat_tables(tables)
 
-    return model.chunks.groupBy("chunk").cogroup(model.replies.groupBy("chunk")).applyInArrow(evaluate, schema)
+    return model.chunks.groupBy("chunk").cogroup(_by_chunk(model.replies)).applyInArrow(evaluate, schema)
 
 
-def katz_scores(docs: DataFrame, order: int = 2, k: int = 5, fold: int = 10, max_tokens: int = 1_500_000) -> DataFrame:
-    """Train on the documents that are not held out and score every one."""
-    return score(fit(docs, order, k, fold, max_tokens), docs.schema["doc_id"].dataType)
+def katz_scores(docs: DataFrame, order: int = 3, k: int = 5, fold: int = 10, max_tokens: int = 1_500_000, **sizes: int) -> DataFrame:
+    """Train on the documents that are not held out and score every one. sizes: bucket_keys and fan, see fit()."""
+    return score(fit(docs, order, k, fold, max_tokens, **sizes), docs.schema["doc_id"].dataType)

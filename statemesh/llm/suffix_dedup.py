@@ -2,7 +2,8 @@
 
 Suffixes are compared only through ``depth`` bytes (the threshold), by most-significant-digit passes. Each pass parts the
 groups of suffixes that are still equal by one more digit, and suffixes that are alone leave at once; the groups left after
-the last digit are exactly the repeated windows. All but the earliest window of each group are removed.
+the last digit are exactly the repeated windows. All but the earliest window of each group are removed. A departure from the
+plain form: only equality matters here, so digits are hashes of pieces, and groups come in the order of hashes, not of bytes.
 
 The first digit is content-defined, so that one pass can deal the suffixes out without moving them all: it is the least
 hash of the 48-byte strings within the window (leftmost, with its place in the window). Equal windows have equal first
@@ -10,10 +11,11 @@ digits, and consecutive windows mostly share theirs, so a run of windows travels
 its first digit occurs again. The next digits are hashes of 25-byte pieces; members of the last groups are compared byte by byte.
 
 A chunk sends each distinct stretch once: its own later copies are removed in any case. A passage that a third of all
-documents share thus costs one stretch a chunk. Replies are one bit a window. Documents are stored once, bucketed by chunk.
+documents share thus costs one stretch a chunk, and a bucket keeps its text once. Replies are one bit a window. Documents are
+stored once, bucketed by chunk; requests and replies go by exchange.Route, whose rows follow the corpus and not its square.
 
-Defined cases: null text is empty; windows never cross documents; "earlier" is the smaller (doc_id, then scan order where
-ids repeat, then start), null ids last; documents shorter than the depth lose nothing; an empty table gives no rows.
+Defined cases: null text is empty; windows never cross documents; "earlier" is the smaller (doc_id of any type that has an
+order, then scan order where ids repeat, then start), null ids last; documents shorter than the depth lose nothing; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -23,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark import TaskContext
@@ -31,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import ship
-from .exchange import cuts, mix, n_partitions, pack, pack_sorted, release_memory, stored, stored_by_chunk, unpack, unpack_sorted
+from .exchange import REPLIED, ROUTED, Route, as_batch, joined, mix, n_partitions, pack, release_memory, replied, seal, stored, stored_by_chunk, unpack, unseal
 
 #: Length of the strings whose hashes compete for the first digit, and odd multiplier of the rolling hash.
 GRAM = 48
@@ -181,22 +184,13 @@ class Chunk:
 
 
 def order_key(ids: pa.Array) -> np.ndarray:
-    """doc_id as long, nulls last."""
-    return np.array([_NULL_LAST if v is None else v for v in ids.to_pylist()], np.int64)
+    """Numbers in the order of the ids, nulls last: whole numbers as they are, others by their rank among these."""
+    if pa.types.is_integer(ids.type):
+        return ids.cast(pa.int64()).fill_null(int(_NULL_LAST)).to_numpy(zero_copy_only=False)
+    return pc.rank(ids, "ascending", null_placement="at_end", tiebreaker="dense").to_numpy().astype(np.int64)
 
 
-REQUEST = "bucket int, chunk bigint, keys binary, a binary, b binary, c binary, d binary, text binary"
-REPLY = "phase int, bucket int, chunk bigint, a binary"
-
-
-def _rows(rows: list[tuple], ddl: str) -> pa.RecordBatch:
-    kinds = {"int": pa.int32(), "bigint": pa.int64(), "binary": pa.binary()}
-    fields = [f.split() for f in ddl.split(", ")]
-    columns = list(zip(*rows)) or [()] * len(fields)
-    return pa.RecordBatch.from_arrays([pa.array(c, kinds[t]) for c, (_, t) in zip(columns, fields)], names=[n for n, _ in fields])
-
-
-def digit_requests(chunks: DataFrame, depth: int, buckets: int) -> DataFrame:
+def digit_requests(chunks: DataFrame, depth: int, route: Route) -> DataFrame:
     """Each chunk's distinct first digits and whether they occur there in more than one run."""
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -204,77 +198,76 @@ def digit_requests(chunks: DataFrame, depth: int, buckets: int) -> DataFrame:
             for row in batch.to_pylist():
                 keys, at = Chunk(row, depth).distinct()
                 many = (np.bincount(at, minlength=len(keys)) > 1).astype(np.uint8)
-                c = cuts(keys, buckets)
-                out = [
-                    (i, row["chunk"], pack_sorted(keys[c[i] : c[i + 1]]), pack(many[c[i] : c[i + 1]]), *[None] * 4)
-                    for i in range(buckets)
-                    if c[i] < c[i + 1]
-                ]
-                yield _rows(out, REQUEST)
+                yield as_batch(route.letters(0, {"key": keys, "chunk": np.full(len(keys), row["chunk"]), "many": many}), ROUTED)
+
+    return chunks.mapInArrow(ask, ROUTED)
+
 
-    return chunks.mapInArrow(ask, REQUEST)
+def _replies(lane: int, bucket: int, given: list[tuple[int, int]], columns: dict) -> pa.Table:
+    out, first = [], 0
+    for sender, n in given:
+        out.append((lane, bucket, sender, seal({name: c[first : first + n] for name, c in columns.items()})))
+        first += n
+    return pa.Table.from_batches([as_batch(out, REPLIED)])
 
 
 def digit_replies(requests: DataFrame) -> DataFrame:
-    """For each chunk's digits a bit: it occurs again, here or elsewhere."""
+    """For each chunk's digits: whether it occurs again, here or elsewhere."""
 
     def judge(group: pa.Table) -> pa.Table:
-        rows = group.to_pylist()
-        keys = [unpack_sorted(r["keys"]) for r in rows]
-        _, at = np.unique(np.concatenate(keys), return_inverse=True)
-        n = np.bincount(at, weights=np.concatenate([unpack(r["a"], np.uint8) for r in rows]) + 1)
-        bits, out, first = n[at] > 1, [], 0
-        for r, k in zip(rows, keys):
-            out.append((0, r["bucket"], r["chunk"], np.packbits(bits[first : first + len(k)]).tobytes()))
-            first += len(k)
-        return pa.Table.from_batches([_rows(out, REPLY)])
-
-    return requests.groupBy("bucket").applyInArrow(judge, REPLY)
-
-
-def _repeated(chunk: Chunk, replies: list[dict], buckets: int) -> np.ndarray:
-    keys, at = chunk.distinct()
-    c = cuts(keys, buckets)
-    bits = np.zeros(len(keys), bool)
-    for r in replies:
-        if r["phase"] == 0:
-            a, b = c[r["bucket"]], c[r["bucket"] + 1]
-            bits[a:b] = np.unpackbits(np.frombuffer(r["a"], np.uint8))[: b - a].astype(bool)
-    return bits[at]
-
-
-def _sent(chunk: Chunk, repeated: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Runs that the chunk sends, by digit; their cuts; and the runs that copy one of them."""
+        rows = group.select(["range", "sender", "body"]).to_pylist()
+        parts = [unseal(r["body"]) for r in rows]
+        _, at = np.unique(np.concatenate([p["key"] for p in parts]), return_inverse=True)
+        n = np.bincount(at, weights=np.concatenate([p["many"] for p in parts]) + 1)
+        given = [(r["sender"], len(p["key"])) for r, p in zip(rows, parts)]
+        return _replies(0, rows[0]["range"], given, {"chunk": np.concatenate([p["chunk"] for p in parts]), "again": (n[at] > 1).astype(np.uint8)})
+
+    return requests.groupBy("lane", "range").applyInArrow(judge, REPLIED)
+
+
+def _lane(replies: list[dict], lane: int, name: str, kind) -> np.ndarray:
+    own = [r for r in replies if r["lane"] == lane]
+    return replied(own)[name] if own else np.empty(0, kind)
+
+
+def _repeated(chunk: Chunk, replies: list[dict]) -> np.ndarray:
+    return _lane(replies, 0, "again", np.uint8).astype(bool)[chunk.distinct()[1]]
+
+
+def _sent(chunk: Chunk, repeated: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Runs that the chunk sends, by digit, and the runs that copy one of them."""
     first, copies = chunk.stretches(repeated)
-    first = first[np.argsort(chunk.digit[first], kind="stable")]
-    return first, cuts(chunk.digit[first], buckets), copies
+    return first[np.argsort(chunk.digit[first], kind="stable")], copies
 
 
-def stretch_requests(chunks: DataFrame, replies: DataFrame, depth: int, buckets: int) -> DataFrame:
+def stretch_requests(chunks: DataFrame, replies: DataFrame, depth: int, route: Route) -> DataFrame:
     """Each chunk's distinct stretches with a repeated first digit: digits, place, length, order (doc, row, start), text."""
 
     def ask(_key, left: pa.Table, right: pa.Table) -> pa.Table:
         out: list[tuple] = []
         for row in left.to_pylist():
             chunk = Chunk(row, depth)
-            runs, c, _ = _sent(chunk, _repeated(chunk, right.to_pylist(), buckets), buckets)
-            ids = order_key(chunk.ids)
-            a, z = chunk.start[runs], chunk.stop[runs] + depth - 1
-            doc = chunk.doc[runs]
-            place, size = (chunk.place[runs] - a).astype(np.uint8), (z - a).astype(np.uint16)
-            order = [ids[doc], doc.astype(np.int64), a - chunk.begins[doc]]
-            for i in range(buckets):
-                s = slice(c[i], c[i + 1])
-                if c[i] < c[i + 1]:
-                    text = b"".join(chunk.text[x:y] for x, y in zip(a[s].tolist(), z[s].tolist()))
-                    shape = pack(place[s].astype(np.uint32) << np.uint32(16) | size[s])
-                    text = zstandard.ZstdCompressor(level=1).compress(text)
-                    out.append((i, row["chunk"], pack_sorted(chunk.digit[runs[s]]), shape, *(pack(o[s]) for o in order), text))
-            del chunk, runs, ids, a, z, doc, order
+            runs, _ = _sent(chunk, _repeated(chunk, right.to_pylist()))
+            a, z, doc = chunk.start[runs], chunk.stop[runs] + depth - 1, chunk.doc[runs]
+            entries = {
+                "key": chunk.digit[runs],
+                "chunk": np.full(len(runs), row["chunk"]),
+                "shape": (chunk.place[runs] - a).astype(np.uint32) << np.uint32(16) | (z - a).astype(np.uint32),
+                "doc": order_key(chunk.ids)[doc] if pa.types.is_integer(chunk.ids.type) else chunk.ids.take(pa.array(doc)),
+                "row": doc.astype(np.int64),
+                "start": a - chunk.begins[doc],
+                "text": pa.array([chunk.text[x:y] for x, y in zip(a.tolist(), z.tolist())], pa.binary()),
+            }
+            out += route.letters(1, entries)
+            del chunk, runs, a, z, doc, entries
             release_memory()
-        return pa.Table.from_batches([_rows(out, REQUEST)])
+        return pa.Table.from_batches([as_batch(out, ROUTED)])
+
+    return chunks.groupBy("chunk").cogroup(_by_chunk(replies)).applyInArrow(ask, ROUTED)
 
-    return chunks.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(ask, REQUEST)
+
+def _by_chunk(replies: DataFrame):
+    return replies.withColumnRenamed("sender", "chunk").groupBy("chunk")
 
 
 def equal_windows(data: np.ndarray, at: np.ndarray, group: np.ndarray, depth: int, piece: int = 25) -> tuple[np.ndarray, np.ndarray]:
@@ -315,31 +308,32 @@ def stretch_replies(requests: DataFrame, depth: int) -> DataFrame:
     """For each stretch 64 bits: which of its windows have an equal one that is earlier."""
 
     def judge(group: pa.Table) -> pa.Table:
-        rows = sorted(group.to_pylist(), key=lambda r: r["chunk"])
-        digits = [unpack_sorted(r["keys"]) for r in rows]
-        shapes = [unpack(r["a"], np.uint32) for r in rows]
-        digit, shape = np.concatenate(digits), np.concatenate(shapes)
+        bodies, parts, texts, met, same = group.column("body"), [], [], {}, []
+        for body in bodies:  # a text that many chunks sent is kept once
+            part = unseal(body.as_py())
+            for shape, text in zip(part["shape"].tolist(), part.pop("text").to_pylist()):
+                name = (shape, xxhash.xxh3_128_digest(text))
+                if name not in met:
+                    met[name] = len(texts)
+                    texts.append(text)
+                same.append(met[name])
+            parts.append(part)
+        del met
+        entries, same = joined(parts), np.array(same, np.int64)
+        digit, shape = entries["key"], entries["shape"]
         size, place = (shape & np.uint32(0xFFFF)).astype(np.int64), (shape >> np.uint32(16)).astype(np.int64)
-        texts = [zstandard.ZstdDecompressor().decompress(r["text"]) for r in rows]
-        data = np.frombuffer(b"".join(texts), np.uint8)
-        begin = np.cumsum(size) - size
-        doc, row_of, start = (np.concatenate([unpack(r[c], np.int64) for r in rows]) for c in "bcd")
-        chunk = np.repeat(np.array([r["chunk"] for r in rows], np.int64), [len(d) for d in digits])
+        lengths = np.array([len(t) for t in texts], np.int64)
+        data, begin = np.frombuffer(b"".join(texts), np.uint8), (np.cumsum(lengths) - lengths)[same]
+        del texts
+        doc = entries["doc"] if isinstance(entries["doc"], np.ndarray) else order_key(entries["doc"])
         rank = np.empty(len(digit), np.int64)
-        rank[np.lexsort([start, row_of, chunk, doc])] = np.arange(len(digit))
+        rank[np.lexsort([entries["start"], entries["row"], entries["chunk"], doc])] = np.arange(len(digit))
         windows = size - depth + 1
-        later = np.zeros(len(digit), np.uint64)
         # stretches that equal an earlier one as a whole need no sorting: all their windows go
-        joined, seen, first_ones = data.tobytes(), set(), []
-        for r in np.argsort(rank).tolist():
-            key = (int(place[r]), xxhash.xxh3_128_digest(joined[begin[r] : begin[r] + size[r]]))
-            if key in seen:
-                later[r] = np.uint64((1 << int(windows[r])) - 1)
-            else:
-                seen.add(key)
-                first_ones.append(r)
-        del seen
-        kept = np.array(first_ones, np.int64)
+        order = np.argsort(rank)
+        kept = np.sort(order[np.unique(same[order], return_index=True)[1]])
+        later = (np.uint64(1) << windows.astype(np.uint64)) - np.uint64(1)
+        later[kept] = 0
         by_digit = kept[np.argsort(digit[kept], kind="stable")]
         # bounded slices of whole groups
         edge = np.flatnonzero(np.concatenate([[True], digit[by_digit][1:] != digit[by_digit][:-1]]))
@@ -367,45 +361,46 @@ def stretch_replies(requests: DataFrame, depth: int) -> DataFrame:
             gone = w[np.concatenate([[False], g[1:] == g[:-1]])] if len(w) else w
             np.bitwise_or.at(later, stretch[gone], np.uint64(1) << step[gone].astype(np.uint64))
             lo = hi
-        out, given = [], 0
-        for r, d in zip(rows, digits):
-            out.append((1, r["bucket"], r["chunk"], pack(later[given : given + len(d)])))
-            given += len(d)
-        return pa.Table.from_batches([_rows(out, REPLY)])
+        given = [(sender.as_py(), len(p["key"])) for sender, p in zip(group.column("sender"), parts)]
+        release_memory()
+        return _replies(1, group.column("range")[0].as_py(), given, {"chunk": entries["chunk"], "later": later})
 
-    return requests.groupBy("bucket").applyInArrow(judge, REPLY)
+    return requests.groupBy("lane", "range").applyInArrow(judge, REPLIED)
 
 
-def removed_spans(chunk: Chunk, replies: list[dict], buckets: int) -> np.ndarray:
+def removed_spans(chunk: Chunk, replies: list[dict]) -> np.ndarray:
     """True for each byte of the chunk's text that is covered by a window with an earlier equal."""
-    runs, c, copies = _sent(chunk, _repeated(chunk, replies, buckets), buckets)
+    runs, copies = _sent(chunk, _repeated(chunk, replies))
     edge = np.zeros(len(chunk.text) + 1, np.int32)
-    for r in replies:
-        if r["phase"] == 1:
-            own = runs[c[r["bucket"]] : c[r["bucket"] + 1]]
-            bits = unpack(r["a"], np.uint64)
-            some = np.flatnonzero(bits)
-            steps = np.unpackbits(bits[some].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-            which, step = np.nonzero(steps)
-            at = chunk.start[own[some[which]]] + step
-            np.add.at(edge, at, 1)
-            np.add.at(edge, at + chunk.depth, -1)
+    bits = _lane(replies, 1, "later", np.uint64)
+    assert len(bits) == len(runs), "a reply is missing"
+    some = np.flatnonzero(bits)
+    steps = np.unpackbits(bits[some].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    which, step = np.nonzero(steps)
+    at = chunk.start[runs[some[which]]] + step
+    np.add.at(edge, at, 1)
+    np.add.at(edge, at + chunk.depth, -1)
     np.add.at(edge, chunk.start[copies], 1)
     np.add.at(edge, chunk.stop[copies] + chunk.depth - 1, -1)
     return np.cumsum(edge[:-1]) > 0
 
 
-def remove_repeats(docs: DataFrame, depth: int = 100, chunk_bytes: int = 4_000_000, with_text: bool = True) -> DataFrame:
+def remove_repeats(docs: DataFrame, depth: int = 100, chunk_bytes: int = 4_000_000, with_text: bool = True, bucket_bytes: int = 3_000_000, fan: int = 256) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, if asked, kept bytes) for every row of docs(doc_id, text)."""
     if not GRAM + 1 <= depth <= GRAM + 63:
         raise ValueError(f"depth must be {GRAM + 1} to {GRAM + 63}")
     spark = docs.sparkSession
     ship(spark)
     chunks = stored_by_chunk(chunked(docs, chunk_bytes), "suffixes", n_partitions(spark))
-    total = chunks.agg(F.sum("n_bytes")).first()[0] or 0
-    buckets = max(4, -(-total // 3_000_000))
-    replies = stored(digit_replies(digit_requests(chunks, depth, buckets)), "digits")
-    later = stored(stretch_replies(stretch_requests(chunks, replies, depth, buckets), depth), "stretches")
+    sizes = chunks.agg(F.sum("n_bytes").alias("bytes"), F.count("*").alias("chunks")).first()
+    route = Route.of(sizes["chunks"], max(4, -(-(sizes["bytes"] or 0) // bucket_bytes)), fan)
+
+    def returned(answers: DataFrame, name: str) -> DataFrame:
+        answers = stored(answers, name)
+        return stored(route.backward(answers), name) if route.meets else answers
+
+    replies = returned(digit_replies(route.forward(digit_requests(chunks, depth, route))), "digits")
+    later = returned(stretch_replies(route.forward(stretch_requests(chunks, replies, depth, route)), depth), "stretches")
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept"] if with_text else [])]
     kinds = [docs.schema["doc_id"].dataType, *[T.LongType()] * 3, T.StringType(), T.BinaryType()]
     schema = T.StructType([T.StructField(n, k) for n, k in zip(names, kinds)])
@@ -414,7 +409,7 @@ def remove_repeats(docs: DataFrame, depth: int = 100, chunk_bytes: int = 4_000_0
         tables = []
         for row in left.to_pylist():
             chunk = Chunk(row, depth)
-            gone = removed_spans(chunk, right.to_pylist(), buckets)
+            gone = removed_spans(chunk, right.to_pylist())
             data = np.frombuffer(chunk.text, np.uint8)
             rows: list[list] = [[], [], [], []]
             for a, b in zip(chunk.begins.tolist(), chunk.ends.tolist()):
@@ -432,4 +427,4 @@ def remove_repeats(docs: DataFrame, depth: int = 100, chunk_bytes: int = 4_000_0
         return pa.concat_tables(tables)
 
     both = replies.unionByName(later)
-    return chunks.groupBy("chunk").cogroup(both.groupBy("chunk")).applyInArrow(apply, schema)
+    return chunks.groupBy("chunk").cogroup(_by_chunk(both)).applyInArrow(apply, schema)

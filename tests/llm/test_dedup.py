@@ -129,6 +129,25 @@ def test_repeats_are_removed_exactly(spark, chunk_bytes):
     assert removed(spark, rows, chunk_bytes=chunk_bytes) == brute_removed(rows)
 
 
+@pytest.mark.parametrize("fan", [2, 4])
+def test_repeats_do_not_depend_on_the_levels_of_the_exchange(spark, fan):
+    r = random.Random(10)
+    text = lambda n: "".join(r.choices("abcdefgh ", k=n))
+    shared = [text(180) for _ in range(4)]
+    rows = [(i, text(r.randint(0, 200)) + r.choice(shared)[: r.randint(90, 180)] + text(40)) for i in range(80)]
+    assert removed(spark, rows, chunk_bytes=500, bucket_bytes=400, fan=fan) == brute_removed(rows)
+
+
+def test_repeats_with_ids_that_are_texts(spark):
+    text = "".join(random.Random(2).choices("abcdef", k=300))
+    rows = [("b", text), ("a\u00e9", text + "z"), (None, text), ("a", "x" + text[50:]), ("", text[:120])]
+    docs = spark.createDataFrame([(*x, 1) for x in rows], "doc_id string, text string, chunk int").repartition(3)
+    got = {x["doc_id"]: x["n_removed"] for x in suffix_dedup.remove_repeats(docs, with_text=False, chunk_bytes=200).collect()}
+    numbered = sorted(rows, key=lambda x: (x[0] is None, (x[0] or "").encode()))
+    want = {x[0]: w[2] for x, w in zip(numbered, brute_removed([(k, t) for k, (_, t) in enumerate(numbered)]))}
+    assert got == want
+
+
 def test_repeats_with_null_ids_repeated_rows_and_nothing(spark):
     text = "".join(random.Random(2).choices("abcdef", k=300))
     got = removed(spark, [(None, text), (4, text), (4, text)])

@@ -7,9 +7,10 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 
-from statemesh.llm import katz, quality_rules, token_counts
+from statemesh.llm import exchange, katz, quality_rules, token_counts
 
 DOCS = "doc_id bigint, text string"
 
@@ -71,6 +72,38 @@ def test_katz_equals_the_plain_model_and_sums_to_one(spark, order):
     assert [g[3] for g in got] == pytest.approx([w[3] for w in want], abs=1e-9)
 
 
+@pytest.mark.parametrize("fan", [2, 5])
+def test_katz_does_not_depend_on_the_levels_of_its_exchange(spark, fan):
+    rows = words(4, 80)
+    docs = spark.createDataFrame(rows, DOCS).repartition(8).sortWithinPartitions("doc_id")
+    small = katz.katz_scores(docs, 2, max_tokens=20, bucket_keys=30, fan=fan)
+    got = sorted(((r["doc_id"], r["n_tokens"], r["n_known"], r["score"]) for r in small.collect()), key=str)
+    want = brute_katz(rows, 2)
+    assert [g[:3] for g in got] == [w[:3] for w in want]
+    assert [g[3] for g in got] == pytest.approx([w[3] for w in want], abs=1e-9)
+
+
+def test_a_route_brings_every_answer_back(spark):
+    r = np.random.default_rng(1)
+    sent = {c: np.unique(r.integers(0, 1 << 63, 40, dtype=np.uint64) << np.uint64(1)) for c in range(30)}
+    route = exchange.Route.of(30, 50, fan=3)
+    assert len(route.meets) == 3
+    one = lambda c, k: {"key": k, "chunk": np.full(len(k), c), "name": pa.array([str(x) for x in k])}
+    rows = [x for c, k in sent.items() for x in route.letters(0, one(c, k))]
+    assert len(rows) <= 30 * 3
+    there = route.forward(spark.createDataFrame(rows, exchange.ROUTED)).collect()
+    assert sorted({x["range"] for x in there}) == sorted({int(k) * 50 >> 64 for ks in sent.values() for k in ks})
+    answers = []
+    for x in there:
+        body = exchange.unseal(x["body"])
+        assert body["name"].to_pylist() == [str(k) for k in body["key"]]
+        answers.append((x["lane"], x["range"], x["sender"], exchange.seal({"chunk": body["chunk"], "half": body["key"] >> np.uint64(1)})))
+    back = route.backward(spark.createDataFrame(answers, exchange.REPLIED)).collect()
+    for c, k in sent.items():
+        got = exchange.replied([x.asDict() for x in back if x["sender"] == c])
+        assert (got["half"] << np.uint64(1)).tolist() == k.tolist()
+
+
 def test_katz_base_and_folds(spark):
     rows = words(2, 40)
     got = {r["doc_id"]: r for r in katz.katz_scores(spark.createDataFrame(rows, DOCS)).collect()}
