@@ -2,12 +2,14 @@
 
 Every document gets the statistics of the classic rules (words, word characters, symbols, repeated lines, repeated
 windows). Two fixed rules reject outright (``base_failed``). The rest goes to an isolation forest: random splits isolate
-unusual documents after few steps, so a short mean path length means an anomaly. The forest is grown on a bounded sample
-of labelled rows (``max_labelled``, by hash of the id), and the anomaly threshold is calibrated on those labels: the value
-with the best balanced accuracy that keeps at least ``keep_good`` of the good rows. Everything else covers all rows.
+unusual documents after few steps, so a short mean path length means an anomaly. The forest is grown on the statistics of one half
+of a bounded sample of labelled rows (``max_labelled``, by hash of the id), whose labels it does not see, among a uniform
+background. The anomaly threshold is calibrated on the labels of the other half: the value with the best balanced accuracy
+that keeps at least ``keep_good`` of the good rows. Everything else covers all rows.
 
 Defined cases: null text has no words and fails the base rules; without labelled rows of both kinds nothing but the base
-rules rejects; a repeated label row counts once per row; repeated documents get equal verdicts; other columns are ignored.
+rules rejects; a repeated label row counts once, and so do documents that share a labelled id (the one with the least
+statistics stands for them); repeated documents get equal verdicts; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -113,7 +115,7 @@ def _average_path(n: float) -> float:
 class IsolationForest:
     """Trees as flat arrays: feature (-1 at a leaf), value, children, path length at the leaf."""
 
-    def __init__(self, x: np.ndarray, trees: int = 128, sample: int = 256, seed: int = 7):
+    def __init__(self, x: np.ndarray, trees: int = 200, sample: int = 256, seed: int = 7):
         rng = np.random.default_rng(seed)
         self.sample = min(sample, len(x))
         self.depth = max(1, int(np.ceil(np.log2(max(self.sample, 2)))))
@@ -188,28 +190,37 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 20_000, keep_goo
         .orderBy(F.xxhash64("doc_id", F.lit(11)), "doc_id", "quality")
         .limit(max_labelled)
     )
+    sample = sample.distinct().withColumn("grows", F.pmod(F.xxhash64("doc_id", F.lit(12)), F.lit(2)) == 0)
     texts = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
-    schema = T.StructType([T.StructField("quality", labels.schema["quality"].dataType), *STAT_SCHEMA.fields])
+    own = ["doc_id", "quality", "grows"]
+    schema = T.StructType([*(texts.schema[c] for c in own), *STAT_SCHEMA.fields])
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, rows in _stat_batches(batches):
-            yield pa.RecordBatch.from_arrays([part.column("quality"), *(pa.array(c) for c in rows.T)], names=schema.names)
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in own), *(pa.array(c) for c in rows.T)], names=schema.names)
 
-    found = texts.mapInArrow(measure, schema).limit(2 * max_labelled).toPandas()
+    measured = texts.mapInArrow(measure, schema).groupBy(*own).agg(F.min(F.struct(*STATISTICS)).alias("s"))
+    found = measured.select("quality", "grows", "s.*").toPandas()  # at most max_labelled rows
     rows = found[list(STATISTICS)].to_numpy(np.int64).reshape(-1, len(STATISTICS))
-    good = found["quality"].to_numpy() == 1
+    return grown(rows, found["quality"].to_numpy() == 1, found["grows"].to_numpy(bool), keep_good)
+
+
+def grown(rows: np.ndarray, good: np.ndarray, grows: np.ndarray, keep_good: float) -> tuple:
+    """(forest or None, threshold): the forest from the rows that grow it, the threshold from the labels of the others."""
     judged = ~base_failed(rows)
-    rows, good = rows[judged], good[judged]
-    order = np.lexsort([*rows.T, good])  # the same forest however the rows arrive
-    rows, good = rows[order], good[order]
-    if len(rows) < 2 or good.all() or not good.any():
+    rows, good, grows = rows[judged], good[judged], grows[judged]
+    order = np.lexsort([*rows.T, good, grows])  # the same forest however the rows arrive
+    rows, good, grows = rows[order], good[order], grows[order]
+    rest = good[~grows]
+    if grows.sum() < 2 or not len(rest) or rest.all() or not rest.any():
         return None, np.inf
     x = features(rows)
     # Random splits can only part what varies among the rows they see, and sound rows hardly vary in some statistics.
-    # A thin uniform background makes every region of the space splittable; what is far from the sound rows stays alone.
-    background = np.random.default_rng(5).uniform(0, 1, (max(1, int(0.3 * good.sum())), x.shape[1]))
-    forest = IsolationForest(np.concatenate([x[good], background]))
-    return forest, calibrated(forest.score(x), good, keep_good)
+    # A uniform background makes every region of the space splittable: rows are held against noise, and only where many
+    # documents are alike does it take many splits to isolate one.
+    background = np.random.default_rng(5).uniform(0, 1, (4 * int(grows.sum()), x.shape[1]))
+    forest = IsolationForest(np.concatenate([x[grows], background]))
+    return forest, calibrated(forest.score(x[~grows]), rest, keep_good)
 
 
 def quality_rules(

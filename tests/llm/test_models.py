@@ -171,6 +171,42 @@ def test_quality_catches_anomalies_and_keeps_good_documents(spark):
     assert not kept & {i for i, _ in bad} and None not in kept
 
 
+def plain_path(tree, x, node=0, depth=0):
+    feature, value, left, right, path = tree
+    if feature[node] < 0:
+        return path[node]
+    return plain_path(tree, x, left[node] if x[feature[node]] < value[node] else right[node], depth + 1)
+
+
+def test_the_verdict_is_that_of_plainly_walked_trees(spark):
+    good, bad = quality_rows()
+    docs = spark.createDataFrame([*good, *bad], DOCS)
+    labels = spark.createDataFrame([(i, 1, 0) for i, _ in good[:300]] + [(i, 0, 0) for i, _ in bad[:20]], "doc_id bigint, quality int, toxic int")
+    forest, most = quality_rules.fit(docs, labels)
+    sizes, paths = forest.sample, []
+    expected = 2 * (math.log(sizes - 1) + 0.5772156649) - 2 * (sizes - 1) / sizes
+    for r in quality_rules.quality_rules(docs, labels).collect():
+        x = quality_rules.features(np.array([[r[c] for c in quality_rules.STATISTICS]]))[0]
+        paths.append(sum(plain_path(t, x) for t in forest.trees) / len(forest.trees))
+        score = 2 ** -(paths[-1] / expected)
+        assert r["anomaly"] == pytest.approx(score, abs=1e-12)
+        assert r["kept"] == (not r["base_failed"] and score <= most)
+    assert min(paths) < max(paths)
+
+
+def test_the_threshold_comes_from_rows_that_did_not_grow_the_forest():
+    r = np.random.default_rng(0)
+    rows = np.column_stack([r.integers(50, 200, 400), r.integers(300, 900, 400), r.integers(0, 3, 400), np.zeros(400, int), np.zeros(400, int)])
+    good, grows = np.ones(400, bool), np.arange(400) % 2 == 0
+    good[1:80:2], rows[:80, 2] = False, 60
+    forest, most = quality_rules.grown(rows, good, grows, 0.99)
+    other = good.copy()
+    other[grows] = ~other[grows]  # labels of the rows that grow it do not matter
+    again, same = quality_rules.grown(rows, other, grows, 0.99)
+    assert same == most and all((a == b).all() for s, t in zip(forest.trees, again.trees) for a, b in zip(s, t))
+    assert quality_rules.grown(rows, np.ones(400, bool), grows, 0.99) == (None, np.inf)
+
+
 def test_quality_without_labels_and_with_clashing_columns(spark):
     docs = spark.createDataFrame([(1, "a b c d e f g h i j k l", "mine"), (2, "a", "mine")], "doc_id bigint, text string, kept string")
     labels = spark.createDataFrame([], "doc_id bigint, quality int, toxic int")
