@@ -17,7 +17,6 @@ from __future__ import annotations
 
 import ctypes
 import pickle
-import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -28,40 +27,17 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Bytes that separate words: space and 09-0D. ``bytes.split()`` splits on exactly these.
-WHITE = b" \t\n\x0b\x0c\r"
-
-
-def scratch(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``; one of our own only where it is unset (tests)."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        found = spark.sparkContext._jsc.sc().getCheckpointDir()
-        root = found.get() if found.isDefined() else "/tmp/statemesh-checkpoints"
-    return f"{root.rstrip('/')}/statemesh"
+from ..session import scratch, stored, stored_by
 
+__all__ = ["scratch", "stored"]  # for the operators, with what is defined here
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage through the shared checkpoint folder."""
-    sc = df.sparkSession.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(scratch(df.sparkSession))
-    return df.checkpoint()
-
-
-def stored(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
-    """Write df once to the shared folder and return the table read back."""
-    path = f"{scratch(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.partitionBy(*partition_by).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+#: Bytes that separate words: space and 09-0D. ``bytes.split()`` splits on exactly these.
+WHITE = b" \t\n\x0b\x0c\r"
 
 
 def stored_by_chunk(df: DataFrame, name: str, buckets: int) -> DataFrame:
     """Like stored(), bucketed by chunk: later groupings by chunk read it without moving the documents again."""
-    table = f"{name}_{uuid.uuid4().hex}"
-    path = f"{scratch(df.sparkSession)}/{table}"
-    df.write.bucketBy(buckets, "chunk").format("parquet").option("path", path).saveAsTable(table)
-    return df.sparkSession.table(table)
+    return stored_by(df, name, "chunk", buckets)
 
 
 #: A row's place: 24 bits for the task that wrote its chunk, 20 for the chunk in the task, 18 for the row in the chunk.
