@@ -5,13 +5,15 @@ before can add a node, so it is enough to resolve distinct keys in the order of
 native aggregation over all claims. What is left, one row per distinct key, goes through the leader pass, kind by kind.
 Vectors are compared with the founding label's only.
 
-The leader pass is sequential by its definition. Its input is bounded by the vocabulary, which is checked against
-``max_keys``; beyond it keys are dealt to ``shards`` by their first trigrams, and shards no longer see each other's nodes.
+The leader pass is sequential by its definition, so it goes in rounds of about ``batch`` keys in that order. In a round all
+stored nodes are held against the batch's vectors in parallel, each key keeps its nearest, and only the batch itself goes
+through one task. Decisions are the same for any batch; what a task or the driver holds is bounded by the batch.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -21,7 +23,7 @@ from pyspark.sql import functions as F
 from ..functions.common import first_of, strip
 from ..functions.embeddings import hashed_trigrams
 from ..functions.labels import is_referring, normalise_label
-from ..session import ship
+from ..session import ship, stored
 
 #: Similarity from which a label merges, and below which it founds a node without doubt.
 MERGE, CREATE = 0.92, 0.72
@@ -64,19 +66,24 @@ def leader_pass(
     create: float = CREATE,
     adjudicate: Callable[[str, str], bool] | None = None,
 ) -> pd.DataFrame:
-    """Decisions for the keys of one kind, in order of first occurrence. Ties go to the earliest node."""
-    labels = labels.sort_values("first", kind="stable")
-    vectors, founders, out = np.zeros((64, 0)), [], []
-    used = 0
-    for key, label, first in zip(labels["key"], labels["label"], labels["first"]):
-        v = embed(label)
-        if vectors.shape[1] == 0:
-            vectors = np.zeros((64, len(v)))
-        similar = vectors[:used] @ v if used else np.zeros(0)
-        best = int(np.argmax(similar)) if used else -1
-        score = float(similar[best]) if used else 0.0
-        nearest = founders[best] if used and score > 0 else None
-        score = score if nearest else 0.0
+    """Decisions for the keys of one kind, in order of first occurrence. Ties go to the earliest node.
+
+    Columns known_key, known_label and known_score, if there are any, name the nearest of the nodes that exist already.
+    Similarities are taken to twelve places, so that they do not depend on how rows are grouped.
+    """
+    labels = labels.sort_values(["first", "key"], kind="stable")
+    n = len(labels)
+    known = [labels[f"known_{c}"] if f"known_{c}" in labels else [None] * n for c in ("key", "label", "score")]
+    vectors, founders, out = None, [], []
+    for key, label, first, *earlier in zip(labels["key"], labels["label"], labels["first"], *known):
+        v = np.asarray(embed(label), np.float64)
+        vectors = np.zeros((n, len(v))) if vectors is None else vectors
+        nearest, score = (None, 0.0) if pd.isna(earlier[2]) else (tuple(earlier[:2]), earlier[2])
+        if founders:
+            similar = np.round(vectors[: len(founders)] @ v, 12)
+            best = int(np.argmax(similar))
+            if similar[best] > score:
+                nearest, score = founders[best], float(similar[best])
         node, action = None, "created"
         if nearest and score >= merge:
             node, action = nearest, "merged"
@@ -85,15 +92,35 @@ def leader_pass(
             if adjudicate is not None:
                 same = adjudicate(label, nearest[1])
                 node, action = (nearest, "llm_merged") if same else (None, "llm_created")
-        if node is None:
-            if used == len(vectors):
-                vectors = np.concatenate([vectors, np.zeros_like(vectors)])
+        founds = node is None
+        if founds:
             node = (key, label)
-            vectors[used] = v
+            vectors[len(founders)] = v
             founders.append(node)
-            used += 1
-        out.append((key, label, first, node[0], node[1], action, score, nearest[1] if nearest else None))
-    return pd.DataFrame(out, columns=["key", "label", "first", "node_key", "node_label", "action", "similarity", "nearest_label"])
+        out.append((key, label, first, node[0], node[1], action, score, nearest[1] if nearest else None, v.tolist() if founds else None))
+    return pd.DataFrame(out, columns=DECIDED)
+
+
+DECIDED = ["key", "label", "first", "node_key", "node_label", "action", "similarity", "nearest_label", "vector"]
+
+
+def _nearest(founders: DataFrame, keys: pd.DataFrame, embed: Callable[[str], np.ndarray]) -> DataFrame:
+    """(kind, key, known_key, known_label, known_score): the nearest of the founders for each of a bounded batch of keys."""
+    shared = founders.sparkSession.sparkContext.broadcast({k: (g["key"].tolist(), np.array([embed(x) for x in g["label"]])) for k, g in keys.groupby("kind")})
+
+    def best(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            for kind, group in part.sort_values(["first", "key"]).groupby("kind"):
+                if kind in shared.value:
+                    names, asked = shared.value[kind]
+                    similar = np.round(np.stack(group["vector"].tolist()) @ asked.T, 12)
+                    at = similar.argmax(0)
+                    own = group.iloc[at]
+                    yield pd.DataFrame({"kind": kind, "key": names, "known_key": own["key"].values, "known_label": own["label"].values, "known_score": similar[at, np.arange(len(at))], "met": own["first"].values})
+
+    found = founders.mapInPandas(best, "kind string, key string, known_key string, known_label string, known_score double, met bigint")
+    nearest = F.max_by(F.struct("known_key", "known_label", "known_score"), F.struct(F.col("known_score"), -F.col("met")))
+    return found.where("known_score > 0").groupBy("kind", "key").agg(nearest.alias("n")).select("kind", "key", "n.*")
 
 
 def resolve(
@@ -102,23 +129,35 @@ def resolve(
     merge: float = MERGE,
     create: float = CREATE,
     adjudicate: Callable[[str, str], bool] | None = None,
-    max_keys: int = 200_000,
-    shards: int = 64,
+    batch: int = 4096,
 ) -> DataFrame:
     """DECISIONS for labels(kind, key, label, first). Node ids are hashes of the founding key, the same in every run."""
-    ship(labels.sparkSession)
-    largest = labels.groupBy("kind").count().agg(F.max("count")).first()[0] or 0
-    shard = F.lit(0) if largest <= max_keys else F.pmod(F.xxhash64(F.substr("key", F.lit(1), F.lit(3))), F.lit(shards))
+    spark = labels.sparkSession
+    ship(spark)
+    todo = stored(labels.select("kind", "key", "label", "first"), "labels")
+    largest = todo.groupBy("kind").count().agg(F.max("count")).first()[0] or 0
+    rounds = max(1, -(-largest // batch))
+    # bounds of the rounds: places of first occurrence, so many for each kind
+    shares = [k / rounds for k in range(1, rounds)]
+    bounds = {r["kind"]: r["b"] for r in todo.groupBy("kind").agg(F.percentile_approx("first", shares, 100 * rounds).alias("b")).collect()} if shares else {}
+    schema = "kind string, key string, label string, first bigint, node_key string, node_label string, action string, similarity double, nearest_label string, vector array<double>"
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        found = leader_pass(group, embed, merge, create, adjudicate)
-        found["kind"] = group["kind"].iloc[0]
-        return found
-
-    schema = "kind string, key string, label string, first bigint, node_key string, node_label string, action string, similarity double, nearest_label string"
-    decided = labels.withColumn("_shard", shard).groupBy("kind", "_shard").applyInPandas(lambda g: run(g)[[c.split()[0] for c in schema.split(", ")]], schema)
+        return leader_pass(group, embed, merge, create, adjudicate).assign(kind=group["kind"].iloc[0])[["kind", *DECIDED]]
+
+    decided: list[DataFrame] = []
+    for k in range(rounds):
+        within = F.lit(not bounds)
+        for kind, b in bounds.items():
+            over = F.col("first") > b[k - 1] if k else F.lit(True)
+            within = within | ((F.col("kind") == kind) & over & (F.col("first") <= b[k] if k < len(b) else F.lit(True)))
+        own = todo.where(within)
+        if decided:
+            founders = reduce(DataFrame.unionByName, decided).where("vector is not null").select("kind", "key", "label", "first", "vector")
+            own = own.join(_nearest(founders, own.toPandas(), embed), ["kind", "key"], "left")
+        decided.append(stored(own.groupBy("kind").applyInPandas(run, schema), "decisions"))
     node = F.sha1(F.concat_ws("|", "kind", "node_key"))
-    return decided.withColumn("node_id", node).select(*(c.split()[0] for c in DECISIONS.split(", ")))
+    return reduce(DataFrame.unionByName, decided).withColumn("node_id", node).select(*(c.split()[0] for c in DECISIONS.split(", ")))
 
 
 def canonicalise(claims: DataFrame, decisions: DataFrame | None = None, **options) -> tuple[DataFrame, DataFrame, DataFrame]:

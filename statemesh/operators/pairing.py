@@ -80,13 +80,14 @@ def narrowed(claims: DataFrame) -> DataFrame:
     )
 
 
-def unreliable_periods(narrow: DataFrame) -> DataFrame:
+def unreliable_periods(narrow: DataFrame, over: DataFrame | None = None) -> DataFrame:
     """narrow with unreliable: its page gives the same measure and period with more than one magnitude.
 
     Aggregated before the join back, so a frequent key is never one task's window. A null magnitude counts as a value.
+    over: the claims to judge by, if they are not narrow's own.
     """
     keys = ["document_id", "page", "predicate_id", "p_start", "p_end"]
-    known = narrow.where("document_id is not null and predicate_id is not null")
+    known = (narrow if over is None else over).where("document_id is not null and predicate_id is not null")
     shown = F.struct("magnitude")
     mixed = known.groupBy(*keys).agg(F.min(shown).alias("lo"), F.max(shown).alias("hi")).where("not (lo <=> hi)").select(*keys)
     flags = mixed.select(*(F.col(k).alias(f"_{k}") for k in keys))
@@ -136,22 +137,23 @@ def value_pairs(narrow: DataFrame, cap: int = CAP) -> DataFrame:
 
 
 def all_pairs(narrow: DataFrame, cap: int = CAP, cross_document: bool = False) -> DataFrame:
-    """Exact and value pairs, each pair of claims once, with its first reason."""
-    exact = exact_pairs(narrow, cap, cross_document).drop("a_rn", "b_rn").withColumn("_order", F.lit(0))
-    value = value_pairs(narrow, cap).withColumn("_order", F.lit(1))
-    if cross_document:
-        value = value.where("a_document_id != b_document_id")
-    both = exact.unionByName(value).withColumn("_key", F.array_sort(F.array("a_id", "b_id")))
-    first = Window.partitionBy("_key").orderBy("_order")
-    return both.withColumn("_rn", F.row_number().over(first)).where("_rn = 1").drop("_rn", "_key", "_order")
+    """Exact and value pairs, each pair of claims once. The two kinds have no pair in common (one has equal predicates, the
+    other different ones), and each gives a pair once, so nothing has to be moved to find repetitions."""
+    exact = exact_pairs(narrow, cap, cross_document).drop("a_rn", "b_rn")
+    value = value_pairs(narrow, cap)
+    return exact.unionByName(value.where("a_document_id != b_document_id") if cross_document else value)
+
+
+def first_of_blocks(narrow: DataFrame, cap: int = CAP) -> DataFrame:
+    """The first ``cap`` claims of each block, in load order."""
+    block = Window.partitionBy("subject_id", "predicate_id").orderBy("seq")
+    known = narrow.where("subject_id is not null and predicate_id is not null")
+    return known.withColumn("_rn", F.row_number().over(block)).where(F.col("_rn") <= cap).drop("_rn")
 
 
 def incremental_pairs(new: DataFrame, existing: DataFrame, cap: int = CAP) -> DataFrame:
     """Each new claim with the first ``cap`` existing ones of its block, in load order; the new one is a."""
-    block = Window.partitionBy("subject_id", "predicate_id").orderBy("seq")
-    known = existing.where("subject_id is not null and predicate_id is not null")
-    first = known.withColumn("_rn", F.row_number().over(block)).where(F.col("_rn") <= cap).drop("_rn")
-    a, b = _side(new, "a"), _side(first, "b")
+    a, b = _side(new, "a"), _side(first_of_blocks(existing, cap), "b")
     same = (a["a_subject_id"] == b["b_subject_id"]) & (a["a_predicate_id"] == b["b_predicate_id"])
     return a.join(b, same).withColumn("reason", F.lit("same subject and predicate (incremental)"))
 

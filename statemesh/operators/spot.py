@@ -41,46 +41,53 @@ FOLIO = r"^[ivxlcdm]*\s*\d{1,4}\s*[ivxlcdm]*$"
 FOLIO_MARGIN = 0.06
 
 SPOTS = "start int, end int, kind string, text string, tight string, noise boolean"
-_RX = {name: re.compile(p, re.IGNORECASE) for name, p in {"date": DATE, "duration": PERIOD, "number": NUMBER, "numeral": _NUMERAL, "unit": _NUMERAL + _UNIT, "money": _MONEY, "percent": _PERCENT, "noise": _NOISE}.items()}
-
-
-def surroundings(before: str, after: str) -> tuple[str, str]:
-    """What belongs to a numeral on each side: up to the nearest other numeral, with a row label from the first line."""
-    head, newline, _ = before.partition("\n")
-    lead, trail = before[-TIGHT:], after[:TIGHT]
-    others = list(_RX["unit"].finditer(lead))
-    lead = lead[others[-1].end() :] if others else lead
-    if newline and head and not _RX["numeral"].search(head) and head not in lead:
-        lead = f"{head}\n{lead}"
-    other = _RX["numeral"].search(trail)
-    return lead, trail[: other.start()] if other else trail
+#: Kinds by rank: where matches meet, the lower rank wins, and of one rank the earlier.
+RANKED = [("date", re.compile(DATE, re.I)), ("duration", re.compile(PERIOD, re.I)), ("number", re.compile(NUMBER))]
+_NEXT, _LAST = re.compile(_NUMERAL), re.compile(_NUMERAL + _UNIT, re.I)
+_KINDS = [("percent", re.compile(_PERCENT, re.I)), ("money", re.compile(_MONEY, re.I))]
+_REFERENCE = re.compile(_NOISE, re.I)
+
+
+def places(text: str) -> list[tuple[int, int, str]]:
+    """Intervals (start, end, kind) of a block in reading order, none meeting another. Matches of all kinds are laid over the
+    text in the order of their rank, and what is covered already is given up; a numeral has two digits or more."""
+    free, out = bytearray(b"\x01") * len(text), []
+    for kind, pattern in RANKED:
+        for start, end in (m.span() for m in pattern.finditer(text)):
+            long_enough = kind != "number" or sum(c.isdigit() for c in text[start:end]) > 1
+            if long_enough and all(free[start:end]):
+                free[start:end] = bytes(end - start)
+                out.append((start, end, kind))
+    return sorted(out)
+
+
+def bound(text: str, start: int, end: int) -> tuple[str, str]:
+    """What is bound to text[start:end] on its left and right: TIGHT characters, ending where another numeral with its unit
+    stands. A first line without numerals is the row's label, and stands before what is on the left."""
+    left = max(start - TIGHT, 0)
+    for other in _LAST.finditer(text, left, start):
+        left = other.end()
+    right = min(end + TIGHT, len(text))
+    other = _NEXT.search(text, end, right)
+    label, near = text[: text.find("\n", 0, start) + 1], text[left:start]
+    if len(label) > 1 and not _NEXT.search(label) and label[:-1] not in near:
+        near = label + near
+    return near, text[end : other.start() if other else right]
 
 
 def spots_of(text: str) -> list[tuple]:
-    """(start, end, kind, text, tight, noise) within one block: dates first, then periods, then numerals of two digits or more."""
-    taken: list[tuple[int, int]] = []
-    found: list[tuple[int, int, str]] = []
-    for kind in ("date", "duration", "number"):
-        for m in _RX[kind].finditer(text):
-            a, b = m.span()
-            if any(a < y and x < b for x, y in taken):
-                continue
-            if kind == "number" and len(m.group(0).replace(",", "").replace(".", "")) < 2:
-                continue
-            taken.append((a, b))
-            found.append((a, b, kind))
-    out = []
-    for a, b, kind in sorted(found):
+    """(start, end, kind, text, tight, noise) of each place; brackets right around a place belong to it."""
+    rows = []
+    for start, end, kind in places(text):
         if kind == "number":
-            lead, trail = surroundings(text[:a], text[b:])
-            near = f"{lead} {text[a:b]} {trail}"
-            kind = "percent" if _RX["percent"].search(near) else "money" if _RX["money"].search(near) else "quantity"
-        noise = bool(_RX["noise"].search(text[:a].rstrip()[-30:]))
-        if a > 0 and b < len(text) and text[a - 1] == "(" and text[b] == ")":
-            a, b = a - 1, b + 1
-        lead, trail = surroundings(text[:a], text[b:])
-        out.append((a, b, kind, text[a:b], f"{lead}{text[a:b]}{trail}", noise))
-    return out
+            words = " ".join((lambda near: (near[0], text[start:end], near[1]))(bound(text, start, end)))
+            kind = next((name for name, pattern in _KINDS if pattern.search(words)), "quantity")
+        reference = _REFERENCE.search(text[:start].rstrip()[-30:]) is not None
+        if text[max(start - 1, 0) : start] == "(" and text[end : end + 1] == ")":
+            start, end = start - 1, end + 1
+        left, right = bound(text, start, end)
+        rows.append((start, end, kind, text[start:end], left + text[start:end] + right, reference))
+    return rows
 
 
 def is_folio(text: Column, rects: Column) -> Column:

@@ -255,7 +255,7 @@ def edges_all(spark: SparkSession, sf_dir: str) -> DataFrame:
         """, blocks AS (SELECT count(*) AS n FROM claims GROUP BY subject_id, predicate_id),
     b AS (SELECT mag, CAST(floor(log10(mag::DOUBLE)) AS INT) - 2 AS e FROM claims WHERE mag <> 0)
     SELECT (SELECT count(*) FROM claims) AS claims, count(*) AS exact_blocks,
-      (SELECT count(DISTINCT round_even(mag::DOUBLE / pow(10.0, e), 0)::BIGINT || ':' || e) FROM b) AS value_blocks,
+      (SELECT count(DISTINCT round_even(mag::DOUBLE / pow(10.0, e), 0)::BIGINT * pow(10, e)::BIGINT) FROM b) AS value_blocks,
       sum(least(n, 60) * (least(n, 60) - 1) // 2)::BIGINT AS pairs, count_if(n > 60) AS oversized_blocks,
       coalesce(sum(CASE WHEN n > 60 THEN n * (n - 1) // 2 END), 0)::BIGINT AS skipped_for_size FROM blocks"""
     ),
@@ -267,7 +267,7 @@ def pair_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "value_bucket_pairs",
     _with(
-        """, b AS (SELECT *, round_even(mag::DOUBLE / pow(10.0, floor(log10(mag::DOUBLE)) - 2), 0)::BIGINT || ':' || CAST(floor(log10(mag::DOUBLE)) - 2 AS INT) AS bucket FROM claims WHERE mag <> 0),
+        """, b AS (SELECT *, round_even(mag::DOUBLE / pow(10.0, floor(log10(mag::DOUBLE)) - 2), 0)::BIGINT * pow(10, floor(log10(mag::DOUBLE)) - 2)::BIGINT AS bucket FROM claims WHERE mag <> 0),
     s AS (SELECT bucket FROM b GROUP BY 1 HAVING count(*) BETWEEN 2 AND 60)
     SELECT x.seq AS a_seq, y.seq AS b_seq FROM b x JOIN b y ON x.bucket = y.bucket AND x.seq < y.seq AND x.subject_id = y.subject_id AND x.predicate_id <> y.predicate_id
     WHERE x.bucket IN (SELECT bucket FROM s)"""
@@ -280,7 +280,7 @@ def value_bucket_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "pairs_deduplicated",
     _with(
-        """, b AS (SELECT *, round_even(mag::DOUBLE / pow(10.0, floor(log10(mag::DOUBLE)) - 2), 0)::BIGINT || ':' || CAST(floor(log10(mag::DOUBLE)) - 2 AS INT) AS bucket FROM claims WHERE mag <> 0),
+        """, b AS (SELECT *, round_even(mag::DOUBLE / pow(10.0, floor(log10(mag::DOUBLE)) - 2), 0)::BIGINT * pow(10, floor(log10(mag::DOUBLE)) - 2)::BIGINT AS bucket FROM claims WHERE mag <> 0),
     s AS (SELECT bucket FROM b GROUP BY 1 HAVING count(*) BETWEEN 2 AND 60)
     SELECT 'same subject and predicate' AS reason, count(*) AS n FROM pairs WHERE a_document_id <> b_document_id
     UNION ALL SELECT 'same subject, equal value under different predicates', count(*) FROM b x JOIN b y ON x.bucket = y.bucket AND x.seq < y.seq AND x.subject_id = y.subject_id AND x.predicate_id <> y.predicate_id

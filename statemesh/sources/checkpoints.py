@@ -19,11 +19,20 @@ LINES = (
 )
 
 
+GLOB = "*.{jsonl,jsonl.gz,json,json.gz}"
+
+
+def stem_of(path: str):
+    folder = F.regexp_extract(path, "/stem=([^/]+)/", 1)
+    return F.when(folder != "", F.url_decode(folder)).otherwise(F.regexp_extract(path, r"([^/]+?)\.jsonl?(?:\.gz)?$", 1))
+
+
 def sources(spark: SparkSession, folder: str) -> DataFrame:
-    """(path, stem) of the checkpoint files: a plain file shadows a gzipped one of the same stem."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.{jsonl,jsonl.gz}").load(folder).select("path")
-    named = files.withColumn("stem", F.regexp_extract("path", r"([^/]+?)\.jsonl(?:\.gz)?$", 1)).withColumn("plain", F.col("path").endswith(".jsonl"))
-    plain = named.where("plain").select("stem")
+    """(path, stem) of the checkpoint files: a plain file shadows a gzipped one of the same stem. Files that append_pages()
+    wrote lie in a folder for each stem and shadow nothing."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", GLOB).option("recursiveFileLookup", "true").load(folder).select("path")
+    named = files.withColumn("stem", stem_of("path")).withColumn("plain", ~F.col("path").endswith(".jsonl.gz"))
+    plain = named.where("plain").select("stem").distinct()
     return named.where("plain").unionByName(named.where("not plain").join(plain, "stem", "left_anti")).select("path", "stem")
 
 
@@ -46,9 +55,8 @@ def lines(spark: SparkSession, folder: str) -> DataFrame:
     read = spark.read.schema(LINES).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record").json(paths)
     named = read.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_at"))
     sound = named.where("_corrupt_record is null and page is not null")
-    place = Window.partitionBy("_file").orderBy("_block", "_at")
-    stem = F.regexp_extract("_file", r"([^/]+?)\.jsonl(?:\.gz)?$", 1)
-    return sound.withColumns({"stem": stem, "line": F.row_number().over(place)}).drop("_corrupt_record", "_block", "_at", "_file")
+    place = Window.partitionBy("stem").orderBy("_file", "_block", "_at")
+    return sound.withColumn("stem", stem_of("_file")).withColumn("line", F.row_number().over(place)).drop("_corrupt_record", "_block", "_at", "_file")
 
 
 def _typed(claim: str) -> list:
@@ -105,11 +113,11 @@ def pages_todo(pages: DataFrame, done: DataFrame) -> DataFrame:
 
 
 def append_pages(pages: DataFrame, folder: str, done: DataFrame | None = None) -> None:
-    """Append page lines; pages that are there already are left out."""
+    """Append page lines(stem, page, document, claims, ...), in a folder for each stem; pages that are done are left out."""
     new = pages if done is None else pages_todo(pages, done)
-    new.drop("stem").write.mode("append").json(folder)
+    new.write.partitionBy("stem").mode("append").json(folder)
 
 
 def snapshot(spark: SparkSession, folder: str, target: str) -> None:
     """All sound lines, gzipped."""
-    lines(spark, folder).drop("stem", "line").write.mode("overwrite").option("compression", "gzip").json(target)
+    lines(spark, folder).drop("line").write.partitionBy("stem").mode("overwrite").option("compression", "gzip").json(target)
