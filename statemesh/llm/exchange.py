@@ -70,6 +70,7 @@ def located(df: DataFrame, most_bytes: int = 4_000_000, most_rows: int = 1 << 16
                 size, n = size + part.nbytes, n + part.num_rows
         if held:
             yield chunk()
+        release_memory()
 
     return df.mapInArrow(cut, LOCATED)
 

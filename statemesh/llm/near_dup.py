@@ -63,7 +63,7 @@ def circulant(bands: int = BANDS, rows: int = ROWS) -> np.ndarray:
 
 class _Hashes(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 400_000:
+        if len(self) >= 250_000:
             self.clear()
         h = self[word] = xxhash.xxh3_64_intdigest(word)
         return h
@@ -380,7 +380,9 @@ def one_of_each(docs: DataFrame, percent: int = 85, words: int = 5, block_sets:
 
     def pick(_key, left: pa.Table, right: pa.Table) -> pa.Table:
         rows = rows_of(left.column("rows")[0].as_py())
-        return rows.take(pa.array(np.sort(right.column("place").to_numpy() & ((1 << IN_CHUNK) - 1))))
+        kept_rows = rows.take(pa.array(np.sort(right.column("place").to_numpy() & ((1 << IN_CHUNK) - 1))))
+        release_memory()
+        return kept_rows
 
     return chunks.groupBy("chunk").cogroup(kept.groupBy("chunk")).applyInArrow(pick, docs.schema)
 

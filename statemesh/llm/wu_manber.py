@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import ship
+from .exchange import release_memory
 
 #: Lower-cases A-Z; of ASCII keeps letters and digits; other ASCII parts words; bytes above 7F stay.
 WORDS = bytes(b if b >= 0x80 else (b | 0x20 if 0x41 <= b <= 0x5A else b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A else 0x20) for b in range(256))
@@ -115,6 +116,8 @@ def blocks_of(benchmark: DataFrame, max_words: int) -> Iterator[list[tuple]]:
         yield held
 
 
+#: Texts that are taken apart into words together.
+SLICE = 256
 RESULT = T.StructType(
     [
         T.StructField("n_words", T.LongType()),
@@ -143,18 +146,22 @@ def decontaminate(
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             cols: list[list] = [[] for _ in range(6)]
-            split = [words_of(t or b"") for t in batch.column("text").cast(pa.binary()).to_pylist()]
-            runs: list[list] = [[] for _ in split]
-            items: list[set] = [set() for _ in split]
-            for block in shared:  # one block of patterns in memory at a time
-                for search, owners in block.value:
-                    for i, words in enumerate(split):
-                        for start, k in search.search(words):
-                            items[i].update(owners[k])
-                            runs[i].append((start, start + len(search.patterns[k])))
+            texts = [t or b"" for t in batch.column("text").cast(pa.binary()).to_pylist()]
+            counts, runs = [0] * len(texts), [[] for _ in texts]
+            items: list[set] = [set() for _ in texts]
+            for block in shared or [None]:  # one block of patterns and the words of a few texts in memory at a time
+                for at in range(0, len(texts), SLICE):
+                    split = [words_of(t) for t in texts[at : at + SLICE]]
+                    counts[at : at + SLICE] = map(len, split)
+                    for search, owners in block.value if block else []:
+                        for i, words in enumerate(split, at):
+                            for start, k in search.search(words):
+                                items[i].update(owners[k])
+                                runs[i].append((start, start + len(search.patterns[k])))
+                    del split
                 if len(shared) > 1:
                     del block._value  # the worker's copy; the file of the broadcast stays
-            for words, found, own in zip(split, runs, items):
+            for n, found, own in zip(counts, runs, items):
                 own.discard(None)
                 spans: list[list[int]] = []
                 for a, b in sorted(found):
@@ -164,10 +171,11 @@ def decontaminate(
                         spans.append([a, b])
                 hit = sum(b - a for a, b in spans)
                 digest = hashlib.sha256(",".join(sorted(map(str, own))).encode()).hexdigest()
-                for c, v in zip(cols, (len(words), hit, len(own), digest, hit > 0, spans)):
+                for c, v in zip(cols, (n, hit, len(own), digest, hit > 0, spans)):
                     c.append(v)
             types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.list_(pa.list_(pa.int64()))]
             new = [pa.array(c, t) for c, t in zip(cols, types)]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in own_columns), *new], names=schema.names)
+        release_memory()
 
     return docs.select(*dict.fromkeys([*own_columns, "text"])).mapInArrow(scan, schema)
