@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .common import first_of, found, has, let, lookup, make_date, strip
+from .common import first_of, found, has, let, lookup, strip
 
 #: Names of months.
 MONTHS = {
@@ -63,18 +63,9 @@ PERIOD = "struct<kind:string,label:string,start:date,end:date,convention:string>
 FISCAL, CALENDAR, UNKNOWN = "IN_APR_MAR", "CALENDAR", "unknown"
 
 
-def end_of_month(year: Column, month: Column | int) -> Column:
-    return F.last_day(make_date(year, month, 1))
-
-
-def fiscal_start(end_year: Column) -> Column:
-    """First day of the fiscal year that ends on 31 March of the year."""
-    return make_date(end_year - 1, 4, 1)
-
-
 def expand_year(year: Column) -> Column:
     """Two digits are of this century."""
-    return F.when(year < 100, year + 2000).otherwise(year)
+    return let(year, lambda y: F.when(y < 100, y + 2000).otherwise(y))
 
 
 def unknown_period() -> Column:
@@ -92,16 +83,42 @@ def period(kind: str, label: Column, start: Column, end: Column, convention: Col
     )
 
 
-def _months_on(start: Column, first: Column | int, count: Column | int) -> tuple[Column, Column]:
-    """count months from the month ``first`` months after start: first and last day."""
-    at = F.add_months(start, first)
-    return at, F.last_day(F.add_months(at, count - 1))
+#: What a form says before dates are made of it: months from the year 0 on and how many, or a day and how many months it ends.
+_SAID = {"label": "string", "convention": "string", "since": "int", "count": "int", "y": "int", "m": "int", "d": "int"}
+
+
+def _said(**fields: Column | str | int) -> Column:
+    known = {k: v if isinstance(v, Column) else F.lit(v) for k, v in fields.items()}
+    return F.struct(*((known.get(k, F.lit(None))).cast(kind).alias(k) for k, kind in _SAID.items()))
+
+
+def _day(y: Column, m: Column, d: Column) -> Column:
+    """The date, or null where there is no such day."""
+    first = F.when(y.between(1, 9999) & m.between(1, 12), F.make_date(y, m, F.lit(1)))
+    return let(first, lambda f: F.when(d.between(1, F.dayofmonth(F.last_day(f))), F.date_add(f, d - 1)))
+
+
+def _dates(x: Column) -> Column:
+    """PERIOD of what a form says."""
+
+    def months(since: Column) -> Column:
+        year = F.floor(since / 12).cast("int")
+        start = F.when(year.between(1, 9999), F.make_date(year, since % 12 + 1, F.lit(1)))
+        return let(start, lambda s: period("interval", x["label"], s, F.last_day(F.add_months(s, x["count"] - 1)), x["convention"]))
+
+    def ended(day: Column) -> Column:
+        by_month = period("interval", x["label"], F.add_months(F.trunc(day, "MM"), 1 - x["count"]), day, x["convention"])
+        by_year = period("interval", x["label"], F.date_add(F.add_months(day, -12), 1), day, x["convention"])
+        return F.when(x["count"] == 0, period("instant", x["label"], day, day, x["convention"])).when(x["count"] < 0, by_year).otherwise(by_month)
+
+    return F.when(x["since"].isNotNull(), months(x["since"])).otherwise(let(_day(x["y"], x["m"], x["d"]), ended))
 
 
 def parse_period(text: Column) -> Column:
     """PERIOD of the first form that occurs in the text, its leftmost place; kind 'unknown' where none does.
 
-    A day that does not exist gives an unknown period.
+    A day that does not exist gives an unknown period. The form is chosen first; only its own groups are then taken out, each
+    once, as numbers, and dates are made of those.
     """
 
     def parsed(t: Column) -> Column:
@@ -114,51 +131,48 @@ def parse_period(text: Column) -> Column:
         def month(word: Column) -> Column:
             return lookup(F.lower(word), MONTHS, "int")
 
-        def interval(name: str, start: Column, end: Column, convention: Column | str) -> Column:
-            return period("interval", strip(g(name, 0)), start, end, convention)
-
-        fiscal = lambda name, group: fiscal_start(expand_year(n(name, group)))
-        quarter = _months_on(fiscal("q_fy", 2), (n("q_fy", 1) - 1) * 3, 3)
-        months = _months_on(fiscal("nm_fy", 2), 0, n("nm_fy", 1))
-        half = _months_on(fiscal("h_fy", 2), (n("h_fy", 1) - 1) * 6, 6)
-        c_half = _months_on(make_date(expand_year(n("h_cy", 2)), 1, 1), (n("h_cy", 1) - 1) * 6, 6)
-        c_year = _months_on(make_date(expand_year(n("cy_one", 1)), 1, 1), 0, 12)
-        c_quarter = _months_on(make_date(n("q_cy", 2), 1, 1), (n("q_cy", 1) - 1) * 3, 3)
-
-        def dated(name: str, first: int) -> tuple[Column, Column]:
-            """Month and date of the day-month or month-day form whose groups begin at first."""
-            m = month(F.coalesce(g(name, first + 1), g(name, first + 2)))
-            return m, make_date(n(name, first + 4), m, F.coalesce(n(name, first), n(name, first + 3)))
-
-        n_month, n_end = dated("n_months", 2)
-        n_start = F.add_months(F.trunc(n_end, "MM"), 1 - lookup(F.lower(g("n_months", 1)), COUNTS, "int"))
-        y_month, y_end = dated("year_ended", 1)
-        y_start = F.date_add(F.add_months(y_end, -12), 1)
-        y_convention = first_of([(y_month == 3, F.lit(FISCAL)), (y_month == 12, F.lit(CALENDAR))], F.lit(UNKNOWN))
-        day = F.coalesce(n("as_at", 1), n("as_at", 5), n("as_at", 7))
-        a_month = F.coalesce(month(F.coalesce(g("as_at", 2), g("as_at", 4))), n("as_at", 8))
-        at = make_date(F.coalesce(n("as_at", 3), n("as_at", 6), n("as_at", 9)), a_month, day)
-        a_convention = F.when((a_month == 3) & (day == 31), F.lit(FISCAL)).otherwise(F.lit(UNKNOWN))
-        first, second = g("fy_span", 1), g("fy_span", 2)
-        joined = (F.length(first) == 4) & (F.length(second) == 2)
-        span_year = F.when(joined, F.concat(F.substr(first, F.lit(1), F.lit(2)), second).try_cast("int"))
-        span = _months_on(fiscal_start(F.coalesce(span_year, expand_year(n("fy_span", 2)))), 0, 12)
-        year = _months_on(fiscal("fy_one", 1), 0, 12)
-
+        def fiscal(name: str, year: Column, first: Column | int, count: Column | int) -> Column:
+            """Months from April of the year before on."""
+            return _said(label=strip(g(name, 0)), convention=FISCAL, since=(year - 1) * 12 + 3 + first, count=count)
+
+        def calendar(name: str, year: Column, first: Column | int, count: Column | int) -> Column:
+            return _said(label=strip(g(name, 0)), convention=CALENDAR, since=year * 12 + first, count=count)
+
+        def dated(name: str, first: int, count: Column | int, convention) -> Column:
+            """The day-month or month-day form whose groups begin at first."""
+            at = month(F.coalesce(g(name, first + 1), g(name, first + 2)))
+            day = F.coalesce(n(name, first), n(name, first + 3))
+            return let(at, lambda m: _said(label=strip(g(name, 0)), convention=convention(m), count=count, y=n(name, first + 4), m=m, d=day))
+
+        def as_at() -> Column:
+            day = F.coalesce(n("as_at", 1), n("as_at", 5), n("as_at", 7))
+            at = F.coalesce(month(F.coalesce(g("as_at", 2), g("as_at", 4))), n("as_at", 8))
+            parts = F.struct(F.coalesce(n("as_at", 3), n("as_at", 6), n("as_at", 9)).alias("y"), at.alias("m"), day.alias("d"))
+            convention = lambda x: F.when((x["m"] == 3) & (x["d"] == 31), F.lit(FISCAL)).otherwise(F.lit(UNKNOWN))
+            return let(parts, lambda x: _said(label=strip(g("as_at", 0)), convention=convention(x), count=0, y=x["y"], m=x["m"], d=x["d"]))
+
+        def span_year(x: Column) -> Column:
+            joined = (F.length(x["a"]) == 4) & (F.length(x["b"]) == 2)
+            return F.when(joined, F.concat(F.substr(x["a"], F.lit(1), F.lit(2)), x["b"]).try_cast("int")).otherwise(expand_year(x["b"].try_cast("int")))
+
+        span = let(F.struct(g("fy_span", 1).alias("a"), g("fy_span", 2).alias("b")), span_year)
+        march = lambda m: F.when(m == 3, F.lit(FISCAL)).otherwise(F.lit(UNKNOWN))
+        year_end = lambda m: first_of([(m == 3, F.lit(FISCAL)), (m == 12, F.lit(CALENDAR))], F.lit(UNKNOWN))
+        two = lambda name, group: expand_year(n(name, group))
         forms = [
-            ("q_fy", interval("q_fy", *quarter, FISCAL)),
-            ("nm_fy", interval("nm_fy", *months, FISCAL)),
-            ("h_fy", interval("h_fy", *half, FISCAL)),
-            ("h_cy", interval("h_cy", *c_half, CALENDAR)),
-            ("n_months", interval("n_months", n_start, n_end, F.when(n_month == 3, F.lit(FISCAL)).otherwise(F.lit(UNKNOWN)))),
-            ("year_ended", interval("year_ended", y_start, y_end, y_convention)),
-            ("as_at", period("instant", strip(g("as_at", 0)), at, at, a_convention)),
-            ("cy_one", interval("cy_one", *c_year, CALENDAR)),
-            ("fy_span", interval("fy_span", *span, FISCAL)),
-            ("fy_one", interval("fy_one", *year, FISCAL)),
-            ("q_cy", interval("q_cy", *c_quarter, CALENDAR)),
+            ("q_fy", fiscal("q_fy", two("q_fy", 2), (n("q_fy", 1) - 1) * 3, 3)),
+            ("nm_fy", fiscal("nm_fy", two("nm_fy", 2), 0, n("nm_fy", 1))),
+            ("h_fy", fiscal("h_fy", two("h_fy", 2), (n("h_fy", 1) - 1) * 6, 6)),
+            ("h_cy", calendar("h_cy", two("h_cy", 2), (n("h_cy", 1) - 1) * 6, 6)),
+            ("n_months", dated("n_months", 2, lookup(F.lower(g("n_months", 1)), COUNTS, "int"), march)),
+            ("year_ended", dated("year_ended", 1, -1, year_end)),
+            ("as_at", as_at()),
+            ("cy_one", calendar("cy_one", two("cy_one", 1), 0, 12)),
+            ("fy_span", fiscal("fy_span", span, 0, 12)),
+            ("fy_one", fiscal("fy_one", two("fy_one", 1), 0, 12)),
+            ("q_cy", calendar("q_cy", n("q_cy", 2), (n("q_cy", 1) - 1) * 3, 3)),
         ]
-        got = first_of([(has(t, _FLAGS + PATTERNS[name]), value) for name, value in forms])
+        got = let(first_of([(has(t, _FLAGS + PATTERNS[name]), value) for name, value in forms]), _dates)
         return let(got, lambda p: F.when(p["start"].isNotNull(), p).otherwise(unknown_period()))
 
     # every form but the as-at date names its period by letters or spans years; a text without a digit has none

@@ -353,11 +353,11 @@ def markdown_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "evidence_spans",
-    """WITH o AS (SELECT o_orderkey AS k, CAST(floor(o_totalprice) AS VARCHAR) AS raw FROM orders)
-    SELECT k, CASE k % 3 WHEN 0 THEN 0 WHEN 1 THEN 14 ELSE 0 END::INT AS s, CASE k % 3 WHEN 0 THEN 32 + length(raw) WHEN 1 THEN 33 + length(raw) ELSE 410 END::INT AS e FROM o""",
+    """WITH o AS (SELECT o_orderkey AS k, CAST(floor(o_totalprice)::BIGINT AS VARCHAR) AS raw FROM orders)
+    SELECT k, CASE k % 3 WHEN 0 THEN 0 WHEN 1 THEN 13 ELSE 0 END::INT AS s, CASE k % 3 WHEN 0 THEN 32 + length(raw) WHEN 1 THEN 36 + length(raw) ELSE 410 END::INT AS e FROM o""",
 )
 def evidence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What to show around a value: a short table whole, a sentence of prose by its lines, a long table's own line."""
+    """What to show around a value: a short table whole, a sentence of prose from the last one's end to its line's, a long table's own line."""
     o, lit, k = table(spark, sf_dir, "orders"), F.lit, F.col("o_orderkey")
     raw = F.floor("o_totalprice").cast("string")
     cases = [
@@ -386,7 +386,7 @@ def scale_captions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "attached_columns",
-    """WITH l AS (SELECT l_orderkey AS k, l_linenumber AS n, CAST(l_quantity AS INT) AS q FROM lineitem), r AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY n) AS i, count(*) OVER (PARTITION BY k) AS c FROM l)
+    """WITH l AS (SELECT l_orderkey AS k, l_linenumber AS n, CAST(l_quantity AS INT) AS q FROM lineitem), r AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY n, q) AS i, count(*) OVER (PARTITION BY k) AS c FROM l)
     SELECT CAST(k AS VARCHAR) AS document_id, CASE WHEN c = k % 4 + 2 THEN 'FY' || (1994 + i) || ' units' END AS col, CASE WHEN c = k % 4 + 2 THEN 'Quantity shipped' END AS label, CAST(q AS VARCHAR) AS text FROM r WHERE q >= 10""",
 )
 def attached_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
