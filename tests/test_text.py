@@ -17,8 +17,8 @@ def one(spark, column, *values, ddl="a string, b string"):
 
 
 def test_labels(spark):
-    df = spark.createDataFrame([("Delhivery Limited",), ("Delhivery Private Ltd.",), ("ACME Corp",), ("The  Acme, Corporation",), (None,)], "t string")
-    assert [r[0] for r in df.select(normalise_label(F.col("t"), True)).collect()] == ["delhivery", "delhivery", "acme", "the acme", ""]
+    df = spark.createDataFrame([("Northwind Limited",), ("Northwind Private Ltd.",), ("ACME Corp",), ("The  Acme, Corporation",), (None,)], "t string")
+    assert [r[0] for r in df.select(normalise_label(F.col("t"), True)).collect()] == ["northwind", "northwind", "acme", "the acme", ""]
 
 
 def test_properties(spark):
@@ -41,8 +41,8 @@ def test_subjects_and_words(spark):
 def test_normalised_text_and_numeric_keys(spark):
     text = " ﬁnance​  ７２,２５１\n"
     assert one(spark, normalise_text(F.col("a")), text) == " ".join(unicodedata.normalize("NFKC", text.replace("​", " ").replace(" ", " ")).split())
-    df = spark.createDataFrame([("72,251",), ("72 251",), ("+72251.",)], "t string")
-    assert {r[0] for r in df.select(numeric_key(F.col("t"))).collect()} == {"72251"}
+    df = spark.createDataFrame([("61,451",), ("61 451",), ("+61451.",)], "t string")
+    assert {r[0] for r in df.select(numeric_key(F.col("t"))).collect()} == {"61451"}
 
 
 def test_json_tables_and_ids(spark):
@@ -55,9 +55,9 @@ def test_json_tables_and_ids(spark):
 
 
 def test_embeddings(spark):
-    df = spark.createDataFrame([("Delhivery Ltd", "Delhivery Limited")], "a string, b string").select(embed(F.col("a")).alias("a"), embed(F.col("b")).alias("b"))
+    df = spark.createDataFrame([("Northwind Ltd", "Northwind Limited")], "a string, b string").select(embed(F.col("a")).alias("a"), embed(F.col("b")).alias("b"))
     got = df.select(cosine(F.col("a"), F.col("b")).alias("s")).first()["s"]
-    assert abs(got - float(hashed_trigrams("Delhivery Ltd") @ hashed_trigrams("Delhivery Limited"))) < 1e-6
+    assert abs(got - float(hashed_trigrams("Northwind Ltd") @ hashed_trigrams("Northwind Limited"))) < 1e-6
     z = spark.createDataFrame([([0.0, 0.0], [1.0, 0.0]), ([1.0], [1.0, 0.0]), ([], [])], "a array<float>, b array<float>")
     assert [r[0] for r in z.select(cosine(F.col("a"), F.col("b"))).collect()] == [0.0, 0.0, 0.0]
     assert np.isclose(np.linalg.norm(hashed_trigrams("abc")), 1)
