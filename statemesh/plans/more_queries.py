@@ -451,7 +451,14 @@ def ontology_top(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_api.ontology(canon.nodes(canon.resolve(canon.distinct_labels(canon.label_keys(_labelled(spark, sf_dir))))))
 
 
-@query("prose_ranking")
+@query(
+    "prose_ranking",
+    """WITH l AS (SELECT doc_id, i - 1 AS i, string_split(text, chr(10))[i] AS t FROM documents, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS u(i)),
+    b AS (SELECT doc_id, i // 40 + 1 AS p, i, length(t) AS whole, trim(t, E' \\n\\t\\r') AS t FROM l WHERE trim(t, ' ') <> ''),
+    q AS (SELECT * FROM b WHERE length(t) BETWEEN 60 AND 2000 AND length(regexp_replace(t, '[^0-9]', '', 'g')) <= 0.16 * length(t) AND regexp_matches(t, '[a-z]{3,}\\s+[a-z]{3,}') QUALIFY row_number() OVER (PARTITION BY doc_id, p ORDER BY i) <= 8),
+    r AS (SELECT doc_id, p, sum(whole)::BIGINT AS chars FROM q GROUP BY 1, 2)
+    SELECT CAST(doc_id AS VARCHAR) AS document_id, p::INT AS page, chars, (row_number() OVER (PARTITION BY doc_id ORDER BY chars DESC, p))::INT AS rank FROM r QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY chars DESC, p) <= 5""",
+)
 def prose_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document's pages with the most prose."""
     return extract.prose_ranking(_blocks(spark, sf_dir))
