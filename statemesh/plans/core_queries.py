@@ -11,7 +11,7 @@ from ..functions.numbers import classify_ratio, parse_range, parse_value
 from ..functions.periods import enforce_plausibility, overlaps, parse_period, period_is_possible
 from ..operators.compare import edge_order, fallback_explanation
 from ..operators.pairing import all_pairs, incremental_pairs, narrowed, pairing_report, unreliable_periods, value_pairs
-from ..session import spread
+from ..session import spread, stored
 from . import read_api
 from .adapter import order_claims, order_statements, period_text, table
 from .layer import assign_subjects, build, layer_stats, relation_by_axis, relation_counts
@@ -229,6 +229,11 @@ def label_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return labels.groupBy("src", normalise_label(F.col("label"), strip_suffixes=True).alias("key")).agg(F.count("*").alias("n"))
 
 
+def stored_narrow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The claims flat and narrow, parsed once and written: what is read from them several times is not parsed again."""
+    return stored(narrowed(order_claims(spark, sf_dir)), "narrow")
+
+
 def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return build(order_claims(spark, sf_dir)).edges
 
@@ -261,7 +266,7 @@ def edges_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     ),
 )
 def pair_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pairing_report(narrowed(order_claims(spark, sf_dir)))
+    return pairing_report(stored_narrow(spark, sf_dir))
 
 
 @query(
@@ -274,7 +279,7 @@ def pair_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     ),
 )
 def value_bucket_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return value_pairs(narrowed(order_claims(spark, sf_dir))).select("a_seq", "b_seq")
+    return value_pairs(stored_narrow(spark, sf_dir)).select("a_seq", "b_seq")
 
 
 @query(
@@ -289,12 +294,12 @@ def value_bucket_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def pairs_deduplicated(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact and value pairs across documents, each pair once."""
-    return all_pairs(narrowed(order_claims(spark, sf_dir)), cross_document=True).groupBy("reason").agg(F.count("*").alias("n"))
+    return all_pairs(stored_narrow(spark, sf_dir), cross_document=True).groupBy("reason").agg(F.count("*").alias("n"))
 
 
 @query("unreliable_period_claims", _with("SELECT seq FROM flagged WHERE unreliable"))
 def unreliable_period_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return unreliable_periods(narrowed(order_claims(spark, sf_dir))).where("unreliable").select("seq")
+    return unreliable_periods(stored_narrow(spark, sf_dir)).where("unreliable").select("seq")
 
 
 @query("contradictions_top", _with("SELECT a_seq, b_seq, confidence, cross_document FROM edges WHERE relation = 'contradiction' ORDER BY cross_document DESC, confidence DESC, a_seq, b_seq LIMIT 50"))
@@ -349,7 +354,7 @@ def document_subjects(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def incremental_pairs_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """New claims against what is known."""
-    n = narrowed(order_claims(spark, sf_dir))
+    n = stored_narrow(spark, sf_dir)
     return incremental_pairs(n.where("seq % 10 = 3"), n.where("seq % 10 != 3")).select("a_seq", "b_seq")
 
 

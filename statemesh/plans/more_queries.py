@@ -19,7 +19,7 @@ from ..session import scratch
 from ..sources import checkpoints, documents
 from ..streaming import extend as incremental
 from .adapter import order_claims, order_statements, table
-from .core_queries import CLAIMS_SQL
+from .core_queries import CLAIMS_SQL, stored_narrow
 from . import read_api
 from .layer import assign_subjects, build
 
@@ -437,7 +437,7 @@ def documents_of_entity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def adjudicated_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The fifty most confident ambiguous pairs, with answers held against what the scopes allow."""
     a, b = pair_sides()
-    pairs = exact_pairs(unreliable_periods(narrowed(order_claims(spark, sf_dir))))
+    pairs = exact_pairs(unreliable_periods(stored_narrow(spark, sf_dir)))
     judged = with_verdict(pairs).where("relation = 'ambiguous'").withColumns({"diffs": differing_axes(a, b), "dated": a("p_start").isNotNull() & b("p_start").isNotNull(), "confidence": F.round("confidence", 6)})
     edges = judged.select("a_id", "b_id", "a_seq", "b_seq", "relation", "axis", "confidence", "diffs", "dated")
     said = F.element_at(F.array(*map(F.lit, ("corroboration", "contradiction", "reconciled"))), (F.col("a_seq") % 3 + 1).cast("int"))
