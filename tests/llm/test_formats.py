@@ -398,3 +398,11 @@ def test_packed_keys(keys, buckets):
     c = exchange.cuts(a, buckets)
     assert c[0] == 0 and c[-1] == len(a) and (np.diff(c) >= 0).all() and len(c) == buckets + 1
     assert all(int(k) * buckets >> 64 == i for i in range(buckets) for k in a[c[i] : c[i + 1]])
+
+
+def test_packing_with_clashing_names(spark):
+    rows = [(i, t) for i, t in enumerate(ODD)]
+    odd = spark.createDataFrame([(*r, "p", 1, [2], "b") for r in rows], DOCS + ", part string, ids int, lengths array<int>, body string").coalesce(1)
+    plain = spark.createDataFrame(rows, DOCS).coalesce(1)
+    shown = lambda df: sorted(map(str, packing.pack_documents(df, WORD_BPE, with_ids=False).collect()))
+    assert shown(odd) == shown(plain)

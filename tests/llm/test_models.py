@@ -259,3 +259,13 @@ def test_the_registered_katz_query_is_of_order_3(spark, tmp_path):
     scores = lambda df: {r["doc_id"]: round(r["score"], 6) for r in df.collect()}
     got = scores(queries.op1_katz(spark, str(tmp_path)))
     assert got == scores(katz.katz_scores(docs, order=3)) != scores(katz.katz_scores(docs, order=2))
+
+
+def test_columns_with_clashing_names(spark):
+    rows = words(3, 12)
+    plain = spark.createDataFrame(rows, DOCS)
+    odd = spark.createDataFrame([(*r, "x", 7, None, b"z") for r in rows], DOCS + ", chunk string, n_tokens int, body string, score binary")
+    shown = lambda df: sorted(map(tuple, df.collect()), key=str)
+    assert shown(katz.katz_scores(odd)) == shown(katz.katz_scores(plain))
+    path = str(public_tokenizers.path("byte_bpe_50k.json"))
+    assert shown(token_counts.token_counts(odd, path)) == shown(token_counts.token_counts(plain, path))
