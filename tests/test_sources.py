@@ -106,3 +106,16 @@ def test_a_stream_of_claims_folds_in_and_repeats_change_nothing(spark, tmp_path)
     assert edge_set(store.edges()) == want
     store.fold_in(claims_frame(spark, range(3, 9)), 1)
     assert edge_set(store.edges()) == want and store.claims().count() == 9
+
+
+def test_what_was_stored_can_be_dropped(spark):
+    from statemesh.session import clear_stored, stored, stored_by
+
+    df = spark.createDataFrame([(1, "a"), (2, "b")], "k bigint, v string")
+    one, two = stored(df, "one"), stored_by(df, "two", "k", 2)
+    assert sorted(map(tuple, one.collect())) == sorted(map(tuple, two.collect())) == [(1, "a"), (2, "b")]
+    files = one.inputFiles()
+    assert clear_stored(spark) >= 2 and clear_stored(spark) == 0
+    import os
+
+    assert not any(os.path.exists(f.removeprefix("file://")) for f in files)
