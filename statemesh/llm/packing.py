@@ -45,7 +45,7 @@ class WordIds:
     word. Everything else is encoded alone.
     """
 
-    def __init__(self, path: str, most: int = 500_000, max_key: int = 256):
+    def __init__(self, path: str, most: int = 350_000, max_key: int = 256):
         from tokenizers import Tokenizer
 
         self.tok, self.most, self.max_key = Tokenizer.from_file(path), most, max_key
