@@ -78,6 +78,28 @@ def op10_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op11_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .debruijn import remove_passages
+
+    return remove_passages(_table(spark, sf_dir, "documents"), with_text=False)
+
+
+def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .fill_middle import fill_middle, restored
+
+    made = fill_middle(_table(spark, sf_dir, "documents"), columns=["doc_id"])
+    sha = lambda c: F.sha2(c.cast("binary"), 256)
+    text = F.col("output")
+    digests = sha(text).alias("output_sha256"), sha(restored(text, F.col("form"))).alias("restored_sha256")
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *digests)
+
+
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .merkle import verified_rows
+
+    return verified_rows(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op4_pii": op4_pii,
     "op9_suffix_dedup": op9_suffix_dedup,
@@ -89,6 +111,9 @@ QUERIES = {
     "op6_decontamination": op6_decontamination,
     "op7_warc": op7_warc,
     "op8_sharding": op8_sharding,
+    "op11_passages": op11_passages,
+    "op12_fill_middle": op12_fill_middle,
+    "op13_merkle": op13_merkle,
 }
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -134,4 +159,44 @@ e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
 r(doc_id, m) AS (SELECT doc_id, doc_id FROM w UNION SELECT r.doc_id, e.b FROM r JOIN e ON r.m = e.a),
 c AS (SELECT doc_id, min(m) AS component_id FROM r GROUP BY 1)
 SELECT doc_id, coalesce(n.n, 0) AS n_shingles, component_id, doc_id = component_id AS kept FROM c LEFT JOIN n USING (doc_id)""",
+    "op11_passages": """
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+g AS (SELECT doc_id, k, array_to_string(ws[k : k + 34], ' ') AS g FROM w, unnest(range(1, len(ws) - 33)) t(k) WHERE len(ws) >= 35),
+f AS (SELECT doc_id, k FROM g QUALIFY count(*) OVER (PARTITION BY g) > 1),
+c AS (SELECT DISTINCT doc_id, j FROM f, unnest(range(k, k + 35)) t(j)),
+u AS (SELECT doc_id, j, ws[j] AS v FROM w, unnest(range(1, len(ws) + 1)) t(j)),
+r AS (SELECT doc_id, count(*) AS n FROM c GROUP BY 1),
+o AS (SELECT u.doc_id, string_agg(v, ' ' ORDER BY j) AS kept FROM u ANTI JOIN c ON u.doc_id = c.doc_id AND u.j = c.j GROUP BY 1)
+SELECT doc_id, len(ws) AS n_words, coalesce(r.n, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM w LEFT JOIN r USING (doc_id) LEFT JOIN o USING (doc_id)""",
+    "op12_fill_middle": """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS x, sha256('42:' || doc_id) AS h, regexp_extract_all(coalesce(text, ''), '[\\x20\\x09-\\x0D]*[^\\x20\\x09-\\x0D]+|[\\x20\\x09-\\x0D]+') AS ts FROM documents),
+n AS (SELECT doc_id, x, ts, len(ts) AS n, list_transform([1, 9, 17, 25], lambda i: CAST('0x' || substr(h, i, 8) AS BIGINT)) AS v FROM d),
+f AS (SELECT *, least(v[1] % (n + 1), v[2] % (n + 1)) AS a, greatest(v[1] % (n + 1), v[2] % (n + 1)) AS b,
+  CASE WHEN x = '' OR contains(x, '<P>') OR contains(x, '<S>') OR contains(x, '<M>') OR v[3] % 100 >= 50 THEN 'plain' WHEN v[4] % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM n),
+p AS (SELECT doc_id, x, n, form, array_to_string(ts[1 : a], '') AS pre, array_to_string(ts[a + 1 : b], '') AS mid, array_to_string(ts[b + 1 :], '') AS suf FROM f)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(pre) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(mid) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN x WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256, sha256(x) AS restored_sha256 FROM p""",
+    "op13_merkle": """
+WITH RECURSIVE c AS (SELECT *, CASE WHEN list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda s: CAST(ord(s) AS BIGINT))),
+    lambda a, b: list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda v, z: CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END)) IS NULL THEN false
+  ELSE xor(list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda s: CAST(ord(s) AS BIGINT))),
+    lambda a, b: list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda v, z: CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END)), 4294967295) % 7 = 0 END AS hit FROM documents),
+e AS (SELECT doc_id, lang, n_chars, hit, coalesce(strlen(CAST(doc_id AS VARCHAR)) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-') AS head,
+  coalesce(strlen(text) || ':' || text, '-') AS body FROM c),
+d AS (SELECT doc_id, lang, sha256(head || coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars, '-') || body) AS leaf,
+  sha256(head || coalesce(strlen(CAST(n_chars + CAST(hit AS INT) AS VARCHAR)) || ':' || (n_chars + CAST(hit AS INT)), '-') || body) AS changed,
+  row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST) - 1 AS idx FROM e),
+l(lang, k, nodes) AS (SELECT lang, 0, list(leaf ORDER BY idx) FROM d GROUP BY lang UNION ALL
+  SELECT lang, k + 1, list_transform(range(0, (len(nodes) + 1) // 2), lambda i: sha256(nodes[2 * i + 1] || coalesce(nodes[2 * i + 2], ''))) FROM l WHERE len(nodes) > 1),
+s AS (SELECT lang, nodes[1] AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS g FROM l WHERE len(nodes) = 1),
+u(k, nodes) AS (SELECT 0, list(subroot ORDER BY g) FROM s UNION ALL
+  SELECT k + 1, list_transform(range(0, (len(nodes) + 1) // 2), lambda i: sha256(nodes[2 * i + 1] || coalesce(nodes[2 * i + 2], ''))) FROM u WHERE len(nodes) > 1),
+p AS (SELECT doc_id, k, idx >> k AS i, nodes FROM d JOIN l ON d.lang IS NOT DISTINCT FROM l.lang WHERE len(nodes) > 1
+  UNION ALL SELECT doc_id, k + 1000, g >> k, nodes FROM d JOIN s ON d.lang IS NOT DISTINCT FROM s.lang JOIN u ON len(u.nodes) > 1),
+q AS (SELECT doc_id, k, CASE WHEN i % 2 = 1 THEN nodes[i] ELSE '' END AS b, CASE WHEN i % 2 = 0 THEN coalesce(nodes[i + 2], '') ELSE '' END AS a FROM p),
+t AS (SELECT doc_id, string_agg(b || a, '' ORDER BY k) AS proof, list({'b': b, 'a': a} ORDER BY k) AS steps FROM q GROUP BY 1),
+o AS (SELECT d.doc_id, leaf, subroot, (SELECT nodes[1] FROM u WHERE len(nodes) = 1) AS root, sha256(coalesce(proof, '')) AS proof_sha256,
+  struct_extract(list_reduce(list_prepend({'b': changed, 'a': ''}, coalesce(steps, [])), lambda x, y: {'b': sha256(y.b || x.b || y.a), 'a': ''}), 'b') AS folded_root
+  FROM d JOIN s ON d.lang IS NOT DISTINCT FROM s.lang LEFT JOIN t USING (doc_id))
+SELECT *, folded_root = root AS verified FROM o""",
 }
