@@ -5,9 +5,15 @@ before can add a node, so it is enough to resolve distinct keys in the order of
 native aggregation over all claims. What is left, one row per distinct key, goes through the leader pass, kind by kind.
 Vectors are compared with the founding label's only.
 
-The leader pass is sequential by its definition, so it goes in rounds of about ``batch`` keys in that order. In a round all
-stored nodes are held against the batch's vectors in parallel, each key keeps its nearest, and only the batch itself goes
-through one task. Decisions are the same for any batch; what a task or the driver holds is bounded by the batch.
+A key founds a node unless a node before it is similar enough to take it: the nodes are the greedy independent set of the
+keys, in their order, under similarity. So the leader pass is not walked through. The first ``batch`` keys go through one task.
+Then come stretches four times as long as all before them. The keys of a stretch look up their nearest among the nodes so far,
+which takes nearly all keys of crowded neighbourhoods, so that the links among the others are few. These are settled in
+parallel rounds: a key is decided once no key before it that it is linked with is open. Rounds grow with the logarithm of the
+keys; decisions are those of one pass for any ``batch``. The lookups are joins by threshold (``similar``); nothing but the
+counts of the embedder's dimensions goes to the driver.
+
+Nodes can come from earlier batches of claims: ``known`` has them exposed for lookup (streaming.extend keeps that index).
 """
 
 from __future__ import annotations
@@ -24,6 +30,7 @@ from ..functions.common import first_of, strip
 from ..functions.embeddings import hashed_trigrams
 from ..functions.labels import is_referring, normalise_label
 from ..session import ship, stored
+from . import similar
 
 #: Similarity from which a label merges, and below which it founds a node without doubt.
 MERGE, CREATE = 0.92, 0.72
@@ -65,9 +72,11 @@ def leader_pass(
     merge: float = MERGE,
     create: float = CREATE,
     adjudicate: Callable[[str, str], bool] | None = None,
+    floor: float = 0.0,
 ) -> pd.DataFrame:
     """Decisions for the keys of one kind, in order of first occurrence. Ties go to the earliest node.
 
+    A similarity below ``floor`` is given as 0, of no label.
     Columns known_key, known_label and known_score, if there are any, name the nearest of the nodes that exist already.
     Similarities are taken to twelve places, so that they do not depend on how rows are grouped.
     """
@@ -84,6 +93,8 @@ def leader_pass(
             best = int(np.argmax(similar))
             if similar[best] > score:
                 nearest, score = founders[best], float(similar[best])
+        if score < floor:
+            nearest, score = None, 0.0
         node, action = None, "created"
         if nearest and score >= merge:
             node, action = nearest, "merged"
@@ -97,30 +108,60 @@ def leader_pass(
             node = (key, label)
             vectors[len(founders)] = v
             founders.append(node)
-        out.append((key, label, first, node[0], node[1], action, score, nearest[1] if nearest else None, v.tolist() if founds else None))
-    return pd.DataFrame(out, columns=DECIDED)
-
-
-DECIDED = ["key", "label", "first", "node_key", "node_label", "action", "similarity", "nearest_label", "vector"]
-
-
-def _nearest(founders: DataFrame, keys: pd.DataFrame, embed: Callable[[str], np.ndarray]) -> DataFrame:
-    """(kind, key, known_key, known_label, known_score): the nearest of the founders for each of a bounded batch of keys."""
-    shared = founders.sparkSession.sparkContext.broadcast({k: (g["key"].tolist(), np.array([embed(x) for x in g["label"]])) for k, g in keys.groupby("kind")})
-
-    def best(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            for kind, group in part.sort_values(["first", "key"]).groupby("kind"):
-                if kind in shared.value:
-                    names, asked = shared.value[kind]
-                    similar = np.round(np.stack(group["vector"].tolist()) @ asked.T, 12)
-                    at = similar.argmax(0)
-                    own = group.iloc[at]
-                    yield pd.DataFrame({"kind": kind, "key": names, "known_key": own["key"].values, "known_label": own["label"].values, "known_score": similar[at, np.arange(len(at))], "met": own["first"].values})
-
-    found = founders.mapInPandas(best, "kind string, key string, known_key string, known_label string, known_score double, met bigint")
-    nearest = F.max_by(F.struct("known_key", "known_label", "known_score"), F.struct(F.col("known_score"), -F.col("met")))
-    return found.where("known_score > 0").groupBy("kind", "key").agg(nearest.alias("n")).select("kind", "key", "n.*")
+        out.append((key, label, first, node[0], node[1], action, score, nearest[1] if nearest else None))
+    return pd.DataFrame(out, columns=["key", "label", "first", "node_key", "node_label", "action", "similarity", "nearest_label"])
+
+
+def _verdicts(rows: DataFrame, merge: float, create: float, adjudicate) -> DataFrame:
+    """rows(label, known_label, known_score, ready, taken, ...) with ``taken`` where an adjudicator says so of those that are ready."""
+    if adjudicate is None:
+        return rows
+
+    def ask(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in parts:
+            open_ = p["ready"] & ~p["taken"] & (p["known_score"] >= create)
+            p["taken"] = p["taken"] | [bool(o and adjudicate(a, b)) for o, a, b in zip(open_, p["label"], p["known_label"])]
+            yield p
+
+    return rows.mapInPandas(ask, rows.schema)
+
+
+def settled(rows: DataFrame, links: DataFrame, merge: float, create: float, adjudicate=None) -> DataFrame:
+    """(kind, key) of the rows(kind, key, label, first, known_label, known_score, known_batch, known_first) that found a node;
+    links(kind, a, b, score): a comes before b, and all links count that could take b."""
+    state = rows.select("kind", "key", "label", "first", "known_label", "known_score", "known_batch", "known_first", F.lit("open").alias("state"))
+    state = stored(state.withColumn("state", F.when(F.col("known_score") >= merge, "taken").otherwise(F.col("state"))), "settling")
+    while state.where("state = 'open'").limit(1).count():
+        earlier = state.select("kind", F.col("key").alias("a"), F.col("label").alias("a_label"), F.col("first").alias("a_first"), F.col("state").alias("a_state"))
+        found = F.col("a_state") == "founds"
+        # the nearest node among the linked: of equals the first
+        near = F.max_by(F.when(found, F.struct("a_label", "score", "a_first")), F.when(found, F.struct("score", -F.col("a_first"))))
+        met = links.join(earlier, ["kind", "a"]).groupBy("kind", F.col("b").alias("key")).agg(F.bool_or(F.col("a_state") == "open").alias("waits"), near.alias("near"))
+        at = state.join(met, ["kind", "key"], "left")
+        nearer = F.coalesce(F.col("near.score") > F.col("known_score"), F.lit(False))
+        at = at.select(
+            "kind", "key", "label", "first", F.col("state").alias("before"),
+            F.when(nearer, F.col("near.a_label")).otherwise(F.col("known_label")).alias("known_label"), F.when(nearer, F.col("near.score")).otherwise(F.col("known_score")).alias("known_score"),
+            "known_batch", "known_first", (~F.coalesce("waits", F.lit(False))).alias("ready"),
+        )
+        at = _verdicts(at.withColumn("taken", F.col("known_score") >= merge), merge, create, adjudicate)
+        after = F.when(F.col("before") != "open", F.col("before")).when(F.col("taken"), "taken").when(F.col("ready"), "founds").otherwise("open")
+        state = stored(at.withColumn("state", after).select(*state.columns), "settling")
+    return state.where("state = 'founds'").select("kind", "key")
+
+
+def _bounds(todo: DataFrame, batch: int) -> list[dict[str, int]]:
+    """For each stretch the last ``first`` of each kind: the first ``batch`` keys of a kind, then four times as many as before."""
+    sizes = {r["kind"]: r["count"] for r in todo.groupBy("kind").count().collect()}
+    stretches, n = [], batch
+    while n < max(sizes.values(), default=0):
+        stretches.append(n)
+        n *= 4
+    ends: dict[str, list] = {}
+    for kind, size in sizes.items():
+        shares = [min(1.0, x / size) for x in stretches]
+        ends[kind] = todo.where(F.col("kind") == kind).agg(F.percentile_approx("first", shares, 100_000)).first()[0] if shares else []
+    return [{kind: ends[kind][i] for kind in sizes} for i in range(len(stretches))]
 
 
 def resolve(
@@ -130,36 +171,77 @@ def resolve(
     create: float = CREATE,
     adjudicate: Callable[[str, str], bool] | None = None,
     batch: int = 4096,
+    floor: float | None = None,
+    known: DataFrame | None = None,
+    order: similar.Order | None = None,
+    number: int = 0,
 ) -> DataFrame:
-    """DECISIONS for labels(kind, key, label, first). Node ids are hashes of the founding key, the same in every run."""
-    spark = labels.sparkSession
-    ship(spark)
-    todo = stored(labels.select("kind", "key", "label", "first"), "labels")
-    largest = todo.groupBy("kind").count().agg(F.max("count")).first()[0] or 0
-    rounds = max(1, -(-largest // batch))
-    # bounds of the rounds: places of first occurrence, so many for each kind
-    shares = [k / rounds for k in range(1, rounds)]
-    bounds = {r["kind"]: r["b"] for r in todo.groupBy("kind").agg(F.percentile_approx("first", shares, 100 * rounds).alias("b")).collect()} if shares else {}
-    schema = "kind string, key string, label string, first bigint, node_key string, node_label string, action string, similarity double, nearest_label string, vector array<double>"
+    """DECISIONS for labels(kind, key, label, first). Node ids are hashes of the founding key, the same in every run.
+
+    floor: similarities from here on are looked up (``create``, unless a lower one is asked for). Below it a key founds a node
+    whatever else exists, and its nearest is not named.
+    known, order: nodes that exist already (EXPOSED for the floor in that order); number: that of this batch of labels.
+    """
+    floor = min(create, merge) if floor is None else min(floor, create, merge)
+    ship(labels.sparkSession)
+    todo = stored(similar.features(labels, embed, number), "features")
+    order = similar.order_of(todo) if order is None else order
+    ends = _bounds(todo, batch)
+    shown = "kind string, key string, label string, first bigint, node_key string, node_label string, action string, similarity double, nearest_label string"
+    names = [c.split()[0] for c in shown.split(", ")]
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        return leader_pass(group, embed, merge, create, adjudicate).assign(kind=group["kind"].iloc[0])[["kind", *DECIDED]]
+        return leader_pass(group, embed, merge, create, adjudicate, floor).assign(kind=group["kind"].iloc[0])[names]
 
+    first = F.col("first")
     decided: list[DataFrame] = []
-    for k in range(rounds):
-        within = F.lit(not bounds)
-        for kind, b in bounds.items():
-            over = F.col("first") > b[k - 1] if k else F.lit(True)
-            within = within | ((F.col("kind") == kind) & over & (F.col("first") <= b[k] if k < len(b) else F.lit(True)))
+    nodes: list[DataFrame] = []  # EXPOSED, of each stretch
+    for k in range(len(ends) + 1):
+        within = F.lit(not ends)
+        for kind in ends[0] if ends else []:
+            over = first > ends[k - 1][kind] if k else F.lit(True)
+            within = within | ((F.col("kind") == kind) & over & (first <= ends[k][kind] if k < len(ends) else F.lit(True)))
         own = todo.where(within)
-        if decided:
-            founders = reduce(DataFrame.unionByName, decided).where("vector is not null").select("kind", "key", "label", "first", "vector")
-            own = own.join(_nearest(founders, own.toPandas(), embed), ["kind", "key"], "left")
-        decided.append(stored(own.groupBy("kind").applyInPandas(run, schema), "decisions"))
+        before = ([] if known is None else [known]) + nodes
+        asked = own
+        if before:
+            found = similar.nearest(reduce(DataFrame.unionByName, before), own, order, floor, left_exposed=True)
+            asked = stored(own.join(found, ["kind", "key"], "left"), "asked")
+        if not k:
+            done = asked.drop("at", "weight").groupBy("kind").applyInPandas(run, shown)
+        else:
+            done = _stretch(asked, order, merge, create, adjudicate, floor)
+        done = stored(done.select(*names), "decisions")
+        decided.append(done)
+        if k < len(ends):
+            founders = own.join(done.where("key = node_key").select("kind", "key"), ["kind", "key"], "left_semi")
+            nodes.append(stored(similar.exposed(founders, order, floor), "nodes"))
     node = F.sha1(F.concat_ws("|", "kind", "node_key"))
     return reduce(DataFrame.unionByName, decided).withColumn("node_id", node).select(*(c.split()[0] for c in DECISIONS.split(", ")))
 
 
+def _stretch(asked: DataFrame, order: similar.Order, merge: float, create: float, adjudicate, floor: float) -> DataFrame:
+    """Decisions on keys whose nearest earlier node (known_...) has been looked up."""
+    score = F.coalesce("known_score", F.lit(0.0))
+    rows = asked.withColumn("known_score", score)
+    free = rows.where(score < merge).select(*(c.split()[0] for c in similar.FEATURES.split(", ")))
+    links = stored(similar.links(free, order, merge if adjudicate is None else create), "links")
+    founders = stored(settled(rows, links, merge, create, adjudicate), "founders")
+    made = rows.join(founders, ["kind", "key"], "left_semi").select(*free.columns)
+    near = similar.nearest(made, rows.select(*free.columns), order, floor)
+    near = near.select("kind", "key", *(F.col(f"known_{c}").alias(f"near_{c}") for c in ("key", "label", "score")))
+    all_ = rows.join(near, ["kind", "key"], "left").join(founders.withColumn("founds", F.lit(True)), ["kind", "key"], "left")
+    nearer = F.coalesce(F.col("near_score") > F.col("known_score"), F.lit(False))
+    best = {c: F.when(nearer, F.col(f"near_{c}")).otherwise(F.col(f"known_{c}")) for c in ("key", "label", "score")}
+    all_ = all_.withColumns({"n_key": best["key"], "n_label": best["label"], "n_score": best["score"]})
+    founds, s = F.coalesce("founds", F.lit(False)), F.col("n_score")
+    new = F.when(s < create, "created").otherwise("ambiguous_defaulted_to_new" if adjudicate is None else "llm_created")
+    return all_.select(
+        "kind", "key", "label", "first", F.when(founds, F.col("key")).otherwise(F.col("n_key")).alias("node_key"), F.when(founds, F.col("label")).otherwise(F.col("n_label")).alias("node_label"),
+        F.when(founds, new).when(s >= merge, "merged").otherwise("llm_merged").alias("action"), s.alias("similarity"), F.col("n_label").alias("nearest_label"),
+    )
+
+
 def canonicalise(claims: DataFrame, decisions: DataFrame | None = None, **options) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(claims with subject_id and predicate_id, claims set aside with their failure, decisions)."""
     keyed = label_keys(claims.drop("subject_id", "predicate_id"))

@@ -18,6 +18,7 @@ from ..plans import read_api
 from ..schema import CLAIM_NAMES
 from ..session import scratch
 from ..sources import checkpoints, documents, ledger
+from ..streaming.extend import RegistryStore
 from .adapter import order_claims, table
 from .core_queries import CLAIMS_SQL
 from .layer import build
@@ -177,9 +178,15 @@ def letters(text: str) -> np.ndarray:
     return counts / (np.sqrt((counts * counts).sum()) or 1.0)
 
 
-_REGISTRY = r"""WITH RECURSIVE m AS (
+_PARTS_SQL = r"""
   SELECT 'entity' AS kind, trim(regexp_replace(lower(p_brand), '[^\w\s]', ' ', 'g')) AS key, p_brand || CASE WHEN p_partkey % 2 = 0 THEN ' Limited' ELSE ' Ltd.' END AS label, p_partkey AS seq FROM part
-  UNION ALL SELECT 'predicate', trim(regexp_replace(regexp_replace(lower(p_name), '[^\w\s]', ' ', 'g'), '\s+', ' ', 'g')), p_name, p_partkey FROM part),
+  UNION ALL SELECT 'predicate', trim(regexp_replace(regexp_replace(lower(p_name), '[^\w\s]', ' ', 'g'), '\s+', ' ', 'g')), p_name, p_partkey FROM part"""
+_NAMES_SQL = "SELECT 'predicate' AS kind, 'sales of ' || translate(substr(md5(CAST(c_custkey AS VARCHAR)), 1, 14), '0123456789', 'ghijklmnop') AS key, key AS label, c_custkey AS seq FROM customer"
+
+
+def _registry(mentions: str) -> str:
+    """SQL of the decisions (d) on mentions m(kind, key, label, seq)."""
+    return f"WITH RECURSIVE m AS ({mentions})," + r"""
 k AS (SELECT kind, key, min_by(label, seq) AS label, min(seq) AS first FROM m GROUP BY 1, 2),
 l AS (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY first) AS i, list_transform(range(97, 123), lambda c: (length(label) - length(replace(lower(label), chr(c::INT), '')))::DOUBLE) AS v FROM k),
 s AS (
@@ -193,13 +200,16 @@ d AS (SELECT kind, key, label, first, round(best, 6) AS similarity, nearest, CAS
 """
 
 
+_REGISTRY = _registry(_PARTS_SQL)
+
+
 def _parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "part")
     return p.select(F.col("p_partkey").alias("seq"), F.concat("p_brand", F.when(F.col("p_partkey") % 2 == 0, " Limited").otherwise(" Ltd.")).alias("subject_raw"), F.col("p_name").alias("predicate_raw"))
 
 
 def _decided(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return canon.resolve(canon.distinct_labels(canon.label_keys(_parts(spark, sf_dir))), embed=letters, batch=32)
+    return canon.resolve(canon.distinct_labels(canon.label_keys(_parts(spark, sf_dir))), embed=letters, batch=32, floor=0.0)
 
 
 @query("letter_registry", _REGISTRY + "SELECT kind, key, label, first, sha1(kind || '|' || node_key) AS node_id, node_label, action, similarity, nearest AS nearest_label FROM d")
@@ -242,7 +252,7 @@ def letter_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every part with its nodes; labels that refer to something else are set aside and do not found nodes."""
     p = _parts(spark, sf_dir)
     odd = spark.createDataFrame([(-1, "the Company", "x"), (-2, " ", "x"), (-3, "Acme", "..."), (-4, None, "x")], "seq bigint, subject_raw string, predicate_raw string")
-    claims, _, _ = canon.canonicalise(p.unionByName(odd.withColumn("seq", F.col("seq").cast(p.schema["seq"].dataType))), embed=letters, batch=32)
+    claims, _, _ = canon.canonicalise(p.unionByName(odd.withColumn("seq", F.col("seq").cast(p.schema["seq"].dataType))), embed=letters, batch=32, floor=0.0)
     return claims.select("seq", "subject_id", "predicate_id")
 
 
@@ -267,6 +277,31 @@ def letter_ontology(spark: SparkSession, sf_dir: str) -> DataFrame:
     return canon.nodes(_decided(spark, sf_dir)).withColumn("aliases", F.array_join("aliases", "|"))
 
 
+@query("registry_batches", _REGISTRY + "SELECT kind, key, label, first, sha1(kind || '|' || node_key) AS node_id, node_label, action, similarity, nearest AS nearest_label FROM d")
+def registry_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The parts' names folded into a stored registry in three batches, one of which is run twice: the decisions of one resolution."""
+    store = RegistryStore(spark, f"{scratch(spark)}/registry-{uuid.uuid4().hex}", letters, floor=0.0, batch=64)
+    parts = _parts(spark, sf_dir)
+    ends = [r for r in parts.agg(F.percentile_approx("seq", [0.2, 0.6])).first()[0]]
+    for n, (low, high) in enumerate(zip([-1, *ends], [*ends, 1 << 62])):
+        labels = canon.distinct_labels(canon.label_keys(parts.where((F.col("seq") > low) & (F.col("seq") <= high))))
+        for _ in range(1 + (n == 1)):
+            store.fold_in(labels, n)
+    return store.decisions().withColumn("similarity", F.round("similarity", 6))
+
+
+@query(
+    "registry_many",
+    _registry(_NAMES_SQL) + "SELECT key, sha1(kind || '|' || node_key) AS node_id, action, CASE WHEN similarity >= 0.72 THEN similarity ELSE 0 END AS similarity, CASE WHEN similarity >= 0.72 THEN nearest END AS nearest_label FROM d",
+)
+def registry_many(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A label for each customer: stretches of 100, 300, 1,200 ... keys, of which each looks up the nodes of those before it."""
+    c = table(spark, sf_dir, "customer")
+    key = F.concat(F.lit("sales of "), F.translate(F.substring(F.md5(F.col("c_custkey").cast("string").cast("binary")), 1, 14), "0123456789", "ghijklmnop"))
+    labels = c.select(F.lit("predicate").alias("kind"), key.alias("key"), key.alias("label"), F.col("c_custkey").alias("first"))
+    return canon.resolve(labels, embed=letters, batch=100).select("key", "node_id", "action", F.round("similarity", 6).alias("similarity"), "nearest_label")
+
+
 # Words and labels: pieces chosen by a row's number, so that SQL knows what each function has to say.
 @query(
     "label_rules",

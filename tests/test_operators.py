@@ -65,7 +65,7 @@ def test_rounds_give_the_decisions_of_one_pass(spark):
     rows = [(kind, f"k {n}", n, 10 * i + (kind == "predicate")) for kind in ("entity", "predicate") for i, n in enumerate(names[:: 1 if kind == "entity" else 3])]
     labels = spark.createDataFrame(rows, "kind string, key string, label string, first bigint")
     shown = ["kind", "key", "node_label", "action", "similarity", "nearest_label"]
-    one, many = (sorted(map(tuple, canon.resolve(labels, batch=b).select(*shown).collect()), key=str) for b in (4096, 11))
+    one, many = (sorted(map(tuple, canon.resolve(labels, batch=b, floor=0.0).select(*shown).collect()), key=str) for b in (4096, 11))
     assert one == many and len({x[3] for x in one}) == 3
     plain = canon.leader_pass(pd.DataFrame([x[1:] for x in rows if x[0] == "entity"], columns=["key", "label", "first"]), hashed_trigrams)
     assert sorted(zip(plain["key"], plain["action"])) == sorted((x[1], x[3]) for x in one if x[0] == "entity")
