@@ -31,10 +31,11 @@ from pyspark.sql import functions as F
 ROUNDS = 10
 DIGITS, UPPER, LOWER, HEX = "0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789abcdef"
 
-#: Patterns by kind, in the order in which they are tried at a place.
-EMAIL = r"[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
+#: Patterns by kind, in the order in which they are tried at a place. Java matches repeated groups by recursion, so every one is
+#: bounded: a domain has 127 labels at most.
+EMAIL = r"[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++){0,125}\.[A-Za-z]{2,}"
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
-IPV4 = rf"(?<![0-9.]){_OCTET}(?:\.{_OCTET}){{3}}(?!\.?[0-9])"
+IPV4 = rf"(?<![0-9.])(?<!\b[vV]){_OCTET}(?:\.{_OCTET}){{3}}(?!\.?[0-9])"
 DATE = r"(?<![0-9])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}[./][0-9]{2}[./][0-9]{4})(?![0-9])"
 SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
 IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
@@ -53,8 +54,10 @@ _SHORT = r"\+[0-9]{1,3}[ .-]?(?:\([0-9]{2,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-][0-9]{2,
 PHONE = f"(?:{_LONG}|{_SHORT}|{_AMERICAN})(?![0-9])"
 #: Country codes of numbers whose first digits are not set apart.
 COUNTRY = r"^\+([0-9]{1,3}(?![0-9])|1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3})"
-_NAMES = "(?i:password|passwd|token|secret|api_key|apikey) {0,2}"
-SECRET = rf"(?<![A-Z0-9])AKIA[A-Z0-9]{{16}}(?![A-Z0-9])|(?<={_NAMES}[=:] {{0,2}}\"?)[A-Za-z0-9_-]{{8,64}}"
+_NAMES = "(?i:password|passwd|token|secret|api[_-]?key) {0,2}"
+# A token after the word Bearer has a digit in it, which prose seldom has.
+_BEARER = r"(?<=\b[Bb]earer {1,2})(?=[A-Za-z_-]{0,40}[0-9])[A-Za-z0-9_-]{16,64}(?![A-Za-z0-9_-])"
+SECRET = rf"(?<![A-Z0-9])AKIA[A-Z0-9]{{16}}(?![A-Z0-9])|(?<={_NAMES}[=:] {{0,2}}\"?)[A-Za-z0-9_-]{{8,64}}|{_BEARER}"
 ANY = "|".join([EMAIL, IPV4, DATE, SSN, IBAN, CARD, PHONE, SECRET])
 #: No text without this has a match of ANY.
 HINT = rf"[0-9@]|AKIA|[=:](?<={_NAMES}[=:])"
@@ -322,7 +325,7 @@ def _secret(m: Column, key: str, backwards: bool) -> tuple[Column, Column]:
 
     new = let(_bare(m), lambda bare: _permuted_text(bare, alphabet, key + "/secret", backwards))
     other = _is(m, "|".join([CARD, SSN, DATE, IBAN]))  # a value of another kind that did not validate
-    return _is(m, r"[A-Za-z0-9_-]{8,64}") & ~other, let(new, lambda x: _refilled(m, x))
+    return _is(m, r"[A-Za-z0-9_-]{8,64}") & (_bare(m) != "") & ~other, let(new, lambda x: _refilled(m, x))
 
 
 KINDS = (_email, _ipv4, _date, _ssn, _iban, _card, _phone, _secret)

@@ -406,3 +406,10 @@ def test_packing_with_clashing_names(spark):
     plain = spark.createDataFrame(rows, DOCS).coalesce(1)
     shown = lambda df: sorted(map(str, packing.pack_documents(df, WORD_BPE, with_ids=False).collect()))
     assert shown(odd) == shown(plain)
+
+
+def test_more_names_of_secrets(spark):
+    rows = ["api-key: abcd1234efgh", "Authorization: Bearer ab12cd34ef56gh78ij", "the bearer certificates of this", "release v1.2.3.4 here", "token=________ x"]
+    out = [r["text"] for r in pii.pseudonymise(spark.createDataFrame(list(enumerate(rows)), DOCS), "k").orderBy("doc_id").collect()]
+    assert out[0].startswith("api-key: ") and "abcd1234efgh" not in out[0] and "ab12cd34ef56gh78ij" not in out[1]
+    assert out[2:] == rows[2:]

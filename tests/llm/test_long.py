@@ -51,3 +51,22 @@ def test_formats(spark, docs, long_text):
     assert "4337166598464399" not in row(pii.pseudonymise(docs, "k"))["text"]
     pages = spark.createDataFrame([(1, "u", long_text)], "page_id bigint, url string, html string")
     assert row(warc.page_round_trip(pages), "page_id")["payload_digest"] == warc.digest_of(long_text.encode())
+
+
+#: Runs of the characters that the patterns of personal values repeat, each 10,000 times.
+RUNS = ["a", "0", "1 ", "12-", "a.", "1.", "x@", "x@a.", "@", ".", "-", "+1 ", "(1) ", "A", "A1", "AB12 ", "DE12 ABCD ", "AKIA", "token=", "Bearer ", "password: a", "4111 1111 1111 ", "é", "2024-01-", "=", "_"]
+
+
+@pytest.mark.parametrize("before", ["", "x@", "see ", "+1", "token="])
+def test_no_run_of_characters_stops_the_search_for_personal_values(spark, before):
+    rows = [(i, before + r * 10_000 + "com") for i, r in enumerate(RUNS)] + [(99, "mail jo@a.example.com")]
+    out = {r["doc_id"]: r["text"] for r in pii.pseudonymise(spark.createDataFrame(rows, DOCS), "k").collect()}
+    assert len(out) == len(rows) and all(len(out[i]) == len(t) for i, t in rows) and "jo@" not in out[99]
+
+
+def test_the_pipeline_takes_runs_of_characters(spark, tmp_path):
+    import corpus_pipeline
+
+    rows = [(i, f"some words before it {i} " + "x@" + r * 10_000 + "com", "en", "s", 1) for i, r in enumerate(["a.", "1.", "-"])]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    assert corpus_pipeline.pseudonyms(spark, docs, "").count() == 3
