@@ -1,9 +1,10 @@
 """Benchmark decontamination by Wu-Manber multi-pattern search over words.
 
-A pattern is a window of consecutive item words. The alphabet is words: a block is two words (one, if a pattern has only
-one). ``shift`` maps a block to how far the window may move; a block in no pattern moves it past the block altogether, so
-most positions are never looked at. Where the shift is 0, the block's bucket (hash of the pattern's suffix) names the
-test strings, and words are compared directly. Patterns go by length: windows of full length together, shorter items
+A pattern is a window of consecutive item words. The alphabet is words: a block is two words, up to five for many patterns
+(no more than the shortest pattern has), so that a block of a text is seldom in a pattern by chance. ``shift`` maps a block to
+how far the window may move; a block in no pattern moves it past the block altogether, so most positions are never looked at.
+Where the shift is 0, the block's bucket (hash of the pattern's suffix) names the test strings, a large bucket only those that
+start as the text does, and words are compared directly. Patterns go by length: windows of full length together, shorter items
 together, each with tables over the shortest pattern among them.
 
 The pattern set is broadcast in blocks of at most ``max_words`` words; each block's windows are found over all documents and
@@ -43,45 +44,54 @@ def windows_of(words: list[bytes], window: int) -> Iterator[tuple[bytes, ...]]:
             yield tuple(words[i : i + window])
 
 
+#: Patterns from which blocks have one word more, and patterns of a bucket up to which each is compared.
+WIDER = (1_000, 10_000, 100_000)
+SMALL = 4
+
+
 class WuManber:
     """Shift tables and suffix buckets for patterns of words, of any lengths from 1."""
 
     def __init__(self, patterns: Iterable[tuple[bytes, ...]]):
         self.patterns = sorted(set(patterns))
         self.least = min(map(len, self.patterns), default=0)
-        self.block = min(2, self.least)
+        self.block = min(2 + sum(len(self.patterns) > n for n in WIDER), self.least)
         self.shift: dict = {}
-        self.bucket: dict = defaultdict(list)
+        buckets: dict = defaultdict(list)
         for k, p in enumerate(self.patterns):
             for end in range(self.block, self.least + 1):
-                block = p[end - self.block : end] if self.block == 2 else p[end - 1]
+                block = p[end - self.block : end]
                 self.shift[block] = min(self.shift.get(block, self.least), self.least - end)
-                if end == self.least:
-                    self.bucket[block].append(k)
+            buckets[p[self.least - self.block : self.least]].append(k)
+        self.bucket = {block: numbers if len(numbers) <= SMALL else self._by_start(numbers) for block, numbers in buckets.items()}
+
+    def _by_start(self, numbers: list[int]) -> dict[tuple, list[int]]:
+        """The patterns of a large bucket by their words up to the shortest pattern's length."""
+        found: dict = defaultdict(list)
+        for k in numbers:
+            found[self.patterns[k][: self.least]].append(k)
+        return dict(found)
 
     def search(self, words: list[bytes]) -> Iterator[tuple[int, int]]:
         """(start, pattern number) of every occurrence."""
         least, n = self.least, len(words)
         if not least or n < least:
             return
-        shift, bucket, skip = self.shift.get, self.bucket, least - self.block + 1
-        at = least - 1
-        if self.block == 2:
-            while at < n:
-                block = (words[at - 1], words[at])
-                move = shift(block, skip)
-                if move:
-                    at += move
-                    continue
-                yield from self._compare(words, at, bucket[block])
-                at += 1
-        else:
-            for at, word in enumerate(words):
-                if word in bucket:
-                    yield from self._compare(words, at, bucket[word])
-
-    def _compare(self, words: list[bytes], at: int, numbers: list[int]) -> Iterator[tuple[int, int]]:
+        shift, bucket, wide = self.shift.get, self.bucket, self.block
+        skip, at = least - wide + 1, least - 1
+        while at < n:
+            block = (words[at - 1], words[at]) if wide == 2 else tuple(words[at - wide + 1 : at + 1])
+            move = shift(block, skip)
+            if move:
+                at += move
+                continue
+            yield from self._compare(words, at, bucket[block])
+            at += 1
+
+    def _compare(self, words: list[bytes], at: int, numbers: list[int] | dict[tuple, list[int]]) -> Iterator[tuple[int, int]]:
         start = at - self.least + 1
+        if isinstance(numbers, dict):
+            numbers = numbers.get(tuple(words[start : at + 1]), ())
         for k in numbers:
             p = self.patterns[k]
             if tuple(words[start : start + len(p)]) == p:

@@ -180,6 +180,19 @@ def test_wu_manber_finds_every_occurrence(text, patterns):
     assert got == sorted((i, p) for p in distinct for i in range(len(text) - len(p) + 1) if tuple(text[i : i + len(p)]) == p)
 
 
+@pytest.mark.parametrize(("wider", "small"), [((0,), 0), ((1, 2), 1), ((0, 0, 0), 0)])
+def test_wide_blocks_and_large_buckets_find_every_occurrence(monkeypatch, wider, small):
+    monkeypatch.setattr(wu_manber, "WIDER", wider)
+    monkeypatch.setattr(wu_manber, "SMALL", small)
+    r = random.Random(4)
+    for _ in range(300):
+        text = [bytes([97 + r.randrange(3)]) for _ in range(r.randrange(60))]
+        patterns = {tuple(bytes([97 + r.randrange(3)]) for _ in range(r.randint(k, 7))) for k in [r.randint(1, 6)] for _ in range(8)}
+        search = wu_manber.WuManber(patterns)
+        got = sorted((at, search.patterns[k]) for at, k in search.search(text))
+        assert got == sorted((i, p) for p in patterns for i in range(len(text) - len(p) + 1) if tuple(text[i : i + len(p)]) == p)
+
+
 def brute_hits(docs, items, window=10):
     out = []
     for d, t in docs:
