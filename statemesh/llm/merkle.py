@@ -103,6 +103,8 @@ def downward(levels: list[DataFrame], tops: dict[int, DataFrame], fanout: int, k
             own = tops[k].withColumn("idx", F.lit(0).cast("long"))
             paths = own if paths is None else paths.unionByName(own)
         paths = children_of(levels[k - 1], paths, fanout, kept if k == 1 else [])
+        if k > 1 and k % 6 == 1:  # so that plans stay short however many levels there are
+            paths = stored(paths, "merkle-paths")
     return paths
 
 
