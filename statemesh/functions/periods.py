@@ -83,6 +83,16 @@ def period(kind: str, label: Column, start: Column, end: Column, convention: Col
     )
 
 
+#: Every form in one pattern: where it has no match, parse_period finds no period.
+ANY_FORM = "|".join(f"(?:{p})" for p in PATTERNS.values())
+
+
+def names_period(text: Column) -> Column:
+    """Whether some form of a period occurs in the text; much less work than parse_period. (A form can still name a day that
+    does not exist.)"""
+    return has(text, _FLAGS + ANY_FORM)
+
+
 #: What a form says before dates are made of it: months from the year 0 on and how many, or a day and how many months it ends.
 _SAID = {"label": "string", "convention": "string", "since": "int", "count": "int", "y": "int", "m": "int", "d": "int"}
 

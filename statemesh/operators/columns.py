@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.common import strip
-from ..functions.periods import parse_period
+from ..functions.periods import names_period, parse_period
 from ..functions.scale import parse_scale
 
 #: Fixed value: a line that holds one number, or a dash, and nothing else.
@@ -40,29 +40,36 @@ def header_layouts(blocks: DataFrame) -> DataFrame:
     """(document_id, page, labels): the first table of each page whose two or more labels are all periods."""
     tables = blocks.where("kind = 'table'").withColumn("grid", header_cells(F.col("text"))).where(F.size("grid") >= 2)
     labelled = tables.withColumn("labels", combined_header(F.col("grid"))).where(F.size("labels") >= 2)
+    named = labelled.where(F.forall("labels", names_period))  # most tables are out by one pattern
     dated = F.forall("labels", lambda c: parse_period(c)["kind"] != "unknown")
-    return labelled.where(dated).groupBy("document_id", "page").agg(F.min_by("labels", "ord").alias("labels"))
+    return named.where(dated).groupBy("document_id", "page").agg(F.min_by("labels", "ord").alias("labels"))
 
 
 def numeric_runs(blocks: DataFrame) -> DataFrame:
     """(document_id, page, ord, label_at, row_label, cells): a label line and the two or more number lines below it.
 
-    Gaps and islands: every line that is no number starts an island; its number lines belong to it. A block is one row, so
-    the island number is a window within a block.
+    A block is one row and its lines are gone through within it: every line that is no number starts a run, the number lines
+    after it are its cells. Nothing is shuffled, and blocks without two number lines in a row are passed over.
     """
-    lines = blocks.where("kind != 'table'").select("document_id", "page", "ord", "char_start", F.posexplode(F.split("text", "\n")).alias("i", "line"))
-    by_line = Window.partitionBy("document_id", "page", "ord").orderBy("i")
-    length = F.length("line") + 1
-    placed = lines.withColumn("start", F.col("char_start") + F.sum(length).over(by_line) - length)
-    numeric = placed.withColumn("numeric", F.col("line").rlike(NUMERIC_LINE))
-    islands = numeric.withColumn("island", F.sum(F.when(F.col("numeric"), 0).otherwise(1)).over(by_line)).where("island > 0")
-    cell = F.struct(F.col("start"), (F.col("start") + F.length("line")).alias("end"))
-    runs = islands.groupBy("document_id", "page", "ord", "island").agg(
-        F.min(F.when(~F.col("numeric"), F.col("start"))).alias("label_at"),
-        F.first(F.when(~F.col("numeric"), strip(F.col("line"))), ignorenulls=True).alias("row_label"),
-        F.array_sort(F.collect_list(F.when(F.col("numeric"), cell))).alias("cells"),
-    )
-    return runs.where((F.size("cells") >= 2) & (F.coalesce("row_label", F.lit("")) != "")).drop("island")
+    run = "struct<label_at:bigint,row_label:string,cells:array<struct<start:bigint,end:bigint>>>"
+    start = F.struct(F.col("char_start").cast("bigint").alias("at"), F.expr(f"cast(null as {run})").alias("open"), F.expr(f"cast(array() as array<{run}>)").alias("done"))
+
+    def closed(s: Column) -> Column:
+        """The runs with the open one, if it is one."""
+        ended = (F.size(s["open"]["cells"]) >= 2) & (s["open"]["row_label"] != "")
+        return F.when(ended, F.concat(s["done"], F.array(s["open"]))).otherwise(s["done"])
+
+    def step(s: Column, line: Column) -> Column:
+        after = s["at"] + F.length(line)
+        cell = F.struct(s["at"].alias("start"), after.alias("end"))
+        number = line.rlike(NUMERIC_LINE)
+        longer = s["open"].withField("cells", F.concat(s["open"]["cells"], F.array(cell)))
+        fresh = F.struct(s["at"].alias("label_at"), strip(line).alias("row_label"), F.expr("cast(array() as array<struct<start:bigint,end:bigint>>)").alias("cells"))
+        return F.struct((after + 1).alias("at"), F.when(number, longer).otherwise(fresh).alias("open"), F.when(number, s["done"]).otherwise(closed(s)).alias("done"))
+
+    some = blocks.where("kind != 'table'").where(F.col("text").rlike(r"(?U)[\d,\-–—]\s*\)?\s*\n\s*[(\-–—]?\s*[\d,\-–—]"))
+    found = F.aggregate(F.split("text", "\n"), start, step, closed)
+    return some.select("document_id", "page", "ord", F.inline(found)).select("document_id", "page", "ord", "label_at", "row_label", "cells")
 
 
 def column_cells(blocks: DataFrame) -> DataFrame:
@@ -72,13 +79,24 @@ def column_cells(blocks: DataFrame) -> DataFrame:
     return joined.select("document_id", "page", "row_label", one).select("document_id", "page", F.col("z.cells.start").alias("start"), F.col("z.cells.end").alias("end"), F.col("z.labels").alias("column"), "row_label")
 
 
+#: Characters in a bin of places on a page.
+BIN = 256
+
+
 def attach_columns(candidates: DataFrame, cells: DataFrame) -> DataFrame:
-    """candidates with column_header and row_label of the first cell that holds them."""
-    c = cells.select(*(F.col(x).alias(f"_{x}") for x in cells.columns))
-    inside = (F.col("document_id") == F.col("_document_id")) & (F.col("page") == F.col("_page")) & F.col("at").between(F.col("_start"), F.col("_end") - 1)
+    """candidates with column_header and row_label of the first cell that holds them.
+
+    An interval join by bins: a cell stands in each bin of places that it reaches, a candidate is in one, and only what shares a
+    bin meets. Cells are lines of a page, so a bin has few, and the rows that meet follow the candidates and not pages' squares.
+    """
     keys = ["document_id", "page", "at", "until"]
-    hit = candidates.select(*keys).join(c, inside).groupBy(*keys).agg(F.min_by(F.struct("_column", "_row_label"), "_start").alias("_c"))
-    return candidates.join(hit, keys, "left").withColumns({"column_header": F.col("_c._column"), "row_label": F.col("_c._row_label")}).drop("_c")
+    reach = F.sequence(F.floor(F.col("start") / BIN), F.floor((F.col("end") - 1) / BIN))
+    c = cells.where(F.col("end") > F.col("start")).select("document_id", "page", F.col("start").alias("_start"), F.col("end").alias("_end"), F.col("column").alias("_column"), F.col("row_label").alias("_row_label"), F.explode(reach).alias("_bin"))
+    asked = candidates.select(*keys, F.floor(F.col("at") / BIN).alias("_bin"))
+    inside = asked.join(c, ["document_id", "page", "_bin"]).where("at >= _start and at < _end")
+    hit = inside.groupBy(*keys).agg(F.min_by(F.struct("_column", "_row_label"), "_start").alias("_c"))
+    own = [x for x in candidates.columns if x not in ("column_header", "row_label")]
+    return candidates.select(*own).join(hit, keys, "left").withColumns({"column_header": F.col("_c._column"), "row_label": F.col("_c._row_label")}).drop("_c")
 
 
 def page_scale_captions(blocks: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.common import first_of, found, has, strip
+from ..functions.common import escape, first_of, found, has, strip
 from ..functions.labels import accounting_standard, basis_from_label, cleaned, coerced, is_a_property, names_something, resolve_subject, words
 from ..functions.numbers import parse_value, typed_value
 from ..functions.periods import enforce_plausibility, iso_date, parse_period
@@ -160,33 +160,68 @@ def by_answers(batched: DataFrame, answers: DataFrame) -> DataFrame:
 def document_context(pages: DataFrame, answers: DataFrame, first_pages: int = 4, chars: int = 2500) -> DataFrame:
     """(document_id, entity, currency, scale, basis, standard, published): a document's own words about itself.
 
-    A standard counts only where its name stands near a phrase of preparation; see standard_evidenced().
+    A standard counts only where its name stands near a phrase of preparation; see evidenced_standards().
     """
     head = pages.where(F.col("page") <= first_pages).groupBy("document_id").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page", F.substr("text", F.lit(1), F.lit(chars)).alias("t")))), lambda x: x["t"]), "\n").alias("head")
     )
-    joined = head.join(answers, "document_id", "left")
-    standard = accounting_standard(F.col("standard"))
+    answered = answers.withColumn("standard", accounting_standard(F.col("standard")))
+    evidenced = evidenced_standards(head.withColumnRenamed("head", "text")).withColumn("_sound", F.lit(True))
+    joined = head.join(answered, "document_id", "left").join(evidenced, ["document_id", "standard"], "left")
     return joined.select(
         "document_id",
         cleaned(F.col("entity")).alias("entity"),
         cleaned(F.col("currency")).alias("currency"),
         cleaned(F.col("scale")).alias("scale"),
         coerced(F.col("basis"), ["consolidated", "standalone"], "unknown").alias("basis"),
-        F.when(standard_evidenced(F.col("head"), standard), standard).otherwise(F.lit("unknown")).alias("standard"),
+        F.when(F.col("_sound"), F.col("standard")).otherwise(F.lit("unknown")).alias("standard"),
         iso_date(F.col("published_on")).alias("published"),
     )
 
 
-#: Names of standards and phrases of preparation.
-STANDARD_NAMES = {"IND_AS": r"ind\s*-?\s*as\b|indian\s+accounting\s+standards?", "IFRS": r"\bifrs\b|international\s+financial\s+reporting", "US_GAAP": r"\bu\.?s\.?\s*gaap\b"}
-PREPARED = r"prepared\s+(?:in\s+accordance|under|as\s+per)|in\s+accordance\s+with|comply\s+with|compliance\s+with|basis\s+of\s+preparation"
-
-
-def standard_evidenced(text: Column, standard: Column, reach: int = 240) -> Column:
-    """The standard's name lies within ``reach`` characters of a phrase of preparation, on either side."""
-    near = lambda name: has(text, rf"(?is)(?:{name}).{{0,{reach}}}?(?:{PREPARED})|(?:{PREPARED}).{{0,{reach}}}?(?:{name})")
-    return first_of([(standard == k, near(v)) for k, v in STANDARD_NAMES.items()], F.lit(False))
+#: How documents write the standards, and phrases that assert one as the basis of preparation.
+STANDARD_NAMES = {
+    "IND_AS": ["ind as", "ind-as", "indian accounting standard"],
+    "IFRS": ["ifrs", "international financial reporting standard"],
+    "US_GAAP": ["us gaap", "u.s. gaap", "generally accepted accounting"],
+}
+PREPARED = [
+    "prepared in accordance with",
+    "prepared under",
+    "in compliance with",
+    "basis of preparation",
+    "accounting standards specified under",
+    "notified under section 133",
+    "comply in all material respects with",
+    "presented in accordance with",
+]
+#: Fixed value: characters between the start of a name and the start of a phrase, at most.
+REACH = 240
+
+
+def places(text: Column, word: str) -> Column:
+    """Where the word occurs, from 0: what is before it in the pieces that it parts the text into."""
+    pieces = F.split(text, escape(word), -1)
+    lengths = F.transform(F.slice(pieces, F.lit(1), F.size(pieces) - 1), lambda p: F.length(p))
+    ends = F.aggregate(lengths, F.expr("cast(array() as array<int>)"), lambda s, n: F.concat(s, F.array(F.coalesce(F.try_element_at(s, F.lit(-1)) + len(word), F.lit(0)) + n)))
+    return F.when(text.contains(word), ends).otherwise(F.expr("cast(array() as array<int>)"))
+
+
+def evidenced_standards(texts: DataFrame, reach: int = REACH) -> DataFrame:
+    """(document_id, standard): the standards that texts(document_id, text) assert as their basis of preparation.
+
+    A band join: names and phrases are rows with their places; a phrase is in one bin of ``reach`` characters, a name in the
+    three around it, and what shares a bin is compared by distance.
+    """
+    low = texts.select("document_id", F.lower("text").alias("t"))
+    spots = lambda words: F.flatten(F.array(*(places(F.col("t"), w) for w in words)))
+    bin_of = lambda at: F.floor(at / reach)
+    phrases = low.select("document_id", F.explode(spots(PREPARED)).alias("phrase")).withColumn("bin", bin_of(F.col("phrase")))
+    each = F.array(*(F.struct(F.lit(k).alias("standard"), spots(v).alias("at")) for k, v in STANDARD_NAMES.items()))
+    names = low.select("document_id", F.explode(each).alias("n")).select("document_id", "n.standard", F.explode("n.at").alias("name"))
+    around = names.withColumn("bin", F.explode(F.sequence(bin_of(F.col("name")) - 1, bin_of(F.col("name")) + 1)))
+    near = around.join(phrases, ["document_id", "bin"]).where(F.abs(F.col("name") - F.col("phrase")) <= reach)
+    return near.select("document_id", "standard").distinct()
 
 
 def prose_blocks(blocks: DataFrame, most: int = 8) -> DataFrame:

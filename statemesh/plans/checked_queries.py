@@ -422,14 +422,15 @@ def scale_captions(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "attached_columns",
     """WITH l AS (SELECT l_orderkey AS k, l_linenumber AS n, CAST(l_quantity AS INT) AS q FROM lineitem), r AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY n, q) AS i, count(*) OVER (PARTITION BY k) AS c FROM l)
-    SELECT CAST(k AS VARCHAR) AS document_id, CASE WHEN c = k % 4 + 2 THEN 'FY' || (1994 + i) || ' units' END AS col, CASE WHEN c = k % 4 + 2 THEN 'Quantity shipped' END AS label, CAST(q AS VARCHAR) AS text FROM r WHERE q >= 10""",
+    SELECT CAST(k AS VARCHAR) AS document_id, CASE WHEN c = k % 4 + 2 THEN 'FY' || (1994 + i) || ' units' END AS col, CASE WHEN c = k % 4 + 2 THEN 'Quantity shipped' END AS label, CAST(q AS VARCHAR) AS text FROM r WHERE q >= 10
+    UNION ALL SELECT CAST(k AS VARCHAR), NULL, NULL, 'FY' || (1994 + i) FROM (SELECT DISTINCT k FROM l), unnest(range(1, k % 4 + 3)) t(i)""",
 )
 def attached_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Numerals of flattened rows with the column and the row that they stand in."""
+    """Numerals of all blocks with the column and the row that they stand in; periods of headers stand in none."""
     from .more_queries import _line_blocks
 
     blocks = _line_blocks(spark, sf_dir)
-    c = columns.attach_columns(spot.spot(blocks.where("ord = 1")), columns.column_cells(blocks))
+    c = columns.attach_columns(spot.spot(blocks), columns.column_cells(blocks))
     return c.select("document_id", F.col("column_header").alias("col"), F.col("row_label").alias("label"), "text")
 
 
