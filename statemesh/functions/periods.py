@@ -93,6 +93,16 @@ def names_period(text: Column) -> Column:
     return has(text, _FLAGS + ANY_FORM)
 
 
+#: Forms with a day, which need not exist.
+_WITH_DAY = "|".join(f"(?:{PATTERNS[n]})" for n in ("n_months", "year_ended", "as_at"))
+
+
+def has_period(text: Column) -> Column:
+    """Whether parse_period finds a period. Only days that may not exist, and the year 0, have to be parsed for that."""
+    plain = names_period(text) & ~has(text, _FLAGS + _WITH_DAY) & ~text.contains("0000")
+    return plain | (names_period(text) & (parse_period(text)["kind"] != "unknown"))
+
+
 #: What a form says before dates are made of it: months from the year 0 on and how many, or a day and how many months it ends.
 _SAID = {"label": "string", "convention": "string", "since": "int", "count": "int", "y": "int", "m": "int", "d": "int"}
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.common import strip
-from ..functions.periods import names_period, parse_period
+from ..functions.periods import has_period
 from ..functions.scale import parse_scale
 
 #: Fixed value: a line that holds one number, or a dash, and nothing else.
@@ -40,9 +40,7 @@ def header_layouts(blocks: DataFrame) -> DataFrame:
     """(document_id, page, labels): the first table of each page whose two or more labels are all periods."""
     tables = blocks.where("kind = 'table'").withColumn("grid", header_cells(F.col("text"))).where(F.size("grid") >= 2)
     labelled = tables.withColumn("labels", combined_header(F.col("grid"))).where(F.size("labels") >= 2)
-    named = labelled.where(F.forall("labels", names_period))  # most tables are out by one pattern
-    dated = F.forall("labels", lambda c: parse_period(c)["kind"] != "unknown")
-    return named.where(dated).groupBy("document_id", "page").agg(F.min_by("labels", "ord").alias("labels"))
+    return labelled.where(F.forall("labels", has_period)).groupBy("document_id", "page").agg(F.min_by("labels", "ord").alias("labels"))
 
 
 def numeric_runs(blocks: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.common import escape, first_of, found, has, strip
+from ..functions.common import escape, first_of, found, has, let, strip
 from ..functions.labels import accounting_standard, basis_from_label, cleaned, coerced, is_a_property, names_something, resolve_subject, words
 from ..functions.numbers import parse_value, typed_value
 from ..functions.periods import enforce_plausibility, iso_date, parse_period
@@ -287,23 +287,34 @@ def adjudicated(edges: DataFrame, answers: DataFrame, most: int = 50) -> DataFra
     ).drop("_r", "_x", "_c")
 
 
-#: Words by which prose asserts a relation.
+#: What prose says where it asserts a relation, in the order in which it is looked for.
 ASSERTS = {
-    "corroboration": r"\b(agree|agrees|consistent|corroborat\w*|match|matches|same value)\b",
-    "contradiction": r"\b(contradict\w*|conflict\w*|disagree\w*|inconsistent)\b",
-    "reconciled": r"\b(reconcil\w*|explained by|because (?:they|the) cover|different (?:period|basis|segment)s?)\b",
-    "ambiguous": r"\b(ambiguous|unclear|cannot be (?:determined|compared)|insufficient)\b",
+    "contradiction": [r"\bcontradict", r"\bconflict", r"\binconsisten", r"\bcannot both\b", r"\bdisagree"],
+    "corroboration": [r"\bcorroborat", r"\bagree", r"\bconfirm", r"\bconsistent\b", r"\bthe same figure\b"],
+    "reconciled": [r"\breconcil", r"\bexplained by\b", r"\bdifference is due\b", r"\baccounted for by\b"],
+    "unrelated": [r"\bunrelated\b", r"\bnot comparable\b", r"\bdifferent quantit"],
 }
 
 
+def other_verdict(prose: Column, relation: Column) -> Column:
+    """Why the prose cannot stand: it has the words of another relation and none of its own. Null where it can."""
+
+    def judged(said: Column) -> Column:
+        own = F.exists(said, lambda x: x["relation"] == relation)
+        first = F.get(said, 0)
+        reason = F.concat(F.lit("prose used the language of "), first["relation"], F.lit(" ('"), first["hit"], F.lit("') under a "), relation, F.lit(" verdict"))
+        return F.when(~own & (F.size(said) > 0), reason)
+
+    def all_said(low: Column) -> Column:
+        each = [F.struct(F.lit(r).alias("relation"), F.coalesce(*(found(low, p) for p in patterns)).alias("hit")) for r, patterns in ASSERTS.items()]
+        return F.filter(F.array(*each), lambda x: x["hit"].isNotNull())
+
+    return let(let(F.lower(prose), all_said), judged)
+
+
 def contradicts_verdict(prose: Column, relation: Column) -> Column:
     """The prose speaks of another relation and not of its own."""
-    says = {r: has(prose, f"(?i){p}") for r, p in ASSERTS.items()}
-    own = first_of([(relation == r, t) for r, t in says.items()], F.lit(False))
-    other = F.lit(False)
-    for r, t in says.items():
-        other = other | (t & (relation != r))
-    return other & ~own
+    return other_verdict(prose, relation).isNotNull()
 
 
 def explained(edges: DataFrame, prose: DataFrame, fallback: Column) -> DataFrame:

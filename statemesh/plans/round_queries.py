@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators import extract
 from ..session import scratch
-from ..sources import checkpoint_stream, layout
+from ..sources import checkpoint_stream, checkpoints, layout
 from ..streaming import events as streams
 from .adapter import order_claims, table
 from .core_queries import CLAIMS_SQL
@@ -177,3 +177,60 @@ def stream_checkpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
         stream = spark.readStream.format("statemesh_checkpoints").option("path", f"{folder}/lines").option("glob", "*.txt").load()
         arrived = _arrived(spark, checkpoint_stream.pages(stream).select("document", "page", F.size("claims").alias("n")), folder)
     return arrived.groupBy("document").agg(F.countDistinct("page").alias("pages"), F.sum("n").cast("bigint").alias("claims"))
+
+
+@query(
+    "index_refreshed",
+    f"""WITH {CLAIMS_SQL}, p AS (SELECT document_id, seq // 100 AS page, count(*) AS n FROM claims GROUP BY 1, 2)
+    SELECT document_id, 'doc ' || document_id AS stem, count(*) AS pages, sum(n)::BIGINT AS claims, (SELECT count(DISTINCT document_id) FROM p WHERE page % 2 = 0) AS first_read, 1 AS then_read, 0 AS last_read
+    FROM p WHERE page % 2 = 0 OR document_id = (SELECT min(document_id) FROM p) GROUP BY 1""",
+)
+def index_refreshed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The index of checkpoint files, refreshed when pages of one document have come, and when nothing has: how many files were read."""
+    from .checked_queries import _stored_pages
+
+    folder = f"{scratch(spark)}/indexed-{uuid.uuid4().hex}"
+    pages = _stored_pages(spark, sf_dir).coalesce(1)
+    least = pages.agg(F.min("document")).first()[0]
+    read = []
+    for name, part in (("first_read", "page % 2 = 0"), ("then_read", f"page % 2 = 1 and document = '{least}'"), ("last_read", None)):
+        if part is not None:
+            checkpoints.append_pages(pages.where(part), f"{folder}/pages")
+        index, n = checkpoints.refresh_index(spark, f"{folder}/pages", f"{folder}/index")
+        read.append(F.lit(n).alias(name))
+    return index.groupBy("document_id", "stem").agg(F.sum("pages").alias("pages"), F.sum("claims").alias("claims")).select("*", *read)
+
+
+# Pieces of prose, with the relation that they assert and what says so; and these in the order in which they are looked for.
+_PROSE = [
+    ("They agree", "corroboration", "agree"),
+    ("they disagree", "contradiction", "disagree"),
+    ("the figures are inconsistent", "contradiction", "inconsisten"),
+    ("both are consistently high", None, None),
+    ("the two cannot both hold", "contradiction", "cannot both"),
+    ("it is the same figure", "corroboration", "the same figure"),
+    ("the gap is explained by timing", "reconciled", "explained by"),
+    ("these are not comparable", "unrelated", "not comparable"),
+    ("nothing to add", None, None),
+    ("this Confirms it", "corroboration", "confirm"),
+    ("a conflict of dates", "contradiction", "conflict"),
+]
+_LOOKED_FOR = ["conflict", "inconsisten", "cannot both", "disagree", "agree", "confirm", "the same figure", "explained by", "not comparable"]
+_RELATIONS = ["contradiction", "corroboration", "reconciled", "unrelated", "ambiguous"]
+_PIECES_SQL = ", ".join(f"({i}, '{r}', '{h}', {_LOOKED_FOR.index(h)})" for i, (_, r, h) in enumerate(_PROSE) if r)
+
+
+@query(
+    "prose_verdicts",
+    f"""WITH p(i, rel, hit, rank) AS (VALUES {_PIECES_SQL}), o AS (SELECT o_orderkey AS k, {_RELATIONS}[o_orderkey % 5 + 1] AS relation FROM orders),
+    m AS (SELECT k, relation, rank, rel, hit FROM o JOIN p ON p.i = k % 11 OR p.i = k // 11 % 11)
+    SELECT o.k, CASE WHEN bool_or(rel = o.relation) THEN NULL ELSE 'prose used the language of ' || min_by(rel, rank) || ' (' || chr(39) || min_by(hit, rank) || chr(39) || ') under a ' || o.relation || ' verdict' END AS why
+    FROM o LEFT JOIN m USING (k) GROUP BY o.k, o.relation""",
+)
+def prose_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prose of two pieces under each verdict: why it is refused, if it is."""
+    k = F.col("o_orderkey")
+    pieces = F.array(*(F.lit(t) for t, _, _ in _PROSE))
+    prose = F.concat(F.get(pieces, (k % 11).cast("int")), F.lit(", and "), F.get(pieces, (F.floor(k / 11) % 11).cast("int")))
+    relation = F.get(F.array(*map(F.lit, _RELATIONS)), (k % 5).cast("int"))
+    return table(spark, sf_dir, "orders").select(k.alias("k"), extract.other_verdict(prose, relation).alias("why"))

@@ -47,16 +47,61 @@ def _paths(spark: SparkSession, folder: str) -> list[str]:
     return [r["path"] for r in sources(spark, folder).orderBy("path").collect()]  # file names only
 
 
+def _read(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """Sound lines of the files, with their place (_file, _block, _at)."""
+    read = spark.read.schema(LINES).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record").json(paths)
+    named = read.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_at"))
+    return named.where("_corrupt_record is null and page is not null").drop("_corrupt_record")
+
+
 def lines(spark: SparkSession, folder: str) -> DataFrame:
     """Sound lines with their file's stem and their order: seq of lines follows path and place in the file."""
     paths = _paths(spark, folder)
     if not paths:
         return spark.createDataFrame([], f"{LINES.replace(', _corrupt_record string', '')}, stem string, line bigint")
-    read = spark.read.schema(LINES).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record").json(paths)
-    named = read.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_at"))
-    sound = named.where("_corrupt_record is null and page is not null")
     place = Window.partitionBy("stem").orderBy("_file", "_block", "_at")
-    return sound.withColumn("stem", stem_of("_file")).withColumn("line", F.row_number().over(place)).drop("_corrupt_record", "_block", "_at", "_file")
+    return _read(spark, paths).withColumn("stem", stem_of("_file")).withColumn("line", F.row_number().over(place)).drop("_block", "_at", "_file")
+
+
+INDEX = "path string, stem string, modified timestamp, size bigint, document_id string, document string, pages bigint, claims bigint"
+
+
+def refresh_index(spark: SparkSession, folder: str, index: str) -> tuple[DataFrame, int]:
+    """(INDEX of the checkpoint files of the folder, how many of them were read): files with the time and size that the stored
+    index has are taken from it, only the others are opened. The new index is stored as another version.
+
+    Of a file the index holds its first line's document, and how many pages and claims it has.
+    """
+    there = spark.read.format("binaryFile").option("pathGlobFilter", GLOB).option("recursiveFileLookup", "true").load(folder)
+    now = there.select("path", F.col("modificationTime").alias("modified"), F.col("length").alias("size")).join(sources(spark, folder), "path")
+    try:
+        versions = spark.read.parquet(index)
+        last = versions.agg(F.max("version")).first()[0] or 0
+        old = versions.where(F.col("version") == last).drop("version")
+    except Exception as e:  # nothing stored yet
+        if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
+            raise
+        last, old = 0, spark.createDataFrame([], INDEX)
+    same = ["path", "modified", "size"]
+    changed = now.join(old, same, "left_anti")
+    paths = [r["path"] for r in changed.select("path").collect()]  # names of files that changed
+    columns = [c.split()[0] for c in INDEX.split(", ")]
+    fresh = spark.createDataFrame([], INDEX)
+    if paths:
+        place = F.struct("_block", "_at")
+        read = _read(spark, paths).groupBy(F.col("_file").alias("path")).agg(
+            F.min_by(F.get("claims", 0)["evidence"][0]["document_id"], place).alias("document_id"),
+            F.min_by("document", place).alias("document"),
+            F.count("*").alias("pages"),
+            F.sum(F.coalesce(F.size("claims"), F.lit(0))).cast("bigint").alias("claims"),
+        )
+        base = F.regexp_extract("path", "([^/]+)$", 1)  # the two listings escape paths differently
+        read = read.withColumns({"stem": stem_of("path"), "_base": base}).drop("path")
+        fresh = changed.withColumn("_base", base).join(read, ["stem", "_base"], "left")
+        fresh = fresh.withColumn("document_id", F.coalesce("document_id", "stem")).fillna(0, ["pages", "claims"])
+    kept = old.join(now.select(*same), same, "left_semi")
+    kept.select(*columns).unionByName(fresh.select(*columns)).write.parquet(f"{index}/version={last + 1}")
+    return spark.read.schema(INDEX).parquet(f"{index}/version={last + 1}"), len(paths)
 
 
 def _typed(claim: str) -> list:

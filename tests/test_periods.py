@@ -63,3 +63,12 @@ def test_dates_and_durations(spark):
     assert [r[0] for r in df.select(iso_date(F.col("t"))).collect()] == [None, D(2024, 2, 29), None]
     df = spark.createDataFrame([("7.66s",), ("1m2.5s",), ("120ms",), ("3",)], "t string")
     assert [r[0] for r in df.select(duration_seconds(F.col("t"))).collect()] == [7.66, 62.5, 0.12, 3.0]
+
+
+def test_what_has_a_period_is_told_without_parsing(spark):
+    from statemesh.functions.periods import has_period
+
+    texts = ["FY24", "as at March 31, 2024", "as at 31 June 2024", "as at 30.02.2024", "0000-00", "Q1 0000", "Q1 2024", "none", "", None, "year ended 31 March 2022", "year ended 31 February 2022", "2023-24", "H1CY25 as at 99.99.2024", "12", "three months ended June 31, 2024"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    rows = df.select("t", F.coalesce(has_period(F.col("t")), F.lit(False)).alias("a"), F.coalesce(parse_period(F.col("t"))["kind"] != "unknown", F.lit(False)).alias("b")).collect()
+    assert [r["a"] for r in rows] == [r["b"] for r in rows] and 0 < sum(r["a"] for r in rows) < len(rows)
