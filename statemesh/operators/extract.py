@@ -13,11 +13,13 @@ from ..functions.scale import parse_scale
 from ..functions.text import is_prose
 
 #: Words that do not belong to a label's ends.
-STOP_WORDS = (
-    "of in for the a an and or to by at on was were is are from with as that which during increased decreased grew rose fell stood "
-    "reached million millions mn billion billions bn crore crores cr lakh lakhs lacs thousand trillion rs inr usd rupees rupee dollars "
-    "amount amounts total value figures nos no units unit per cent percent bps"
-).split()
+STOP_WORDS = [
+    "of", "in", "for", "the", "a", "an", "and", "or", "to", "by", "at", "on", "was", "were", "is", "are", "from",
+    "with", "as", "that", "which", "during", "increased", "decreased", "grew", "rose", "fell", "stood", "reached",
+    "million", "millions", "mn", "billion", "billions", "bn", "crore", "crores", "cr", "lakh", "lakhs", "lacs",
+    "thousand", "trillion", "rs", "inr", "usd", "rupees", "rupee", "dollars", "amount", "amounts", "total", "value",
+    "figures", "nos", "no", "units", "unit", "per", "cent", "percent", "bps",
+]
 #: Confidence of rules, of answers, and of answers whose scale was inherited; answers asked for at once.
 BY_RULE, ANSWERED, INHERITED, BATCH = 0.45, 0.85, 0.6, 24
 
