@@ -3,7 +3,8 @@
 Writing: of records with equal payloads of at least ``min_bytes`` the one with the smallest page_id is a response, the
 others are revisits that refer to it. A response's block is an HTTP message whose body has chunked transfer framing; a
 block longer than ``segment_bytes`` is cut into a first record and continuation records. The archives are plain WARC/1.1
-files, written through Spark's own committer, so any store that Spark can write to will do.
+files, written through Spark's own committer, so any store that Spark can write to will do. No payload is shuffled for it:
+pages lie in chunks, digests alone are compared, and a revisit's reference comes back to its place.
 
 Reading: records are parsed by their Content-Length. Whole records are decoded where they are read; segmented ones are
 grouped by origin identifier, ordered by segment number, checked against the total length that the last segment states,
@@ -26,13 +27,12 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import ship
-from .exchange import scratch
+from .exchange import IN_CHUNK, chunk_of, located, n_partitions, release_memory, rows_of, scratch, stored, stored_by_chunk
 
 _NONE = "none"
 COPY = "WARC-Copy"
@@ -146,21 +146,34 @@ def parse(archive: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
         at = end + 8 + size
 
 
-def with_references(pages: DataFrame, min_bytes: int) -> DataFrame:
-    """pages(page_id, url, payload) with refers_to: the equal record's URI for revisits, else null."""
-    sized = pages.withColumn("_size", F.octet_length("payload")).withColumn("_sha", F.sha1("payload"))
-    groups = (
-        sized.where(F.col("_size") >= min_bytes)
-        .groupBy("_sha", "_size")
-        .agg(F.min("page_id").alias("_page"), F.count("*").alias("_n"))  # min() leaves nulls to the last
-        .where("_n > 1")
+def revisits(chunks: DataFrame, page_type: T.DataType, min_bytes: int) -> DataFrame:
+    """(place, refers_to) of the rows of located chunks(page_id, payload) that are revisits: the URI of the record they repeat.
+
+    Payloads stay where they are: digests, sizes and identifiers are compared, and places and URIs come back.
+    """
+    schema = T.StructType(
+        [T.StructField("place", T.LongType()), T.StructField("page_id", page_type), T.StructField("size", T.LongType()), T.StructField("sha", T.StringType())]
     )
+
+    def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for chunk, body in zip(batch.column("chunk").to_pylist(), batch.column("rows")):
+                rows = rows_of(body.as_py()).select(["page_id", "payload"]).combine_chunks()
+                found = [(len(x), hashlib.sha1(x).hexdigest()) for x in (v.as_py() for v in rows.column("payload"))]
+                places = pa.array([(chunk << IN_CHUNK) + i for i in range(len(found))], pa.int64())
+                ids = rows.column("page_id").combine_chunks()
+                ids = ids.chunk(0) if isinstance(ids, pa.ChunkedArray) else ids
+                sizes, shas = pa.array([n for n, _ in found], pa.int64()), pa.array([h for _, h in found], pa.string())
+                yield pa.RecordBatch.from_arrays([places, ids, sizes, shas], names=schema.names)
+        release_memory()
+
+    seen = stored(chunks.mapInArrow(digests, schema).where(F.col("size") >= min_bytes), "payload-digests")
+    groups = seen.groupBy("sha", "size").agg(F.min("page_id").alias("_page"), F.count("*").alias("_n"))  # min() leaves nulls to the last
+    groups = groups.where("_n > 1").drop("_n")
     # A frequent payload's rows are split by the skew-join rule; the groups' side has one row for each.
-    joined = sized.join(groups, ["_sha", "_size"], "left")
-    name = F.concat(name_column(F.col("_page"), pages.schema["page_id"].dataType), F.lit("/"), F.substr("_sha", F.lit(1), F.lit(16)))
-    uri = F.concat(F.lit("<urn:statemesh:page:"), name, F.lit(">"))
-    revisit = F.col("_n").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("_page"))
-    return joined.select("page_id", "url", "payload", F.when(revisit, uri).alias("refers_to"))
+    again = seen.join(groups, ["sha", "size"]).where(~F.col("page_id").eqNullSafe(F.col("_page")))
+    name = F.concat(name_column(F.col("_page"), page_type), F.lit("/"), F.substr("sha", F.lit(1), F.lit(16)))
+    return again.select("place", F.concat(F.lit("<urn:statemesh:page:"), name, F.lit(">")).alias("refers_to"))
 
 
 def write_archives(
@@ -171,22 +184,28 @@ def write_archives(
     records_per_file: int = 2_000,
     compression: str = "gzip",
 ) -> None:
-    """Write WARC files (.gz unless compression is "none") under path from pages(page_id, url, html)."""
-    payload = F.coalesce(F.col("html").cast("binary"), F.lit(b"")).alias("payload")
-    rows = pages.select("page_id", "url", payload)
+    """Write WARC files (.gz unless compression is "none") under path from pages(page_id, url, html).
 
-    def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task, n = TaskContext.get().partitionId(), 0
-        for batch in batches:
-            for at in range(0, batch.num_rows, 64):
-                out: list[bytes] = []
-                for r in batch.slice(at, 64).to_pylist():
-                    out += records_of(r["page_id"], r["url"], r["payload"] or b"", r["refers_to"], segment_bytes, f"{task}.{n}")
-                    n += 1
-                # the text sink ends each row with the line feed that a record ends with
-                yield pa.RecordBatch.from_arrays([pa.array([x[:-1] for x in out], pa.binary())], names=["value"])
-
-    records = with_references(rows, min_bytes).mapInArrow(lines, "value binary")
+    Pages are stored once as chunks of bounded size, and each chunk's records are written where it lies.
+    """
+    spark = pages.sparkSession
+    payload = F.coalesce(F.col("html").cast("binary"), F.lit(b"")).alias("payload")
+    chunks = stored_by_chunk(located(pages.select("page_id", "url", payload)), "pages", n_partitions(spark))
+    again = revisits(chunks, pages.schema["page_id"].dataType, min_bytes).select(chunk_of(F.col("place")).alias("chunk"), "place", "refers_to")
+
+    def lines(_key, left: pa.Table, right: pa.Table) -> pa.Table:
+        rows, first = rows_of(left.column("rows")[0].as_py()), left.column("chunk")[0].as_py() << IN_CHUNK
+        refers = dict(zip(right.column("place").to_pylist(), right.column("refers_to").to_pylist()))
+        out = []
+        for at in range(0, rows.num_rows, 64):
+            held: list[bytes] = []
+            for i, r in enumerate(rows.slice(at, 64).to_pylist(), first + at):
+                held += records_of(r["page_id"], r["url"], r["payload"], refers.get(i), segment_bytes, str(i))
+            # the text sink ends each row with the line feed that a record ends with
+            out.append(pa.RecordBatch.from_arrays([pa.array([x[:-1] for x in held], pa.binary())], names=["value"]))
+        return pa.Table.from_batches(out)
+
+    records = chunks.groupBy("chunk").cogroup(again.groupBy("chunk")).applyInArrow(lines, "value binary")
     records.select(F.col("value").cast("string").alias("value")).write.options(
         maxRecordsPerFile=records_per_file, compression=compression
     ).text(path)
