@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import extract
-from ..session import scratch
+from ..session import scratch, ship
 from ..sources import checkpoint_stream, checkpoints, layout
 from ..streaming import events as streams
+from ..streaming import pacing
 from .adapter import order_claims, table
 from .core_queries import CLAIMS_SQL
 
@@ -163,6 +164,30 @@ def stream_followed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _arrived(spark, met, folder).select("user_id", "first_id", "then_id")
 
 
+@query(
+    "stream_paced",
+    """WITH RECURSIVE c AS (SELECT event_id AS call_id, user_id % 20 AS provider, epoch_us(ts) // 60 AS t, 500 + event_id % 4000 AS needed,
+      CASE WHEN event_id % 11 > 0 THEN event_id * 7 % 12000 END AS remaining, CASE WHEN event_id % 13 > 0 THEN event_id % 120 * 1000000 END AS reset FROM events),
+    n AS (SELECT *, row_number() OVER (PARTITION BY provider ORDER BY t, call_id) AS i FROM c),
+    r AS (SELECT provider, call_id, i, t, t AS start, remaining AS l, t + reset AS resets FROM n WHERE i = 1
+      UNION ALL SELECT provider, call_id, i, t, now + w, coalesce(remaining, CASE WHEN w = 0 THEN l END), coalesce(now + w + reset, resets) FROM (
+        SELECT *, CASE WHEN l <= 2 * needed AND resets > now THEN least(resets - now + 250000, 70000000) ELSE 0 END AS w FROM (
+          SELECT n.*, r.l, r.resets, greatest(n.t, r.start) AS now FROM r JOIN n ON n.provider = r.provider AND n.i = r.i + 1)))
+    SELECT CAST(provider AS VARCHAR) AS provider, call_id, start - t AS waited_us, start AS starts_us FROM r""",
+)
+def stream_paced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How long calls wait for their provider's token window; events stand for calls, sixty times as fast."""
+    ship(spark)
+    e, folder = _delivered(spark, sf_dir)
+    n, lit = F.col("event_id"), F.lit
+    remaining, reset = F.when(n % 11 > 0, n * 7 % 12000), F.when(n % 13 > 0, n % 120 * 1000000)
+    at = F.timestamp_micros(F.expr("unix_micros(ts) div 60"))
+    calls = e.select((F.col("user_id") % 20).alias("provider"), n.alias("call_id"), at.alias("at"), (n % 4000 + lit(500)).alias("needed"), remaining.alias("remaining"), reset.alias("reset_us"))
+    end = F.coalesce(F.col("provider").cast("string"), lit("end"))  # the mark of the end has to reach the watermark
+    with pacing.with_state_store(spark):
+        return _arrived(spark, pacing.paced(calls.withColumn("provider", end).fillna(0, ["call_id", "needed"]), "1 day"), folder).where("provider != 'end'")
+
+
 @query("stream_checkpoints", f"WITH {CLAIMS_SQL} SELECT 'doc ' || document_id AS document, count(DISTINCT seq // 100) AS pages, count(*) AS claims FROM claims GROUP BY 1")
 def stream_checkpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages of claims as files of JSON lines, half of which arrive after the stream has run once; it goes on from its offsets."""

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from statemesh.operators import columns, extract
 from statemesh.sources import checkpoint_stream, layout
 from statemesh.streaming import events as streams
+from statemesh.streaming import pacing
 
 SPANS = "document_id string, page int, block int, line int, span int, text string, bold boolean, size double, x0 double, y0 double, x1 double, y1 double"
 PAGES = "document_id string, page int, x0 double, y0 double, x1 double, y1 double"
@@ -125,3 +126,34 @@ def test_streams_and_tables_give_the_same_rows(spark):
     assert sorted((r["user_id"], r["n"]) for r in streams.sessions(one, ["user_id"]).collect()) == [(7, 1), (7, 2), (8, 1)]
     assert streams.sliding_counts(one, ["user_id"]).agg(F.sum("n")).first()[0] == 16
     assert sorted((r["first_id"], r["then_id"]) for r in streams.followed(one, one, ["user_id"]).collect()) == [(1, 1), (1, 2), (2, 2), (3, 3), (4, 4)]
+
+
+def test_paced_calls_are_those_of_one_client_a_provider(spark, tmp_path):
+    r = random.Random(21)
+    base, maybe = 1_700_000_000_000_000, lambda v, p: None if r.random() < p else v
+    calls = [("hot" if r.random() < 0.6 else f"p{r.randint(0, 3)}", i, base + i * 20_000_000 + r.randint(0, 3) * 500, r.randint(0, 4000), maybe(r.randint(0, 9000), 0.2), maybe(r.randint(0, 200) * 1_000_000, 0.2)) for i in range(400)]
+    calls += [("hot", 400 + i, calls[7][2], 900, 0, 5_000_000) for i in range(5)]  # ties in time
+    calls += [(None, 900, base, 1, 1, 1), ("p1", 901, None, 1, 1, 1)]  # neither provider nor time: left out
+    ddl = "provider string, call_id bigint, at timestamp, needed bigint, remaining bigint, reset_us bigint"
+    frame = lambda rows: spark.createDataFrame(rows, ddl.replace("at timestamp", "us bigint")).select("provider", "call_id", F.timestamp_micros("us").alias("at"), "needed", "remaining", "reset_us")
+    parts = [calls[:150], calls[150:300], calls[300:], [("end", 999, base + 10**12, 0, None, None)]]
+    for part in parts:  # each file is out of order
+        frame(r.sample(part, len(part))).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(ddl).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    with pacing.with_state_store(spark):
+        run = pacing.paced(stream, "3 hours").writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state"))
+        run.outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    got = {(x["provider"], x["call_id"]): (x["waited_us"], x["starts_us"]) for x in spark.read.parquet(str(tmp_path / "out")).collect()}
+    want = {}
+    for provider in {c[0] for c in calls if c[0]}:
+        left = resets = None
+        clock = 0
+        for _, i, at, needed, remaining, reset in sorted((c for c in calls if c[0] == provider and c[2]), key=lambda c: (c[2], c[1])):
+            clock = max(clock, at)
+            if left is not None and not left > 2 * needed and resets is not None and clock < resets:
+                clock, left = clock + min(resets - clock + 250_000, 70_000_000), None
+            left = remaining if remaining is not None else left
+            resets = clock + reset if reset is not None else resets
+            want[provider, i] = (clock - at, clock)
+    assert {k: v for k, v in got.items() if k[0] != "end"} == want
+    assert sum(w > 0 for w, _ in want.values()) > 40
