@@ -137,21 +137,20 @@ def with_verdict(pairs: DataFrame, with_trace: bool = False) -> DataFrame:
     first = first_of([(F.col(f"_{axis}"), lit(axis)) for axis in tests])
     apart = ~_yes(a("subject_id") == b("subject_id")) | ~_yes(a("predicate_id") == b("predicate_id"))
     step = step.withColumns({"_n": count, "_axis": first, "_apart": apart, "_least": F.least(a("confidence"), b("confidence"))})
-    none, one, agree = F.col("_n") == 0, F.col("_n") == 1, F.col("_agree")
-    undated = a("p_start").isNull() | b("p_start").isNull()
+    agree, undated = F.col("_agree"), a("p_start").isNull() | b("p_start").isNull()
     one_page = _yes((a("document_id") == b("document_id")) & (a("page") == b("page")))
     doubtful = a("unreliable") | b("unreliable")
+    # A filter on the relation is pushed down with all of this in it, so each test is named as seldom as can be.
     outcomes = [
-        (F.col("_apart"), 0),
-        (none & agree, 1),
-        (none & undated, 2),
-        (none & one_page, 3),
-        (none & doubtful, 4),
-        (none, 5),
-        (one & agree, 6),
-        (one, 7),
+        (F.col("_apart"), lit(0)),
+        (F.col("_n") > 1, lit(8)),
+        (agree, F.when(F.col("_n") == 0, 1).otherwise(6)),
+        (F.col("_n") == 1, lit(7)),
+        (undated, lit(2)),
+        (one_page, lit(3)),
+        (doubtful, lit(4)),
     ]
-    step = step.withColumn("_case", first_of([(test, lit(k)) for test, k in outcomes], lit(8)))
+    step = step.withColumn("_case", first_of(outcomes, lit(5)))
     case = F.col("_case")
     at = lambda values: F.element_at(F.array(*map(lit, values)), case + 1)
     relations = ["unrelated", "corroboration", "ambiguous", "ambiguous", "ambiguous", "contradiction", "corroboration", "reconciled", "ambiguous"]
@@ -199,8 +198,10 @@ def _trace(a, b, tests: dict[str, Column]) -> Column:
 
 def compare_pairs(pairs: DataFrame, with_trace: bool = False, keep_unrelated: bool = False) -> DataFrame:
     """Edges of pairs (a_*, b_*): ids, documents, relation, axis, confidence, trace, cross_document; unrelated pairs are dropped."""
+    if not keep_unrelated:  # known before anything is judged; a filter on the relation would judge every pair twice
+        pairs = pairs.where("a_subject_id = b_subject_id and a_predicate_id = b_predicate_id")
     judged = with_verdict(pairs, with_trace)
-    edges = judged.select(
+    return judged.select(
         *(F.col(f"{s}_{c}") for s in "ab" for c in ("id", "seq", "document_id", "subject_raw", "predicate_raw", "raw", "kind", "magnitude")),
         F.col("a_subject_id").alias("subject_id"),
         F.col("a_predicate_id").alias("predicate_id"),
@@ -211,7 +212,6 @@ def compare_pairs(pairs: DataFrame, with_trace: bool = False, keep_unrelated: bo
         (F.col("a_document_id") != F.col("b_document_id")).alias("cross_document"),
         "reason",
     )
-    return edges if keep_unrelated else edges.where("relation != 'unrelated'")
 
 
 def edge_order(edges: DataFrame) -> DataFrame:
