@@ -14,7 +14,10 @@ At the lowest order the leftover belongs to the one symbol for unknown words. Ev
 one exactly, over the vocabulary and that symbol. Evaluation recurs from the highest order down, token by token.
 
 Tables. N-grams are 64-bit hashes; counts and backoff weights are stored in the shared folder, partitioned by kind and
-order, as sorted packed runs by key range. A chunk of documents asks for each distinct n-gram once, so what is moved
+order, as sorted packed runs by key range. As in ARPA files a weight stands with the n-gram that is its context: rows of
+weights have no keys, they follow the counts of one order less range by range (``ngrams`` puts both together). Stored alphas
+have 32 bits; what is scored uses the exact ones that chunks are answered with. Keys are counted, and contexts weighed, in
+passes over parts of their range, and each pass's shuffle files go once its answers are stored. A chunk of documents asks for each distinct n-gram once, so what is moved
 follows the distinct n-grams of chunks, not the tokens; a frequent n-gram costs one entry a chunk. A bucket answers every
 chunk in the pass that adds its counts up, and names one chunk as the owner of each n-gram: owners add up the context
 sums, so no second shuffle of the n-gram table is needed. Requests and answers go by exchange.Route, whose rows follow the
@@ -27,14 +30,16 @@ training document every token is unknown; repeated rows train and are scored eac
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -56,6 +61,56 @@ class _Hashes(dict):
         return h
 
 
+def _distinct(a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct keys, and each entry's place among them."""
+    order = np.argsort(a)
+    ascending = a[order]
+    new = np.ones(len(a), bool)
+    new[1:] = ascending[1:] != ascending[:-1]
+    at = np.empty(len(a), np.int64)
+    at[order] = np.cumsum(new) - 1
+    return ascending[new], at
+
+
+def _by_chunks(chunks: np.ndarray) -> np.ndarray | slice:
+    """What puts entries in the order of their chunks."""
+    return slice(None) if (chunks[1:] >= chunks[:-1]).all() else np.argsort(chunks, kind="stable")
+
+
+@dataclass(frozen=True)
+class Pass:
+    """Part ``i`` of ``n`` of the range of keys, cut where buckets are."""
+
+    i: int
+    n: int
+    buckets: int
+
+    def bound(self, i: int) -> int:
+        return (self.buckets * i // self.n << 64) // self.buckets
+
+    def of(self, keys: np.ndarray) -> np.ndarray:
+        """Which keys are in this part."""
+        inside = keys >= np.uint64(self.bound(self.i))
+        return inside & (keys < np.uint64(self.bound(self.i + 1))) if self.i + 1 < self.n else inside
+
+    def span(self, ascending: np.ndarray) -> slice:
+        """Where sorted keys are in this part."""
+        end = np.searchsorted(ascending, np.uint64(self.bound(self.i + 1))) if self.i + 1 < self.n else len(ascending)
+        return slice(int(np.searchsorted(ascending, np.uint64(self.bound(self.i)))), int(end))
+
+
+@contextmanager
+def _shuffles_go(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of what is written meanwhile are removed with the end of each write, not with the next collection."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 @dataclass
 class Discounts:
     """Of one order: Good-Turing factors by count (1 beyond k), for any array of counts."""
@@ -155,6 +210,14 @@ def tokenised(docs: DataFrame, fold: int, max_tokens: int) -> DataFrame:
     return docs.select("doc_id", F.col("text").cast("binary").alias("body")).mapInArrow(rows, CHUNKS)
 
 
+def lead(m: int) -> np.uint64:
+    """The context of order m before a document's first token."""
+    at = np.array([START])
+    for _ in range(m - 2):
+        at = mix(at, np.array([START]))
+    return at[0]
+
+
 class Chunk:
     """A chunk opened: grams(m) are the m-gram hashes by token, contexts(m) those of the m-1 tokens before."""
 
@@ -173,10 +236,7 @@ class Chunk:
         before = np.empty_like(self.tokens)
         g = self.grams(m - 1)
         before[1:] = g[:-1]
-        lead = np.array([START])
-        for _ in range(m - 2):
-            lead = mix(lead, np.array([START]))
-        before[self.starts] = lead[0]
+        before[self.starts] = lead(m)
         return before
 
     def grams(self, m: int) -> np.ndarray:
@@ -190,7 +250,7 @@ ANSWER = f"kind string, {REPLIED}"
 
 def _given(group: pa.Table) -> tuple[int, int, list[tuple[int, int]], dict]:
     """(lane, bucket, (sender, entries) of each row, all entries)."""
-    rows = group.select(["lane", "range", "sender", "body"]).to_pylist()
+    rows = sorted(group.select(["lane", "range", "sender", "body"]).to_pylist(), key=lambda r: r["sender"])
     parts = [unseal(r["body"]) for r in rows]
     return rows[0]["lane"], rows[0]["range"], [(r["sender"], len(p["key"])) for r, p in zip(rows, parts)], joined(parts)
 
@@ -203,19 +263,21 @@ def _answers(kind: str, lane: int, bucket: int, given: list[tuple[int, int]], co
     return out
 
 
-def count_requests(chunks: DataFrame, order: int, route: Route) -> DataFrame:
-    """ROUTED rows: each chunk's distinct n-grams of orders 1 to order with their counts in training documents."""
+def count_requests(chunks: DataFrame, order: int, route: Route, part: Pass) -> DataFrame:
+    """ROUTED rows: each chunk's distinct n-grams of orders 1 to order in that part, with their counts in training documents."""
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
                 chunk = Chunk(row)
                 for m in range(1, order + 1):
-                    keys, at = np.unique(chunk.grams(m), return_inverse=True)
-                    counts = np.bincount(at[chunk.trained], minlength=len(keys)).astype(np.uint32)
+                    grams = chunk.grams(m)
+                    some = part.of(grams)
+                    keys, at = _distinct(grams[some])
+                    counts = np.bincount(at[chunk.trained[some]], minlength=len(keys)).astype(np.uint32)
                     entries = {"key": keys, "chunk": np.full(len(keys), row["chunk"]), "n": counts}
                     yield as_batch(route.letters(m, entries), ROUTED)
-                del chunk, keys, at, counts, entries
+                del chunk, grams, some, keys, at, counts, entries
                 release_memory()
 
     return chunks.mapInArrow(ask, ROUTED)
@@ -227,13 +289,14 @@ def count_answers(requests: DataFrame, k: int) -> DataFrame:
     def add_up(group: pa.Table) -> pa.Table:
         order, bucket, given, entries = _given(group)
         counts = entries["n"].astype(np.int64)
-        keys, at = np.unique(entries["key"], return_inverse=True)
+        keys, at = _distinct(entries["key"])
         totals = np.bincount(at, weights=counts, minlength=len(keys)).astype(np.uint64)
         nonzero = np.flatnonzero(counts)
-        nonzero = nonzero[np.argsort(entries["chunk"][nonzero], kind="stable")]
-        owners = nonzero[np.unique(at[nonzero], return_index=True)[1]]  # the first chunk with the n-gram in training
+        nonzero = nonzero[_by_chunks(entries["chunk"][nonzero])][::-1]
+        owner = np.empty(len(keys), np.int64)
+        owner[at[nonzero]] = nonzero  # what is put last stays: the first chunk with the n-gram in training
         reply = totals[at] * np.uint64(2)
-        reply[owners] += np.uint64(1)
+        reply[owner[totals > 0]] += np.uint64(1)
         out = _answers("reply", order, bucket, given, {"chunk": entries["chunk"], "v": reply})
         seen = totals > 0
         out.append(("table", order, bucket, 0, seal({"key": keys[seen], "count": totals[seen]})))
@@ -263,27 +326,40 @@ def statistics_of(answers: DataFrame, k: int) -> dict[int, np.ndarray]:
 
 
 class Evaluation:
-    """What one chunk knows: totals by n-gram and, for the orders whose context sums are known, context weights."""
+    """What one chunk knows, up to an order: totals by n-gram and, where the context sums are known, context weights."""
 
-    def __init__(self, row: dict, replies: list[dict], model: dict):
+    def __init__(self, row: dict, replies: list[dict], model: dict, order: int):
         self.chunk, self.model = Chunk(row), model
         by: dict[tuple, list] = {}
         for r in replies:
             by.setdefault((r["kind"], r["lane"]), []).append(r)
-        self.count, self.owner, self.index = {}, {}, {}
-        for m in range(1, model["order"] + 1):
-            keys, at = np.unique(self.chunk.grams(m), return_inverse=True)
+        self.keys, self.count, self.owner, self.index = {}, {}, {}, {}
+        for m in range(1, order + 1):
+            self.keys[m], self.index[m] = _distinct(self.chunk.grams(m))
             v = replied(by[("reply", m)])["v"]
-            assert len(v) == len(keys), "a reply is missing"
-            self.count[m], self.owner[m], self.index[m] = (v >> np.uint64(1)).astype(np.int64), (v & np.uint64(1)).astype(bool), at
+            assert len(v) == len(self.keys[m]), "a reply is missing"
+            self.count[m], self.owner[m] = (v >> np.uint64(1)).astype(np.int64), (v & np.uint64(1)).astype(bool)
         self.weight = {}
-        for m in range(2, model["order"] + 1):
+        for m in range(2, order + 1):
             if ("weights", m) in by:
                 own = replied(by[("weights", m)])
-                keys, at = np.unique(self.chunk.contexts(m), return_inverse=True)
+                keys, _, at = self.contexts(m)
                 assert len(own["total"]) == len(keys), "a weight is missing"
                 self.weight[m] = (own["total"][at], own["alpha"][at])
 
+    def contexts(self, m: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Sorted keys: the grams of order m - 1 and the lead; which of those were counted in training; each token's context among them."""
+        grams, first = self.keys[m - 1], lead(m)
+        place = int(np.searchsorted(grams, first))
+        counted = self.count[m - 1] > 0
+        at, before = np.empty_like(self.index[m - 1]), self.index[m - 1]
+        if place == len(grams) or grams[place] != first:
+            grams, counted = np.insert(grams, place, first), np.insert(counted, place, False)
+            before = before + (before >= place)
+        at[1:] = before[:-1]
+        at[self.chunk.starts] = place
+        return grams, counted, at
+
     def probability(self, m: int) -> np.ndarray:
         """P of each token given its m-1 symbols before: recurs to the lower orders."""
         counts = self.count[m][self.index[m]]
@@ -297,28 +373,33 @@ class Evaluation:
         return np.where(seen, discounted / np.where(known, total, 1.0), np.where(known, alpha, 1.0) * lower)
 
 
-def context_requests(chunks: DataFrame, replies: DataFrame, model: dict, m: int, route: Route) -> DataFrame:
-    """ROUTED rows: each chunk's contexts of order m; over the m-grams it owns the sums of c, of d_c * c and of lower P.
+#: What a chunk says of a context: a held-out token follows it; it is an n-gram with a count.
+ASKS, COUNTED = 1, 2
+
 
-    ``asks`` marks contexts of held-out tokens: only there an m-gram can be unseen, so only they need a backoff weight.
+def context_requests(chunks: DataFrame, replies: DataFrame, model: dict, m: int, route: Route, part: Pass) -> DataFrame:
+    """ROUTED rows: each chunk's contexts of order m in that part; over the m-grams it owns the sums of c, of d_c * c and of lower P.
+
+    Only where a held-out token follows, an m-gram can be unseen: only there a backoff weight is asked for.
     """
 
     def ask(_key, left: pa.Table, right: pa.Table) -> pa.Table:
         out: list[tuple] = []
         for row in left.to_pylist():
-            e = Evaluation(row, right.to_pylist(), model)
-            keys, at = np.unique(e.chunk.contexts(m), return_inverse=True)
+            e = Evaluation(row, right.to_pylist(), model, m)
+            keys, counted, at = e.contexts(m)
             first = np.zeros(len(e.count[m]), np.int64)
             first[e.index[m][::-1]] = np.arange(len(at))[::-1]  # a token that stands for each distinct m-gram
             own = np.flatnonzero(e.owner[m])
             c, context = e.count[m][own], at[first[own]]
             lower = e.probability(m - 1)[first[own]]
             sums = [np.bincount(context, weights=w, minlength=len(keys)) for w in (c, model["discounts"][m].of(c) * c, lower)]
-            asks = np.zeros(len(keys), np.uint8)
-            asks[at[~e.chunk.trained]] = 1
-            entries = {"key": keys, "chunk": np.full(len(keys), row["chunk"]), "asks": asks}
-            out += route.letters(m, entries | {"count": sums[0].astype(np.uint64), "kept": sums[1], "lower": sums[2]})
-            del e, at, first, own, c, context, lower, sums, entries
+            says = np.where(counted, COUNTED, 0).astype(np.uint8)
+            says[at[~e.chunk.trained]] |= ASKS
+            some = part.span(keys)
+            entries = {"key": keys[some], "chunk": np.full(some.stop - some.start, row["chunk"]), "says": says[some]}
+            out += route.letters(m, entries | {"count": sums[0][some].astype(np.uint64), "kept": sums[1][some], "lower": sums[2][some]})
+            del e, keys, counted, at, first, own, c, context, lower, sums, says, entries
             release_memory()
         return pa.Table.from_batches([as_batch(out, ROUTED)])
 
@@ -330,21 +411,26 @@ def _by_chunk(replies: DataFrame):
 
 
 def context_answers(requests: DataFrame) -> DataFrame:
-    """ANSWER rows: 'weights' for each chunk (D + L, 0 for unseen contexts; alpha where asked) and the 'backoff' table."""
+    """ANSWER rows: 'weights' for each chunk (D + L, 0 for unseen contexts; alpha where asked) and the 'backoff' table: of the
+    n-grams in the table of counts of the same range, in its order, and of the lead apart."""
 
     def add_up(group: pa.Table) -> pa.Table:
         order, bucket, given, entries = _given(group)
         # chunks add in one order, whatever the order of arrival
-        by = np.argsort(entries["chunk"], kind="stable")
-        keys, at = np.unique(entries["key"], return_inverse=True)
+        by = _by_chunks(entries["chunk"])
+        keys, at = _distinct(entries["key"])
         count, kept, lower = (np.bincount(at[by], weights=entries[c][by].astype(np.float64), minlength=len(keys)) for c in ("count", "kept", "lower"))
         seen = count > 0
         left = np.maximum(count - kept, 0.5)
         total = np.where(seen, kept + left, 0.0)
         alpha = np.where(seen, left / np.where(seen, total, 1.0) / np.maximum(1.0 - lower, 1e-12), 1.0)
-        wanted = np.where(entries["asks"] > 0, alpha[at], 0.0)
+        wanted = np.where(entries["says"] & ASKS, alpha[at], 0.0)
         out = _answers("weights", order, bucket, given, {"chunk": entries["chunk"], "total": total[at], "alpha": wanted})
-        out.append(("backoff", order, bucket, 0, seal({"key": keys[seen], "total": total[seen], "alpha": alpha[seen]})))
+        tabled, apart = np.zeros(len(keys), bool), keys == lead(order)
+        tabled[at] = (entries["says"] & COUNTED) > 0  # all chunks say the same of a key
+        tabled[apart] = False
+        own = {"total": total[tabled], "alpha": alpha[tabled].astype(np.float32)}
+        out.append(("backoff", order, bucket, 0, seal(own | {"lead_total": total[apart], "lead_alpha": alpha[apart].astype(np.float32)})))
         release_memory()
         return pa.Table.from_batches([as_batch(out, ANSWER)])
 
@@ -372,15 +458,33 @@ def _returned(answers: DataFrame, kind: str, route: Route) -> DataFrame:
 REPLIED_NAMES = [f.split()[0] for f in REPLIED.split(", ")]
 
 
-def fit(docs: DataFrame, order: int = 3, k: int = 5, fold: int = 10, max_tokens: int = 1_500_000, bucket_keys: int = 2_000_000, fan: int = 256) -> KatzModel:
-    """Train on documents whose crc32(doc_id as text) mod fold is not 0; all documents' look-ups are prepared."""
+def _in_passes(make: Callable[[Pass], DataFrame], passes: int, route: Route, name: str) -> DataFrame:
+    """ANSWER rows of all passes, each stored before the next begins."""
+    n = min(passes, route.buckets)
+    made = [stored(make(Pass(i, n, route.buckets)), name, ("kind", "lane")) for i in range(n)]
+    return reduce(DataFrame.unionByName, made)
+
+
+def fit(
+    docs: DataFrame, order: int = 3, k: int = 5, fold: int = 10, max_tokens: int = 1_500_000, bucket_keys: int = 2_000_000, fan: int = 256, passes: int = 4
+) -> KatzModel:
+    """Train on documents whose crc32(doc_id as text) mod fold is not 0; all documents' look-ups are prepared.
+
+    passes: into how many parts keys are dealt that are exchanged one part after the other; more take less disk and more time.
+    """
+    with _shuffles_go(docs.sparkSession):
+        return _fit(docs, order, k, fold, max_tokens, bucket_keys, fan, passes)
+
+
+def _fit(docs: DataFrame, order: int, k: int, fold: int, max_tokens: int, bucket_keys: int, fan: int, passes: int) -> KatzModel:
     spark = docs.sparkSession
     ship(spark)
     parts = n_partitions(spark)
     chunks = stored_by_chunk(tokenised(docs, fold, max_tokens), "katz", parts)
     sizes = chunks.agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("chunks")).first()
     route = Route.of(sizes["chunks"], max(4, -(-(sizes["tokens"] or 0) // bucket_keys)), fan)
-    answers = stored(count_answers(route.forward(count_requests(chunks, order, route)), k), "katz-counts", ("kind", "lane"))
+    counted = lambda part: count_answers(route.forward(count_requests(chunks, order, route, part)), k)
+    answers = _in_passes(counted, passes, route, "katz-counts")
     stats = statistics_of(answers, k)
     empty = np.zeros(k + 5, np.int64)
     discounts = {m: good_turing(dict(enumerate(map(int, stats.get(m, empty)[2:]))), k) for m in range(1, order + 1)}
@@ -392,13 +496,31 @@ def fit(docs: DataFrame, order: int = 3, k: int = 5, fold: int = 10, max_tokens:
     numbers = {"order": order, "discounts": discounts, "unknown": unknown, "total": kept + unknown, "tokens": total, "distinct": int(n[0])}
     replies, tables = _returned(answers, "reply", route), [answers.where("kind = 'table'")]
     for m in range(2, order + 1):
-        asked = route.forward(context_requests(chunks, replies, numbers, m, route))
-        weights = stored(context_answers(asked), f"katz-weights-{m}", ("kind", "lane"))
+        weighed = lambda part, m=m, replies=replies: context_answers(route.forward(context_requests(chunks, replies, numbers, m, route, part)))
+        weights = _in_passes(weighed, passes if m > 2 else 1, route, f"katz-weights-{m}")  # contexts of order 2 are words
         tables.append(weights.where("kind = 'backoff'"))
         replies = replies.unionByName(_returned(weights, "weights", route))
     return KatzModel(chunks, replies, tables, numbers)
 
 
+def ngrams(model: KatzModel, m: int) -> DataFrame:
+    """The model as a table: (key, count, total, alpha) of the n-grams of order m; total is 0 and alpha 1 of what is no context.
+    Contexts of the highest order have no longer ones: their weights are null."""
+    schema = "key bigint, count bigint, total double, alpha float"
+
+    def opened(_key, left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows:  # the lead alone
+            return pa.table({"key": pa.array([], pa.int64()), "count": pa.array([], pa.int64()), "total": pa.array([], pa.float64()), "alpha": pa.array([], pa.float32())})
+        columns = joined([unseal(b.as_py()) for b in left.column("body")])
+        n = len(columns["key"])
+        weights = [unseal(b.as_py()) for b in right.column("body")]
+        more = [pa.array(weights[0][c]) if weights else pa.nulls(n, t) for c, t in (("total", pa.float64()), ("alpha", pa.float32()))]
+        return pa.table([pa.array(columns["key"].view(np.int64)), pa.array(columns["count"].astype(np.int64)), *more], names=["key", "count", "total", "alpha"])
+
+    of = lambda kind, lane: reduce(DataFrame.unionByName, model.tables).where((F.col("kind") == kind) & (F.col("lane") == lane))
+    return of("table", m).groupBy("range").cogroup(of("backoff", m + 1).groupBy("range")).applyInArrow(opened, schema)
+
+
 def score(model: KatzModel, id_type: T.DataType) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every document."""
     numbers = model.numbers
@@ -416,7 +538,7 @@ def score(model: KatzModel, id_type: T.DataType) -> DataFrame:
     def evaluate(_key, left: pa.Table, right: pa.Table) -> pa.Table:
         tables = []
         for row in left.to_pylist():
-            e = Evaluation(row, right.to_pylist(), numbers)
+            e = Evaluation(row, right.to_pylist(), numbers, numbers["order"])
             c = e.count[1][e.index[1]]
             add = lambda v: np.add.reduceat(v, e.chunk.starts)  # noqa: E731  every document has a token
             base = np.log10((c + 0.1) / (numbers["tokens"] + 0.1 * (numbers["distinct"] + 1)))

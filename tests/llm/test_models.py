@@ -115,6 +115,29 @@ def test_katz_base_and_folds(spark):
         assert got[i]["held_out"] == (zlib.crc32(str(i).encode()) % 10 == 0) and got[i]["train_tokens"] == n
 
 
+@pytest.mark.parametrize("passes", [1, 3])
+def test_katz_tables_have_counts_and_the_weights_of_contexts(spark, passes):
+    rows = words(4, 200)
+    model = katz.fit(spark.createDataFrame(rows, DOCS), 3, max_tokens=150, bucket_keys=60, passes=passes)
+    train = [[*t.encode().lower().split(), b" end"] for i, t in rows if zlib.crc32(str(i).encode()) % 10]
+    hashed = lambda w: np.array([katz.xxhash.xxh3_64_intdigest(w)], np.uint64)
+    signed = lambda a: int(a.view(np.int64)[0])
+    ones = collections.Counter(w for d in train for w in d)
+    twos = collections.Counter(p for d in train for p in zip([b" start", *d], d))
+    got = {r["key"]: r for r in katz.ngrams(model, 1).collect()}
+    assert {k: r["count"] for k, r in got.items()} == {signed(hashed(w)): c for w, c in ones.items()}
+    assert {r["key"]: r["count"] for r in katz.ngrams(model, 2).collect()} == {signed(exchange.mix(*map(hashed, p))): c for p, c in twos.items()}
+    assert all(r["total"] is None for r in katz.ngrams(model, 3).collect())
+    d = model.numbers["discounts"]
+    p1 = {w: float(d[1].of(np.array(c))) * c / model.numbers["total"] for w, c in ones.items()}
+    for h in ones:
+        after = {w: c for (v, w), c in twos.items() if v == h}
+        kept = sum(float(d[2].of(np.array(c))) * c for c in after.values())
+        left = max(sum(after.values()) - kept, 0.5)
+        want = (kept + left, left / (kept + left) / (1 - sum(p1[w] for w in after))) if after else (0, 1)
+        assert (got[signed(hashed(h))]["total"], got[signed(hashed(h))]["alpha"]) == pytest.approx(want, rel=1e-6)
+
+
 def test_katz_on_little_and_nothing(spark):
     docs = spark.createDataFrame(words(1, 3), DOCS)
     assert katz.katz_scores(docs.limit(0)).count() == 0
