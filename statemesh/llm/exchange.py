@@ -117,6 +117,25 @@ def cuts(keys: np.ndarray, buckets: int, step: int = 1) -> np.ndarray:
     return np.concatenate([[0], np.searchsorted(keys, first), [len(keys)]]).astype(np.int64)
 
 
+def pack_floats(a: np.ndarray) -> tuple:
+    """Floats, of which many are 0 or equal: which are not 0, then those, or codes of them where few differ."""
+    some = a != 0
+    held = a[some]
+    values, codes = held, None
+    if len(np.unique(held[:4096])) <= 256:
+        distinct, at = np.unique(held, return_inverse=True)
+        if len(distinct) < 1 << 16:
+            values, codes = distinct, pack(at.astype(np.uint16))
+    return len(a), pack(np.packbits(some)), pack(values), codes
+
+
+def unpack_floats(packed: tuple) -> np.ndarray:
+    n, some, values, codes = packed
+    out, held = np.zeros(n), unpack(values, np.float64)
+    out[np.unpackbits(unpack(some, np.uint8), count=n).astype(bool)] = held if codes is None else held[unpack(codes, np.uint16)]
+    return out
+
+
 Columns = dict[str, "np.ndarray | pa.Array"]
 
 
@@ -124,7 +143,9 @@ def seal(columns: Columns) -> bytes:
     """Columns of entries as bytes: numbers packed (the column ``key`` ascends), Arrow arrays as compressed streams."""
     out: dict[str, tuple] = {}
     for name, c in columns.items():
-        if isinstance(c, np.ndarray):
+        if isinstance(c, np.ndarray) and c.dtype == np.float64:
+            out[name] = ("floats", pack_floats(c))
+        elif isinstance(c, np.ndarray):
             out[name] = (c.dtype.str, pack_sorted(c) if name == "key" else pack(c))
         else:
             sink = pa.BufferOutputStream()
@@ -140,6 +161,8 @@ def unseal(body: bytes) -> Columns:
         if kind == "arrow":
             c = pa.ipc.open_stream(raw).read_all().column(0).combine_chunks()
             found[name] = c.chunk(0) if isinstance(c, pa.ChunkedArray) else c
+        elif kind == "floats":
+            found[name] = unpack_floats(raw)
         else:
             found[name] = unpack_sorted(raw) if name == "key" else unpack(raw, np.dtype(kind))
     return found

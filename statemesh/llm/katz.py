@@ -470,7 +470,8 @@ def fit(
 ) -> KatzModel:
     """Train on documents whose crc32(doc_id as text) mod fold is not 0; all documents' look-ups are prepared.
 
-    passes: into how many parts keys are dealt that are exchanged one part after the other; more take less disk and more time.
+    passes: into how many parts keys are dealt that are exchanged one part after the other, half as many for contexts; more
+    take less disk and more time.
     """
     with _shuffles_go(docs.sparkSession):
         return _fit(docs, order, k, fold, max_tokens, bucket_keys, fan, passes)
@@ -497,7 +498,7 @@ def _fit(docs: DataFrame, order: int, k: int, fold: int, max_tokens: int, bucket
     replies, tables = _returned(answers, "reply", route), [answers.where("kind = 'table'")]
     for m in range(2, order + 1):
         weighed = lambda part, m=m, replies=replies: context_answers(route.forward(context_requests(chunks, replies, numbers, m, route, part)))
-        weights = _in_passes(weighed, passes if m > 2 else 1, route, f"katz-weights-{m}")  # contexts of order 2 are words
+        weights = _in_passes(weighed, -(-passes // 2) if m > 2 else 1, route, f"katz-weights-{m}")  # contexts of order 2 are words
         tables.append(weights.where("kind = 'backoff'"))
         replies = replies.unionByName(_returned(weights, "weights", route))
     return KatzModel(chunks, replies, tables, numbers)

@@ -115,6 +115,12 @@ def test_katz_base_and_folds(spark):
         assert got[i]["held_out"] == (zlib.crc32(str(i).encode()) % 10 == 0) and got[i]["train_tokens"] == n
 
 
+@pytest.mark.parametrize("values", [[], [0.0, 0.0], [1.5], [0.0, 2.5, 2.5, 0.0, -1.0] * 999, [float(i) / 7 for i in range(9000)], [0.25] * 5000 + [float(i) for i in range(70000)]])
+def test_floats_are_sealed_as_they_are(values):
+    a = np.array(values, np.float64)
+    assert (exchange.unseal(exchange.seal({"x": a}))["x"] == a).all()
+
+
 @pytest.mark.parametrize("passes", [1, 3])
 def test_katz_tables_have_counts_and_the_weights_of_contexts(spark, passes):
     rows = words(4, 200)
