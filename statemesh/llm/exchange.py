@@ -5,8 +5,9 @@ answers all chunks for one range of keys. A key costs one entry per chunk, so a
 as packed columns, about five bytes a key, in few rows; replies travel back by chunk.
 
 A row per chunk and bucket would make the rows grow with the square of the corpus. So a ``Route`` has a fixed fan-out: with
-more chunks than that, chunks meet in groups of about ``fan`` and ranges of ``fan`` buckets first, and the groups' entries
-are put together and cut finer, level by level, like the passes of a radix sort. Each level makes at most ``fan`` rows a
+more chunks than that, chunks meet in groups of about ``fan`` at about ``fan`` coarse ranges first, and the groups' entries
+are put together and cut finer, level by level, like the passes of a radix sort. At each level there are about as many
+meetings as chunks, so one holds about as many entries as a chunk. Each level makes at most ``fan`` rows a
 chunk and the number of levels is the logarithm of the number of chunks: rows and bytes follow the corpus.
 
 Chunks are written once to the shared folder, bucketed by chunk id, before anything is derived from them. Later
@@ -204,6 +205,16 @@ class Route:
             meets.append(chunks)
         return cls(max(1, buckets), tuple(meets), fan)
 
+    @property
+    def steps(self) -> tuple[int, ...]:
+        """Buckets in a range at each level. Each step divides the one before, and all the meetings of a level are about as many
+        as the chunks: groups are cut by as much as senders have been put together."""
+        steps = [1]
+        for level in reversed(range(len(self.meets))):
+            wanted = -(-self.buckets // self.fan ** (level + 1))
+            steps.append(steps[-1] * max(1, -(-wanted // steps[-1])))
+        return tuple(reversed(steps))
+
     def meeting(self, chunks: np.ndarray, level: int) -> np.ndarray:
         """The group of each chunk at a level; -1 is the chunk itself, and on the last level all meet."""
         if level < 0:
@@ -219,7 +230,7 @@ class Route:
         """ROUTED rows of entries that are sorted by key and come from one sender."""
         if not len(columns["key"]):
             return []
-        at = cuts(columns["key"], self.buckets, self.fan ** (len(self.meets) - level))
+        at = cuts(columns["key"], self.buckets, self.steps[level])
         one = columns["chunk"][:1]
         meet, sender = int(self.meeting(one, level)[0]), int(self.meeting(one, level - 1)[0])
         some = np.flatnonzero(np.diff(at)).tolist()
@@ -245,22 +256,24 @@ class Route:
     def backward(self, replies: DataFrame) -> DataFrame:
         """REPLIED rows of buckets, with the chunk of each entry, as they reach the chunks (sender); ranges ascend with the keys."""
 
-        def hop(level: int):
+        def hop(level: int, finer: int):
             def part(group: pa.Table) -> pa.Table:
                 rows = sorted(group.select(["lane", "range", "sender", "body"]).to_pylist(), key=lambda r: r["range"])
                 columns = joined([unseal(r["body"]) for r in rows])
                 to = self.meeting(columns["chunk"], level - 1)
                 order = np.argsort(to, kind="stable")
                 edge = np.concatenate([np.flatnonzero(np.diff(to[order], prepend=to[order][0] - 1)), [len(to)]])
-                lane, at = rows[0]["lane"], rows[0]["range"] // self.fan
+                lane, at = rows[0]["lane"], rows[0]["range"] // finer
                 out = [(lane, at, int(to[order[a]]), seal(taken(columns, order[a:b]))) for a, b in zip(edge[:-1], edge[1:])]
+                release_memory()
                 return pa.Table.from_batches([as_batch(out, REPLIED)])
 
             return part
 
         for level in reversed(range(len(self.meets))):
-            coarse = F.floor(F.col("range") / self.fan).alias("coarse")
-            replies = replies.groupBy("lane", coarse, "sender").applyInArrow(hop(level), REPLIED)
+            finer = self.steps[level] // self.steps[level + 1]
+            coarse = F.floor(F.col("range") / finer).alias("coarse")
+            replies = replies.groupBy("lane", coarse, "sender").applyInArrow(hop(level, finer), REPLIED)
         return replies
 
 

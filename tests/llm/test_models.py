@@ -104,6 +104,18 @@ def test_a_route_brings_every_answer_back(spark):
         assert (got["half"] << np.uint64(1)).tolist() == k.tolist()
 
 
+@pytest.mark.parametrize(("chunks", "buckets", "fan"), [(40, 30, 16), (700, 525, 256), (3000, 2400, 16)])
+def test_no_meeting_of_a_route_is_much_larger_than_a_chunk(chunks, buckets, fan):
+    route = exchange.Route.of(chunks, buckets, fan)
+    assert all(a % b == 0 for a, b in zip(route.steps, route.steps[1:])) and route.steps[-1] == 1
+    # a thousand keys a chunk, dealt evenly: how many meet at each level
+    senders = np.arange(chunks)
+    for level in range(len(route.meets)):
+        together = np.bincount(route.meeting(senders, level)).max()
+        assert together * 1000 * min(1.0, route.steps[level] / buckets) <= 4 * 1000
+        assert -(-buckets // route.steps[0]) <= fan
+
+
 def test_katz_base_and_folds(spark):
     rows = words(2, 40)
     got = {r["doc_id"]: r for r in katz.katz_scores(spark.createDataFrame(rows, DOCS)).collect()}
