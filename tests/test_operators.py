@@ -186,3 +186,10 @@ def test_uploads(spark):
     known = spark.createDataFrame([("0" * 64,)], "sha256 string").unionByName(spark.createDataFrame([(bytearray(b"known"),)], "c binary").select(F.sha2("c", 256).alias("sha256")))
     got = {r["filename"]: (r["refusal"], r["stem"]) for r in documents.judge_uploads(spark.createDataFrame([(a, bytearray(b)) for a, b in rows], "filename string, content binary"), known).collect()}
     assert got == {"a.pdf": (None, "a"), "b.txt": ("not_pdf", "b"), "c.pdf": ("empty", "c"), "dir\\d e.pdf": ("duplicate", "d-e")}
+
+
+def test_pairs_by_reason_names_a_reason_without_pairs(spark):
+    from statemesh.operators.pairing import SAME_BLOCK, SAME_VALUE, pairs_by_reason
+
+    pairs = spark.createDataFrame([(SAME_BLOCK,), (SAME_BLOCK,)], "reason string")
+    assert {r["reason"]: r["n"] for r in pairs_by_reason(pairs).collect()} == {SAME_BLOCK: 2, SAME_VALUE: 0}
