@@ -111,3 +111,26 @@ def test_rounding_tolerance_is_a_unit_in_the_last_place(spark):
     data = [("61451000000", "61,451"), ("0.0820", "0.0820"), ("0", "0"), ("-23450000000", "2,345")]
     df = rows(spark, data, "m string, r string").select(rounding_tolerance(F.col("m").cast("decimal(38,10)"), F.col("r")).alias("t"))
     assert [float(r["t"]) for r in df.collect()] == [1e6, 1e-4, 0.0, 1e7]
+
+
+def test_plain_numerals_read_like_others(spark):
+    from pyspark.sql import functions as F
+
+    from statemesh.functions.numbers import parse_number, parse_value
+
+    # a blank in front is stripped, and sends the same numeral the long way
+    raws = ["0", "0.0", "7", "1,234", "12,34,567", "1,23", "1234.50", "12,3456", "1,2", "9" * 18, "9" * 19, "12.", "1,234,567.891"]
+    contexts = ["(Rs. in millions)", "in %", "bps", None, "", "tonnes", "3 1,234 customers", "USD"]
+    rows = [(r, c) for r in raws for c in contexts]
+    df = spark.createDataFrame(rows, "r string, c string")
+    spaced = F.concat(F.lit("\n"), "r")
+    differ = df.where(~parse_value(F.col("r"), F.col("c")).eqNullSafe(parse_value(spaced, F.col("c"))) | ~parse_number(F.col("r")).eqNullSafe(parse_number(spaced)))
+    assert differ.collect() == []
+
+
+def test_rows_are_spread_over_as_many_tasks_as_they_ask_for(spark, monkeypatch):
+    from statemesh import session
+
+    monkeypatch.setattr(session, "ROWS_A_TASK", 10)
+    assert session.spread(spark.range(0, 95, 1, 2)).rdd.getNumPartitions() == 10
+    assert session.spread(spark.range(0, 5, 1, 6)).rdd.getNumPartitions() == 6
