@@ -72,3 +72,13 @@ def test_what_has_a_period_is_told_without_parsing(spark):
     df = spark.createDataFrame([(t,) for t in texts], "t string")
     rows = df.select("t", F.coalesce(has_period(F.col("t")), F.lit(False)).alias("a"), F.coalesce(parse_period(F.col("t"))["kind"] != "unknown", F.lit(False)).alias("b")).collect()
     assert [r["a"] for r in rows] == [r["b"] for r in rows] and 0 < sum(r["a"] for r in rows) < len(rows)
+
+
+def test_forms_in_longer_texts_and_in_odd_letters(spark):
+    from pyspark.sql import functions as F
+
+    from statemesh.functions.periods import parse_period
+
+    rows = [("see q2 - fy'24, then FY25", "q2 - fy'24"), ("x\nthe Fiſcal year 2023\ny", "Fiſcal year 2023"), ("YEAR ENDED 31 march 2024 and more", "YEAR ENDED 31 march 2024"), ("as on 5/6/2021.", "as on 5/6/2021"), ("2023–24", "2023–24"), ("calendar year 2020", "calendar year 2020"), ("as at 31 February 2024", None), ("year ended February 30, 2024", None), ("a1", None), (None, None)]
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)], "i int, t string").select("i", parse_period(F.col("t"))["label"].alias("label"))
+    assert [r["label"] for r in df.orderBy("i").collect()] == [want for _, want in rows]
