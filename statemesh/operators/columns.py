@@ -28,19 +28,23 @@ def header_cells(text: Column) -> Column:
 
 def combined_header(grid: Column) -> Column:
     """Labels of the value columns: the rows' filled cells joined, each distinct part once; empty labels left out."""
-    width = F.array_max(F.transform(grid, lambda r: F.size(r)))
-    padded = F.transform(grid, lambda r: F.concat(r, F.array_repeat(F.lit(""), width - F.size(r))))
-    filled = F.transform(padded, forward_filled)
-    parts = lambda i: F.array_distinct(F.filter(F.transform(filled, lambda r: F.get(r, i)), lambda c: c != ""))
-    labels = F.transform(F.sequence(F.lit(1), width - 1), lambda i: F.array_join(parts(i), " "))
-    return F.when(width > 1, F.filter(labels, lambda c: c != "")).otherwise(F.array().cast("array<string>"))
+    width = lambda g: F.array_max(F.transform(g, lambda r: F.size(r)))
+    padded = lambda r, n: forward_filled(F.concat(r, F.array_repeat(F.lit(""), n - F.size(r))))
+    parts = lambda rows, i: F.array_distinct(F.filter(F.transform(rows, lambda r: F.get(r, i)), lambda c: c != ""))
+    # the filled rows are worked out once, and not for each label
+    filled = F.transform(F.array(width(grid)), lambda n: F.struct(n.alias("n"), F.transform(grid, lambda r: padded(r, n)).alias("rows")))
+    joined = lambda x: F.transform(F.sequence(F.lit(1), x["n"] - 1), lambda i: F.array_join(parts(x["rows"], i), " "))
+    wide = F.filter(filled, lambda x: x["n"] > 1)
+    return F.filter(F.flatten(F.transform(wide, joined)), lambda c: c != "")
 
 
 def header_layouts(blocks: DataFrame) -> DataFrame:
     """(document_id, page, labels): the first table of each page whose two or more labels are all periods."""
-    tables = blocks.where("kind = 'table'").withColumn("grid", header_cells(F.col("text"))).where(F.size("grid") >= 2)
-    labelled = tables.withColumn("labels", combined_header(F.col("grid"))).where(F.size("labels") >= 2)
-    return labelled.where(F.forall("labels", has_period)).groupBy("document_id", "page").agg(F.min_by("labels", "ord").alias("labels"))
+    # arrays of one: each step is worked out once, where filters on columns would have it worked out anew for every use
+    grids = F.filter(F.array(header_cells(F.col("text"))), lambda g: F.size(g) >= 2)
+    labels = F.filter(F.transform(grids, combined_header), lambda x: (F.size(x) >= 2) & F.forall(x, has_period))
+    labelled = blocks.where("kind = 'table'").select("document_id", "page", "ord", F.explode(labels).alias("labels"))
+    return labelled.groupBy("document_id", "page").agg(F.min_by("labels", "ord").alias("labels"))
 
 
 def numeric_runs(blocks: DataFrame) -> DataFrame:
@@ -84,17 +88,18 @@ BIN = 256
 def attach_columns(candidates: DataFrame, cells: DataFrame) -> DataFrame:
     """candidates with column_header and row_label of the first cell that holds them.
 
-    An interval join by bins: a cell stands in each bin of places that it reaches, a candidate is in one, and only what shares a
-    bin meets. Cells are lines of a page, so a bin has few, and the rows that meet follow the candidates and not pages' squares.
+    An interval join by bins: a cell stands in each bin of places that it reaches, a candidate is in one. Cells are lines of a
+    page, so a bin has few: they are put together as one row, and candidates are read and moved once.
     """
-    keys = ["document_id", "page", "at", "until"]
     reach = F.sequence(F.floor(F.col("start") / BIN), F.floor((F.col("end") - 1) / BIN))
-    c = cells.where(F.col("end") > F.col("start")).select("document_id", "page", F.col("start").alias("_start"), F.col("end").alias("_end"), F.col("column").alias("_column"), F.col("row_label").alias("_row_label"), F.explode(reach).alias("_bin"))
-    asked = candidates.select(*keys, F.floor(F.col("at") / BIN).alias("_bin"))
-    inside = asked.join(c, ["document_id", "page", "_bin"]).where("at >= _start and at < _end")
-    hit = inside.groupBy(*keys).agg(F.min_by(F.struct("_column", "_row_label"), "_start").alias("_c"))
+    one = F.struct(F.col("start").alias("start"), F.col("end").alias("end"), F.col("column").alias("column"), F.col("row_label").alias("row_label"))
+    c = cells.where(F.col("end") > F.col("start")).select("document_id", "page", F.explode(reach).alias("_bin"), one.alias("c"))
+    bins = c.groupBy("document_id", "page", "_bin").agg(F.collect_list("c").alias("_cells"))
     own = [x for x in candidates.columns if x not in ("column_header", "row_label")]
-    return candidates.select(*own).join(hit, keys, "left").withColumns({"column_header": F.col("_c._column"), "row_label": F.col("_c._row_label")}).drop("_c")
+    asked = candidates.select(*own, F.floor(F.col("at") / BIN).alias("_bin"))
+    hit = F.array_min(F.filter("_cells", lambda x: (F.col("at") >= x["start"]) & (F.col("at") < x["end"])))
+    met = asked.join(bins, ["document_id", "page", "_bin"], "left").select(*own, hit.alias("_c"))
+    return met.withColumns({"column_header": F.col("_c.column"), "row_label": F.col("_c.row_label")}).drop("_c")
 
 
 def page_scale_captions(blocks: DataFrame) -> DataFrame:

@@ -193,3 +193,28 @@ def test_pairs_by_reason_names_a_reason_without_pairs(spark):
 
     pairs = spark.createDataFrame([(SAME_BLOCK,), (SAME_BLOCK,)], "reason string")
     assert {r["reason"]: r["n"] for r in pairs_by_reason(pairs).collect()} == {SAME_BLOCK: 2, SAME_VALUE: 0}
+
+
+def nodes_of(df, name):
+    """How often a physical operator stands in the plan."""
+    return df._jdf.queryExecution().executedPlan().toString().count(name)
+
+
+def test_candidates_are_swept_once_for_their_columns(spark):
+    body = "Units\n10\n20\n30"
+    df = documents.with_offsets(spark.createDataFrame([("d", 1, 0, "table", "| a | FY24 | FY23 | FY22 |\n| - |\n| b |"), ("d", 1, 1, "paragraph", body)], BLOCK))
+    cells = columns.column_cells(df)
+    # of cells that meet, the first counts
+    cells = cells.unionByName(cells.withColumns({"start": F.col("start") - 1, "column": F.concat("column", F.lit(" first"))}).where("column = 'FY23 b first'"))
+    c = columns.attach_columns(spot.spot(df), cells)
+    assert nodes_of(c, "MapInArrow") == 1
+    got = {(r["text"], r["column_header"], r["row_label"]) for r in c.collect()}
+    assert got == {("10", "FY24 b", "Units"), ("20", "FY23 b first", "Units"), ("30", "FY22 b", "Units"), ("FY24", None, None), ("FY23", None, None), ("FY22", None, None)}
+
+
+def test_headers_of_odd_tables(spark):
+    rows = [("| a |\n| b |", None), ("no table", None), ("| x | FY24 |\n| y |", None), ("| x | FY24 | FY23 |", None), ("| x | FY24 | | FY23 |\n| | a | b |", ["FY24 a", "FY24 b", "FY23 b"]), ("", None)]
+    df = spark.createDataFrame([(str(i), 1, 0, "table", t) for i, (t, _) in enumerate(rows)], BLOCK)
+    grid = df.select("document_id", columns.combined_header(columns.header_cells(F.col("text"))).alias("x"))
+    assert {r["document_id"]: r["x"] for r in grid.collect()}["4"] == rows[4][1]
+    assert {r["document_id"]: r["labels"] for r in columns.header_layouts(df).collect()} == {"4": ["FY24 a", "FY24 b", "FY23 b"]}
