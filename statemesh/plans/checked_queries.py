@@ -16,7 +16,7 @@ from ..operators import canon, columns, evals, extract, repair, routing, spot
 from ..operators.evidence import evidence_bounds
 from ..plans import read_api
 from ..schema import CLAIM_NAMES
-from ..session import scratch
+from ..session import scratch, stored
 from ..sources import checkpoints, documents, ledger
 from ..streaming.extend import RegistryStore
 from .adapter import order_claims, table
@@ -106,7 +106,8 @@ def stated_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def spot_conversion(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Claims for each candidate that is no reference, if the money of every second page became claims."""
-    found = spot.spot(stated_blocks(spark, sf_dir))
+    swept = spot.spot(stated_blocks(spark, sf_dir)).select("document_id", "page", "spot_kind", "noise_hint")
+    found = stored(swept, "spots")  # the evaluation reads them three times
     return evals.spot_conversion(found.where("spot_kind = 'money' and page % 2 = 0").select("document_id", "page"), found)
 
 

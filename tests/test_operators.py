@@ -218,3 +218,12 @@ def test_headers_of_odd_tables(spark):
     grid = df.select("document_id", columns.combined_header(columns.header_cells(F.col("text"))).alias("x"))
     assert {r["document_id"]: r["x"] for r in grid.collect()}["4"] == rows[4][1]
     assert {r["document_id"]: r["labels"] for r in columns.header_layouts(df).collect()} == {"4": ["FY24 a", "FY24 b", "FY23 b"]}
+
+
+def test_conversion_sweeps_once(spark, monkeypatch):
+    from statemesh.plans import checked_queries
+
+    swept = []
+    monkeypatch.setattr(checked_queries, "stored", lambda df, name: swept.append(name) or df.localCheckpoint())
+    got = checked_queries.spot_conversion(spark, "/root/testdata/sf0.001")
+    assert swept == ["spots"] and nodes_of(got, "MapInArrow") == 0
