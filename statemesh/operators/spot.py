@@ -7,6 +7,7 @@ follows is declarative. It comes after all filters that can be pushed to the sca
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -26,7 +27,6 @@ PERIOD = (
     r"|H[12]\s*[-/ ]?\s*(?:FY|CY)\s*'?\d{2,4}|FY\s*'?\d{2,4}|CY\s*'?\d{2,4}|\d{4}\s*[-–]\s*\d{2,4})\b"
 )
 NUMBER = r"\d+(?:,\d{2,3})*(?:\.\d+)?|\.\d+"
-_NUMERAL = r"\d(?:[\d,.  ]*\d)?"
 _UNIT = r"\s*(?:%|per\s*cent(?:age)?|bps|basis\s+points?|crores?|lakhs?|lacs?|millions?|billions?|trillions?|thousands?|mn|bn|cr)?"
 _MONEY = (
     r"[₹$€£¥]|\b(?:rs\.?|inr|usd|eur|gbp|jpy|rupees?|dollars?|revenue|ebitda|profit|loss|income|expense|cost|turnover|capex|opex|"
@@ -41,52 +41,115 @@ FOLIO = r"^[ivxlcdm]*\s*\d{1,4}\s*[ivxlcdm]*$"
 FOLIO_MARGIN = 0.06
 
 SPOTS = "start int, end int, kind string, text string, tight string, noise boolean"
-#: Kinds by rank: where matches meet, the lower rank wins, and of one rank the earlier.
-RANKED = [("date", re.compile(DATE, re.I)), ("duration", re.compile(PERIOD, re.I)), ("number", re.compile(NUMBER))]
-_NEXT, _LAST = re.compile(_NUMERAL), re.compile(_NUMERAL + _UNIT, re.I)
+_DATE, _DIGITS = re.compile(DATE, re.I), re.compile(r"\d+")
+# PERIOD and NUMBER with the characters that they can begin with first: the search then passes over all others quickly
+_PERIOD = re.compile(
+    r"[\dQqHhFfCc](?i:(?<![A-Za-z]{2}.)(?:(?<=Q)[1-4]\s*[-/ ]?\s*FY\s*'?\d{2,4}|(?:(?<=[369])|(?<=1)2)\s*M\s*[-/ ]?\s*FY\s*'?\d{2,4}"
+    r"|(?<=H)[12]\s*[-/ ]?\s*(?:FY|CY)\s*'?\d{2,4}|(?<=[FC])Y\s*'?\d{2,4}|(?<=\d)\d{3}\s*[-–]\s*\d{2,4})\b)"
+)
+_NUMBER = re.compile(r"[\d.](?:(?<=\d)\d*(?:,\d{2,3})*(?:\.\d+)?|(?<=\.)\d+)")
+_AFTER = re.compile(_UNIT, re.I)
 _KINDS = [("percent", re.compile(_PERCENT, re.I)), ("money", re.compile(_MONEY, re.I))]
 _REFERENCE = re.compile(_NOISE, re.I)
-
-
-def places(text: str) -> list[tuple[int, int, str]]:
+#: What ASCII text has, in lower case, wherever the patterns of a kind, or of references, match: most text is told by that.
+_SIGNS = {
+    "percent": ("%", "cent", "bps", "basis"),
+    "money": tuple("$ rs inr usd eur gbp jpy rupee dollar revenue ebitda profit loss income expense cost turnover capex opex cash debt equity asset liabilit".split()),
+}
+_ENDINGS = tuple("page pg pg. note notes clause section para paragraph annexure schedule regulation rule chapter table figure fig fig. exhibit item no".split())
+
+
+def _dates(text: str, runs: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+    """Spans of DATE, tried only where one can begin: at one or two digits, and at the word before those that follow a blank."""
+    last = 0
+    for at, end in runs:
+        if end - at > 2 or at < last:
+            continue
+        after, word = text[end : end + 1], at
+        blank = after.isspace()
+        if blank or after == ",":
+            while word > last and text[word - 1].isspace():
+                word -= 1
+            if word < at:
+                word -= word > last and text[word - 1] == "."
+                while word > last and text[word - 1].isalpha():
+                    word -= 1
+        found = (word < at and _DATE.match(text, word)) or ((blank or (after and after in "./-")) and _DATE.match(text, at))
+        if found:
+            last = found.end()
+            yield found.span()
+
+
+def places(text: str, runs: list[tuple[int, int]]) -> list[tuple[int, int, str]]:
     """Intervals (start, end, kind) of a block in reading order, none meeting another. Matches of all kinds are laid over the
-    text in the order of their rank, and what is covered already is given up; a numeral has two digits or more."""
+    text in the order of their rank, and what is covered already is given up; a numeral has two digits or more. runs: where
+    digits stand."""
     free, out = bytearray(b"\x01") * len(text), []
-    for kind, pattern in RANKED:
-        for start, end in (m.span() for m in pattern.finditer(text)):
-            long_enough = kind != "number" or sum(c.isdigit() for c in text[start:end]) > 1
-            if long_enough and all(free[start:end]):
+    for start, end in _dates(text, runs):
+        free[start:end] = bytes(end - start)
+        out.append((start, end, "date"))
+    for kind, pattern in (("duration", _PERIOD), ("number", _NUMBER)):
+        for m in pattern.finditer(text):
+            start, end = m.span()
+            if kind == "number" and (end - start == 1 or (not text[start : start + 2].isdigit() and sum(map(str.isdigit, text[start:end])) < 2)):
+                continue
+            if free.find(0, start, end) < 0:
                 free[start:end] = bytes(end - start)
                 out.append((start, end, kind))
-    return sorted(out)
-
-
-def bound(text: str, start: int, end: int) -> tuple[str, str]:
-    """What is bound to text[start:end] on its left and right: TIGHT characters, ending where another numeral with its unit
-    stands. A first line without numerals is the row's label, and stands before what is on the left."""
-    left = max(start - TIGHT, 0)
-    for other in _LAST.finditer(text, left, start):
-        left = other.end()
-    right = min(end + TIGHT, len(text))
-    other = _NEXT.search(text, end, right)
-    label, near = text[: text.find("\n", 0, start) + 1], text[left:start]
-    if len(label) > 1 and not _NEXT.search(label) and label[:-1] not in near:
-        near = label + near
-    return near, text[end : other.start() if other else right]
+    out.sort()
+    return out
 
 
 def spots_of(text: str) -> list[tuple]:
-    """(start, end, kind, text, tight, noise) of each place; brackets right around a place belong to it."""
-    rows = []
-    for start, end, kind in places(text):
+    """(start, end, kind, text, tight, noise) of each place; brackets right around a place belong to it.
+
+    To a place are bound TIGHT characters on its left and right, ending where another numeral with its unit stands. A first line
+    without numerals is the row's label, and stands before what is on the left."""
+    runs = [m.span() for m in _DIGITS.finditer(text)]
+    found = places(text, runs)
+    if not found:
+        return []
+    rows, starts, size = [], [r[0] for r in runs], len(text)
+    line = text.find("\n") + 1
+    label = text[:line] if 1 < line <= starts[0] else ""
+    plain = text.isascii()
+    low = text.lower() if plain else ""
+    kinds = [(name, pattern, there) for name, pattern in _KINDS if (there := [sign for sign in _SIGNS[name] if sign in low]) or not plain]
+
+    def bound(start: int, end: int) -> tuple[str, str]:
+        left, right = max(start - TIGHT, 0), min(end + TIGHT, size)
+        i = bisect_left(starts, start)  # the last digit before, if any, ends the last numeral there
+        if i and (digit := min(runs[i - 1][1], start)) > left:
+            left = _AFTER.match(text, digit, start).end()
+        i = bisect_left(starts, end)
+        if i and runs[i - 1][1] > end:
+            right = end
+        elif i < len(starts) and starts[i] < right:
+            right = starts[i]
+        near = text[left:start]
+        if label and line <= start and label[:-1] not in near:
+            near = label + near
+        return near, text[end:right]
+
+    for start, end, kind in found:
+        near, after = bound(start, end)
         if kind == "number":
-            words = " ".join((lambda near: (near[0], text[start:end], near[1]))(bound(text, start, end)))
-            kind = next((name for name, pattern in _KINDS if pattern.search(words)), "quantity")
-        reference = _REFERENCE.search(text[:start].rstrip()[-30:]) is not None
-        if text[max(start - 1, 0) : start] == "(" and text[end : end + 1] == ")":
+            words, kind = f"{near} {text[start:end]} {after}", "quantity"
+            if kinds:
+                has = words.lower().__contains__
+                for name, pattern, signs in kinds:
+                    if (not plain or any(map(has, signs))) and pattern.search(words):
+                        kind = name
+                        break
+        before = (low or text)[max(start - 128, 0) : start].rstrip()
+        if len(before) < 30 and start > 128:
+            before = (low or text)[:start].rstrip()
+        reference = (not plain or before.endswith(_ENDINGS)) and _REFERENCE.search(before[-30:]) is not None
+        if start and text[start - 1] == "(" and text[end : end + 1] == ")":
             start, end = start - 1, end + 1
-        left, right = bound(text, start, end)
-        rows.append((start, end, kind, text[start:end], left + text[start:end] + right, reference))
+            near, after = bound(start, end)
+        shown = text[start:end]
+        rows.append((start, end, kind, shown, near + shown + after, reference))
     return rows
 
 
@@ -102,14 +165,19 @@ def spot(blocks: DataFrame) -> DataFrame:
     tight, noise_hint. Other columns of blocks are kept; rects, if any, tell folios."""
     ship(blocks.sparkSession)
     kept = [c for c in blocks.columns if c != "_spots"]
-    kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string()), ("text", pa.string()), ("tight", pa.string()), ("noise", pa.bool_())]))
+    kinds = {"start": pa.int32(), "end": pa.int32(), "kind": pa.string(), "text": pa.string(), "tight": pa.string(), "noise": pa.bool_()}
     schema = f"_spots array<struct<{SPOTS.replace(' ', ':').replace(',:', ',')}>>"
 
     def sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ("start", "end", "kind", "text", "tight", "noise")
         for b in batches:
-            found = [[dict(zip(names, s)) for s in spots_of(t or "")] for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(found, kind)], names=[*b.schema.names, "_spots"])
+            ends, rows = [0], []
+            for t in b.column("text").to_pylist():
+                rows += spots_of(t or "")
+                ends.append(len(rows))
+            columns = zip(*rows) if rows else [()] * len(kinds)
+            spots = pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds.values())], names=list(kinds))
+            found = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), spots)
+            yield pa.RecordBatch.from_arrays([*b.columns, found], names=[*b.schema.names, "_spots"])
 
     out_schema = blocks.select(*kept).schema
     from pyspark.sql.types import StructType

@@ -220,6 +220,30 @@ def test_headers_of_odd_tables(spark):
     assert {r["document_id"]: r["labels"] for r in columns.header_layouts(df).collect()} == {"4": ["FY24 a", "FY24 b", "FY23 b"]}
 
 
+def test_odd_spots():
+    found = [("2020-21", "duration"), ("3M FY21", "duration"), ("22", "quantity"), ("FY23", "duration"), ("5 Mays 2020", "date"), ("ſep. 12 2020", "date"), ("1-2-2020", "date")]
+    assert spotted("12020-21 13M FY21 xxFY22 aFY23 5 Mays 2020 7 ſep. 12 2020 1-2-2020-3") == found
+    assert spot.spots_of("Row\n12%  34")[1][4] == "Row\n  34"
+    assert [s[4] for s in spot.spots_of("(12 bn) 34")] == ["(12 bn) ", ") 34"]
+    assert [s[5] for s in spot.spots_of("page" + " " * 300 + "12 " + "x" * 300 + " 13")] == [True, False]
+
+
+def test_kinds_are_searched_only_where_signs_stand(monkeypatch):
+    class Counted:
+        def __init__(self, pattern):
+            self.pattern, self.calls = pattern, 0
+
+        def search(self, *a):
+            self.calls += 1
+            return self.pattern.search(*a)
+
+    counted = [(name, Counted(pattern)) for name, pattern in spot._KINDS]
+    monkeypatch.setattr(spot, "_KINDS", counted)
+    assert spotted("sold 12,345 of 67,890 units") == [("12,345", "quantity"), ("67,890", "quantity")]
+    assert [c.calls for _, c in counted] == [0, 0]
+    assert spotted("cash of 12,345") == [("12,345", "money")] and spotted("é ₹12,345") == [("12,345", "money")]
+
+
 def test_conversion_sweeps_once(spark, monkeypatch):
     from statemesh.plans import checked_queries
 
