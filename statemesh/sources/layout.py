@@ -65,6 +65,23 @@ def within_tables(blocks: DataFrame, tables: DataFrame, pages: DataFrame, share:
     return met.where(first & (overlapping(F.col("box"), F.col("t_box")) > share)).select(*_PAGE, "block", "table")
 
 
+def with_inside(blocks: DataFrame, tables: DataFrame, pages: DataFrame, share: float = WITHIN) -> DataFrame:
+    """blocks with inside: whether they lie within a table by more than ``share`` of their area; and with _page, their page's box.
+
+    The tables of a page come as one row, by cell, and a block looks up the cells that it reaches. So blocks meet them by page
+    alone: what lies by page already stays where it is, with its text. Blocks of unknown pages count as outside.
+    """
+    cells = on_grid(tables.select(*_PAGE, "table", "box"), pages)
+    by_page = cells.groupBy(*_PAGE).agg(F.collect_list(F.struct((F.col("cx") * GRID + F.col("cy")).alias("cell"), "box")).alias("t"))
+    of_cell = lambda i: F.transform(F.filter("t", lambda x: x["cell"] == i), lambda x: x["box"])
+    sides = pages.select(*_PAGE, F.struct(*BOX).alias("_page"))
+    grid = sides.join(by_page.select(*_PAGE, F.transform(F.sequence(F.lit(0), F.lit(GRID * GRID - 1)), of_cell).alias("_cells")), _PAGE, "left")
+    a, b, c, d = _cells(F.col("box"), F.col("_page"))
+    reach = F.flatten(F.transform(F.sequence(a, F.greatest(a, b)), lambda x: F.transform(F.sequence(c, F.greatest(c, d)), lambda y: x * GRID + y)))
+    held = F.exists(reach, lambda i: F.exists(F.get("_cells", i), lambda t: overlapping(F.col("box"), t) > share))
+    return blocks.join(grid, _PAGE, "left").withColumn("inside", F.coalesce(held, F.lit(False))).drop("_cells")
+
+
 def page_blocks(spans: DataFrame, tables: DataFrame, pages: DataFrame) -> DataFrame:
     """(document_id, page, ord, kind, text, char_start, char_end, rect, header_path, table_index) of pages(document_id, page, x0, y0,
     x1, y1) and tables(document_id, page, table, rows, x0, y0, x1, y1): tables in their order, then text in its.
@@ -74,13 +91,14 @@ def page_blocks(spans: DataFrame, tables: DataFrame, pages: DataFrame) -> DataFr
     box = F.struct(*BOX).alias("box")
     full = tables.select(*_PAGE, "table", markdown_table(F.col("rows")).alias("text"), header_path(F.col("rows")).alias("header_path"), box).where(strip(F.coalesce("text", F.lit(""))) != "")
     text = text_boxes(spans)
-    free = text.join(within_tables(text, full, pages), [*_PAGE, "block"], "left_anti")
-    one = full.select(*_PAGE, F.lit(0).alias("_after"), F.col("table").cast("long").alias("_n"), F.lit("table").alias("kind"), "text", "box", "header_path", F.col("table").cast("int").alias("table_index"))
+    free = with_inside(text, full, pages).where("not inside and _page is not null")
+    placed = full.join(pages.select(*_PAGE, F.struct(*BOX).alias("_page")), _PAGE)
+    one = placed.select(*_PAGE, "_page", F.lit(0).alias("_after"), F.col("table").cast("long").alias("_n"), F.lit("table").alias("kind"), "text", "box", "header_path", F.col("table").cast("int").alias("table_index"))
     kind = block_kind(F.col("text"), F.coalesce("bold", F.lit(False)), F.coalesce("size", F.lit(0.0)))
-    two = free.select(*_PAGE, F.lit(1).alias("_after"), F.col("block").cast("long").alias("_n"), kind.alias("kind"), "text", "box", F.lit(None).cast("string").alias("header_path"), F.lit(None).cast("int").alias("table_index"))
+    two = free.select(*_PAGE, "_page", F.lit(1).alias("_after"), F.col("block").cast("long").alias("_n"), kind.alias("kind"), "text", "box", F.lit(None).cast("string").alias("header_path"), F.lit(None).cast("int").alias("table_index"))
     order = Window.partitionBy(*_PAGE).orderBy("_after", "_n")
     every = one.unionByName(two).withColumn("ord", F.row_number().over(order) - 1)
-    sized = with_offsets(every).join(pages.select(*_PAGE, F.struct(*BOX).alias("_page")), _PAGE)
+    sized = with_offsets(every)
     page, own = F.col("_page"), F.col("box")
     moved = F.struct(*((own[c] - page[c[0] + "0"]).alias(c) for c in BOX))
     rect = normalise_rect(moved, page["x1"] - page["x0"], page["y1"] - page["y0"])

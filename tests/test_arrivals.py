@@ -34,6 +34,19 @@ def test_text_within_tables_is_found_as_by_all_pairs(spark):
     want = {(b[0], b[2], t[2]) for b in blocks for t in tables if b[0] == t[0] and share(b[3], t[3]) > 0.6}
     assert len(found) == len(want) > 5 and {(r["document_id"], r["block"], r["table"]) for r in found} == want
 
+    told = layout.with_inside(frame(floats(blocks), "block"), frame(floats(tables), "table"), pages).collect()
+    inside = {(d, b) for d, b, _ in want}
+    assert len(told) == len(blocks) and {(r["document_id"], r["block"]) for r in told if r["inside"]} == inside
+
+
+def test_text_is_moved_once_for_a_page_layout(spark):
+    from statemesh.plans import round_queries
+
+    for name in ("page_layout", "text_in_tables"):
+        plan = round_queries.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        moved = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line and "Reused" not in line]
+        assert len(moved) <= 6 and not any("block" in line.split("hashpartitioning")[1] for line in moved)
+
 
 def test_blocks_of_a_page(spark):
     spans = [
