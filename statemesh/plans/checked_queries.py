@@ -442,7 +442,9 @@ def _stored_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     paged = c.withColumn("_page", F.floor(F.col("seq") / 100).cast("int")).withColumn("value", F.col("value").withField("canonical_magnitude", F.col("value.canonical_magnitude").cast("string")))
     paged = paged.withColumn("provenance", F.struct(F.lit("rule").alias("extractor"), F.when(F.col("_page") % 2 == 0, "v2").otherwise("v1").alias("prompt_version"), F.lit("run").alias("pipeline_run_id"), F.lit(None).cast("timestamp").alias("extracted_at")))
     one = F.struct(*[x for x in CLAIM_NAMES if x != "seq"])
-    pages = paged.groupBy(F.concat(F.lit("doc "), e["document_id"]).alias("stem"), e["document_id"].alias("document"), F.col("_page").alias("page")).agg(F.array_sort(F.collect_list(F.struct("seq", one.alias("c")))).alias("claims"))
+    paged = paged.withColumns({"stem": F.concat(F.lit("doc "), e["document_id"]), "document": e["document_id"]})
+    # by stem and page, as pages that are done are
+    pages = paged.groupBy("stem", F.col("_page").alias("page")).agg(F.max("document").alias("document"), F.array_sort(F.collect_list(F.struct("seq", one.alias("c")))).alias("claims"))
     refused = F.when(F.col("page") % 5 == 0, F.array(F.struct(F.get("claims", 0)["c"].alias("claim"), F.lit("quote_mismatch").alias("reason"), F.lit("").alias("detail"))))
     return pages.select("stem", "document", "page", F.transform("claims", lambda x: x["c"]).alias("claims"), refused.alias("quarantined"))
 

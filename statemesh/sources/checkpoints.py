@@ -54,13 +54,24 @@ def _read(spark: SparkSession, paths: list[str]) -> DataFrame:
     return named.where("_corrupt_record is null and page is not null").drop("_corrupt_record")
 
 
-def lines(spark: SparkSession, folder: str) -> DataFrame:
-    """Sound lines with their file's stem and their order: seq of lines follows path and place in the file."""
+_PLACE = ["_file", "_block", "_at"]
+
+
+def _placed(spark: SparkSession, folder: str) -> DataFrame:
+    """Sound lines with their file's stem and their place."""
     paths = _paths(spark, folder)
     if not paths:
-        return spark.createDataFrame([], f"{LINES.replace(', _corrupt_record string', '')}, stem string, line bigint")
-    place = Window.partitionBy("stem").orderBy("_file", "_block", "_at")
-    return _read(spark, paths).withColumn("stem", stem_of("_file")).withColumn("line", F.row_number().over(place)).drop("_block", "_at", "_file")
+        return spark.createDataFrame([], f"{LINES.replace(', _corrupt_record string', '')}, stem string, _file string, _block bigint, _at bigint")
+    return _read(spark, paths).withColumn("stem", stem_of("_file"))
+
+
+def _numbered(placed: DataFrame) -> DataFrame:
+    return placed.withColumn("line", F.row_number().over(Window.partitionBy("stem").orderBy(*_PLACE))).drop(*_PLACE)
+
+
+def lines(spark: SparkSession, folder: str) -> DataFrame:
+    """Sound lines with their file's stem and their order: seq of lines follows path and place in the file."""
+    return _numbered(_placed(spark, folder))
 
 
 INDEX = "path string, stem string, modified timestamp, size bigint, document_id string, document string, pages bigint, claims bigint"
@@ -126,7 +137,8 @@ def _ordered(rows: DataFrame) -> DataFrame:
 
 def load_claims(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(claims, quarantined, documents). A document's id is its first claim's, else its file's stem."""
-    page = lines(spark, folder)
+    placed = _placed(spark, folder)
+    page = _numbered(placed)
     exploded = page.select("stem", "line", F.posexplode("claims").alias("_i", "c")).where("c.id is not null and c.value is not null")
     claims = _ordered(exploded).select("seq", "stem", *_typed("c"))
     claims = claims.select(*CLAIM_NAMES, "stem")
@@ -134,7 +146,9 @@ def load_claims(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame,
     per = page.groupBy("stem").agg(
         F.max("document").alias("document"), F.count("*").alias("pages"), F.sum(F.coalesce(F.size("claims"), F.lit(0))).alias("claims"), F.sum(F.coalesce(F.size("quarantined"), F.lit(0))).alias("quarantined")
     )
-    ids = claims.groupBy("stem").agg(F.min_by(F.get("evidence", 0)["document_id"], "seq").alias("_id"))
+    # the first claim by place: lines are not moved to be numbered
+    each = placed.select("stem", *_PLACE, F.posexplode("claims").alias("_i", "c")).where("c.id is not null and c.value is not null")
+    ids = each.groupBy("stem").agg(F.min_by(F.get("c.evidence", 0)["document_id"], F.struct(*_PLACE, "_i")).alias("_id"))
     documents = per.join(ids, "stem", "left").withColumn("document_id", F.coalesce("_id", "stem")).drop("_id")
     return claims.drop("stem"), refused, documents
 
@@ -158,11 +172,12 @@ def pages_todo(pages: DataFrame, done: DataFrame) -> DataFrame:
 
 
 def append_pages(pages: DataFrame, folder: str, done: DataFrame | None = None) -> None:
-    """Append page lines(stem, page, document, claims, ...), in a folder for each stem; pages that are done are left out."""
+    """Append page lines(stem, page, document, claims, ...), gzipped, in a folder for each stem; pages that are done are left out.
+    Pages that lie by stem and page already are not moved for that."""
     new = pages if done is None else pages_todo(pages, done)
-    new.write.partitionBy("stem").mode("append").json(folder)
+    new.write.partitionBy("stem").mode("append").option("compression", "gzip").json(folder)
 
 
 def snapshot(spark: SparkSession, folder: str, target: str) -> None:
     """All sound lines, gzipped."""
-    lines(spark, folder).drop("line").write.partitionBy("stem").mode("overwrite").option("compression", "gzip").json(target)
+    _placed(spark, folder).drop(*_PLACE).write.partitionBy("stem").mode("overwrite").option("compression", "gzip").json(target)

@@ -43,6 +43,18 @@ def test_checkpoints(spark, tmp_path):
     assert spark.read.schema(checkpoints.LINES).json(str(tmp_path / "snap")).where("page is not null").count() == 3
 
 
+def test_appended_pages_are_gzipped_and_placed_pages_stay(spark, tmp_path):
+    pages = spark.sql("select 'a' as stem, cast(id as int) as page, 'A' as document from range(9)").repartition("stem", "page")
+    checkpoints.append_pages(pages.where("page < 4"), str(tmp_path))
+    checkpoints.append_pages(pages, str(tmp_path), checkpoints.pages_done(spark, str(tmp_path)))
+    names = [f.name for f in tmp_path.rglob("*.json*") if not f.name.startswith(".")]
+    assert names and all(n.endswith(".json.gz") for n in names)
+    assert sorted(r["page"] for r in checkpoints.pages_done(spark, str(tmp_path)).collect()) == list(range(9))
+    docs = checkpoints.load_claims(spark, str(tmp_path))[2]
+    assert "Window" not in docs._jdf.queryExecution().executedPlan().toString()
+    assert [(r["document_id"], r["pages"]) for r in docs.collect()] == [("a", 9)]
+
+
 def test_an_empty_folder(spark, tmp_path):
     (tmp_path / "x.txt").write_text("no checkpoint")
     claims, refused, docs = checkpoints.load_claims(spark, str(tmp_path))
