@@ -14,14 +14,16 @@ At the lowest order the leftover belongs to the one symbol for unknown words. Ev
 one exactly, over the vocabulary and that symbol. Evaluation recurs from the highest order down, token by token.
 
 Tables. N-grams are 64-bit hashes; counts and backoff weights are stored in the shared folder, partitioned by kind and
-order, as sorted packed runs by key range. As in ARPA files a weight stands with the n-gram that is its context: rows of
-weights have no keys, they follow the counts of one order less range by range (``ngrams`` puts both together). Stored alphas
-have 32 bits; what is scored uses the exact ones that chunks are answered with. Keys are counted, and contexts weighed, in
+order, as packed runs by chunk and key range. One chunk owns each n-gram, and its runs hold the n-gram's count and, as in ARPA
+files, the weight of the context that it is. Runs have no keys: they follow the chunk's sorted distinct n-grams, which its stored
+tokens give again (``ngrams`` puts all together as a table). What a chunk looks up without owning it stands in its runs as well.
+Alphas that are only owned have 32 bits; those that score are exact. Keys are counted, and contexts weighed, in
 passes over parts of their range, and each pass's shuffle files go once its answers are stored. A chunk of documents asks for each distinct n-gram once, so what is moved
 follows the distinct n-grams of chunks, not the tokens; a frequent n-gram costs one entry a chunk. A bucket answers every
-chunk in the pass that adds its counts up, and names one chunk as the owner of each n-gram: owners add up the context
-sums, so no second shuffle of the n-gram table is needed. Requests and answers go by exchange.Route, whose rows follow the
-corpus and not its square. Nothing but counts of counts comes to the driver.
+chunk in the pass that adds its counts up, and says which chunk owns each n-gram: owners add up the context
+sums, so no second shuffle of the n-gram table is needed. It also numbers its n-grams in their order, from where its range begins:
+contexts go by those numbers later, which lie as the keys do and pack to a fraction of their bytes. Requests and answers
+go by exchange.Route, whose rows follow the corpus and not its square. Nothing but counts of counts comes to the driver.
 
 Defined cases: null text is one end token; a null id is hashed as the empty text, which holds it out; without any
 training document every token is unknown; repeated rows train and are scored each; other columns are ignored.
@@ -244,6 +246,12 @@ class Chunk:
             self._grams[m] = mix(self.contexts(m), self.tokens)
         return self._grams[m]
 
+    def asked(self, m: int, order: int) -> tuple[np.ndarray, np.ndarray]:
+        """What is looked up of order m in a model of an order: grams(m) and, as it is a context, the lead; which stand in training."""
+        if m == order:
+            return self.grams(m), self.trained
+        return np.append(self.grams(m), lead(m + 1)), np.append(self.trained, False)
+
 
 ANSWER = f"kind string, {REPLIED}"
 
@@ -271,23 +279,23 @@ def count_requests(chunks: DataFrame, order: int, route: Route, part: Pass) -> D
             for row in batch.to_pylist():
                 chunk = Chunk(row)
                 for m in range(1, order + 1):
-                    grams = chunk.grams(m)
+                    grams, trained = chunk.asked(m, order)
                     some = part.of(grams)
                     keys, at = _distinct(grams[some])
-                    counts = np.bincount(at[chunk.trained[some]], minlength=len(keys)).astype(np.uint32)
+                    counts = np.bincount(at[trained[some]], minlength=len(keys)).astype(np.uint32)
                     entries = {"key": keys, "chunk": np.full(len(keys), row["chunk"]), "n": counts}
                     yield as_batch(route.letters(m, entries), ROUTED)
-                del chunk, grams, some, keys, at, counts, entries
+                del chunk, grams, trained, some, keys, at, counts, entries
                 release_memory()
 
     return chunks.mapInArrow(ask, ROUTED)
 
 
-def count_answers(requests: DataFrame, k: int) -> DataFrame:
-    """ANSWER rows: 'reply' (totals for a chunk, doubled, plus 1 where it owns the n-gram), 'table', 'stats'."""
+def count_answers(requests: DataFrame, k: int, order: int, route: Route) -> DataFrame:
+    """ANSWER rows: 'reply' (totals for a chunk, doubled, plus 1 where it owns the n-gram; below the model's order also numbers), 'stats'."""
 
     def add_up(group: pa.Table) -> pa.Table:
-        order, bucket, given, entries = _given(group)
+        m, bucket, given, entries = _given(group)
         counts = entries["n"].astype(np.int64)
         keys, at = _distinct(entries["key"])
         totals = np.bincount(at, weights=counts, minlength=len(keys)).astype(np.uint64)
@@ -297,12 +305,11 @@ def count_answers(requests: DataFrame, k: int) -> DataFrame:
         owner[at[nonzero]] = nonzero  # what is put last stays: the first chunk with the n-gram in training
         reply = totals[at] * np.uint64(2)
         reply[owner[totals > 0]] += np.uint64(1)
-        out = _answers("reply", order, bucket, given, {"chunk": entries["chunk"], "v": reply})
-        seen = totals > 0
-        out.append(("table", order, bucket, 0, seal({"key": keys[seen], "count": totals[seen]})))
+        numbers = {"key": np.uint64((bucket << 64) // route.buckets) + at.astype(np.uint64)} if m < order else {}
+        out = _answers("reply", m, bucket, given, {"chunk": entries["chunk"], **numbers, "v": reply})
         release_memory()
-        stats = np.concatenate([[seen.sum(), totals.sum()], np.bincount(np.minimum(totals, k + 2).astype(np.int64), minlength=k + 3)])
-        out.append(("stats", order, bucket, 0, stats.astype(np.int64).tobytes()))
+        stats = np.concatenate([[(totals > 0).sum(), totals.sum()], np.bincount(np.minimum(totals, k + 2).astype(np.int64), minlength=k + 3)])
+        out.append(("stats", m, bucket, 0, stats.astype(np.int64).tobytes()))
         return pa.Table.from_batches([as_batch(out, ANSWER)])
 
     return requests.groupBy("lane", "range").applyInArrow(add_up, ANSWER)
@@ -333,73 +340,75 @@ class Evaluation:
         by: dict[tuple, list] = {}
         for r in replies:
             by.setdefault((r["kind"], r["lane"]), []).append(r)
-        self.keys, self.count, self.owner, self.index = {}, {}, {}, {}
+        self.keys, self.index, self.count, self.owner, self.number, self.weight = {}, {}, {}, {}, {}, {}
         for m in range(1, order + 1):
-            self.keys[m], self.index[m] = _distinct(self.chunk.grams(m))
-            v = replied(by[("reply", m)])["v"]
+            self.keys[m], self.index[m] = _distinct(self.chunk.asked(m, model["order"])[0])
+            found = replied(by[("reply", m)])
+            v = found["v"]
             assert len(v) == len(self.keys[m]), "a reply is missing"
             self.count[m], self.owner[m] = (v >> np.uint64(1)).astype(np.int64), (v & np.uint64(1)).astype(bool)
-        self.weight = {}
+            if m < model["order"]:
+                self.number[m] = found["key"]
         for m in range(2, order + 1):
             if ("weights", m) in by:
-                own = replied(by[("weights", m)])
-                keys, _, at = self.contexts(m)
-                assert len(own["total"]) == len(keys), "a weight is missing"
-                self.weight[m] = (own["total"][at], own["alpha"][at])
-
-    def contexts(self, m: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Sorted keys: the grams of order m - 1 and the lead; which of those were counted in training; each token's context among them."""
-        grams, first = self.keys[m - 1], lead(m)
-        place = int(np.searchsorted(grams, first))
-        counted = self.count[m - 1] > 0
-        at, before = np.empty_like(self.index[m - 1]), self.index[m - 1]
-        if place == len(grams) or grams[place] != first:
-            grams, counted = np.insert(grams, place, first), np.insert(counted, place, False)
-            before = before + (before >= place)
-        at[1:] = before[:-1]
-        at[self.chunk.starts] = place
-        return grams, counted, at
+                self.weight[m] = replied(by[("weights", m)])
+                assert len(self.weight[m]["total"]) == len(self.keys[m - 1]), "a weight is missing"
+
+    def counts(self, m: int) -> np.ndarray:
+        """The total of the m-gram that each token ends."""
+        return self.count[m][self.index[m][: len(self.chunk.tokens)]]
+
+    def contexts(self, m: int) -> tuple[np.ndarray, int]:
+        """Each token's context of order m among keys[m - 1], and the lead there."""
+        before = self.index[m - 1]  # the lead stands last
+        at = np.empty(len(before) - 1, before.dtype)
+        at[1:] = before[:-2]
+        at[self.chunk.starts] = before[-1]
+        return at, int(before[-1])
 
     def probability(self, m: int) -> np.ndarray:
         """P of each token given its m-1 symbols before: recurs to the lower orders."""
-        counts = self.count[m][self.index[m]]
+        counts = self.counts(m)
         seen = counts > 0
         discounted = self.model["discounts"][m].of(counts) * counts
         if m == 1:
             return np.where(seen, discounted, self.model["unknown"]) / self.model["total"]
-        total, alpha = self.weight[m]
+        at, _ = self.contexts(m)
+        total, alpha = self.weight[m]["total"][at], self.weight[m]["alpha"][at]
         lower = self.probability(m - 1)
         known = total > 0
         return np.where(seen, discounted / np.where(known, total, 1.0), np.where(known, alpha, 1.0) * lower)
 
 
-#: What a chunk says of a context: a held-out token follows it; it is an n-gram with a count.
-ASKS, COUNTED = 1, 2
+#: What a chunk says of a context: a held-out token follows it, or it is the lead; it is an n-gram that the chunk owns.
+ASKS, OWNS = 1, 2
 
 
 def context_requests(chunks: DataFrame, replies: DataFrame, model: dict, m: int, route: Route, part: Pass) -> DataFrame:
     """ROUTED rows: each chunk's contexts of order m in that part; over the m-grams it owns the sums of c, of d_c * c and of lower P.
 
-    Only where a held-out token follows, an m-gram can be unseen: only there a backoff weight is asked for.
+    Contexts go by their numbers. Only where a held-out token follows, an m-gram can be unseen: only there a backoff weight is
+    asked for; owners keep one.
     """
 
     def ask(_key, left: pa.Table, right: pa.Table) -> pa.Table:
         out: list[tuple] = []
         for row in left.to_pylist():
             e = Evaluation(row, right.to_pylist(), model, m)
-            keys, counted, at = e.contexts(m)
+            keys, (at, first_of_all) = e.number[m - 1], e.contexts(m)
             first = np.zeros(len(e.count[m]), np.int64)
-            first[e.index[m][::-1]] = np.arange(len(at))[::-1]  # a token that stands for each distinct m-gram
+            first[e.index[m][: len(at)][::-1]] = np.arange(len(at))[::-1]  # a token that stands for each distinct m-gram
             own = np.flatnonzero(e.owner[m])
             c, context = e.count[m][own], at[first[own]]
             lower = e.probability(m - 1)[first[own]]
             sums = [np.bincount(context, weights=w, minlength=len(keys)) for w in (c, model["discounts"][m].of(c) * c, lower)]
-            says = np.where(counted, COUNTED, 0).astype(np.uint8)
+            says = np.where(e.owner[m - 1], OWNS, 0).astype(np.uint8)
             says[at[~e.chunk.trained]] |= ASKS
+            says[first_of_all] |= ASKS
             some = part.span(keys)
             entries = {"key": keys[some], "chunk": np.full(some.stop - some.start, row["chunk"]), "says": says[some]}
             out += route.letters(m, entries | {"count": sums[0][some].astype(np.uint64), "kept": sums[1][some], "lower": sums[2][some]})
-            del e, keys, counted, at, first, own, c, context, lower, sums, says, entries
+            del e, keys, at, first, own, c, context, lower, sums, says, entries
             release_memory()
         return pa.Table.from_batches([as_batch(out, ROUTED)])
 
@@ -411,8 +420,7 @@ def _by_chunk(replies: DataFrame):
 
 
 def context_answers(requests: DataFrame) -> DataFrame:
-    """ANSWER rows: 'weights' for each chunk (D + L, 0 for unseen contexts; alpha where asked) and the 'backoff' table: of the
-    n-grams in the table of counts of the same range, in its order, and of the lead apart."""
+    """ANSWER rows: 'weights' for each chunk (D + L, 0 for unseen contexts; alpha where asked, with 32 bits where only owned)."""
 
     def add_up(group: pa.Table) -> pa.Table:
         order, bucket, given, entries = _given(group)
@@ -424,13 +432,9 @@ def context_answers(requests: DataFrame) -> DataFrame:
         left = np.maximum(count - kept, 0.5)
         total = np.where(seen, kept + left, 0.0)
         alpha = np.where(seen, left / np.where(seen, total, 1.0) / np.maximum(1.0 - lower, 1e-12), 1.0)
-        wanted = np.where(entries["says"] & ASKS, alpha[at], 0.0)
+        kept_alpha = np.where(entries["says"] & OWNS, alpha.astype(np.float32)[at], 0.0)
+        wanted = np.where(entries["says"] & ASKS, alpha[at], kept_alpha)
         out = _answers("weights", order, bucket, given, {"chunk": entries["chunk"], "total": total[at], "alpha": wanted})
-        tabled, apart = np.zeros(len(keys), bool), keys == lead(order)
-        tabled[at] = (entries["says"] & COUNTED) > 0  # all chunks say the same of a key
-        tabled[apart] = False
-        own = {"total": total[tabled], "alpha": alpha[tabled].astype(np.float32)}
-        out.append(("backoff", order, bucket, 0, seal(own | {"lead_total": total[apart], "lead_alpha": alpha[apart].astype(np.float32)})))
         release_memory()
         return pa.Table.from_batches([as_batch(out, ANSWER)])
 
@@ -443,7 +447,6 @@ class KatzModel:
 
     chunks: DataFrame
     replies: DataFrame
-    tables: list[DataFrame]
     numbers: dict
 
 
@@ -470,8 +473,8 @@ def fit(
 ) -> KatzModel:
     """Train on documents whose crc32(doc_id as text) mod fold is not 0; all documents' look-ups are prepared.
 
-    passes: into how many parts keys are dealt that are exchanged one part after the other, half as many for contexts; more
-    take less disk and more time.
+    passes: into how many parts keys are dealt that are exchanged one part after the other, a quarter as many for contexts at
+    each level of the exchange; more take less disk and more time.
     """
     with _shuffles_go(docs.sparkSession):
         return _fit(docs, order, k, fold, max_tokens, bucket_keys, fan, passes)
@@ -484,7 +487,7 @@ def _fit(docs: DataFrame, order: int, k: int, fold: int, max_tokens: int, bucket
     chunks = stored_by_chunk(tokenised(docs, fold, max_tokens), "katz", parts)
     sizes = chunks.agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("chunks")).first()
     route = Route.of(sizes["chunks"], max(4, -(-(sizes["tokens"] or 0) // bucket_keys)), fan)
-    counted = lambda part: count_answers(route.forward(count_requests(chunks, order, route, part)), k)
+    counted = lambda part: count_answers(route.forward(count_requests(chunks, order, route, part)), k, order, route)
     answers = _in_passes(counted, passes, route, "katz-counts")
     stats = statistics_of(answers, k)
     empty = np.zeros(k + 5, np.int64)
@@ -495,31 +498,34 @@ def _fit(docs: DataFrame, order: int, k: int, fold: int, max_tokens: int, bucket
     kept = total - sum(r * int(n[2 + r]) * (1 - discounts[1].factors[r]) for r in range(1, k + 1))
     unknown = max(total - kept, 0.5)
     numbers = {"order": order, "discounts": discounts, "unknown": unknown, "total": kept + unknown, "tokens": total, "distinct": int(n[0])}
-    replies, tables = _returned(answers, "reply", route), [answers.where("kind = 'table'")]
+    replies = _returned(answers, "reply", route)
     for m in range(2, order + 1):
         weighed = lambda part, m=m, replies=replies: context_answers(route.forward(context_requests(chunks, replies, numbers, m, route, part)))
-        weights = _in_passes(weighed, -(-passes // 2) if m > 2 else 1, route, f"katz-weights-{m}")  # contexts of order 2 are words
-        tables.append(weights.where("kind = 'backoff'"))
+        n_passes = -(-passes // 4) * (1 + len(route.meets)) if m > 2 else 1  # contexts of order 2 are words
+        weights = _in_passes(weighed, n_passes, route, f"katz-weights-{m}")
         replies = replies.unionByName(_returned(weights, "weights", route))
-    return KatzModel(chunks, replies, tables, numbers)
+    return KatzModel(chunks, replies, numbers)
 
 
 def ngrams(model: KatzModel, m: int) -> DataFrame:
     """The model as a table: (key, count, total, alpha) of the n-grams of order m; total is 0 and alpha 1 of what is no context.
     Contexts of the highest order have no longer ones: their weights are null."""
     schema = "key bigint, count bigint, total double, alpha float"
+    numbers, top = model.numbers, m == model.numbers["order"]
 
     def opened(_key, left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows:  # the lead alone
-            return pa.table({"key": pa.array([], pa.int64()), "count": pa.array([], pa.int64()), "total": pa.array([], pa.float64()), "alpha": pa.array([], pa.float32())})
-        columns = joined([unseal(b.as_py()) for b in left.column("body")])
-        n = len(columns["key"])
-        weights = [unseal(b.as_py()) for b in right.column("body")]
-        more = [pa.array(weights[0][c]) if weights else pa.nulls(n, t) for c, t in (("total", pa.float64()), ("alpha", pa.float32()))]
-        return pa.table([pa.array(columns["key"].view(np.int64)), pa.array(columns["count"].astype(np.int64)), *more], names=["key", "count", "total", "alpha"])
+        tables = []
+        for row in left.to_pylist():
+            e = Evaluation(row, right.to_pylist(), numbers, m if top else m + 1)
+            own = e.owner[m]
+            weights = [pa.nulls(int(own.sum()), t) if top else pa.array(e.weight[m + 1][c][own], t) for c, t in (("total", pa.float64()), ("alpha", pa.float32()))]
+            columns = [pa.array(e.keys[m][own].view(np.int64)), pa.array(e.count[m][own]), *weights]
+            tables.append(pa.Table.from_arrays(columns, names=["key", "count", "total", "alpha"]))
+            del e, own, weights, columns
+            release_memory()
+        return pa.concat_tables(tables)
 
-    of = lambda kind, lane: reduce(DataFrame.unionByName, model.tables).where((F.col("kind") == kind) & (F.col("lane") == lane))
-    return of("table", m).groupBy("range").cogroup(of("backoff", m + 1).groupBy("range")).applyInArrow(opened, schema)
+    return model.chunks.groupBy("chunk").cogroup(_by_chunk(model.replies)).applyInArrow(opened, schema)
 
 
 def score(model: KatzModel, id_type: T.DataType) -> DataFrame:
@@ -540,7 +546,7 @@ def score(model: KatzModel, id_type: T.DataType) -> DataFrame:
         tables = []
         for row in left.to_pylist():
             e = Evaluation(row, right.to_pylist(), numbers, numbers["order"])
-            c = e.count[1][e.index[1]]
+            c = e.counts(1)
             add = lambda v: np.add.reduceat(v, e.chunk.starts)  # noqa: E731  every document has a token
             base = np.log10((c + 0.1) / (numbers["tokens"] + 0.1 * (numbers["distinct"] + 1)))
             n = len(e.chunk.lengths)

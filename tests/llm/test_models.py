@@ -156,6 +156,23 @@ def test_katz_tables_have_counts_and_the_weights_of_contexts(spark, passes):
         assert (got[signed(hashed(h))]["total"], got[signed(hashed(h))]["alpha"]) == pytest.approx(want, rel=1e-6)
 
 
+def test_katz_stores_no_keys_and_contexts_go_by_numbers(spark):
+    r = random.Random(3)
+    rows = [(i, " ".join(r.choices([f"w{j}" for j in range(900)], k=60))) for i in range(90)]
+    model = katz.fit(spark.createDataFrame(rows, DOCS).repartition(2), 3, max_tokens=1500, bucket_keys=1000)
+    replies: dict = {}
+    for x in model.replies.collect():
+        assert x["kind"] in ("reply", "weights")
+        replies.setdefault(x["sender"], []).append(x.asDict())
+    for row in map(lambda x: x.asDict(), model.chunks.collect()):
+        e = katz.Evaluation(row, replies[row["chunk"]], model.numbers, 3)
+        buckets = max(4, -(-sum(len(t.split()) + 1 for _, t in rows) // 1000))
+        for m in (1, 2):
+            of = lambda keys: [int(k) * buckets >> 64 for k in keys]
+            assert of(e.number[m]) == of(e.keys[m]) and (np.diff(e.number[m]) > 0).all()
+        assert len(exchange.pack_sorted(e.number[2])) < 0.4 * len(exchange.pack_sorted(e.keys[2]))
+
+
 def test_katz_on_little_and_nothing(spark):
     docs = spark.createDataFrame(words(1, 3), DOCS)
     assert katz.katz_scores(docs.limit(0)).count() == 0
