@@ -53,19 +53,33 @@ END = np.uint64(xxhash.xxh3_64_intdigest(b" end"))
 START = np.uint64(xxhash.xxh3_64_intdigest(b" start"))
 
 
-class _Hashes(dict):
-    """64-bit hash of a word, remembered; emptied when full."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= 500_000:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
+class _Numbers(dict):
+    """Numbers of words as they come."""
+
+    def __missing__(self, word: bytes | None) -> int:
+        n = self[word] = len(self)
+        return n
+
+
+def _sorting(a: np.ndarray) -> np.ndarray:
+    """np.argsort of uint64, by sorting what tells keys apart together with their places, which is much quicker."""
+    if not len(a):
+        return np.empty(0, np.int64)
+    low, bits = a.min(), (len(a) - 1).bit_length()
+    drop = max(0, int(a.max() - low).bit_length() + bits - 64)
+    both = ((a - low) >> np.uint64(drop) << np.uint64(bits)) | np.arange(len(a), dtype=np.uint64)
+    both.sort()
+    order = (both & np.uint64((1 << bits) - 1)).view(np.int64)
+    if drop:
+        ascending = a[order]
+        if (ascending[1:] < ascending[:-1]).any():  # keys that differ in dropped bits only
+            return np.argsort(a, kind="stable")
+    return order
 
 
 def _distinct(a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct keys, and each entry's place among them."""
-    order = np.argsort(a)
+    order = _sorting(a)
     ascending = a[order]
     new = np.ones(len(a), bool)
     new[1:] = ascending[1:] != ascending[:-1]
@@ -165,24 +179,28 @@ def _ids(stream: bytes) -> pa.Array:
 
 
 def tokenised(docs: DataFrame, fold: int, max_tokens: int) -> DataFrame:
-    """CHUNKS of docs(doc_id, text): word hashes, and tokens as numbers of those."""
+    """CHUNKS of docs(doc_id, text): word hashes, the frequent first, and tokens as numbers of those."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, number = _Hashes(), 0
-        get = hashes.__getitem__
+        seen, number = _Numbers(), 0
+        get = seen.__getitem__
         first = TaskContext.get().partitionId() << 32
         ids, lengths, held, pieces, size = [], [], [], [], 0
 
         def chunk() -> pa.RecordBatch:
             tokens = np.concatenate(pieces)
-            words, at = np.unique(tokens, return_inverse=True)
+            words = np.fromiter((END if w is None else xxhash.xxh3_64_intdigest(w) for w in seen), np.uint64, len(seen))
+            # numbers are small for frequent words, and hashes ascend among words that are about as frequent
+            order = np.lexsort((words, -np.frexp(np.bincount(tokens, minlength=len(words)))[1]))
+            place = np.empty(len(words), np.uint32)
+            place[order] = np.arange(len(words))
             row = (
                 first + number,
                 _stream(pa.concat_arrays(ids)),
                 pack(np.array(lengths, np.int64)),
                 pack(np.array(held, np.uint8)),
-                pack_sorted(words),
-                pack(at.astype(np.uint32)),
+                pack_sorted(words[order]),
+                pack(place[tokens]),
                 len(tokens),
             )
             kinds = [pa.int64(), *[pa.binary()] * 5, pa.int64()]
@@ -194,19 +212,20 @@ def tokenised(docs: DataFrame, fold: int, max_tokens: int) -> DataFrame:
                 if size >= max_tokens:
                     yield chunk()
                     ids, lengths, held, pieces, size, number = [], [], [], [], 0, number + 1
+                    seen.clear()
                 flat: list[int] = []
                 for doc_id, text in zip(part.column("doc_id").to_pylist(), part.column("body").to_pylist()):
                     before = len(flat)
                     flat += map(get, (text or b"").lower().split())
-                    flat.append(int(END))
+                    flat.append(get(None))
                     lengths.append(len(flat) - before)
                     held.append(zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % fold == 0)
                 ids.append(part.column("doc_id"))
-                pieces.append(np.array(flat, np.uint64))
+                pieces.append(np.array(flat, np.uint32))
                 size += len(flat)
         if pieces:
             yield chunk()
-        hashes.clear()
+        seen.clear()
         release_memory()
 
     return docs.select("doc_id", F.col("text").cast("binary").alias("body")).mapInArrow(rows, CHUNKS)
@@ -226,7 +245,8 @@ class Chunk:
     def __init__(self, row: dict):
         self.lengths = unpack(row["lengths"], np.int64)
         self.held = unpack(row["held"], np.uint8).astype(bool)
-        self.tokens = unpack_sorted(row["words"])[unpack(row["tokens"], np.uint32)]
+        self.words, self.numbers = unpack_sorted(row["words"]), unpack(row["tokens"], np.uint32)
+        self.tokens = self.words[self.numbers]
         self.starts = np.concatenate([[0], np.cumsum(self.lengths)[:-1]])
         self.trained = ~np.repeat(self.held, self.lengths)
         self._grams = {0: np.zeros(len(self.tokens), np.uint64), 1: self.tokens}
@@ -247,10 +267,13 @@ class Chunk:
         return self._grams[m]
 
     def asked(self, m: int, order: int) -> tuple[np.ndarray, np.ndarray]:
-        """What is looked up of order m in a model of an order: grams(m) and, as it is a context, the lead; which stand in training."""
-        if m == order:
-            return self.grams(m), self.trained
-        return np.append(self.grams(m), lead(m + 1)), np.append(self.trained, False)
+        """What is looked up of order m in a model of an order, and how often in training: words, else the m-gram of each token;
+        then, as it is a context, the lead."""
+        if m == 1:
+            grams, times = self.words, np.bincount(self.numbers[self.trained], minlength=len(self.words))
+        else:
+            grams, times = self.grams(m), self.trained.astype(np.int64)
+        return (grams, times) if m == order else (np.append(grams, lead(m + 1)), np.append(times, 0))
 
 
 ANSWER = f"kind string, {REPLIED}"
@@ -279,13 +302,13 @@ def count_requests(chunks: DataFrame, order: int, route: Route, part: Pass) -> D
             for row in batch.to_pylist():
                 chunk = Chunk(row)
                 for m in range(1, order + 1):
-                    grams, trained = chunk.asked(m, order)
+                    grams, times = chunk.asked(m, order)
                     some = part.of(grams)
                     keys, at = _distinct(grams[some])
-                    counts = np.bincount(at[trained[some]], minlength=len(keys)).astype(np.uint32)
+                    counts = np.bincount(at, weights=times[some], minlength=len(keys)).astype(np.uint32)
                     entries = {"key": keys, "chunk": np.full(len(keys), row["chunk"]), "n": counts}
                     yield as_batch(route.letters(m, entries), ROUTED)
-                del chunk, grams, trained, some, keys, at, counts, entries
+                del chunk, grams, times, some, keys, at, counts, entries
                 release_memory()
 
     return chunks.mapInArrow(ask, ROUTED)
@@ -333,16 +356,20 @@ def statistics_of(answers: DataFrame, k: int) -> dict[int, np.ndarray]:
 
 
 class Evaluation:
-    """What one chunk knows, up to an order: totals by n-gram and, where the context sums are known, context weights."""
+    """What one chunk knows, up to an order: totals by n-gram (from order ``first`` on) and, where the context sums are known,
+    context weights."""
 
-    def __init__(self, row: dict, replies: list[dict], model: dict, order: int):
+    def __init__(self, row: dict, replies: list[dict], model: dict, order: int, first: int = 1):
         self.chunk, self.model = Chunk(row), model
         by: dict[tuple, list] = {}
         for r in replies:
             by.setdefault((r["kind"], r["lane"]), []).append(r)
-        self.keys, self.index, self.count, self.owner, self.number, self.weight = {}, {}, {}, {}, {}, {}
+        self.keys, self.index, self.lead, self.count, self.owner, self.number, self.weight = {}, {}, {}, {}, {}, {}, {}
         for m in range(1, order + 1):
-            self.keys[m], self.index[m] = _distinct(self.chunk.asked(m, model["order"])[0])
+            self.keys[m], at = _distinct(self.chunk.asked(m, model["order"])[0])
+            self.index[m] = at[self.chunk.numbers] if m == 1 else at[: len(self.chunk.tokens)]
+            self.lead[m] = int(at[-1])  # if m is below the model's order
+        for m in range(first, order + 1):
             found = replied(by[("reply", m)])
             v = found["v"]
             assert len(v) == len(self.keys[m]), "a reply is missing"
@@ -356,28 +383,32 @@ class Evaluation:
 
     def counts(self, m: int) -> np.ndarray:
         """The total of the m-gram that each token ends."""
-        return self.count[m][self.index[m][: len(self.chunk.tokens)]]
+        return self.count[m][self.index[m]]
 
-    def contexts(self, m: int) -> tuple[np.ndarray, int]:
-        """Each token's context of order m among keys[m - 1], and the lead there."""
-        before = self.index[m - 1]  # the lead stands last
-        at = np.empty(len(before) - 1, before.dtype)
-        at[1:] = before[:-2]
-        at[self.chunk.starts] = before[-1]
-        return at, int(before[-1])
+    def contexts(self, m: int) -> np.ndarray:
+        """Each token's context of order m among keys[m - 1]."""
+        at = np.empty_like(self.index[m - 1])
+        at[1:] = self.index[m - 1][:-1]
+        at[self.chunk.starts] = self.lead[m - 1]
+        return at
+
+    def probability_of_seen(self, m: int) -> np.ndarray:
+        """P of each token given its m-1 symbols before, where they were seen together; 0 elsewhere."""
+        counts = self.counts(m)
+        discounted = self.model["discounts"][m].of(counts) * counts
+        if m == 1:
+            return discounted / self.model["total"]
+        total = self.weight[m]["total"][self.contexts(m)]
+        return discounted / np.where(total > 0, total, 1.0)
 
     def probability(self, m: int) -> np.ndarray:
         """P of each token given its m-1 symbols before: recurs to the lower orders."""
-        counts = self.counts(m)
-        seen = counts > 0
-        discounted = self.model["discounts"][m].of(counts) * counts
+        seen, own = self.counts(m) > 0, self.probability_of_seen(m)
         if m == 1:
-            return np.where(seen, discounted, self.model["unknown"]) / self.model["total"]
-        at, _ = self.contexts(m)
+            return np.where(seen, own, self.model["unknown"] / self.model["total"])
+        at = self.contexts(m)
         total, alpha = self.weight[m]["total"][at], self.weight[m]["alpha"][at]
-        lower = self.probability(m - 1)
-        known = total > 0
-        return np.where(seen, discounted / np.where(known, total, 1.0), np.where(known, alpha, 1.0) * lower)
+        return np.where(seen, own, np.where(total > 0, alpha, 1.0) * self.probability(m - 1))
 
 
 #: What a chunk says of a context: a held-out token follows it, or it is the lead; it is an n-gram that the chunk owns.
@@ -385,7 +416,8 @@ ASKS, OWNS = 1, 2
 
 
 def context_requests(chunks: DataFrame, replies: DataFrame, model: dict, m: int, route: Route, part: Pass) -> DataFrame:
-    """ROUTED rows: each chunk's contexts of order m in that part; over the m-grams it owns the sums of c, of d_c * c and of lower P.
+    """ROUTED rows: each chunk's contexts of order m in that part; over the m-grams it owns the sums of c, of d_c * c and of lower P
+    (in units of 2^-48: rounding of sums near one is of that size).
 
     Contexts go by their numbers. Only where a held-out token follows, an m-gram can be unseen: only there a backoff weight is
     asked for; owners keep one.
@@ -394,17 +426,17 @@ def context_requests(chunks: DataFrame, replies: DataFrame, model: dict, m: int,
     def ask(_key, left: pa.Table, right: pa.Table) -> pa.Table:
         out: list[tuple] = []
         for row in left.to_pylist():
-            e = Evaluation(row, right.to_pylist(), model, m)
-            keys, (at, first_of_all) = e.number[m - 1], e.contexts(m)
+            e = Evaluation(row, right.to_pylist(), model, m, m - 1)
+            keys, at = e.number[m - 1], e.contexts(m)
             first = np.zeros(len(e.count[m]), np.int64)
-            first[e.index[m][: len(at)][::-1]] = np.arange(len(at))[::-1]  # a token that stands for each distinct m-gram
+            first[e.index[m][::-1]] = np.arange(len(at))[::-1]  # a token that stands for each distinct m-gram
             own = np.flatnonzero(e.owner[m])
             c, context = e.count[m][own], at[first[own]]
-            lower = e.probability(m - 1)[first[own]]
+            lower = np.rint(e.probability_of_seen(m - 1)[first[own]] * 2.0**48) / 2.0**48
             sums = [np.bincount(context, weights=w, minlength=len(keys)) for w in (c, model["discounts"][m].of(c) * c, lower)]
             says = np.where(e.owner[m - 1], OWNS, 0).astype(np.uint8)
             says[at[~e.chunk.trained]] |= ASKS
-            says[first_of_all] |= ASKS
+            says[e.lead[m - 1]] |= ASKS
             some = part.span(keys)
             entries = {"key": keys[some], "chunk": np.full(some.stop - some.start, row["chunk"]), "says": says[some]}
             out += route.letters(m, entries | {"count": sums[0][some].astype(np.uint64), "kept": sums[1][some], "lower": sums[2][some]})
@@ -412,7 +444,9 @@ def context_requests(chunks: DataFrame, replies: DataFrame, model: dict, m: int,
             release_memory()
         return pa.Table.from_batches([as_batch(out, ROUTED)])
 
-    return chunks.groupBy("chunk").cogroup(_by_chunk(replies)).applyInArrow(ask, ROUTED)
+    lane = F.col("lane")
+    used = replies.where(((F.col("kind") == "reply") & lane.isin(m - 1, m)) | ((F.col("kind") == "weights") & (lane == m - 1)))
+    return chunks.groupBy("chunk").cogroup(_by_chunk(used)).applyInArrow(ask, ROUTED)
 
 
 def _by_chunk(replies: DataFrame):
@@ -469,12 +503,12 @@ def _in_passes(make: Callable[[Pass], DataFrame], passes: int, route: Route, nam
 
 
 def fit(
-    docs: DataFrame, order: int = 3, k: int = 5, fold: int = 10, max_tokens: int = 1_500_000, bucket_keys: int = 2_000_000, fan: int = 256, passes: int = 4
+    docs: DataFrame, order: int = 3, k: int = 5, fold: int = 10, max_tokens: int = 1_500_000, bucket_keys: int = 2_000_000, fan: int = 256, passes: int = 2
 ) -> KatzModel:
     """Train on documents whose crc32(doc_id as text) mod fold is not 0; all documents' look-ups are prepared.
 
-    passes: into how many parts keys are dealt that are exchanged one part after the other, a quarter as many for contexts at
-    each level of the exchange; more take less disk and more time.
+    passes: into how many parts keys are dealt that are exchanged one part after the other at each level of the exchange, half as
+    many for contexts; more take less disk and more time.
     """
     with _shuffles_go(docs.sparkSession):
         return _fit(docs, order, k, fold, max_tokens, bucket_keys, fan, passes)
@@ -488,7 +522,8 @@ def _fit(docs: DataFrame, order: int, k: int, fold: int, max_tokens: int, bucket
     sizes = chunks.agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("chunks")).first()
     route = Route.of(sizes["chunks"], max(4, -(-(sizes["tokens"] or 0) // bucket_keys)), fan)
     counted = lambda part: count_answers(route.forward(count_requests(chunks, order, route, part)), k, order, route)
-    answers = _in_passes(counted, passes, route, "katz-counts")
+    levels = 1 + len(route.meets)
+    answers = _in_passes(counted, passes * levels, route, "katz-counts")
     stats = statistics_of(answers, k)
     empty = np.zeros(k + 5, np.int64)
     discounts = {m: good_turing(dict(enumerate(map(int, stats.get(m, empty)[2:]))), k) for m in range(1, order + 1)}
@@ -501,7 +536,7 @@ def _fit(docs: DataFrame, order: int, k: int, fold: int, max_tokens: int, bucket
     replies = _returned(answers, "reply", route)
     for m in range(2, order + 1):
         weighed = lambda part, m=m, replies=replies: context_answers(route.forward(context_requests(chunks, replies, numbers, m, route, part)))
-        n_passes = -(-passes // 4) * (1 + len(route.meets)) if m > 2 else 1  # contexts of order 2 are words
+        n_passes = -(-passes // 2) * levels if m > 2 else 1  # contexts of order 2 are words
         weights = _in_passes(weighed, n_passes, route, f"katz-weights-{m}")
         replies = replies.unionByName(_returned(weights, "weights", route))
     return KatzModel(chunks, replies, numbers)

@@ -168,11 +168,17 @@ def test_katz_stores_no_keys_and_contexts_go_by_numbers(spark):
         e = katz.Evaluation(row, replies[row["chunk"]], model.numbers, 3)
         buckets = max(4, -(-sum(len(t.split()) + 1 for _, t in rows) // 1000))
         for m in (1, 2):
-            of = lambda keys: [int(k) * buckets >> 64 for k in keys]
-            assert of(e.number[m]) == of(e.keys[m]) and (np.diff(e.number[m]) > 0).all()
+            assert (exchange.cuts(e.number[m], buckets) == exchange.cuts(e.keys[m], buckets)).all() and (e.number[m][1:] > e.number[m][:-1]).all()
         assert len(exchange.pack_sorted(e.number[2])) < 0.4 * len(exchange.pack_sorted(e.keys[2]))
 
 
+def test_katz_sorts_keys_that_differ_in_their_last_bits():
+    r = np.random.default_rng(2)
+    for keys in (r.integers(0, 1 << 64, 5000, dtype=np.uint64, endpoint=False) // np.uint64(9), np.array([1 << 63, 3, 2, 3, 1, 2], np.uint64), np.array([], np.uint64), np.array([7], np.uint64)):
+        found, at = katz._distinct(keys)
+        assert (found == np.unique(keys)).all() and (found[at] == keys).all()
+
+
 def test_katz_on_little_and_nothing(spark):
     docs = spark.createDataFrame(words(1, 3), DOCS)
     assert katz.katz_scores(docs.limit(0)).count() == 0
