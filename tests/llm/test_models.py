@@ -179,6 +179,14 @@ def test_katz_sorts_keys_that_differ_in_their_last_bits():
         assert (found == np.unique(keys)).all() and (found[at] == keys).all()
 
 
+def test_katz_of_order_3_over_levels_of_the_exchange(spark):
+    rows = words(5, 50)
+    docs = spark.createDataFrame(rows, DOCS).repartition(8).sortWithinPartitions("doc_id")
+    got = sorted(((r["doc_id"], r["score"]) for r in katz.katz_scores(docs, 3, max_tokens=20, bucket_keys=30, fan=3).collect()))
+    want = sorted((w[0], w[3]) for w in brute_katz(rows, 3))
+    assert [g[0] for g in got] == [w[0] for w in want] and [g[1] for g in got] == pytest.approx([w[1] for w in want], abs=1e-9)
+
+
 def test_katz_on_little_and_nothing(spark):
     docs = spark.createDataFrame(words(1, 3), DOCS)
     assert katz.katz_scores(docs.limit(0)).count() == 0
