@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from statemesh.functions.numbers import parse_value, rounding_tolerance, value_bucket
 from statemesh.functions.periods import parse_period
 from statemesh.operators.compare import compare_pairs
-from statemesh.operators.pairing import NARROW, all_pairs, capped_blocks, exact_pairs, incremental_pairs, pairing_report, unreliable_periods
+from statemesh.operators.pairing import NARROW, all_pairs, capped_blocks, exact_pairs, incremental_pairs, pairing_report, unreliable_periods, value_pairs, whole_pairs
 
 DEFAULT = dict(raw="61,451", context="(Rs. in millions)", period="FY24", basis="unknown", segment=None, geography=None, accounting="unknown", modality="unknown", document="d1", page=1, confidence=0.9, subject="acme", predicate="revenue from operations", unreliable=False)
 FIELDS = ", ".join(f"{k} {'int' if k == 'page' else 'double' if k == 'confidence' else 'boolean' if k == 'unreliable' else 'string'}" for k in DEFAULT)
@@ -123,3 +123,20 @@ def test_empty_claims(spark):
     n = claims(spark, {}).limit(0)
     assert compare_pairs(exact_pairs(n)).count() == 0
     assert pairing_report(n).first()["pairs"] == 0
+
+
+def test_value_buckets_beyond_the_cap_give_all_pairs(spark):
+    n = claims(spark, *(dict(predicate=f"measure {i % 4}") for i in range(70)), dict(subject="other", predicate="measure 9"))
+    want = {(a, b) for a in range(1, 71) for b in range(a + 1, 71) if (a - b) % 4}
+    assert value_pairs(n).count() == 0
+    pairs = value_pairs(n, cap=None).select("a_seq", "b_seq").collect()
+    assert len(pairs) == len(want) and {tuple(p) for p in pairs} == want
+
+
+def test_whole_blocks_in_tiles_give_each_pair_once(spark):
+    n = claims(spark, *(dict(confidence=0.1 + i / 200) for i in range(65)), dict(segment="Express"), dict(subject=None))
+    want = {(a, b) for a in range(1, 66) for b in range(a + 1, 66)}
+    for tile in (7, 65, 1000):
+        pairs = whole_pairs(n, ["subject_id", "segment"], tile).select("a_seq", "b_seq").collect()
+        assert len(pairs) == len(want) and {tuple(p) for p in pairs} == want
+    assert exact_pairs(n, cap=None).count() == 66 * 65 // 2
