@@ -12,6 +12,8 @@ from .evals import relative_gap
 
 #: Scales that a canonical and a written value may lie apart.
 SCALES = {1: "units", 100_000: "lakh", 1_000_000: "million", 10_000_000: "crore", 1_000_000_000: "billion", 1_000_000_000_000: "trillion"}
+#: Points that two unequal values can have, at most: the sum of those of score_corroborations, without the ones for equal values.
+UNEQUAL_MOST = 10 + 8 + 12 + 3 + 4
 NO_MEASUREMENT = ["year", "years", "date", "period", "fiscal year"]
 
 

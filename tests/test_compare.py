@@ -1,11 +1,16 @@
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from statemesh.functions.numbers import parse_value, rounding_tolerance, value_bucket
 from statemesh.functions.periods import parse_period
+from statemesh.operators import curate, tally
 from statemesh.operators.compare import compare_pairs
 from statemesh.operators.pairing import NARROW, all_pairs, capped_blocks, exact_pairs, incremental_pairs, pairing_report, unreliable_periods, value_pairs, whole_pairs
+from statemesh.plans import more_queries
+from statemesh.plans.layer import contradictions, corroborations
 
 DEFAULT = dict(raw="61,451", context="(Rs. in millions)", period="FY24", basis="unknown", segment=None, geography=None, accounting="unknown", modality="unknown", document="d1", page=1, confidence=0.9, subject="acme", predicate="revenue from operations", unreliable=False)
 FIELDS = ", ".join(f"{k} {'int' if k == 'page' else 'double' if k == 'confidence' else 'boolean' if k == 'unreliable' else 'string'}" for k in DEFAULT)
@@ -140,3 +145,58 @@ def test_whole_blocks_in_tiles_give_each_pair_once(spark):
         pairs = whole_pairs(n, ["subject_id", "segment"], tile).select("a_seq", "b_seq").collect()
         assert len(pairs) == len(want) and {tuple(p) for p in pairs} == want
     assert exact_pairs(n, cap=None).count() == 66 * 65 // 2
+
+
+def _many(spark, n, seed):
+    """Claims near each other's limits, coarse and fine, on few pages, with some that are no plain numbers."""
+    pick = random.Random(seed).choice
+    raws = ["61,451", "61,452", "61,758", "61,759", "61,144", "61,145", "61,146", "6,145", "0", "0.0", "7", "8", "9", "(7)", "-61,451", "(61,758)", "200", "201", "199", "1", "200.0", "201.0", "199.0", "0.5", "100,000", "100,500", "100,501", "99,500", "1,00,502"]
+    odd = ["6.5%", "6.3 to 6.8 per cent", "10 to 20", "12", "no number"]
+    given = [
+        dict(
+            raw=pick(raws) if pick(range(9)) else pick(odd),
+            context=pick(["(Rs. in millions)", "(Rs. in millions)", "(₹ in crore)", "$", ""]),
+            period=pick(["FY24", "FY24", "FY23", ""]),
+            basis=pick(["unknown", "consolidated", "standalone"]),
+            segment=pick([None, "", "Express"]),
+            document=pick(["d1", "d2", "d3", None]),
+            page=pick([1, 2]),
+            unreliable=pick([False, False, True]),
+            subject=pick(["acme", "acme", "acme", "other", None]),
+        )
+        for _ in range(n)
+    ]
+    return claims(spark, *given)
+
+
+@pytest.mark.parametrize("seed,size,tile", [(1, 50_000, 20_000), (2, 10, 40), (3, 1, 20_000)])
+def test_relations_are_counted_as_they_are_formed(spark, monkeypatch, seed, size, tile):
+    n = _many(spark, 260, seed).cache()
+    monkeypatch.setattr(tally, "AT_ONCE", 100)
+    formed = {r["relation"]: r["count"] for r in compare_pairs(exact_pairs(n, cap=None)).groupBy("relation").count().collect()}
+    counted = {r["relation"]: r["n"] for r in tally.relation_totals(n, size, tile).collect() if r["n"]}
+    assert counted == formed and len(formed) == 4 and sum(formed.values()) > 60 * 59 // 2
+
+
+def test_counts_of_no_claims(spark):
+    assert tally.relation_totals(claims(spark, {}).limit(0)).where("n != 0").count() == 0
+
+
+def test_contradictions_and_corroborations_are_those_of_whole_blocks(spark):
+    n = _many(spark, 260, 4).cache()
+    gap = F.expr("try_divide(cast(abs(a_magnitude - b_magnitude) as double), cast(abs(a_magnitude) as double))")
+    formed = compare_pairs(exact_pairs(n, cap=None)).withColumn("gap", gap).cache()
+    capped = compare_pairs(exact_pairs(n))
+    shown = lambda df: sorted((r["a_seq"], r["b_seq"], r["axis"], r["confidence"]) for r in df.collect())
+    want = shown(formed.where("relation = 'contradiction'"))
+    assert shown(contradictions(n)) == want and len(want) > capped.where("relation = 'contradiction'").count()
+    near = shown(formed.where("relation = 'corroboration' and gap <= 0.005"))
+    assert shown(corroborations(n)) == near and len(near) > capped.where("relation = 'corroboration'").count()
+    across = "a_document_id != b_document_id"
+    assert shown(corroborations(n, across)) == shown(formed.where(f"relation = 'corroboration' and a_magnitude = b_magnitude and gap = 0 and {across}"))
+
+
+def test_the_best_are_the_best_of_all(spark, monkeypatch):
+    some = more_queries.case1_best(spark, "/root/testdata/sf0.001").collect()
+    monkeypatch.setattr(curate, "UNEQUAL_MOST", 1000)  # so that equal values alone never settle it
+    assert more_queries.case1_best(spark, "/root/testdata/sf0.001").collect() == some and len(some) == 20
