@@ -27,9 +27,17 @@ BY_RULE, ANSWERED, INHERITED, BATCH = 0.45, 0.85, 0.6, 24
 def trimmed(items: Column) -> Column:
     """Words without stop words at both ends."""
     stop = lambda w: F.lower(w).isin(STOP_WORDS)
-    ordinary = F.filter(F.transform(items, lambda w, i: F.when(~stop(w), i + 1)), lambda i: i.isNotNull())
-    first, last = F.array_min(ordinary), F.array_max(ordinary)
-    return F.when(F.size(ordinary) > 0, F.slice(items, first, last - first + 1)).otherwise(F.array().cast("array<string>"))
+    none = F.array().cast("array<string>")
+
+    def cut(x: Column) -> Column:
+        first, last = F.array_min(x["ordinary"]), F.array_max(x["ordinary"])
+        return F.when(F.size(x["ordinary"]) > 0, F.slice(x["items"], first, last - first + 1)).otherwise(none)
+
+    def marked(given: Column) -> Column:
+        ordinary = F.filter(F.transform(given, lambda w, i: F.when(~stop(w), i + 1)), lambda i: i.isNotNull())
+        return let(F.struct(given.alias("items"), ordinary.alias("ordinary")), cut)
+
+    return let(items, marked)
 
 
 def label_before(text: Column, offset: Column, most: int = 8) -> Column:
@@ -37,7 +45,7 @@ def label_before(text: Column, offset: Column, most: int = 8) -> Column:
     head = F.substr(text, F.lit(1), offset)
     fragment = F.regexp_extract(head, r"(?s)([^.;:!?•·\n]*)$", 1)
     all_words = F.regexp_extract_all(fragment, F.lit(r"[A-Za-z][A-Za-z&/'\-]*"), F.lit(0))
-    last = F.slice(all_words, F.greatest(F.size(all_words) - most + 1, F.lit(1)), F.lit(most))
+    last = let(all_words, lambda w: F.slice(w, F.greatest(F.size(w) - most + 1, F.lit(1)), F.lit(most)))
     return F.array_join(trimmed(last), " ")
 
 
@@ -54,7 +62,13 @@ def row_label(text: Column, offset: Column, token: Column) -> Column:
 def period_near(*sources: Column) -> Column:
     """The first source that names a period."""
     parsed = [parse_period(F.coalesce(s, F.lit(""))) for s in sources]
-    return F.coalesce(*(F.when(p["kind"] != "unknown", p) for p in parsed[:-1]), parsed[-1])
+    return F.coalesce(*(let(p, lambda x: F.when(x["kind"] != "unknown", x)) for p in parsed[:-1]), parsed[-1])
+
+
+def once(value: Column) -> Column:
+    """value as a column that filters and fields are read from: without this a filter, and each field of a struct, would compute
+    it again. (What a generator gives is not merged into the expressions that name it.)"""
+    return F.explode(F.array(value))
 
 
 def _scope(period: Column, basis: Column, segment: Column, geography: Column, accounting: Column, modality: Column, vintage: Column) -> Column:
@@ -74,12 +88,12 @@ def by_rules(candidates: DataFrame) -> DataFrame:
     c = F.col
     header = F.coalesce(c("column_header"), c("header_path"))
     inherited = F.concat_ws(" ", header, c("caption"), c("context"))
-    typed = usable.withColumn("value", parse_value(c("text"), c("tight"), inherited)).where("value is not null")
+    typed = usable.withColumn("value", once(parse_value(c("text"), c("tight"), inherited))).where("value is not null")
     stated = c("value.kind").isin("money", "ratio") | c("value.unit").isNotNull() | parse_scale(c("tight")).isNotNull()
     before = label_before(c("block_text"), c("in_block"))
     own = row_label(c("block_text"), c("in_block"), c("text"))
-    label = F.coalesce(F.nullif(c("row_label"), F.lit("")), F.nullif(before, F.lit("")), own)
-    named = typed.where(stated).withColumn("predicate_raw", label).where((F.length("predicate_raw") >= 3) & (words(c("predicate_raw")) >= 2))
+    label = F.coalesce(F.nullif(c("row_label"), F.lit("")), let(before, lambda x: F.when(x != "", x)), own)
+    named = typed.where(stated).withColumn("predicate_raw", once(label)).where((F.length("predicate_raw") >= 3) & (words(c("predicate_raw")) >= 2))
     near = F.coalesce(c("block_text"), F.lit(""))
     scope = _scope(
         period_near(c("column_header"), c("header_path"), near),
@@ -90,7 +104,7 @@ def by_rules(candidates: DataFrame) -> DataFrame:
         F.lit("unknown"),
         c("vintage"),
     )
-    return named.select(
+    return named.withColumn("_scope", once(scope)).select(
         c("document_id"),
         "page",
         c("at").alias("char_start"),
@@ -98,7 +112,7 @@ def by_rules(candidates: DataFrame) -> DataFrame:
         c("subject").alias("subject_raw"),
         "predicate_raw",
         "value",
-        enforce_plausibility(scope).alias("scope"),
+        enforce_plausibility(c("_scope")).alias("scope"),
         F.lit(BY_RULE).alias("confidence"),
         F.lit(False).alias("scale_inferred"),
     )

@@ -128,6 +128,21 @@ def test_plain_numerals_read_like_others(spark):
     assert differ.collect() == []
 
 
+def test_plain_numerals_inherit_like_others(spark):
+    from pyspark.sql import functions as F
+
+    from statemesh.functions.numbers import parse_value
+
+    raws = ["0", "7", "1,234", "12,34,567", "1234.50", "12,3456", "9" * 19, "12."]
+    contexts = ["(Rs. in millions)", "in %", None, "", "tonnes", "3 1,234 customers", "7 employees", "USD"]
+    inherited = ["(₹ in crore)", "figures in %", "bps, in USD", None, "", "7 parcels", "Consolidated"]
+    rows = [(r, c, i) for r in raws for c in contexts for i in inherited]
+    df = spark.createDataFrame(rows, "r string, c string, i string")
+    spaced = F.concat(F.lit("\n"), "r")
+    read = lambda r: parse_value(r, F.col("c"), F.col("i"))
+    assert df.where(~read(F.col("r")).eqNullSafe(read(spaced))).collect() == []
+
+
 def test_rows_are_spread_over_as_many_tasks_as_they_ask_for(spark, monkeypatch):
     from statemesh import session
 

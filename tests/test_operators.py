@@ -251,3 +251,13 @@ def test_conversion_sweeps_once(spark, monkeypatch):
     monkeypatch.setattr(checked_queries, "stored", lambda df, name: swept.append(name) or df.localCheckpoint())
     got = checked_queries.spot_conversion(spark, "/root/testdata/sf0.001")
     assert swept == ["spots"] and nodes_of(got, "MapInArrow") == 0
+
+
+def test_rules_read_each_value_once(spark):
+    """What filters and fields are read from is no expression that each of them computes again."""
+    blocks = documents.with_offsets(spark.createDataFrame([("d", 1, 0, "paragraph", PAGE)], BLOCK))
+    none = F.lit(None).cast("string")
+    c = spot.spot(blocks).withColumns({n: none for n in ("header_path", "column_header", "row_label", "caption", "context")} | {"subject": F.lit("Acme"), "vintage": F.lit(None).cast("date")})
+    plan = extract.by_rules(c)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("thousand crore") < 20  # scale words: 39 where filters and fields have each value anew
+    assert plan.count("regexp_extract_all(") < 6
